@@ -52,11 +52,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id, text, y: at most per_class training documents of either label, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int) -> DataFrame:
+    """doc_id, text, y: at most so many training documents of label 1 and of label 0, chosen by a hash of the id.
 
-    Only ids and labels are ranked; the texts of the chosen (at most 2 * per_class) ids are fetched by a
-    join whose broadcast side has that bound. Null ids, null labels and labels other than 0 and 1 are left out.
+    Only ids and labels are ranked; the texts of the chosen (at most ones + zeros) ids are fetched by a join whose broadcast side has that bound. Null ids, null labels and labels other than 0 and 1 are left out.
     """
     y = F.col(label).cast("int")
     rows = (
@@ -64,5 +63,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = rows.where("y = 1").orderBy(*order).limit(per_class).unionByName(rows.where("y = 0").orderBy(*order).limit(per_class))
+    chosen = rows.where("y = 1").orderBy(*order).limit(ones).unionByName(rows.where("y = 0").orderBy(*order).limit(zeros))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")

@@ -4,6 +4,7 @@ Null and empty texts hold the end id alone. Repeated rows are packed as rows of
 table gives an empty result. Other columns of the input are not read.
 """
 
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,13 +19,14 @@ from worldframe.llm.common import materialise
 ROOM = 2048
 #: Buckets of a length's pieces for numbering them; the plan's tables have at most ROOM * SALT rows.
 SALT = 64
-CACHE = 400_000
+CACHE = 120_000
 
 
 class Encoder:
     """ids of whole texts, by words: no id spans white space in the vocabulary this is used with, so words are cached."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.seen = Tokenizer.from_file(path), {}
@@ -35,8 +37,8 @@ class Encoder:
         if len(self.seen) > CACHE:
             self.seen.clear()
         new = list(set().union(*words) - self.seen.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.seen[w] = np.array(e.ids, dtype="<u4").tobytes()
         tail = np.array([end], dtype="<u4").tobytes()
@@ -50,8 +52,8 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 rows = []
                 for i, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
                     n = len(ids) // 4

@@ -5,10 +5,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldframe.llm import decontaminate, linededup, packing, simhash, toxicity
+from worldframe.llm import chat, decontaminate, htmltext, linededup, packing, quality, repeats, simhash, topk, toxicity
 from worldframe.llm.common import held_out
 
-TOXIC_FROM = 0.3
+TOXIC_FROM, GOOD_FROM = 0.3, 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(Path(public_tokenizers.path(name)))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -45,5 +49,48 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_line_dedup, op4_decontamination, op5_simhash, op6_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat.digest(chat.format_conversations(turns.unionByName(own)))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, rules).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_toxicity, op3_line_dedup, op4_decontamination, op5_simhash,
+        op6_packing, op7_chat_format, op8_quality, op9_html_text, op10_top_k,
+    )
+}
+
+#: By id-pairs in DuckDB: each query against all vectors.
+_TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+#: n_turns and the digests of the turns need no template; formatted_chars is that of the template of chat.py.
+_CHAT = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    bool_or(contains(text, '<|end|>') OR contains(role, '<|end|>') OR contains(role, '<|text|>') OR contains(text || '<|end|>', '<|end|><|end|>')) AS escaped,
+    sum(length(role) + length(text)) AS plain, sum(length(replace(replace(replace(role || text, '~', '~0'), '<', '~1'), '|', '~2'))) AS wide FROM c GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+    CAST(7 + n_turns * 23 + CASE WHEN escaped THEN wide ELSE plain END AS BIGINT) AS formatted_chars FROM g"""
+ORACLE_SQL: dict[str, str] = {"op10_top_k": _TOP_K, "op7_chat_format": _CHAT}

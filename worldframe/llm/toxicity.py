@@ -13,7 +13,6 @@ empty result, and with no labelled row of either class every score is 0.5. Extra
 """
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +28,7 @@ ORDER, SPAN, DECAY = 3, 6, 0.55
 PER_CLASS, LANDMARKS, NEGATIVES = 2000, 400, 6000
 #: Longer words are scored in overlapping stretches.
 STRETCH = 24
-CACHE = 400_000
+CACHE = 120_000
 #: a to z have a symbol each, a word's edge has EDGE; other letters share the rest of the 64.
 SYMBOLS, EDGE = 64, "~"
 _SYMBOL = np.array([c - 96 if 97 <= c <= 122 else 63 if c == ord(EDGE) else 27 + c % 36 if c else 0 for c in range(1 << 16)], dtype=np.int64)
@@ -120,8 +119,8 @@ class Model:
 
     def _stretches(self, found: list[str]) -> list[float]:
         out: list[float] = []
-        for at in range(0, len(found), 20_000):
-            codes = _codes(found[at : at + 20_000])
+        for at in range(0, len(found), 5_000):
+            codes = _codes(found[at : at + 5_000])
             total = sum(weight * self.weights[number].sum(axis=1, dtype=np.float64) for weight, _, number in _subsequences(codes))
             out += (self.bias + total / _norm(codes)).tolist()
         return out
@@ -174,15 +173,18 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def _telling(toxic: Counter, clean: Counter, base: float) -> set[str]:
+def _bag(text: str, number: dict[str, int]) -> np.ndarray:
+    """Numbers of the words of a text's sentences; a new word gets the next number."""
+    found = {number.setdefault(x, len(number)) for sentence in _SENTENCE.split(text) for w in dict.fromkeys(words(sentence)) if (x := letters(w))}
+    return np.fromiter(found, dtype=np.int32, count=len(found))
+
+
+def _telling(toxic: np.ndarray, clean: np.ndarray, base: float) -> np.ndarray:
     """Words whose counts in toxic and clean texts differ beyond chance, by likelihood ratio over the whole vocabulary."""
-    out, bar = set(), np.log(len(toxic) + 1) + 3
-    for w, t in toxic.items():
-        c = clean[w]
-        if ORDER <= len(w) <= STRETCH and (p := t / (t + c)) > 0.9:
-            if t * np.log(p / base) + (c * np.log((1 - p) / (1 - base)) if c else 0.0) > bar:
-                out.add(w)
-    return out
+    p = toxic / np.maximum(toxic + clean, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = toxic * np.log(np.maximum(p, 1e-9) / base) + np.where(clean > 0, clean * np.log(np.maximum(1 - p, 1e-9) / (1 - base)), 0.0)
+    return (p > 0.9) & (ratio > np.log((toxic > 0).sum() + 1) + 3)
 
 
 def _inserted(word: str, rng: np.random.Generator) -> list[str]:
@@ -208,54 +210,54 @@ def fit(rows: Iterable[tuple[str, int]], seed: int = 7) -> Model:
     y = np.array([y for _, y in texts])
     if not len(y) or y.min() == y.max():
         return Model()
-    memo: dict[str, str] = {}
-    bags = [[{memo.get(w) or memo.setdefault(w, letters(w)) for w in words(s)} - {""} for s in _SENTENCE.split(t)] for t, _ in texts]
-    bags = [set().union(*bag) for bag in bags]
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (toxic if label else clean).update(bag)
-    telling = _telling(toxic, clean, float(y.mean()))
+    number: dict[str, int] = {}
+    bags = [_bag(t, number) for t, _ in texts]
+    names = list(number)
+    toxic, clean = (np.bincount(np.concatenate([b for b, lab in zip(bags, y, strict=True) if lab == k]), minlength=len(names)) for k in (1, 0))
+    usable = np.array([ORDER <= len(w) <= STRETCH for w in names], dtype=bool)
+    telling = set(np.flatnonzero(usable & _telling(toxic, clean, float(y.mean()))).tolist())
     rng = np.random.default_rng(seed)
-    pool = sorted(w for w in clean if ORDER <= len(w) <= STRETCH)
+    pool = sorted(np.flatnonzero(usable & (clean > 0)).tolist(), key=names.__getitem__)
     picked = {pool[i] for i in rng.permutation(len(pool))[:NEGATIVES]}
     model, witness, hard, worst = Model(), set(), set(), []
+    word = names.__getitem__
     for _ in range(4):
-        good = sorted(telling | witness)
+        good = sorted(telling | witness, key=word)
         if not good or not pool:
             return Model()
-        near = sorted(picked | hard)
-        common = sorted(near, key=lambda w: (-clean[w], w))[: LANDMARKS // 6]
-        marks = list(dict.fromkeys(sorted(good, key=lambda w: (-toxic[w], w))[: LANDMARKS // 3] + common + worst + near[:: len(near) // (LANDMARKS // 4) + 1]))[:LANDMARKS]
+        near = sorted(picked | hard, key=word)
+        common = sorted(near, key=lambda w: (-clean[w], word(w)))[: LANDMARKS // 6]
+        marks = [word(i) for i in dict.fromkeys(sorted(good, key=lambda w: (-toxic[w], word(w)))[: LANDMARKS // 3] + common + worst + near[:: len(near) // (LANDMARKS // 4) + 1])][:LANDMARKS]
         value, vector = np.linalg.eigh(kernel(marks, marks))
         whiten = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
-        spoilt = [v for w in sorted(telling) for v in _inserted(w, rng)]
-        x = kernel(good + spoilt + near, marks) @ whiten
+        spoilt = [v for w in good if w in telling for v in _inserted(word(w), rng)]
+        x = kernel([*map(word, good), *spoilt, *map(word, near)], marks) @ whiten
         label = np.array([1.0] * (len(good) + len(spoilt)) + [-1.0] * len(near))
         often = np.array([toxic[w] for w in good], dtype=float)
         share = np.concatenate([3000 * often / often.sum(), np.full(len(spoilt), 1000 / max(1, len(spoilt))), np.full(len(near), 0.6)])
         w = _svm(np.concatenate([x, np.ones((len(x), 1))], 1), label, share)
         model = Model(_collapse(marks, whiten @ w[:-1]), float(w[-1]))
-        margin = np.array(model.margins(pool))
+        margin = np.array(model.margins([*map(word, pool)]))
         hard |= {pool[i] for i in np.argsort(-margin, kind="stable")[: NEGATIVES // 4]}
         worst = [pool[i] for i in np.argsort(-margin, kind="stable")[: LANDMARKS // 3]]
         # Toxic texts without a telling word name the word of the largest margin, if no clean text has it.
         witness = set()
         for bag, lab in zip(bags, y, strict=True):
-            every = sorted(v for v in bag if ORDER <= len(v) <= STRETCH)
+            every = [i for i in bag.tolist() if usable[i]]
             if lab and every and not telling.intersection(every):
-                found = model.margins(every)
+                found = model.margins([*map(word, every)])
                 best = int(np.argmax(found))
                 if found[best] > 0.2 and not clean[every[best]]:
                     witness.add(every[best])
-    margins = np.array(model.texts([t for t, _ in texts]))
+    margins = np.array([m for at in range(0, len(texts), 100) for m in model.texts([t for t, _ in texts[at : at + 100]])])
     model.slope, model.shift = _platt(margins, y)
     model.seen = {}
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on at most per_class labelled training documents of either label (a documented bound)."""
-    rows = labelled_sample(docs, labels, "toxic", per_class).select("text", "y").collect()
+    """Fit on at most per_class toxic and twice as many other labelled training documents (a documented bound)."""
+    rows = labelled_sample(docs, labels, "toxic", per_class, 2 * per_class).select("text", "y").collect()
     return fit((r["text"], r["y"]) for r in rows)
 
 
@@ -266,7 +268,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index(text_col))
-            p = [model.score(m) for at in range(0, batch.num_rows, 500) for m in model.texts(text.slice(at, 500).to_pylist())]
+            p = [model.score(m) for at in range(0, batch.num_rows, 100) for m in model.texts(text.slice(at, 100).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
