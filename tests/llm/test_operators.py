@@ -114,7 +114,8 @@ def test_packing_is_gapless_and_tight(spark, tmp_path):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 2048
-    assert len(by_sequence) <= -(-sum(r["length"] for r in got) // 2048) + 2
+    least = max(-(-sum(r["length"] for r in got) // 2048), sum(r["length"] > 1024 for r in got))
+    assert len(by_sequence) <= least + 2
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
 
 
@@ -153,11 +154,12 @@ def test_toxicity_tolerates_inserted_characters():
 
 
 def test_toxicity_needs_both_labels(spark):
-    assert toxicity.fit([]).score(0.0) == 0.5
+    assert toxicity.fit([]).score(0.0) < 0.01
+    assert abs(toxicity.fit([("a", 1), ("b", 0), ("c", 0), ("d", 0)]).score(9.0) - 0.25) < 1e-6
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs(spark, [(1, "x")]), empty)
     out = toxicity.score(docs(spark, [(1, None), (2, "y")]), model).collect()
-    assert [r["score"] for r in out] == [0.5, 0.5]
+    assert len(out) == 2 and all(r["score"] < 0.01 for r in out)
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 PAGE, FANOUT, SHARD, QUERIES = 128, 16, 16_384, 4096
 SLACK = 1e-6
+#: A score under all others.
+NONE = -(1 << 62)
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -75,13 +77,11 @@ class Tree:
         bound is under the k-th score.
         """
         n = len(q)
-        low = np.iinfo(np.int64).min
+        low = NONE
         score, found = np.full((n, k), low), np.full((n, k), -1)
-        length = np.sqrt((q * q).sum(axis=1))
-        # In the metric a query is (q, 0) scaled to the points' norm; an inner product is at most |q| times the bound's cosine part.
-        to_centre = np.sqrt(_squares(np.concatenate([q, np.zeros((n, 1))], axis=1), self.centre))
         flat = np.concatenate([q, np.zeros((n, 1))], axis=1)
-        base = (length**2 + self.top) / 2
+        base = ((q * q).sum(axis=1) + self.top) / 2  # an inner product is base less half the squared distance
+        to_centre = np.sqrt(_squares(flat, self.centre))
         # Bound of each page: by its router's stored distance, refined by the page's own pivot where a query still needs it.
         rough = np.maximum(0.0, np.abs(to_centre[:, self.router_of] - self.to_centre[None, :]) - self.radius[None, :])
         bound = base[:, None] - rough**2 / 2
@@ -97,13 +97,11 @@ class Tree:
             active, page = active[alive], page[alive]
             for p in np.unique(page):
                 of = active[page == p]
-                fresh = of[~exact[of, p]]
-                if len(fresh):
+                fresh, ready = of[~exact[of, p]], of[exact[of, p]]
+                if len(fresh):  # back into the queue with the page's own bound
                     d = np.sqrt(_squares(flat[fresh], self.pivot[p : p + 1]))[:, 0]
                     distance[fresh, p], exact[fresh, p] = d, True
                     bound[fresh, p] = np.minimum(bound[fresh, p], base[fresh] - np.maximum(0.0, d - self.radius[p]) ** 2 / 2)
-                ready = of[bound[of, p] + SLACK * (1 + base[of]) >= score[of, -1].astype(float)]
-                done[of[bound[of, p] + SLACK * (1 + base[of]) < score[of, -1].astype(float)], p] = True
                 if len(ready):
                     self._page(p, ready, ids, q, base, distance[:, p], score, found, k)
                     done[ready, p] = True
@@ -120,7 +118,7 @@ class Tree:
         self.computed += len(rows) * len(of)
         got = np.rint(q[of] @ self.x[rows].T).astype(np.int64)
         who = np.broadcast_to(self.ids[rows], got.shape)
-        low = np.iinfo(np.int64).min
+        low = NONE
         got = np.where(who == ids[of][:, None], low, got)
         both, names = np.concatenate([score[of], got], axis=1), np.concatenate([found[of], who], axis=1)
         names = np.where(both == low, np.iinfo(np.int64).max, names)
@@ -152,9 +150,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     whole = whole.where(F.size("v") == sizes["n"])
     shards, blocks = max(1, -(-sizes["rows"] // shard)), max(1, -(-sizes["asked"] // queries))
     deal = F.xxhash64(F.lit(1), "id", "v")
-    rows = whole.select("id", "v", F.pmod(deal, F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("b"))
+    rows = whole.select("id", "v", F.pmod(deal, F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
     once = whole.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    asked = once.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("s"), F.pmod(deal, F.lit(blocks)).alias("b"))
+    asked = once.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), F.pmod(deal, F.lit(blocks)).alias("b"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

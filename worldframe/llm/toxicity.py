@@ -9,7 +9,8 @@ label of a text is shared by its sentences, so the words that bear it are found
 Because the margin is linear in the kernel, the trained model is one weight per subsequence.
 
 Null and empty texts score as texts without a word. Repeated rows score alike. An empty table gives an
-empty result, and with no labelled row of either class every score is 0.5. Extra columns are not read.
+empty result. Where no words set toxic texts apart, as with labelled rows of one class or none, every score is the
+share of toxic labels (none: near 0). Extra columns are not read.
 """
 
 import re
@@ -173,6 +174,12 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
+def _constant(y: np.ndarray) -> Model:
+    """Without words that tell toxic texts apart: the share of toxic texts for every text."""
+    share = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
+    return Model(shift=float(np.log(share / (1 - share))))
+
+
 def _bag(text: str, number: dict[str, int]) -> np.ndarray:
     """Numbers of the words of a text's sentences; a new word gets the next number."""
     found = {number.setdefault(x, len(number)) for sentence in _SENTENCE.split(text) for w in dict.fromkeys(words(sentence)) if (x := letters(w))}
@@ -209,7 +216,7 @@ def fit(rows: Iterable[tuple[str, int]], seed: int = 7) -> Model:
     texts = sorted((str(t or ""), int(y)) for t, y in rows)
     y = np.array([y for _, y in texts])
     if not len(y) or y.min() == y.max():
-        return Model()
+        return _constant(y)
     number: dict[str, int] = {}
     bags = [_bag(t, number) for t, _ in texts]
     names = list(number)
@@ -224,7 +231,7 @@ def fit(rows: Iterable[tuple[str, int]], seed: int = 7) -> Model:
     for _ in range(4):
         good = sorted(telling | witness, key=word)
         if not good or not pool:
-            return Model()
+            return _constant(y)
         near = sorted(picked | hard, key=word)
         common = sorted(near, key=lambda w: (-clean[w], word(w)))[: LANDMARKS // 6]
         marks = [word(i) for i in dict.fromkeys(sorted(good, key=lambda w: (-toxic[w], word(w)))[: LANDMARKS // 3] + common + worst + near[:: len(near) // (LANDMARKS // 4) + 1])][:LANDMARKS]
