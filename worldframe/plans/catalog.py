@@ -1,8 +1,301 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, where SQL can express them, the same as ANSI SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from worldframe.operators import edits, graph, hydrology, mesh, nearest, polyline
+from worldframe.plans.relational import PLANS
+from worldframe.sinks import svg
+from worldframe.sources import derived, mapfile
+
+Query = Callable[[SparkSession, str], DataFrame]
+PLAIN = ("pages", "documents", "events", "conversations")
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A named input: a derived table, the zones, or a plain scan."""
+    if name in PLAIN:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "zones":
+        near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda z: F.col("cell_id") % (z + 3) == 0)
+        return derived.cells(spark, sf_dir).select("cell_id", F.explode(near).alias("zone"))
+    return derived.FRAMES[name](spark, sf_dir)
+
+
+ZONES = "zones AS (SELECT CAST(z AS BIGINT) AS zone, cell_id FROM cells CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(z) WHERE cell_id % (z + 3) = 0)"
+
+
+def _with(needs: tuple[str, ...], recursive: bool = False, more: tuple[str, ...] = ()) -> str:
+    names = tuple(n for n in needs if n not in PLAIN and n != "zones")
+    clause = derived.with_clause(names, recursive)
+    extra = [*([ZONES] if "zones" in needs else []), *more]
+    return clause.rstrip() + (", " if extra else " ") + ", ".join(extra) + " "
+
+
+def _plan(name: str) -> Query:
+    plan = PLANS[name]
+    return lambda spark, sf_dir: plan.run(spark, **{n: frame(spark, sf_dir, n) for n in plan.needs})
+
+
+for _name, _p in PLANS.items():
+    QUERIES[_name] = _plan(_name)
+    _ansi = _p.ansi().replace("LEFT ANTI JOIN", "ANTI JOIN")
+    ORACLE_SQL[_name] = (_with(_p.needs) if set(_p.needs) - set(PLAIN) else "") + _ansi
+
+
+# The same pairs: slots 0 and 1 lead to the larger id.
+_PAIRS = "SELECT e.src, e.dst, a.{0} AS a_id, b.{0} AS b_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bp FROM edges e JOIN cells a ON e.src = a.cell_id JOIN cells b ON e.dst = b.cell_id WHERE e.slot < 2"
+for _key in ("state", "province", "culture"):
+    ORACLE_SQL[f"borders_{_key}"] = _with(("edges",), more=(f"pairs AS MATERIALIZED ({_PAIRS.format(_key)})",)) + "SELECT * FROM pairs WHERE a_id <> b_id"
+ORACLE_SQL["svg_borders"] = _with(("edges",), more=(f"pairs AS MATERIALIZED ({_PAIRS.format('state')})",)) + "SELECT src, dst, printf('M%.1f,%.1fL%.1f,%.1f', ax, ay, bx, bp) AS path FROM pairs WHERE a_id <> b_id"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["inspector_join"](spark, sf_dir)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+R4 = "floor(({0}) * 1e4 + 5e-1) / 1e4 + 0e0"
+DOWN = """down AS MATERIALIZED (SELECT src, dst FROM (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.src ORDER BY b.height, e.slot) AS k
+    FROM edges e JOIN cells a ON e.src = a.cell_id JOIN cells b ON e.dst = b.cell_id WHERE a.height >= 20 AND b.height < a.height) WHERE k = 1)"""
+
+
+@query(_with(("cells",)) + """SELECT c.cell_id, CAST(l.level AS BIGINT) AS level FROM cells c JOIN (SELECT range AS level FROM range(20, 99, 6)) l ON c.height >= l.level""")
+def height_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.height_bands(frame(spark, sf_dir, "cells"))
+
+
+def _side(a: str, b: str, k: int) -> str:
+    t = f"CASE WHEN abs({b}.height - {a}.height) < 1e-8 THEN 0.5e0 ELSE (l.level - {a}.height) * 1e0 / ({b}.height - {a}.height) END"
+    return f"""SELECT a.cell_id, l.level, {k} AS k, {a}.x + {t} * ({b}.x - {a}.x) AS x, {a}.y + {t} * ({b}.y - {a}.y) AS y FROM cells a
+        JOIN cells b ON b.cell_id = a.cell_id + 1 JOIN cells c ON c.cell_id = a.cell_id + 101 JOIN cells d ON d.cell_id = a.cell_id + 100
+        CROSS JOIN (SELECT range AS level FROM range(10, 91, 10)) l WHERE a.cx < 99 AND ({a}.height >= l.level) <> ({b}.height >= l.level)"""
+
+
+@query(_with(("cells",), more=("sides AS (" + " UNION ALL ".join(_side(a, b, k) for k, (a, b) in enumerate((("a", "b"), ("b", "c"), ("d", "c"), ("a", "d")))) + ")",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY cell_id, level ORDER BY k) - 1 AS i FROM sides)"))
+    + f"""SELECT CAST(p.level AS BIGINT) AS level, p.cell_id, CAST(p.i // 2 AS BIGINT) AS part, {R4.format('p.x')} AS x1, {R4.format('p.y')} AS y1, {R4.format('q.x')} AS x2, {R4.format('q.y')} AS y2
+    FROM ranked p JOIN ranked q ON p.cell_id = q.cell_id AND p.level = q.level AND q.i = p.i + 1 WHERE p.i % 2 = 0""")
+def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.contours(frame(spark, sf_dir, "cells"))
+
+
+@query(_with(("points", "cells")) + f"""SELECT event_id, cell_id, {R4.format('d2')} AS d2 FROM (SELECT p.event_id, c.cell_id, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) AS d2,
+    row_number() OVER (PARTITION BY p.event_id ORDER BY (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.cell_id) AS k
+    FROM points p JOIN cells c ON c.x > p.x - 20 AND c.x < p.x + 20 AND c.y > p.y - 20 AND c.y < p.y + 20 WHERE (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) < 400) WHERE k = 1""")
+def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_cell(frame(spark, sf_dir, "points"), frame(spark, sf_dir, "cells"))
+
+
+@query(_with(("edges",), True, (DOWN, "walk(cell_id, w) AS (SELECT cell_id, precipitation FROM cells WHERE height >= 20 UNION ALL SELECT d.dst, k.w FROM walk k JOIN down d ON k.cell_id = d.src)"))
+    + "SELECT k.cell_id, least(CAST(sum(k.w) AS BIGINT), 65535) AS flux FROM walk k JOIN cells c ON k.cell_id = c.cell_id WHERE c.height >= 20 GROUP BY k.cell_id")
+def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.flow(frame(spark, sf_dir, "cells"), frame(spark, sf_dir, "edges"))
+
+
+@query(_with(("edges",), True, (DOWN, "walk(node, cell_id) AS (SELECT src, dst FROM down UNION ALL SELECT k.node, d.dst FROM walk k JOIN down d ON k.cell_id = d.src)"))
+    + "SELECT k.node, k.cell_id AS root, c.height < 20 AS reaches_water FROM walk k JOIN cells c ON k.cell_id = c.cell_id ANTI JOIN down d ON k.cell_id = d.src")
+def drain_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = frame(spark, sf_dir, "cells")
+    ends = graph.roots(graph.down(cells, frame(spark, sf_dir, "edges"))).where("node <> root")
+    return ends.join(cells.selectExpr("cell_id AS root", "height < 20 AS reaches_water"), "root").select("node", "root", "reaches_water")
+
+
+@query(_with(("edges",), True, (DOWN, "walk(start, step, cell_id) AS (SELECT cell_id, CAST(0 AS BIGINT), cell_id FROM cells WHERE height >= 90 UNION ALL SELECT k.start, k.step + 1, d.dst FROM walk k JOIN down d ON k.cell_id = d.src)"))
+    + "SELECT start, step, cell_id FROM walk")
+def river_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = frame(spark, sf_dir, "cells")
+    return graph.trace(cells.where("height >= 90"), graph.down(cells, frame(spark, sf_dir, "edges")))
+
+
+@query(_with(("edges",), True, ("same AS (SELECT e.src, e.dst FROM edges e JOIN cells a ON e.src = a.cell_id JOIN cells b ON e.dst = b.cell_id WHERE a.state = b.state)",
+    "walk(cell_id, label) AS (SELECT cell_id, cell_id FROM cells UNION SELECT s.dst, k.label FROM walk k JOIN same s ON k.cell_id = s.src WHERE k.label < s.dst)"))
+    + "SELECT cell_id, min(label) AS region FROM walk GROUP BY cell_id")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(frame(spark, sf_dir, "cells"), frame(spark, sf_dir, "edges"), "state")
+
+
+_CR = "0.5e0 * (2e0 * {c} + ({c}2 - {c}0) * t + (2e0 * {c}0 - 5e0 * {c} + 4e0 * {c}2 - {c}3) * t * t + (3e0 * {c} - {c}0 - 3e0 * {c}2 + {c}3) * t * t * t)"
+_NEAR = """near AS (SELECT *, lead(x, 1) OVER w AS x2, lead(y, 1) OVER w AS y2, coalesce(lag(x, 1) OVER w, x) AS x0, coalesce(lag(y, 1) OVER w, y) AS y0,
+    coalesce(lead(x, 2) OVER w, lead(x, 1) OVER w) AS x3, coalesce(lead(y, 2) OVER w, lead(y, 1) OVER w) AS y3, count(*) OVER (PARTITION BY id) AS n FROM points WINDOW w AS (PARTITION BY id ORDER BY pos))"""
+
+
+@query(_with(("points",), more=(_NEAR,)) + f"""SELECT id, pos, CAST(part AS BIGINT) AS part, {R4.format(_CR.format(c='x'))} AS x, {R4.format(_CR.format(c='y'))} AS y FROM (SELECT n.*, r.range AS part, r.range / 4e0 AS t FROM near n CROSS JOIN range(4) r WHERE x2 IS NOT NULL)
+    UNION ALL SELECT id, pos, CAST(0 AS BIGINT) AS part, {R4.format('x')} AS x, {R4.format('y')} AS y FROM near WHERE x2 IS NULL""")
+def catmull_rom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polyline.catmull_rom(frame(spark, sf_dir, "points"))
+
+
+_BENT = f"""bent AS (SELECT *, 0.5e0 + 1e0 / step + greatest(0.5e0 - step / 1e2, 0e0) AS m, CASE WHEN d2 > 0 THEN (y2 - y) / sqrt(d2) ELSE 0e0 END AS si, CASE WHEN d2 > 0 THEN (x2 - x) / sqrt(d2) ELSE 1e0 END AS co,
+    step < 20 AND (d2 > 64 OR (d2 > 36 AND n < 5)) AS two, x2 IS NULL OR (d2 <= 25 AND n >= 6) AS none FROM (SELECT *, CAST(10 + pos AS DOUBLE) AS step, power(x2 - x, 2e0) + power(y2 - y, 2e0) AS d2 FROM near))"""
+
+
+@query(_with(("points",), more=(_NEAR, _BENT)) + f"""SELECT id, pos, CAST(0 AS BIGINT) AS part, {R4.format('x')} AS x, {R4.format('y')} AS y FROM bent
+    UNION ALL SELECT id, pos, CAST(1 AS BIGINT) AS part, {R4.format('(2e0 * x + x2) / 3e0 - si * m')} AS x, {R4.format('(2e0 * y + y2) / 3e0 + co * m')} AS y FROM bent WHERE NOT none AND two
+    UNION ALL SELECT id, pos, CAST(2 AS BIGINT) AS part, {R4.format('(x + 2e0 * x2) / 3e0 + si * m * 0.5e0')} AS x, {R4.format('(y + 2e0 * y2) / 3e0 - co * m * 0.5e0')} AS y FROM bent WHERE NOT none AND two
+    UNION ALL SELECT id, pos, CAST(1 AS BIGINT) AS part, {R4.format('(x + x2) / 2e0 - si * m')} AS x, {R4.format('(y + y2) / 2e0 + co * m')} AS y FROM bent WHERE NOT none AND NOT two AND (d2 > 25 OR n < 6)""")
+def meander(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polyline.meander(frame(spark, sf_dir, "points"))
+
+
+# Layers: draw order and presets. Fixed values.
+LAYERS = "heightmap relief biomes temperature precipitation ice lakes rivers states provinces cultures religions population zones borders_state borders_province borders_culture burgs".split()
+PRESETS = {
+    "physical": "heightmap relief rivers lakes temperature precipitation ice", "heightmap_only": "heightmap relief lakes rivers", "biomes": "biomes rivers borders_state lakes",
+    "political": "states provinces burgs borders_state borders_province rivers population lakes", "cultural": "cultures states religions burgs borders_state borders_culture lakes rivers",
+    "religions": "religions states borders_state lakes rivers", "provinces": "provinces states burgs borders_state borders_province rivers population lakes",
+    "places_of_interest": "burgs states borders_state lakes rivers", "goods": "lakes rivers", "trade_animation": "burgs lakes rivers", "military": "states burgs borders_state lakes rivers",
+    "emblems": "states burgs lakes rivers", "pure_landmass": "heightmap relief lakes rivers",
+}
+
+
+@query("SELECT preset, CAST(layer_id AS BIGINT) AS layer_id, layer FROM (VALUES " + ", ".join(f"('{p}', {k + 1}, '{layer}')" for p, on in PRESETS.items() for k, layer in enumerate(LAYERS) if layer in on.split()) + ", " + ", ".join(f"('{p}', 0, 'landmass')" for p in PRESETS) + ") v(preset, layer_id, layer)")
+def active_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fill layers of each preset in drawing order; the landmass is always drawn."""
+    order = spark.createDataFrame([(k + 1, layer) for k, layer in enumerate(LAYERS)], "layer_id long, layer string")
+    on = spark.createDataFrame([(p, x) for p, v in PRESETS.items() for x in v.split()], "preset string, layer string")
+    base = on.select("preset").distinct().select("preset", F.lit(0).cast("long").alias("layer_id"), F.lit("landmass").alias("layer"))
+    return on.join(order, "layer").select("preset", "layer_id", "layer").unionByName(base)
+
+
+# Parsers over text tables.
+@query("SELECT event_id, trim(props) <> '' AS there, length(props) AS size FROM events")
+def opaque_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "events").selectExpr("event_id", "trim(props) <> '' AS there", "CAST(length(props) AS BIGINT) AS size")
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.v') AS VARCHAR), CAST(json_extract_string(props, '$.k') AS VARCHAR)) AS first_value FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.v"), F.get_json_object("props", "$.k")).alias("first_value"))
+
+
+@query("""SELECT p.page_id, part.pos - 1 AS pos, CASE WHEN coalesce(TRY_CAST(trim(part.token) AS DOUBLE), 0) < 0 THEN 0 WHEN coalesce(TRY_CAST(trim(part.token) AS DOUBLE), 0) > 255 THEN 255 ELSE CAST(floor(coalesce(TRY_CAST(trim(part.token) AS DOUBLE), 0)) AS BIGINT) END AS v
+    FROM (SELECT page_id, list_filter(string_split(concat(page_id, ',', page_id * 7 % 400, '.5,,x,-', page_id % 9, ', 12 '), ','), lambda x: x <> '') AS t FROM pages) p, LATERAL (SELECT unnest(p.t) AS token, generate_subscripts(p.t, 1) AS pos) part""")
+def csv_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat(page_id, ',', page_id * 7 % 400, '.5,,x,-', page_id % 9, ', 12 ')")
+    return frame(spark, sf_dir, "pages").select("page_id", F.posexplode(mapfile.numbers(text, "u8")).alias("pos", "v")).selectExpr("page_id", "CAST(pos AS BIGINT) AS pos", "CAST(v AS BIGINT) AS v")
+
+
+@query("""SELECT conv_id, turn, split_part(concat('1.1|', role, '|', turn, '|', length(text), '|400|300'), '|', 4) AS seed, CAST(400 AS INT) AS graph_width, CAST(0 AS BIGINT) AS map_id FROM conversations""")
+def header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir, "conversations").selectExpr("concat(conv_id, '/', turn) AS path", "array(concat('1.1|', role, '|', turn, '|', length(text), '|400|300')) AS slots")
+    found = mapfile.header(rows)
+    return found.selectExpr("CAST(split_part(path, '/', 1) AS BIGINT) AS conv_id", "CAST(split_part(path, '/', 2) AS BIGINT) AS turn", "seed", "graph_width", "CAST(map_id AS BIGINT) AS map_id")
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS slots, string_split(text, chr(10))[1] AS first_slot FROM documents")
+def slot_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = frame(spark, sf_dir, "documents").select("doc_id", mapfile.slots(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))).alias("slots"))
+    return found.select("doc_id", F.size("slots").cast("long").alias("slots"), F.col("slots")[0].alias("first_slot"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('a?b ', doc_id) WHEN doc_id % 3 = 1 THEN concat('a\\ud83d\\ude00b ', doc_id) ELSE concat('a?b ', doc_id) END AS fixed FROM documents")
+def surrogate_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.when(F.col("doc_id") % 3 == 0, "a\\ud800b ").when(F.col("doc_id") % 3 == 1, "a\\ud83d\\ude00b ").otherwise("a\\udc01b "), F.col("doc_id").cast("string"))
+    return frame(spark, sf_dir, "documents").select("doc_id", mapfile.sanitised(text).alias("fixed"))
+
+
+@query(_with(("cells",)) + "SELECT cell_id AS src, cell_id + 1 AS dst, cell_id % 13 AS route_id FROM cells WHERE cell_id % 17 = 0 UNION ALL SELECT cell_id AS src, cell_id + 100 AS dst, cell_id % 13 + 1 AS route_id FROM cells WHERE cell_id % 17 = 0")
+def route_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.expr("""concat('{"', cell_id, '":{"', cell_id + 1, '":', cell_id % 13, ',"', cell_id + 100, '":', cell_id % 13 + 1, '},"bad":{"1":2}}')""")
+    rows = frame(spark, sf_dir, "cells").where("cell_id % 17 = 0").select(F.lit("m").alias("path"), F.concat(F.array_repeat(F.lit(""), 36), F.array(body)).alias("slots"))
+    return mapfile.route_map(rows).select("src", "dst", "route_id")
+
+
+# One task per map, line or basin: no SQL form.
+def maps(spark: SparkSession, sf_dir: str, cells: int = 400) -> DataFrame:
+    """A batch of maps, one per nation."""
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("CAST(n_nationkey AS BIGINT) AS map_id", "concat('seed', n_nationkey) AS seed", "400 AS width", "300 AS height", f"{cells} AS cells")
+
+
+@query()
+def alea_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.alea_stream(maps(spark, sf_dir))
+
+
+@query()
+def jittered_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.grid_points(maps(spark, sf_dir)).where("kind = 'grid'")
+
+
+@query()
+def boundary_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.grid_points(maps(spark, sf_dir)).where("kind = 'boundary'")
+
+
+@query()
+def delaunay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.triangles(maps(spark, sf_dir))
+
+
+@query()
+def voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.voronoi(maps(spark, sf_dir))
+
+
+@query()
+def repack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.repacked(maps(spark, sf_dir))
+
+
+@query()
+def simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polyline.per_line(frame(spark, sf_dir, "points"), lambda line, _: polyline.thin_and_simplify(line, 3.0))
+
+
+@query()
+def clip_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polyline.per_line(frame(spark, sf_dir, "points"), lambda line, _: polyline.clip_ring(line, 600.0, 60.0))
+
+
+@query()
+def fractal_coast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polyline.per_line(frame(spark, sf_dir, "points"), lambda line, i: polyline.fractal_ring(line, i))
+
+
+@query()
+def relax_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polyline.per_line(frame(spark, sf_dir, "points"), lambda line, _: polyline.relax_corners(line))
+
+
+@query()
+def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each state is a map of its own."""
+    cells = frame(spark, sf_dir, "cells")
+    own = cells.select(F.col("cell_id").alias("src"), F.col("state").alias("map_id"))
+    return hydrology.fill_depressions(cells.withColumn("map_id", F.col("state")), frame(spark, sf_dir, "edges").join(own, "src"))
+
+
+@query()
+def river_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = frame(spark, sf_dir, "cells")
+    pointers = graph.down(cells, frame(spark, sf_dir, "edges"))
+    return hydrology.river_ids(cells, pointers, graph.roots(pointers))
+
+
+@query()
+def svg_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return svg.svg_lines(*(frame(spark, sf_dir, n) for n in ("cells", "edges", "burgs")))
+
+
+@query()
+def edit_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of commands, made from events, applied to the states."""
+    made = frame(spark, sf_dir, "events").selectExpr("event_id AS seq", "'state' AS entity", "event_id % 30 AS id", "CASE WHEN event_id % 2 = 0 THEN 'rename' ELSE 'recolor' END AS op", "CASE WHEN event_id % 2 = 0 THEN concat(' S', event_id, ' ') ELSE printf('#%06X', event_id) END AS value")
+    return edits.apply(frame(spark, sf_dir, "states"), made, "state")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
