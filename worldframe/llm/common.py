@@ -1,6 +1,7 @@
 """Shared helpers: lineage cuts in the cluster's shared folder and the train / held-out split."""
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -47,6 +48,17 @@ def _drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between the stages of a job."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4, is 2; such rows never train a model."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worldframe.llm.common import trim
+
 TOLERANCE = 0.2
 RECALL = 0.999
 SAMPLED = 3
@@ -245,6 +247,7 @@ def find(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, id_col
                         of, *columns = zip(*rows, strict=True)
                         arrays = [part.column(0).take(pa.array(of)), *(pa.array(x, pa.int64()) for x in columns)]
                         yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "item_id", "first_word", "n_words", "edits", "item_words"])
+            trim()
 
         found = docs.select(id_col, text_col).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -265,6 +268,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, tolerance: float = TOLE
                 text = batch.column(batch.schema.get_field_index(text_col))
                 keep = [not found for start in range(0, batch.num_rows, BATCH) for found in block.value.batch(text.slice(start, BATCH).to_pylist())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
+            trim()
 
         out = out.mapInArrow(run, out.schema)
     return out

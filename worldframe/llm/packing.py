@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import materialise
+from worldframe.llm.common import materialise, trim
 
 ROOM = 2048
 #: Buckets of a length's pieces for numbering them; the plan's tables have at most ROOM * SALT rows.
@@ -36,7 +36,7 @@ class Encoder:
         words = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         if len(self.seen) > CACHE:
             self.seen.clear()
-        new = list(set().union(*words) - self.seen.keys())
+        new = [w for w in set().union(*words) if w not in self.seen]
         for at in range(0, len(new), 2_000):
             part = new[at : at + 2_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -61,6 +61,8 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc
                 of, *columns = zip(*rows, strict=True)
                 arrays = [part.column(0).take(pa.array(of)), pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:])]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "piece", "start", "length", "ids_crc32"])
+        del encoder
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")

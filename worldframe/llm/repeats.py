@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import materialise
+from worldframe.llm.common import materialise, trim
 
 GRAM, WINDOW = 8, 43
 LEAST = GRAM + WINDOW - 1
@@ -44,8 +44,9 @@ class Words:
         seen, digest = self.seen, xxhash.xxh32_intdigest
         if len(seen) > CACHE:
             seen.clear()
-        for w in set(words) - seen.keys():
-            seen[w] = digest(w)
+        for w in words:
+            if w not in seen:
+                seen[w] = digest(w)
         return np.fromiter(map(seen.__getitem__, words), dtype=np.uint32, count=len(words))
 
 
@@ -99,6 +100,8 @@ def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     at.append(p)
                 arrays = [part.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc", "gram", "at"])
+        del words
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc {kind}, gram long, at int")
@@ -125,6 +128,8 @@ def suffixes(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> Da
                             before.append(wide[max(0, p - BEFORE) : p][::-1].tobytes())
                 arrays = [part.column(0).take(pa.array(of, pa.int64())), pa.array(at, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc", "at", "after", "before"])
+        del words
+        trim()
 
     by_doc = kept.groupBy("doc").agg(F.collect_set("at").alias("places"))
     kind = docs.schema[id_col].dataType.simpleString()

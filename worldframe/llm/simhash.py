@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import materialise, release
+from worldframe.llm.common import materialise, release, trim
 
 BITS = 64
 #: Five blocks, at most two of which can hold the differing bits: any three that agree name a bucket.
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), width) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")

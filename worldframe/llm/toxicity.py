@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import labelled_sample
+from worldframe.llm.common import labelled_sample, trim
 
 ORDER, SPAN, DECAY = 3, 6, 0.55
 #: Bounds of the training sample and of the model.
@@ -130,7 +130,7 @@ class Model:
         """Make sure that seen has the margin of each word."""
         if len(self.seen) > CACHE:
             self.seen.clear()
-        new = list(found - self.seen.keys())
+        new = [w for w in found if w not in self.seen]
         if new:
             self.seen.update(zip(new, self.margins(new), strict=True))
 
@@ -277,5 +277,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
             text = batch.column(batch.schema.get_field_index(text_col))
             p = [model.score(m) for at in range(0, batch.num_rows, 100) for m in model.texts(text.slice(at, 100).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, into])
+        model.seen.clear()
+        trim()
 
     return docs.mapInArrow(run, schema)
