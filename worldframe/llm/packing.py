@@ -19,7 +19,7 @@ from worldframe.llm.common import materialise, trim
 ROOM = 2048
 #: Buckets of a length's pieces for numbering them; the plan's tables have at most ROOM * SALT rows.
 SALT = 64
-CACHE = 120_000
+CACHE, MARK = 120_000, "\x01"
 
 
 class Encoder:
@@ -37,15 +37,26 @@ class Encoder:
         if len(self.seen) > CACHE:
             self.seen.clear()
         new = [w for w in set().union(*words) if w not in self.seen]
-        for at in range(0, len(new), 2_000):
-            part = new[at : at + 2_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(new), 500):
+            self._learn(new[at : at + 500])
         tail = np.array([end], dtype="<u4").tobytes()
         get = self.seen.__getitem__
         return [b"".join(map(get, w)) + tail for w in words]
 
 
+    def _learn(self, new: list[str]) -> None:
+        """One call for many words, parted by a control character that has an id of its own and stands in none of them."""
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(ids == mark[0])
+        if len(mark) == 1 and len(ends) == len(new) - 1 and not any(MARK in w for w in new):
+            for w, lo, hi in zip(new, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                self.seen[w] = ids[lo:hi].tobytes()
+        else:
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.seen[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, row_key of every piece; only documents longer than room are cut."""
 
