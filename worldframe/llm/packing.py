@@ -19,7 +19,7 @@ from worldframe.llm.common import materialise, trim
 ROOM = 2048
 #: Buckets of a length's pieces for numbering them; the plan's tables have at most ROOM * SALT rows.
 SALT = 64
-CACHE, MARK = 120_000, "\x01"
+CACHE, MARK = 220_000, "\x01"
 
 
 class Encoder:
@@ -29,14 +29,20 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer, self.seen, self.older = Tokenizer.from_file(path), {}, {}
 
     def encode(self, texts: list[str | None], end: int = 0) -> list[bytes]:
         """The ids of each text and the end id as little-endian unsigned 32-bit numbers."""
         words = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = [w for w in set().union(*words) if w not in self.seen]
+        if len(self.seen) > CACHE:  # the older half goes, but for words that are met again
+            self.seen, self.older = {}, self.seen
+        new = []
+        for w in set().union(*words):
+            if w not in self.seen:
+                if w in self.older:
+                    self.seen[w] = self.older[w]
+                else:
+                    new.append(w)
         for at in range(0, len(new), 500):
             self._learn(new[at : at + 500])
         tail = np.array([end], dtype="<u4").tobytes()

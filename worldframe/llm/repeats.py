@@ -233,7 +233,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id_col, start_word, end_word, n_words, other_doc: the passages of a text that another document holds too."""
     kind = docs.schema[id_col].dataType.simpleString()
     found = materialise(positions(docs, id_col, text_col))
-    shared = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so that both sides of the join are shuffled anew and a very common run can be dealt over tasks.
+    shared = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     kept = found.join(shared, "gram", "left_semi").select("doc", "at")
     rows = suffixes(docs, kept, id_col, text_col)
     order = ["after", "before", "doc", "at"]
