@@ -214,3 +214,50 @@ def test_plans_against_duckdb(spark):
         if columns != sorted(theirs.columns) or a != b:
             wrong.append(name)
     assert wrong == []
+
+
+def test_views():
+    from worldframe.functions.camera import framed
+
+    view = framed((0, 0, 400, 300), 4 / 3)
+    screen = (800.0, 600.0)
+    assert view.to_screen(200, 150, screen) == (400, 300)
+    x, y = view.to_world(123, 45, screen)
+    assert np.allclose(view.to_screen(x, y, screen), (123, 45))
+    near = view.zoomed((400, 300), screen, 4)
+    assert near.height < view.height and np.allclose(near.to_world(400, 300, screen), view.to_world(400, 300, screen))
+    assert near.panned(1e9, 0, screen).x >= -0.3 * 400
+
+
+def test_native_header():
+    from worldframe.sources.native import Header, decode
+
+    assert decode(Header(77).encode() + b"rest") == Header(77) and len(Header(1).encode()) == 16
+    for bad in (b"NOPE" + b"\0" * 12, Header(1, version=9).encode(), b"VO"):
+        with pytest.raises(ValueError, match="magic|version|short"):
+            decode(bad)
+
+
+def test_path_commands():
+    square = np.array([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])
+    smooth = polyline.path_commands(square, [0, 1, 2, 3])
+    assert [c[0] for c in smooth] == ["M", "Q", "Q", "Q", "Q", "Z"] and smooth[0][1:] == (0.0, 1.0)
+    rough = polyline.path_commands(np.array([(0.0, 0.0), (1.0, 0.1), (2.0, 0.0), (2.0, 2.0)]), [0, 2, 3])
+    assert [c[0] for c in rough] == ["M", "L", "C", "C", "L", "Q", "Z"]
+
+
+def test_palette_ends():
+    from worldframe.functions.palette import height_colours, spline
+
+    assert spline(0, [1, 2, 3]) == 1 and spline(1, [1, 2, 3]) == 3
+    assert len(height_colours()) == 101 and all(0 <= v <= 1 for row in height_colours() for v in row[1:])
+
+
+def test_outline_of_a_region(spark):
+    from worldframe.operators import isolines
+
+    cells = spark.createDataFrame([(y * 3 + x, x, y) for y in range(3) for x in range(3)], "cell_id long, cx long, cy long")
+    edges = lattice(spark, [[1] * 3] * 3)[1]
+    ring = spark.createDataFrame([(i, 0) for i in range(9) if i != 4], "cell_id long, region long")
+    got = isolines.outlines(isolines.boundary_sides(cells, edges, ring)).collect()
+    assert sorted({r["ring"] for r in got}) == [0, 1] and len(got) == 16

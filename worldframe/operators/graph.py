@@ -99,3 +99,29 @@ def contours(cells: DataFrame, columns: int = 100) -> DataFrame:
     pairs = cut_at.select("level", "cell_id", "p", F.explode(F.sequence(F.lit(0), (F.size("p") / 2).cast("int") - 1)).alias("part"))
     r = lambda c: F.expr(f"floor(({c}) * 1e4 + 5e-1) / 1e4 + 0e0")
     return pairs.select("level", "cell_id", F.col("part").cast("long").alias("part"), *(r(f"p[2 * part + {k}].{c}").alias(f"{c}{k + 1}") for k in (0, 1) for c in ("x", "y")))
+
+
+def reach(starts: DataFrame, edges: DataFrame, passable: DataFrame) -> DataFrame:
+    """label, cell_id: the cells that each label's start reaches over passable cells, frontier by frontier."""
+    found = cut(starts.select("label", "cell_id").distinct())
+    front = found
+    while not front.isEmpty():
+        step = front.join(edges.select(F.col("src").alias("cell_id"), "dst"), "cell_id").select("label", F.col("dst").alias("cell_id")).distinct()
+        front = cut(step.join(passable, "cell_id", "left_semi").select("label", "cell_id").join(found, ["label", "cell_id"], "left_anti"))
+        found = cut(found.unionByName(front))
+    return found
+
+
+def close_lakes(cells: DataFrame, edges: DataFrame, lakes: DataFrame, rise: int = 20, lake_height: int = 19) -> DataFrame:
+    """lake, closed: a lake is closed if its lowest shore does not reach other water below its height plus rise.
+
+    Cells of a lake are the water cells whose province is its id; lakes that touch the border are open.
+    """
+    water = cells.where("height < 20").select(F.col("cell_id").alias("src"), F.col("province").alias("label"))
+    shore = edges.join(water, "src").join(cells.where("height >= 20").select(F.col("cell_id").alias("dst"), "height"), "dst")
+    low = shore.groupBy("label").agg(F.min(F.struct("height", F.col("dst").alias("cell_id"))).alias("at")).select("label", F.col("at.cell_id").alias("cell_id"))
+    inner = lakes.where(~F.col("touches_border")).select(F.col("id").alias("label"))
+    found = reach(low.join(inner, "label"), edges, cells.where(F.col("height") < lake_height + rise).select("cell_id"))
+    other = cells.where("height < 20").select("cell_id", "province")
+    open_lakes = found.join(other, "cell_id").where("province <> label").select("label").distinct().withColumn("open", F.lit(True))
+    return inner.join(open_lakes, "label", "left").select(F.col("label").alias("lake"), F.col("open").isNull().alias("closed"))

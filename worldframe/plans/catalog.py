@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worldframe.operators import edits, graph, hydrology, mesh, nearest, polyline
+from worldframe.functions.palette import height_colours
+from worldframe.operators import edits, graph, hydrology, isolines, mesh, nearest, polyline
 from worldframe.plans.relational import PLANS
 from worldframe.sinks import svg
 from worldframe.sources import derived, mapfile
@@ -299,3 +300,26 @@ def edit_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.apply(frame(spark, sf_dir, "states"), made, "state")
 
 
+
+
+@query(_with(("cells",)) + "SELECT c.cell_id, p.r, p.g, p.b FROM cells c JOIN (VALUES " + ", ".join(f"({h}, {r!r}e0, {g!r}e0, {b!r}e0)" for h, r, g, b in height_colours()) + ") p(h, r, g, b) ON least(c.height, 100) = p.h")
+def height_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour ramp has 101 rows: a table that is always small enough to broadcast."""
+    ramp = spark.createDataFrame(height_colours(), "h int, r double, g double, b double")
+    return frame(spark, sf_dir, "cells").join(F.broadcast(ramp), F.least("height", F.lit(100)) == F.col("h")).select("cell_id", "r", "g", "b")
+
+
+@query(_with(("edges", "features"), True, ("""low AS (SELECT label, cell_id FROM (SELECT w.province AS label, e.dst AS cell_id, row_number() OVER (PARTITION BY w.province ORDER BY b.height, e.dst) AS k
+    FROM edges e JOIN cells w ON e.src = w.cell_id JOIN cells b ON e.dst = b.cell_id WHERE w.height < 20 AND b.height >= 20) WHERE k = 1)""",
+    "lake AS (SELECT id AS label FROM features WHERE kind = 'lake' AND NOT touches_border)",
+    "walk(label, cell_id) AS (SELECT l.label, l.cell_id FROM low l JOIN lake k ON l.label = k.label UNION SELECT w.label, e.dst FROM walk w JOIN edges e ON w.cell_id = e.src JOIN cells c ON e.dst = c.cell_id WHERE c.height < 39)"))
+    + "SELECT k.label AS lake, count(w.cell_id) = 0 AS closed FROM lake k LEFT JOIN (SELECT w.label, w.cell_id FROM walk w JOIN cells c ON w.cell_id = c.cell_id WHERE c.height < 20 AND c.province <> w.label) w ON k.label = w.label GROUP BY k.label")
+def close_lakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lakes = frame(spark, sf_dir, "features").where("kind = 'lake'")
+    return graph.close_lakes(frame(spark, sf_dir, "cells"), frame(spark, sf_dir, "edges"), lakes)
+
+
+@query()
+def isoline_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, edges = frame(spark, sf_dir, "cells"), frame(spark, sf_dir, "edges")
+    return isolines.outlines(isolines.boundary_sides(cells, edges, graph.components(cells.where("culture <> 0"), edges, "culture")))
