@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from worldframe.llm import chat, decontaminate, htmltext, linededup, packing, quality, repeats, simhash, topk, toxicity
+from worldframe.llm import chat, decontaminate, htmltext, linededup, neardup, packing, quality, repeats, simhash, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,6 +82,45 @@ def test_near_duplicates_keep_one_row(spark):
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def five_words(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(min(1, len(w)), len(w) - 4))}
+
+
+@pytest.mark.parametrize("pairs_up_to", [8, 1])
+def test_near_duplicates_of_the_pipeline_against_brute_force(spark, pairs_up_to):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijk", k=6)) for _ in range(n)]
+    texts = {0: None, 1: "", 2: " \t\n", 3: "One", 4: "one two", 5: "a b c d", 6: "A b c d"}
+    for f in range(12):
+        base = fresh(rng.choice([120, 300]))
+        for _ in range(30 if f == 0 else 4):
+            w = list(base)
+            for p in rng.sample(range(len(w)), round(len(w) * rng.choice([0.005, 0.015, 0.02, 0.03]))):
+                w[p] = "x" + str(rng.randint(0, 9999))
+            texts[len(texts)] = " ".join(w)
+    sets = {i: five_words(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in combinations(texts, 2):
+        x, y = sets[a], sets[b]
+        if x == y or 5 * len(x & y) >= 4 * len(x | y):
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(docs(spark, texts.items()), pairs_up_to=pairs_up_to).collect()}
+    assert got == {i: root(i) for i in texts}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts.items()), "").collect()}
+    assert kept == {i for i in texts if root(i) == i}
+    assert neardup.classes(docs(spark, [])).count() == 0
+
+
 # Packing
 
 

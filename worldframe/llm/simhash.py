@@ -4,7 +4,7 @@ Nulls and empty texts: no words, fingerprint zero, linked like any other. Repeat
 fingerprint and so a class. Empty tables give empty results. Other columns of the input are not read.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -131,9 +131,9 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class stays: that with the least id (of repeated rows with this id, one); rows without an id stay."""
-    found = classes(docs, id_col, text_col)
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Callable[..., DataFrame] = classes) -> DataFrame:
+    """One row of each class (of by) stays: that with the least id (of repeated rows with this id, one); rows without an id stay."""
+    found = by(docs, id_col, text_col)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     first = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
     return first.unionByName(docs.where(F.col(id_col).isNull()))
