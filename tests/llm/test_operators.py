@@ -273,6 +273,28 @@ def test_decontamination_finds_edited_items(spark):
     assert decontaminate.find(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_allows_edits_in_the_first_words(spark):
+    rng = random.Random(14)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    items = [(i, fresh(15 + i % 40)) for i in range(120)]
+    rows = []
+    for i, w in items:
+        v, most = list(w), len(w) // 5
+        for _ in range(most):  # all the edits allowed, among the first words
+            p, kind = rng.randrange(2 * most), rng.randrange(3)
+            v[p : p + (kind < 2)] = [] if kind == 1 else ["zzzzz"]
+        rows.append((i, " ".join(fresh(30) + v + fresh(30))))
+    five, lost = fresh(5), fresh(20)
+    rows += [(500, " ".join(fresh(9) + five[:2] + ["zzzzz"] + five[3:] + fresh(9))), (501, " ".join(fresh(9) + lost + fresh(9))), (502, " ".join(fresh(50)))]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(500, " ".join(five)), (None, " ".join(lost)), (None, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs(spark, rows), bench).collect()}
+    assert got == {(i, i) for i, _ in items} | {(500, 500), (501, None)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()] == [502]
+    w = np.arange(1, 11)
+    assert decontaminate.best_span(w, np.array([0, 0, 1, 0, *range(2, 11), 0])) == (1, 4, 9)
+    assert decontaminate.best_span(w, np.array([0, 0, *range(1, 5), 0, *range(5, 11)])) == (1, 2, 11)
+
+
 # Chat
 
 

@@ -5,11 +5,13 @@ document matches an item if at most TOLERANCE of the item's words must be edited
 the item's runs of three words, so a window with so few edits holds all the others (the q-gram lemma), and the
 windows that do are all that need hashing. A window and the item are embedded by the same random walks, which turns edit distance into Hamming distance; a few sampled positions of each walk
 form a key, and the number of walks is chosen so that items with the most edits allowed still meet with the
-target recall. Windows that share a key are verified by exact edit distance.
+target recall, from the places where windows are put: edits among an item's first words move these. If no number of walks
+reaches it, all windows are verified. A window is verified by exact edit distance, widened by the edits allowed on both
+sides, with a free start and a free end.
 
 Items are taken in blocks of ITEM_BLOCK, each checked against all documents without a shuffle. Items and
-documents without words, null or empty, match nothing. Repeated rows each get their matches. Items of under
-MIN_WORDS words must occur word for word. Empty tables give empty results.
+documents without words, null or empty, match nothing. Items without an id take part and match with a null item_id.
+Repeated rows each get their matches. Items of under MIN_WORDS words must occur word for word. Empty tables give empty results.
 """
 
 from collections import Counter
@@ -59,6 +61,18 @@ def best_end(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def best_span(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """Least distance of the item to a run of the window, that run's start and length (the first to end, the shortest)."""
+    row = np.zeros(len(window) + 1, dtype=np.int64)
+    steps = np.arange(len(window) + 1)
+    for i, x in enumerate(item, 1):
+        low = np.minimum(row[1:] + 1, row[:-1] + (window != x))
+        row = np.minimum.accumulate(np.concatenate([[i], low]) - steps) + steps
+    end = int(row.argmin())
+    size = best_end(item[::-1], window[:end][::-1])[1]
+    return int(row[end]), end - size, size
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -84,7 +98,7 @@ def cgk(rows: np.ndarray, length: np.ndarray, walk: np.ndarray, steps: int) -> n
 class Items:
     """A block of items: words, trigrams with their places, walks and keys."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], tolerance: float = TOLERANCE, recall: float = RECALL, seed: int = 11):
+    def __init__(self, rows: list[tuple[int | None, str | None]], tolerance: float = TOLERANCE, recall: float = RECALL, seed: int = 11):
         found = [(i, t) for i, x in rows if (t := tokens(x))]
         self.ids = [i for i, _ in found]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, t in found for w in t}))}
@@ -98,8 +112,12 @@ class Items:
             for p in range(max(1, len(w) - self.seed_length + 1)):
                 grams.setdefault(self.gram(w[p : p + 3]), []).append((k, p))
         self.grams = grams
-        self.gram_keys = np.array(sorted(grams), dtype=np.int64)
         self.short = {len(w) for w in self.words if len(w) < 3}
+        for k, w in enumerate(self.words):
+            if self.most[k] == 1 and len(w) == MIN_WORDS:  # one edit can spoil all runs of three, but not the last three words and the first two
+                grams.setdefault(self.gram(w[:2]), []).append((k, 0))
+                self.short.add(2)
+        self.gram_keys = np.array(sorted(grams), dtype=np.int64)
         self.steps = 3 * self.longest
         self.rng = np.random.default_rng(seed)
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
@@ -128,19 +146,29 @@ class Items:
         return np.take_along_axis(e, (self.share[walk] * (2 * size[:, None])).astype(np.int64), axis=1)
 
     def _walks(self, recall: float) -> int:
-        """Walks so that items under the most random edits allowed share a key with the item at the recall asked for."""
+        """Walks so that items under the most random edits allowed share a key with the item at the recall asked for; 0 if none do."""
         if not self.words:
             return 1
         some = self.rng.permutation(len(self.words))[:200]
         edited = [self._edit(self.words[i], self.most[i]) for i in some]
-        edited = [np.append(e, [0] * len(self.words[i]))[: len(self.words[i])] for e, i in zip(edited, some, strict=True)]
+        edited = [self._window(e, i) for e, i in zip(edited, some, strict=True)]
         trial = 64
         walk = np.tile(np.arange(trial), len(some))
         item = np.repeat(some, trial)
         own = self.keys([self.words[i] for i in item], item, walk)
         met = (own == self.keys([e for e in edited for _ in range(trial)], item, walk)).all(axis=1).reshape(len(some), trial)
         rate = met.mean(axis=1)
-        return next((n for n in WALKS if (1 - (1 - rate) ** n).mean() >= recall), WALKS[-1])
+        return next((n for n in WALKS if (1 - (1 - rate) ** n).mean() >= recall), 0)
+
+    def _window(self, edited: np.ndarray, i: int) -> np.ndarray:
+        """The window over an edited item that starts where most of its word runs put it."""
+        w, most = self.words[i], self.most[i]
+        at: dict[tuple, list[int]] = {}
+        for o in range(len(w) - 2):
+            at.setdefault(tuple(w[o : o + 3]), []).append(o)
+        starts = Counter(p - o for p in range(len(edited) - 2) for o in at.get(tuple(edited[p : p + 3]), []) if abs(p - o) <= most)
+        s = most + (starts.most_common(1)[0][0] if starts else 0)
+        return np.concatenate([[0] * most, edited, [0] * (len(w) + most)]).astype(np.int64)[s : s + len(w)]
 
     def _edit(self, w: np.ndarray, n: int) -> np.ndarray:
         w = list(w)
@@ -155,11 +183,11 @@ class Items:
                 w.insert(p, 0)
         return np.array(w, dtype=np.int64)
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item, first word, words, edits) of the best match of each item in a whole text."""
+    def matches(self, text: str | None) -> list[tuple[int | None, int, int, int, int]]:
+        """(item, first word, words, edits, words of the item) of the best match of each item in a whole text."""
         return self.batch([text])[0]
 
-    def batch(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+    def batch(self, texts: list[str | None]) -> list[list[tuple[int | None, int, int, int, int]]]:
         get = self.vocabulary.get
         docs, seeds = [], []
         for d, text in enumerate(texts):
@@ -174,7 +202,7 @@ class Items:
                     part = padded[:-2] * self.base * self.base + (padded[1:-1] * self.base if n == 2 else 0)
                     self._seek(part, np.flatnonzero(padded[:-2] > 0), d, seeds)
                 self._seek(code, full, d, seeds)
-        out: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
+        out: list[dict[int, tuple[int | None, int, int, int, int]]] = [{} for _ in texts]
         if not seeds:
             return [[] for _ in texts]
         windows = self._kept(seeds)
@@ -208,8 +236,8 @@ class Items:
     def _verify(self, windows: list, docs: list, out: list) -> None:
         item = np.array([k for _, k, _ in windows])
         rows = [docs[d][s : s + len(self.words[k])] for d, k, s in windows]
-        met = np.zeros(len(windows), dtype=bool)
-        for lo, hi in ((0, 4), (4, self.walks)):
+        met = np.full(len(windows), self.walks == 0)
+        for lo, hi in ((0, 4), (4, self.walks)) if self.walks else ():
             rest = np.flatnonzero(~met)
             for at in range(0, len(rest), 512):
                 some = rest[at : at + 512]
@@ -219,9 +247,21 @@ class Items:
         for i in np.flatnonzero(met):
             d, k, s = windows[i]
             n, most = len(self.words[k]), self.most[k]
-            edits, size = best_end(self.words[k], docs[d][s : s + n + most])
-            if edits <= most and (k not in out[d] or (edits, s) < (out[d][k][3], out[d][k][1])):
-                out[d][k] = (self.ids[k], s, size, edits)
+            begin = max(0, s - most)
+            edits, start, size = best_span(self.words[k], docs[d][begin : s + n + most])
+            start += begin
+            if edits <= most and (k not in out[d] or (edits, start) < (out[d][k][3], out[d][k][1])):
+                out[d][k] = (self.ids[k], start, size, edits, n)
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
+    """Items in blocks by id, those without an id last."""
+    ids = [r[0] for r in items.where("item_id IS NOT NULL").select("item_id").distinct().orderBy("item_id").collect()]
+    blocks = [F.col("item_id").between(ids[at], ids[min(at + ITEM_BLOCK, len(ids)) - 1]) for at in range(0, len(ids), ITEM_BLOCK)]
+    for one in (*blocks, F.col("item_id").isNull()):
+        rows = items.where(one).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
+        if rows:
+            yield [(r[0], r[1]) for r in rows]
 
 
 def find(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,20 +269,16 @@ def find(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, id_col
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id long, first_word long, n_words long, edits long, item_words long"
-    ids = [r[0] for r in items.where("item_id IS NOT NULL").select("item_id").distinct().orderBy("item_id").collect()]
     out = None
-    for at in range(0, len(ids), ITEM_BLOCK):
-        lo, hi = ids[at], ids[min(at + ITEM_BLOCK, len(ids)) - 1]
-        rows = items.where(F.col("item_id").between(lo, hi)).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
-        block = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], tolerance))
+    for rows in _blocks(items):
+        block = spark.sparkContext.broadcast(Items(rows, tolerance))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             known = block.value
-            size = {i: len(w) for i, w in zip(known.ids, known.words, strict=True)}
             for batch in batches:
                 for start in range(0, batch.num_rows, BATCH):
                     part = batch.slice(start, BATCH)
-                    rows = [(i, *m, size[m[0]]) for i, found in enumerate(known.batch(part.column(1).to_pylist())) for m in found]
+                    rows = [(i, *m) for i, found in enumerate(known.batch(part.column(1).to_pylist())) for m in found]
                     if rows:
                         of, *columns = zip(*rows, strict=True)
                         arrays = [part.column(0).take(pa.array(of)), *(pa.array(x, pa.int64()) for x in columns)]
@@ -256,12 +292,9 @@ def find(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, id_col
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, text_col: str = "text") -> DataFrame:
     """The rows whose text matches no item; all columns are kept. One pass, no shuffle."""
-    ids = [r[0] for r in items.where("item_id IS NOT NULL").select("item_id").distinct().orderBy("item_id").collect()]
     out = docs
-    for at in range(0, len(ids), ITEM_BLOCK):
-        lo, hi = ids[at], ids[min(at + ITEM_BLOCK, len(ids)) - 1]
-        rows = items.where(F.col("item_id").between(lo, hi)).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
-        block = docs.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], tolerance))
+    for rows in _blocks(items):
+        block = docs.sparkSession.sparkContext.broadcast(Items(rows, tolerance))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
