@@ -365,6 +365,22 @@ def test_html_text(html, text):
     assert htmltext.Page(html).main_text(frozenset()) == text
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<article class='post category-privacy'><p>a</p></article>", "a"),
+        ("<div class='layout has-sidebar'><article><p>a</p></article><div class='site-footer'>f</div></div>", "a"),
+        ("<div class='content header-less'><p>a</p></div><div class='ad'>b</div>", "a"),
+        ("<main class='post tag-social'><p>a</p><div class='share-buttons'>s</div></main>", "a"),
+        ("<p>x</p><div class='sidebar'><article><p>a</p></article></div>", "a"),
+        ("<article><p>a</p></article><div class='sidebar'><article>other</article></div>", "a"),
+        ("<div>story</div><section id='comments'><article class='comment'><p>me</p></article></section>", "story"),
+    ],
+)
+def test_html_names_do_not_lose_articles(body, text):
+    assert htmltext.Page(page(body)).main_text(frozenset()) == text
+
+
 def test_style_tree_drops_what_a_host_repeats(spark):
     rows = [(i, "http://H.example/p", f"<div><span class=x></span><div class='top'>Same words on each page</div><div class='story'>Story {i} of many</div></div>") for i in range(20)]
     rows += [(50, None, "<p>x</p>"), (51, "nonsense", None), (52, "http://other.example", "<div class='top'>Same words on each page</div>")]

@@ -38,11 +38,18 @@ NOISE = frozenset("nav footer aside form dialog menu button head search".split()
 WHOLE = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|banners?|promos?|promotion|sponsor(?:ed)?|cookies?|consent|gdpr|privacy|notices?|"
+    r"(?:ads?|adverts?|advertisement|advertising|adbox|banners?|promos?|promotion|sponsor(?:ed)?|cookies?|consent|gdpr|privacy|notices?|"
     r"popup|modal|overlay|newsletter|subscribe|sidebar|sidebars|widgets?|menu|menus|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
     r"comments?|commentlist|disqus|replies|reply|respond|discussion|share|sharing|social|related|recommended|recommendations|toolbar|pagination|"
-    r"pager|login|signup|skip|copyright|alert|tags)(?:$|[\s_-])"
+    r"pager|login|signup|skip|copyright|alert|tags)"
 )
+#: Pieces that may stand beside a noise word in a class or id; with any other piece (has-sidebar, category-privacy) it names something else.
+BESIDE = frozenset(
+    "site page main top bottom left right primary secondary global upper lower inner outer box bar block list item items section area container wrapper wrap "
+    "panel slot unit link links button buttons icons form content text message post posts article articles entry body the js id thread title".split()
+)
+#: Names of what holds articles of its own that are not the page's.
+THREAD = re.compile(r"comments?|commentlist|disqus|replies|reply|respond|discussion|related|recommended|recommendations")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
@@ -59,21 +66,34 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
+def _noise_words(attributes: dict[str, str]) -> list[str]:
+    """The noise words of the classes and ids that consist of noise words and pieces that may stand beside them."""
+    out = []
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        pieces = [x for x in re.split(r"[_-]+", token) if x]
+        noise = [x for x in pieces if NOISE_NAME.fullmatch(x)]
+        if noise and all(x in BESIDE or x.isdigit() or x in noise for x in pieces):
+            out += noise
+    return out
+
+
 def _importance(tag: str, attributes: dict[str, str], inside: bool) -> int:
-    """0: the element and what it holds is noise; 1: it starts the main text; -1: open."""
+    """0: the element and what it holds is noise; 2: noise by its name, but an article in it may be the page's; 1: it starts the main text; -1: open."""
     if tag in NOISE or (tag == "header" and not inside):
         return 0
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return 0
     if attributes.get("role", "").lower() in NOISE_ROLE:
         return 0
-    if tag not in WHOLE and any(NOISE_NAME.search(attributes.get(a, "").lower()) for a in ("class", "id")):
+    starts = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
+    named = _noise_words(attributes) if tag not in WHOLE else []
+    if named and any(map(THREAD.fullmatch, named)):
         return 0
-    return 1 if tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") else -1
+    return 1 if starts else 2 if named else -1
 
 
 class Page:
-    """blocks: (branch, importance of its presentation, text) in page order."""
+    """blocks: (branch, importance of its presentation, text) in page order. 3: of an article in what is noise by its name only."""
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, int, str]] = []
@@ -135,8 +155,10 @@ class Page:
             self._end_implied(tag)
         attributes = _attributes(rest)
         _, path, above = self.stack[-1]
-        own = 0 if above == 0 else _importance(tag, attributes, above == 1)
-        if own == 0 and above != 0:
+        own = 0 if above == 0 else _importance(tag, attributes, above in (1, 3))
+        if above in (2, 3):
+            own = {1: 3, -1: above}.get(own, own)
+        if own in (0, 2) and above != own:
             self._flush()
         if tag in BLOCK:
             path = f"{path}>{tag}" + "".join("." + c for c in attributes.get("class", "").lower().split())
@@ -159,7 +181,7 @@ class Page:
         for k in range(len(self.stack) - 1, 0, -1):
             name, _, value = self.stack[k]
             if name == tag:
-                if value == 0 and self.stack[k - 1][2] != 0:
+                if value in (0, 2) and self.stack[k - 1][2] != value:
                     self._flush()
                 del self.stack[k:]
                 return
@@ -168,8 +190,9 @@ class Page:
 
     def main_text(self, low: frozenset[str]) -> str:
         """The kept blocks, one to a line. low: branches of this page's host whose entropy is low."""
-        if any(value == 1 for _, value, _ in self.blocks):
-            return "\n".join(text for _, value, text in self.blocks if value == 1)
+        for article in (1, 3):
+            if any(value == article for _, value, _ in self.blocks):
+                return "\n".join(text for _, value, text in self.blocks if value == article)
         return "\n".join(text for path, value, text in self.blocks if value == -1 and path not in low)
 
 
