@@ -133,6 +133,7 @@ def test_packing_is_gapless_and_tight(spark, tmp_path):
     rng = random.Random(2)
     texts = [(i, " ".join(words(rng, rng.choice([1, 20, 300, 900])))) for i in range(120)]
     texts += [(200, None), (201, ""), (202, "<|endoftext|> it's 3 o'clock now"), (203, "word " * 5000), (204, "word " * 5000), (205, "ÉÀ  ß\tx")]
+    texts += [(206, "a\u00a0b\x1cc \x01 x\u0301 \u0301y\u2003z\x85 \x0b"), (207, "x" * 60_000 + " " + "é" * 9000), (208, "\x01"), (209, " \n ")]
     got = packing.pack(docs(spark, texts), tokenizer_path()).collect()
     t = Tokenizer.from_file(tokenizer_path())
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -158,6 +159,36 @@ def test_packing_is_gapless_and_tight(spark, tmp_path):
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_packing_of_repeated_rows_and_odd_columns(spark):
+    pytest.importorskip("public_tokenizers")
+    from worldframe.llm.queries import tokenizer_path
+
+    rows = [(None, "a b c", 1, 2)] * 40 + [(7, "a b c", 3, 4)] * 5 + [(8, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece long, salt long").withColumn("row", F.lit("x")).withColumn("rank", F.lit(1))
+    got = packing.pack(df, tokenizer_path()).collect()
+    assert len(got) == 46 and len({(r["sequence_id"], r["offset"]) for r in got}) == 46
+    assert sorted(r["length"] for r in got) == [1] + [4] * 45
+
+
+def test_encoder_forgets_and_parts(spark, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from worldframe.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(packing, "CACHE", 10)
+    monkeypatch.setattr(packing, "PART_BYTES", 200)
+    encoder, rng = packing.Encoder(tokenizer_path()), random.Random(31)
+    texts = pa.array([" ".join("".join(rng.choices("abcdé", k=4)) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None])
+    parts = list(packing._parts(texts))
+    assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()] and sum(n for _, n in parts) == 61
+    for lo, n in parts:
+        ids, bounds = encoder.encode(texts.slice(lo, n))
+        for i in range(n):
+            want = encoder.tokenizer.encode(texts[lo + i].as_py() or "", add_special_tokens=False).ids
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*want, 0]
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(3)
     for _ in range(20):

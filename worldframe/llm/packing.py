@@ -1,7 +1,8 @@
 """Pattern packing: tokenise, cut into pieces, fit pattern counts by non-negative least squares, pack.
 
-Null and empty texts hold the end id alone. Repeated rows are packed as rows of their own. An empty
-table gives an empty result. Other columns of the input are not read.
+Null and empty texts hold the end id alone. Texts of any length are encoded whole and cut into pieces. Repeated rows, those
+with a null id too, are packed as rows of their own. Ties (pieces of one length) are dealt in any order. An empty
+table gives an empty result. Extra columns of the input are not read, whatever their names.
 """
 
 import os
@@ -11,78 +12,125 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worldframe.llm.common import materialise, trim
 
 ROOM = 2048
-#: Buckets of a length's pieces for numbering them; the plan's tables have at most ROOM * SALT rows.
-SALT = 64
-CACHE, MARK = 220_000, "\x01"
+#: Buckets of a length's pieces for numbering them: SALT, and one more for each PARTS_PER_SALT tasks that wrote them.
+SALT, PARTS_PER_SALT = 64, 64
+#: Bytes of text encoded at once, and words known at most from one such part to the next.
+PART_BYTES, CACHE = 8 << 20, 600_000
+MARK = "\x01"
 
 
 class Encoder:
-    """ids of whole texts, by words: no id spans white space in the vocabulary this is used with, so words are cached."""
+    """ids of whole texts, by distinct words: no id spans ASCII white space in the vocabulary this is used with.
+
+    Splitting, finding the distinct words and looking them up are Arrow kernels; only words not yet known reach the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen, self.older = Tokenizer.from_file(path), {}, {}
-
-    def encode(self, texts: list[str | None], end: int = 0) -> list[bytes]:
-        """The ids of each text and the end id as little-endian unsigned 32-bit numbers."""
-        words = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(self.seen) > CACHE:  # the older half goes, but for words that are met again
-            self.seen, self.older = {}, self.seen
-        new = []
-        for w in set().union(*words):
-            if w not in self.seen:
-                if w in self.older:
-                    self.seen[w] = self.older[w]
-                else:
-                    new.append(w)
-        for at in range(0, len(new), 500):
-            self._learn(new[at : at + 500])
-        tail = np.array([end], dtype="<u4").tobytes()
-        get = self.seen.__getitem__
-        return [b"".join(map(get, w)) + tail for w in words]
-
-
-    def _learn(self, new: list[str]) -> None:
-        """One call for many words, parted by a control character that has an id of its own and stands in none of them."""
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(new), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(ids == mark[0])
-        if len(mark) == 1 and len(ends) == len(new) - 1 and not any(MARK in w for w in new):
-            for w, lo, hi in zip(new, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
-                self.seen[w] = ids[lo:hi].tobytes()
-        else:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.seen[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self._ids(MARK)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.bound = pa.array([], pa.large_string()), np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, new: pa.Array) -> None:
+        """Many words in one call, parted by a control character that has an id of its own and stands in none of them."""
+        words = new.to_pylist()
+        ids, sizes = [self.ids], []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            found = self._ids(f" {MARK} ".join(some))
+            ends = np.flatnonzero(found == self.mark[0])
+            if len(self.mark) == 1 and len(ends) == len(some) - 1 and not any(MARK in w for w in some):
+                sizes.append(np.diff([-1, *ends.tolist(), len(found)]) - 1)
+                ids.append(np.delete(found, ends))
+            else:
+                single = [self._ids(w) for w in some]
+                sizes.append(np.array([len(x) for x in single]))
+                ids += single
+        self.words, self.ids = pa.concat_arrays([self.words, new]), np.concatenate(ids)
+        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+
+    def encode(self, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by the end id, as little-endian unsigned 32-bit numbers; and the texts' bounds there."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        if len(self.words) > CACHE:
+            self._forget()
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        fresh = pc.is_null(known)
+        before = len(self.words)
+        self._learn(coded.dictionary.filter(fresh))
+        number = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = fresh.to_numpy(zero_copy_only=False)
+        number[new] = before + np.arange(int(new.sum()))
+        start, size = self.bound[number], np.diff(self.bound)[number]
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(size[word])])
+        splits = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        bounds = total[splits] + np.arange(len(splits))
+        out = np.full(int(bounds[-1]), end, dtype="<u4")
+        # A text's number of end ids before a word is the text's own number.
+        shift = np.repeat(np.arange(len(texts)), np.diff(splits))
+        for lo in range(0, len(word), 500_000):
+            w = word[lo : lo + 500_000]
+            n = size[w]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(total[lo : lo + len(w)] + shift[lo : lo + len(w)], n) + inside] = self.ids[np.repeat(start[w], n) + inside]
+        return out, bounds
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive parts of about PART_BYTES; a longer text is a part of its own."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield at, upto - at
+        at = upto
 
 
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, row_key of every piece; only documents longer than room are cut."""
+    """id_col, piece, start, length, ids_crc32 of every piece, and row: the piece's place in its task's output. Only documents longer than room are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
+        count = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                rows = []
-                for i, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    n = len(ids) // 4
-                    rows += [(i, k, s, min(room, n - s), zlib.crc32(ids[4 * s : 4 * (s + room)])) for k, s in enumerate(range(0, n, room))]
-                of, *columns = zip(*rows, strict=True)
-                arrays = [part.column(0).take(pa.array(of)), pa.array(columns[0], pa.int32()), *(pa.array(x, pa.int64()) for x in columns[1:])]
-                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "piece", "start", "length", "ids_crc32"])
+            for lo, n in _parts(batch.column(1)):
+                part = batch.slice(lo, n)
+                ids, bounds = encoder.encode(part.column(1))
+                total = np.diff(bounds)
+                cut = -(-total // room)
+                of = np.repeat(np.arange(n), cut)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(cut) - cut, cut)
+                start = piece * room
+                length = np.minimum(room, total[of] - start)
+                first = bounds[of] + start
+                data = memoryview(ids.tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                arrays = [part.column(0).take(pa.array(of)), pa.array(piece.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (start, length, crc, count + np.arange(len(of))))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "piece", "start", "length", "ids_crc32", "row"])
+                count += len(of)
         del encoder
         trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def patterns(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -170,18 +218,18 @@ def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, .
 
 
 def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces with sequence_id and offset. The driver sees the histogram (room counts at most) only.
+    """The pieces with sequence_id and offset. The driver sees the histogram (room counts at most) and the plan made of it only.
 
-    Pieces of one length are numbered inside SALT buckets plus the buckets' running totals, so that a length
-    that a third of all pieces share is dealt over many tasks.
+    Pieces of one length are numbered inside buckets plus the buckets' running totals, so that a length that a
+    third of all pieces share is dealt over many tasks; a piece's bucket comes from its place in the written table, so
+    equal rows part too.
     """
-    cut = materialise(pieces(docs, tokenizer, room, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALT))))
-    counts = cut.groupBy("length", "salt").count().collect()  # at most room * SALT rows
-    total: Counter = Counter()
-    before = {}
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        before[r["length"], r["salt"]] = total[r["length"]]
-        total[r["length"]] += r["count"]
+    written = materialise(pieces(docs, tokenizer, room, id_col, text_col))
+    salts = max(SALT, -(-written.rdd.getNumPartitions() // PARTS_PER_SALT))
+    cut = written.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    counts = materialise(cut.groupBy("length", "salt").count())
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    before = counts.selectExpr("length", "salt", "sum(count) OVER (PARTITION BY length ORDER BY salt) - count AS earlier")
     begin: Counter = Counter()
     slots, sequence = [], 0
     for parts, n in plan(total, room):
@@ -193,19 +241,17 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_i
         sequence += n
     slots.sort()
     length, first, base, place = (np.array(x, dtype=np.int64) for x in (zip(*slots, strict=True) if slots else ((),) * 4))
-    start = np.zeros((room + 1, SALT), dtype=np.int64)
-    for (k, s), n in before.items():
-        start[k, s] = n
     key = (length << 44) + first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, salt, number = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "salt", "number"))
-            rank = start[k, salt] + number - 1
+            k, rank = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "rank"))
             at = np.searchsorted(key, (k << 44) + rank, "right") - 1
             kept = [batch.column(x) for x in (id_col, "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(base[at] + rank - first[at]), pa.array(place[at])], names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    numbered = cut.selectExpr("*", f"row_number() OVER (PARTITION BY length, salt ORDER BY `{id_col}`, piece) AS number")
+    numbered = cut.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY row) AS number")
+    ranked = numbered.join(before, ["length", "salt"]).withColumn("rank", F.col("earlier") + F.col("number") - 1)
     kind = docs.schema[id_col].dataType.simpleString()
-    return numbered.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = ranked.select(id_col, "piece", "start", "length", "ids_crc32", "rank")
+    return columns.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
