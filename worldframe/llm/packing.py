@@ -22,15 +22,17 @@ from worldframe.llm.common import materialise, trim
 ROOM = 2048
 #: Buckets of a length's pieces for numbering them: SALT, and one more for each PARTS_PER_SALT tasks that wrote them.
 SALT, PARTS_PER_SALT = 64, 64
-#: Bytes of text encoded at once, and words known at most from one such part to the next.
+#: Bytes of text encoded at once, and the number of known stems from which on they are forgotten.
 PART_BYTES, CACHE = 8 << 20, 600_000
 MARK = "\x01"
 
 
 class Encoder:
-    """ids of whole texts, by distinct words: no id spans ASCII white space in the vocabulary this is used with.
+    """ids of whole texts, by distinct stems: no id spans ASCII white space in the vocabulary this is used with.
 
-    Splitting, finding the distinct words and looking them up are Arrow kernels; only words not yet known reach the tokenizer.
+    Splitting, finding the distinct words and stems and looking them up are Arrow kernels; only stems not yet known reach the
+    tokenizer. A stem is a word, or where probes show that the tokenizer folds A-Z and parts letters from stops, the
+    folded word without its last stops, and these.
     """
 
     def __init__(self, path: str):
@@ -39,59 +41,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(MARK)
+        self.folds = self._ids("AbZ9.,;:!?").tolist() == self._ids("abz9 .,;:!?").tolist()
+        self.plain = all(self._ids(w).tolist() == self._model(w) for w in ("abcdefghijklm", "nopqrstuvwxyz", "the"))
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.ids, self.bound = pa.array([], pa.large_string()), np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        self.stems, self.ids, self.bound = pa.array([], pa.large_string()), np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, new: pa.Array) -> None:
-        """Many words in one call, parted by a control character that has an id of its own and stands in none of them."""
-        words = new.to_pylist()
-        ids, sizes = [self.ids], []
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            found = self._ids(f" {MARK} ".join(some))
+    def _model(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _joined(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """ids and numbers of ids of words, many in one text, parted by a control character that has an id of its own and stands in none of them."""
+        lots = [words[at : at + 100] for at in range(0, len(words), 100)]
+        ids, sizes = [], []
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([f" {MARK} ".join(x) for x in lots], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, dtype="<u4")
             ends = np.flatnonzero(found == self.mark[0])
-            if len(self.mark) == 1 and len(ends) == len(some) - 1 and not any(MARK in w for w in some):
-                sizes.append(np.diff([-1, *ends.tolist(), len(found)]) - 1)
+            if len(self.mark) == 1 and len(ends) == len(lot) - 1 and not any(MARK in w for w in lot):
                 ids.append(np.delete(found, ends))
+                sizes.append(np.diff([-1, *ends.tolist(), len(found)]) - 1)
             else:
-                single = [self._ids(w) for w in some]
-                sizes.append(np.array([len(x) for x in single]))
+                single = [self._ids(w) for w in lot]
                 ids += single
-        self.words, self.ids = pa.concat_arrays([self.words, new]), np.concatenate(ids)
-        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+                sizes.append(np.array([len(x) for x in single]))
+        return ids, sizes
+
+    def _learn(self, new: pa.Array) -> None:
+        letters = pc.match_substring_regex(new, "^[a-z]+$")
+        plain, other = (new.filter(letters), new.filter(pc.invert(letters))) if self.plain else (new.slice(0, 0), new)
+        own = [self._model(w) for w in plain.to_pylist()]  # such a word is one pre-token and normalised as it is
+        ids, sizes = self._joined(other.to_pylist())
+        flat = np.fromiter((i for x in own for i in x), dtype="<u4")
+        size = np.concatenate([np.array([len(x) for x in own], dtype=np.int64), *sizes])
+        self.stems, self.ids = pa.concat_arrays([self.stems, plain, other]), np.concatenate([self.ids, flat, *ids])
+        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(size)])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row, and each word's bounds there."""
+        if self.folds:
+            words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))  # special tokens are not folded
+            words = pc.replace_substring_regex(words, "([a-z0-9À-ÖØ-öø-ɏ])([.,;:!?]+)$", "\\1 \\2")
+        parts = pc.ascii_split_whitespace(words)
+        coded = parts.flatten().dictionary_encode()
+        if len(self.stems) > CACHE:
+            self._forget()
+        self._learn(coded.dictionary.filter(pc.is_null(pc.index_in(coded.dictionary, value_set=self.stems))))
+        stem = pc.index_in(coded.dictionary, value_set=self.stems).to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
+        ids, bound = _gathered(self.ids, self.bound, stem)
+        return ids, bound[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
 
     def encode(self, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id, as little-endian unsigned 32-bit numbers; and the texts' bounds there."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = lists.flatten().dictionary_encode()
-        if len(self.words) > CACHE:
-            self._forget()
-        known = pc.index_in(coded.dictionary, value_set=self.words)
-        fresh = pc.is_null(known)
-        before = len(self.words)
-        self._learn(coded.dictionary.filter(fresh))
-        number = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = fresh.to_numpy(zero_copy_only=False)
-        number[new] = before + np.arange(int(new.sum()))
-        start, size = self.bound[number], np.diff(self.bound)[number]
+        known, bound = self._words(coded.dictionary)
         word = coded.indices.to_numpy(zero_copy_only=False)
-        total = np.concatenate([[0], np.cumsum(size[word])])
         splits = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        bounds = total[splits] + np.arange(len(splits))
-        out = np.full(int(bounds[-1]), end, dtype="<u4")
-        # A text's number of end ids before a word is the text's own number.
-        shift = np.repeat(np.arange(len(texts)), np.diff(splits))
-        for lo in range(0, len(word), 500_000):
-            w = word[lo : lo + 500_000]
-            n = size[w]
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(total[lo : lo + len(w)] + shift[lo : lo + len(w)], n) + inside] = self.ids[np.repeat(start[w], n) + inside]
-        return out, bounds
+        # The end id is one more word, put in at each text's end.
+        known, bound = np.append(known, np.array(end, dtype="<u4")), np.append(bound, bound[-1] + 1)
+        ids, total = _gathered(known, bound, np.insert(word, splits[1:], len(bound) - 2))
+        return ids, total[splits + np.arange(len(splits))]
+
+
+def _gathered(ids: np.ndarray, bound: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ids[bound[i]:bound[i + 1]] of i in at one after another, and their bounds."""
+    size = np.diff(bound)[at]
+    total = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(total[-1]), dtype=ids.dtype)
+    for lo in range(0, len(at), 500_000):
+        n = size[lo : lo + 500_000]
+        first = total[lo : lo + len(n)]
+        out[first[0] : total[lo + len(n)]] = ids[np.repeat(bound[at[lo : lo + len(n)]] - first, n) + np.arange(first[0], total[lo + len(n)])]
+    return out, total
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
