@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -238,7 +239,6 @@ def test_toxicity_needs_both_labels(spark):
 
 def test_line_dedup_drops_recurring_templates_only(spark):
     rng = random.Random(5)
-    unique = lambda: " ".join(words(rng, 12)) + f" {rng.random()}x"
     fresh = lambda i: " ".join("w" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(12))
     rows, own = [], {}
     for i in range(40):
@@ -258,7 +258,113 @@ def test_line_dedup_drops_recurring_templates_only(spark):
         assert got[i]["n_chars"] == (len(got[i]["text"]) if i % 4 < 2 else len(rows[i][1]))
     assert all(got[100 + k]["text"] == copy for k in range(30))
     assert (got[200]["text"], got[201]["text"], got[202]["text"]) == (None, "", "\n\n")
-    assert unique and linededup.drop_recurring_lines(docs(spark, [])).count() == 0
+    assert linededup.drop_recurring_lines(docs(spark, [])).count() == 0
+
+
+def line_keys(line):
+    """The exact template of a line, and its generalised ones by tree and leaf, in plain Python."""
+    t = [re.sub(r"^[^0-9]*[0-9].*", "<*>", w) for w in line.split(" ") if w]
+    n = len(t)
+    step = max(0, -(-(n - 3) // 4))
+    m = [tuple(t[2 + step * i : min(2 + step * (i + 1), n - 1)]) for i in range(4)]
+    trees = {}
+    vary = 2 if n >= 8 else 1
+    if n >= 4:
+        trees["lead", n, t[0], t[1]] = [m[0], m[1], m[2], (m[3], t[-1])]
+    if n > 4:
+        trees["bound", n, t[0], t[-1]] = [(t[1], m[0]), m[1], m[2], m[3]]
+    return tuple(t), {leaf: [(leaf, tuple((i, f[i]) for i in c)) for c in combinations(range(4), 4 - vary)] for leaf, f in trees.items()}
+
+
+def slow_line_dedup(texts):
+    texts = {t for t in texts if t is not None}
+    lines = {t: {i: x.strip(" \t\r") for i, x in enumerate(t.split("\n")) if x.strip(" \t\r")} for t in texts}
+    leaf = defaultdict(list)
+    for t in texts:
+        for x in lines[t].values():
+            exact, trees = line_keys(x)
+            for k in trees:
+                leaf[k].append(exact)
+    keys = {t: {i: {e} | {g for k, gs in trees.items() if len(leaf[k]) >= 5 and len(set(leaf[k])) > 1 for g in gs} for i, x in ls.items() for e, trees in [line_keys(x)]} for t, ls in lines.items()}
+    holds = defaultdict(set)
+    for t in texts:
+        for ks in keys[t].values():
+            for k in ks:
+                holds[k].add(t)
+    weight = {}
+    for t in texts:
+        total = sum(map(len, lines[t].values()))
+        by = sorted((max(len(holds[k]) for k in keys[t][i]), len(x)) for i, x in lines[t].items())
+        own, seen, median = sum(n for f, n in by if f == 1), 0, 1
+        for f, n in by:
+            if 2 * seen >= total:
+                break
+            seen, median = seen + n, f
+        weight[t] = (total, own, median)
+    n = defaultdict(float)
+    for k, ts in holds.items():
+        for t in ts:
+            total, own, median = weight[t]
+            taken = sum(len(lines[t][i]) for i, ks in keys[t].items() if k in ks)
+            n[k] += 1 if 2 * own >= total - taken else 1 / median
+    return {t: {i for i, ks in keys[t].items() if any(len(holds[k]) > 1 and n[k] >= 5 - 1e-6 for k in ks)} for t in texts}
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(15)
+    fresh = lambda n: ["".join(rng.choices("abcdef", k=5)) for _ in range(n)]
+    shared = [fresh(n) for n in (1, 2, 3, 4, 5, 7, 9, 12, 12, 20)]
+    texts = [None, "", " \n\t"]
+    for _ in range(150):
+        lines = [fresh(rng.randint(1, 20)) for _ in range(rng.randint(1, 6))]
+        for _ in range(rng.randint(0, 3)):
+            w = list(rng.choice(shared))
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice([fresh(1)[0], "x7"])
+            lines.insert(rng.randint(0, len(lines)), w)
+        texts.append("\n".join(rng.choice(["", " "]) + " ".join(x) for x in lines))
+    for size in (30, 8, 3):  # groups of near copies
+        base = [fresh(12) for _ in range(8)]
+        for _ in range(size):
+            lines = [list(x) for x in base]
+            for _ in range(3):
+                lines[rng.randrange(8)][rng.randrange(12)] = fresh(1)[0]
+            texts.append("\n".join(" ".join(x) for x in lines))
+    texts += texts[5:9] * 3 + ["word " * 30_000 + "\n" + "\n".join(" ".join(fresh(4)) for _ in range(3000))]
+    want = slow_line_dedup(texts)
+    got = linededup.drop_recurring_lines(docs(spark, list(enumerate(texts)))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r["doc_id"]]
+        assert r["text"] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[t]))
+    assert sum(len(x) for x in want.values()) > 100
+    copies = texts[153:183]
+    assert len({len(t.split("\n")) for t in copies}) == 1 and not any(want[t] for t in copies)
+
+
+def test_line_dedup_loses_no_template_to_a_hash(spark):
+    rng = random.Random(16)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    every = [fresh(10) for _ in range(12)]  # twelve lines that all documents hold: one of them has the least hash of all, whatever the hash
+    rows = [(i, "\n".join([fresh(60), *every[:1], fresh(60), *every[1:], fresh(60), *(fresh(30) for _ in range(4))])) for i in range(300)]
+    rows += [(1000 + i, f"User {fresh(1)} logged in from the garden") for i in range(40)]
+    rows += [(2000 + i, f"{fresh(1)}\nThe one line at the end of each short note") for i in range(20)]
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert all(not set(got[i].split("\n")) & set(every) and len(got[i].split("\n")) == 7 for i in range(300))
+    assert all(got[1000 + i] == "" for i in range(40))
+    assert all("\n" not in got[2000 + i] and got[2000 + i] for i in range(20))
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    rows = [(i, " ".join(chr(97 + i) * k for k in range(2, 9)) + "\nThe same line", 1, 2, 3, 4, 5) for i in range(8)] + [(None, None, None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key int, __drop int, __Lines int, n_lines int, n_chars int")
+    got = linededup.drop_recurring_lines(df, counts=True)
+    assert got.columns == [*df.columns, "n_dropped"]
+    for r in got.collect():
+        if r["doc_id"] is None:
+            assert (r["text"], r["n_lines"], r["n_dropped"]) == (None, 0, 0)
+        else:
+            assert (r["__key"], r["__drop"], r["__Lines"], r["n_lines"], r["n_dropped"]) == (1, 2, 3, 2, 1) and r["n_chars"] == len(r["text"])
 
 
 # Decontamination

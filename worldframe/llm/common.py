@@ -48,6 +48,16 @@ def _drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that are no column of df (names differ by case too)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"__{name}" in taken:
+            name += "_"
+        out.append(f"__{name}")
+    return out
+
+
 def trim() -> None:
     """Give freed memory back to the system: Python workers live on between the stages of a job."""
     import ctypes

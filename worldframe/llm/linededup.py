@@ -1,67 +1,113 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line falls down a tree of fixed depth: its number of tokens, its LEADING tokens, then the rest in four
-fields. Tokens with a digit are variable anywhere (`<*>`). From EIGHT tokens on, the line also stands for
-four generalised templates, each with one of the four fields as a variable. A template recurs if it
-occurs in MIN_DOCS documents or more that are no copies of each other. Documents are told apart by the least
-hash of their lines' leading tokens, which exact copies and most near copies share; so that the few near copies
-that changed there do not add up, the documents so told apart must also be SPREAD of the different texts with the
-template. Lines of a recurring template are dropped from all documents.
-
-Blank lines are kept and never counted. Null texts stay null, empty texts empty; a document all of whose
-lines recur becomes an empty text. Repeated rows (same id and text) count once and lose the same lines. Rows
-without an id take part. An empty table gives an empty result. All columns are kept, with n_chars set anew if there.
+A line falls down trees of fixed depth: its number of tokens, then its first and second token in one tree, its first and last
+in the other. Tokens with a digit are variable anywhere (`<*>`). What is left of the line is cut into FIELDS fields. In a leaf
+that holds different lines, a line also stands for generalised templates: of SHORT tokens or more one of the fields may be a
+variable, of LONG or more two of them, so that about half of a line's tokens at least are its template's own.
+
+A template recurs if it occurs in MIN_DOCS texts or more that are no copies of each other. Copies are known by what else they
+share: a text counts in full for a template if at least half of the characters of its other lines stand in no other
+text (by any template), and otherwise as one part in the number of texts that hold its median line (lines by their characters, each
+with the texts of its commonest template). A group of near copies thus adds up to about one text, whatever its size, and no
+hash decides. Lines of a recurring template are dropped from all documents.
+
+Blank lines are kept and never counted. Null texts stay null, empty texts empty; a document all of whose lines recur becomes an
+empty text. Texts of any length are read whole. Ties have no meaning: every line of a recurring template goes. Repeated rows (same
+id and text) and other exact copies count once and lose the same lines. Rows without an id take part, each with the lines of its
+own text. An empty table gives an empty result. All columns are kept, whatever their names, with n_chars set anew if there.
 """
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import materialise
+from worldframe.llm.common import materialise, release, unused
 
-LEADING, EIGHT, FIELDS, MIN_DOCS, SPREAD = 2, 8, 4, 5, 0.1
+FIELDS, SHORT, LONG, MIN_DOCS = 4, 4, 8, 5
 _VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
-def templates(lines: DataFrame, line: str = "line") -> DataFrame:
-    """lines and keys: the hashes of the exact and the generalised templates of each line."""
-    cut = lines.withColumn("__t", F.split(F.regexp_replace(line, _VARIABLE, "<*>"), " +"))
-    sized = cut.withColumns({"__n": F.size("__t"), "__leaf": F.xxhash64(F.size("__t"), F.slice("__t", 1, LEADING))})
-    step = F.greatest(F.ceil((F.col("__n") - LEADING) / FIELDS).cast("int"), F.lit(0))
-    hashed = sized.withColumns({f"__f{i}": F.xxhash64(F.slice("__t", F.lit(LEADING + 1) + step * i, step)) for i in range(FIELDS)})
-    exact = F.xxhash64("__leaf", *(f"__f{i}" for i in range(FIELDS)))
-    general = [F.xxhash64("__leaf", F.lit(i), *(f"__f{j}" for j in range(FIELDS) if j != i)) for i in range(FIELDS)]
-    return hashed.select(*lines.columns, F.when(F.col("__n") >= EIGHT, F.array(exact, *general)).otherwise(F.array(exact)).alias("keys"))
+def _lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """copy (a hash of the text), total (characters of its lines), pos, size, exact, two leaves and the field hashes of every line that is not blank."""
+    clean = F.transform(F.split(text_col, "\n", -1), lambda x: F.trim(F.translate(x, "\t\r", "  ")))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("copy"), clean.alias("lines"))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    each = rows.select("copy", total.alias("total"), F.posexplode("lines").alias("pos", "line")).where("line <> ''")
+    cut = each.select("copy", "total", "pos", F.length("line").alias("size"), F.split(F.regexp_replace("line", _VARIABLE, "<*>"), " +").alias("t")).withColumn("n", F.size("t"))
+    step = F.greatest(F.ceil((F.col("n") - 3) / FIELDS).cast("int"), F.lit(0))
+    field = [F.xxhash64(F.slice("t", F.lit(3) + step * i, F.greatest(F.least(step, F.col("n") - 3 - step * i), F.lit(0)))) for i in range(FIELDS)]
+    ends = {"t1": F.get("t", F.lit(0)), "t2": F.get("t", F.lit(1)), "tn": F.get("t", F.col("n") - 1)}
+    hashed = cut.withColumns({**ends, **{f"m{i}": f for i, f in enumerate(field)}})
+    return hashed.select(
+        "copy", "total", "pos", "size", "n",
+        F.xxhash64("n", "t1", "t2", *(f"m{i}" for i in range(FIELDS)), "tn").alias("exact"),
+        F.when(F.col("n") >= SHORT, F.xxhash64("n", "t1", "t2")).alias("lead"),
+        F.when(F.col("n") > SHORT, F.xxhash64(F.lit(0), "n", "t1", "tn")).alias("bound"),
+        F.xxhash64("t2", "m0").alias("first"), F.xxhash64("m3", "tn").alias("last"), *(f"m{i}" for i in range(FIELDS)),
+    )
+
 
+def _general(leaf: str, fields: list[str]) -> Column:
+    """Keys of a line's generalised templates in one tree: all choices of one varying field, or of two."""
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row key, copy key, sketch of the document, position and template keys of every line that is not blank."""
-    clean = F.transform(F.split(text_col, "\n", -1), lambda x: F.trim(F.translate(x, "\t\r", "  ")))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.xxhash64(text_col).alias("copy"), clean.alias("lines"))
-    begin = F.transform("lines", lambda x: F.when(x != "", F.xxhash64(F.substring_index(x, " ", LEADING))))
-    each = rows.select("id", "row", "copy", F.array_min(begin).alias("sketch"), F.posexplode("lines").alias("pos", "line")).where("line <> ''")
-    return templates(each).drop("line")
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, row, drop: the positions of each document's recurring lines, for documents that have any."""
-    lines = materialise(_lines(docs, id_col, text_col))
-    seen = lines.select(F.explode("keys").alias("key"), "sketch", "copy").distinct()
-    apart = seen.groupBy("key", "sketch").agg(F.count("*").alias("texts")).groupBy("key").agg(F.count("*").alias("n"), F.sum("texts").alias("texts"))
-    recurring = apart.where((F.col("n") >= min_docs) & (F.col("n") >= SPREAD * F.col("texts"))).select("key")
-    hits = lines.select("id", "row", "pos", F.explode("keys").alias("key")).join(materialise(recurring), "key", "left_semi")
-    return hits.groupBy("id", "row").agg(F.collect_set("pos").alias("drop"))
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """docs with the recurring lines taken out of text_col; with counts also n_lines and n_dropped."""
-    gone = recurring_lines(docs, min_docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("drop").alias("__drop"))
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
-    joined = keyed.join(gone, (F.col("__key") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(kept)
-    out = joined.withColumns({text_col: text, "__n": F.size(F.split(text_col, "\n", -1))})
+    def keys(vary: int) -> Column:
+        kept = combinations(range(len(fields)), len(fields) - vary)
+        return F.array(*[F.xxhash64(leaf, F.lit(vary), *(x for i in c for x in (F.lit(i), fields[i]))) for c in kept])
+
+    return F.when(F.col("n") >= LONG, keys(2)).otherwise(keys(1))
+
+
+def _keys(lines: DataFrame) -> DataFrame:
+    """copy, total, pos, size, keys: a line's exact template, and the generalised ones in leaves that hold MIN_DOCS lines, not all the same."""
+    fallen = lines.select(F.explode(F.array("lead", "bound")).alias("leaf"), "exact").where("leaf IS NOT NULL")
+    mixed = fallen.groupBy("leaf").agg(F.count("*").alias("n"), F.min("exact").alias("lo"), F.max("exact").alias("hi")).where((F.col("n") >= MIN_DOCS) & (F.col("lo") != F.col("hi")))
+    leaves = materialise(mixed.select("leaf"))
+    at = lines
+    for name in ("lead", "bound"):
+        at = at.join(leaves.select(F.col("leaf").alias(name), F.lit(True).alias(f"{name}_mixed")), name, "left")
+    none = F.array().cast("array<long>")
+    lead = F.when(F.col("lead_mixed"), _general("lead", ["m0", "m1", "m2", "last"])).otherwise(none)
+    bound = F.when(F.col("bound_mixed"), _general("bound", ["first", "m1", "m2", "m3"])).otherwise(none)
+    return at.select("copy", "total", "pos", "size", F.concat(F.array("exact"), lead, bound).alias("keys"))
+
+
+def _weights(shared: DataFrame) -> DataFrame:
+    """copy, total, own (characters in no other text), median (texts that hold its median line) of each text with shared lines."""
+    line = shared.groupBy("copy", "pos").agg(F.max("texts").alias("texts"), F.max("size").alias("size"), F.max("total").alias("total"))
+    text = line.groupBy("copy").agg(F.max("total").alias("total"), F.sum("size").alias("held"), F.sort_array(F.collect_list(F.struct("texts", "size"))).alias("lines"))
+    own = F.col("total") - F.col("held")
+    start = F.struct(own.alias("seen"), F.lit(1).cast("long").alias("median"))
+    found = F.aggregate("lines", start, lambda a, x: F.when(2 * a["seen"] >= F.col("total"), a).otherwise(F.struct((a["seen"] + x["size"]).alias("seen"), x["texts"].alias("median"))))
+    return text.select("copy", "total", own.alias("own"), found["median"].alias("median"))
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text") -> DataFrame:
+    """copy, drop: the positions of recurring lines by the hash of the text, for texts that have any."""
+    lines = materialise(_lines(docs, text_col))
+    keyed = _keys(lines).select("copy", "total", "pos", "size", F.explode("keys").alias("key"))
+    held = materialise(keyed.distinct())
+    common = held.select("key", "copy").distinct().groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    # Written, so that a very common template can be dealt over tasks.
+    shared = materialise(held.join(materialise(common), "key"))
+    release(held)
+    of_text = shared.groupBy("key", "copy").agg(F.sum("size").alias("taken")).join(_weights(shared), "copy")
+    part = F.when(2 * F.col("own") >= F.col("total") - F.col("taken"), 1.0).otherwise(1.0 / F.col("median"))
+    recurring = of_text.groupBy("key").agg(F.sum(part).alias("n")).where(F.col("n") >= min_docs - 1e-6).select("key")
+    return materialise(shared.join(materialise(recurring), "key", "left_semi").groupBy("copy").agg(F.collect_set("pos").alias("drop")))
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", counts: bool = False) -> DataFrame:
+    """docs with the recurring lines taken out of text_col; with counts also n_lines and n_dropped, in place of columns of these names."""
+    key, drop, lines = unused(docs, "key", "drop", "lines")
+    gone = recurring_lines(docs.select(text_col), min_docs, text_col).select(F.col("copy").alias(key), F.col("drop").alias(drop))
+    joined = docs.withColumn(key, F.xxhash64(text_col)).join(gone, key, "left").withColumn(lines, F.split(text_col, "\n", -1))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(kept)
+    new = {text_col: text}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(kind)))
-    extra = [F.coalesce("__n", F.lit(0)).alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).alias("n_dropped")] if counts else []
-    return out.select(*docs.columns, *extra)
+        new["n_chars"] = F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    if counts:
+        new |= {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_dropped": F.coalesce(F.size(drop), F.lit(0))}
+    columns = [new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns]
+    return joined.select(*columns, *(v.alias(k) for k, v in new.items() if k not in docs.columns))
