@@ -273,7 +273,7 @@ def line_keys(line):
         trees["lead", n, t[0], t[1]] = [m[0], m[1], m[2], (m[3], t[-1])]
     if n > 4:
         trees["bound", n, t[0], t[-1]] = [(t[1], m[0]), m[1], m[2], m[3]]
-    return tuple(t), {leaf: [(leaf, tuple((i, f[i]) for i in c)) for c in combinations(range(4), 4 - vary)] for leaf, f in trees.items()}
+    return " ".join(t), {leaf: [(leaf, tuple((i, f[i]) for i in c)) for c in combinations(range(4), 4 - vary)] for leaf, f in trees.items()}
 
 
 def slow_line_dedup(texts):

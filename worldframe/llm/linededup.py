@@ -29,23 +29,30 @@ _VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """copy (a hash of the text), total (characters of its lines), pos, size, exact, two leaves and the field hashes of every line that is not blank."""
-    clean = F.transform(F.split(text_col, "\n", -1), lambda x: F.trim(F.translate(x, "\t\r", "  ")))
+    """copy (a hash of the text), total (characters of its lines), pos, size, exact, two leaves, masked line and number of tokens of every line that is not blank."""
+    clean = F.transform(F.split(text_col, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("copy"), clean.alias("lines"))
-    total = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    each = rows.select("copy", total.alias("total"), F.posexplode("lines").alias("pos", "line")).where("line <> ''")
-    cut = each.select("copy", "total", "pos", F.length("line").alias("size"), F.split(F.regexp_replace("line", _VARIABLE, "<*>"), " +").alias("t")).withColumn("n", F.size("t"))
+    summed = rows.select("copy", "lines", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("total"))
+    # The outer form: for the inner one a filter on the array is inferred, which would be made again for it.
+    each = summed.select("copy", "total", F.posexplode_outer("lines").alias("pos", "line")).where("line <> ''").withColumn("size", F.length("line"))
+    wide = F.contains("line", F.lit("  ")) | F.contains("line", F.lit("\t")) | F.contains("line", F.lit("\r"))
+    spaced = each.withColumn("line", F.when(wide, F.regexp_replace("line", "[ \t\r]+", " ")).otherwise(F.col("line")))
+    masked = spaced.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _VARIABLE, "<*>")).otherwise(F.col("line")))
+    sized = masked.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
+    return sized.select(
+        "copy", "total", "pos", "size", "n", "line", F.xxhash64("line").alias("exact"),
+        F.when(F.col("n") >= SHORT, F.xxhash64("n", F.substring_index("line", " ", 2))).alias("lead"),
+        F.when(F.col("n") > SHORT, F.xxhash64(F.lit(0), "n", F.substring_index("line", " ", 1), F.substring_index("line", " ", -1))).alias("bound"),
+    )
+
+
+def _fields(lines: DataFrame) -> DataFrame:
+    """lines with the field hashes m0 to m3, first (the second token and m0) and last (m3 and the last token) of those in a mixed leaf."""
+    cut = lines.withColumn("t", F.when(F.col("lead_mixed") | F.col("bound_mixed"), F.split("line", " ")))
     step = F.greatest(F.ceil((F.col("n") - 3) / FIELDS).cast("int"), F.lit(0))
     field = [F.xxhash64(F.slice("t", F.lit(3) + step * i, F.greatest(F.least(step, F.col("n") - 3 - step * i), F.lit(0)))) for i in range(FIELDS)]
-    ends = {"t1": F.get("t", F.lit(0)), "t2": F.get("t", F.lit(1)), "tn": F.get("t", F.col("n") - 1)}
-    hashed = cut.withColumns({**ends, **{f"m{i}": f for i, f in enumerate(field)}})
-    return hashed.select(
-        "copy", "total", "pos", "size", "n",
-        F.xxhash64("n", "t1", "t2", *(f"m{i}" for i in range(FIELDS)), "tn").alias("exact"),
-        F.when(F.col("n") >= SHORT, F.xxhash64("n", "t1", "t2")).alias("lead"),
-        F.when(F.col("n") > SHORT, F.xxhash64(F.lit(0), "n", "t1", "tn")).alias("bound"),
-        F.xxhash64("t2", "m0").alias("first"), F.xxhash64("m3", "tn").alias("last"), *(f"m{i}" for i in range(FIELDS)),
-    )
+    hashed = cut.withColumns({f"m{i}": f for i, f in enumerate(field)})
+    return hashed.withColumns({"first": F.xxhash64(F.get("t", F.lit(1)), "m0"), "last": F.xxhash64("m3", F.get("t", F.col("n") - 1))})
 
 
 def _general(leaf: str, fields: list[str]) -> Column:
@@ -65,8 +72,8 @@ def _keys(lines: DataFrame) -> DataFrame:
     leaves = materialise(mixed.select("leaf"))
     at = lines
     for name in ("lead", "bound"):
-        at = at.join(leaves.select(F.col("leaf").alias(name), F.lit(True).alias(f"{name}_mixed")), name, "left")
-    none = F.array().cast("array<long>")
+        at = at.join(leaves.select(F.col("leaf").alias(name), F.lit(True).alias("is_mixed")), name, "left").withColumn(f"{name}_mixed", F.coalesce("is_mixed", F.lit(False))).drop("is_mixed")
+    at, none = _fields(at), F.array().cast("array<long>")
     lead = F.when(F.col("lead_mixed"), _general("lead", ["m0", "m1", "m2", "last"])).otherwise(none)
     bound = F.when(F.col("bound_mixed"), _general("bound", ["first", "m1", "m2", "m3"])).otherwise(none)
     return at.select("copy", "total", "pos", "size", F.concat(F.array("exact"), lead, bound).alias("keys"))
@@ -85,8 +92,9 @@ def _weights(shared: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text") -> DataFrame:
     """copy, drop: the positions of recurring lines by the hash of the text, for texts that have any."""
     lines = materialise(_lines(docs, text_col))
-    keyed = _keys(lines).select("copy", "total", "pos", "size", F.explode("keys").alias("key"))
+    keyed = _keys(lines).select("copy", "total", "pos", "size", F.explode_outer("keys").alias("key"))
     held = materialise(keyed.distinct())
+    release(lines)
     common = held.select("key", "copy").distinct().groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
     # Written, so that a very common template can be dealt over tasks.
     shared = materialise(held.join(materialise(common), "key"))
@@ -101,7 +109,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: st
     """docs with the recurring lines taken out of text_col; with counts also n_lines and n_dropped, in place of columns of these names."""
     key, drop, lines = unused(docs, "key", "drop", "lines")
     gone = recurring_lines(docs.select(text_col), min_docs, text_col).select(F.col("copy").alias(key), F.col("drop").alias(drop))
-    joined = docs.withColumn(key, F.xxhash64(text_col)).join(gone, key, "left").withColumn(lines, F.split(text_col, "\n", -1))
+    joined = docs.withColumn(key, F.xxhash64(text_col)).join(gone.hint("merge"), key, "left").withColumn(lines, F.split(text_col, "\n", -1))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
     text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(kept)
     new = {text_col: text}
