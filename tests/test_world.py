@@ -216,17 +216,23 @@ def test_plans_against_duckdb(spark):
     assert wrong == []
 
 
-def test_views():
-    from worldframe.functions.camera import framed
-
-    view = framed((0, 0, 400, 300), 4 / 3)
-    screen = (800.0, 600.0)
-    assert view.to_screen(200, 150, screen) == (400, 300)
-    x, y = view.to_world(123, 45, screen)
-    assert np.allclose(view.to_screen(x, y, screen), (123, 45))
-    near = view.zoomed((400, 300), screen, 4)
-    assert near.height < view.height and np.allclose(near.to_world(400, 300, screen), view.to_world(400, 300, screen))
-    assert near.panned(1e9, 0, screen).x >= -0.3 * 400
+def test_views(spark):
+    from worldframe.functions import views
+
+    boxes = spark.createDataFrame([(0.0, 0.0, 400.0, 300.0, 4 / 3), (5.0, 0.0, 5.0, 1.0, 1.0), (0.0, 0.0, float("inf"), 1.0, 1.0)], "x0 double, y0 double, x1 double, y1 double, aspect double")
+    view = views.framed(boxes)
+    assert [(r["x1"], r["y1"]) for r in view.collect()] == [(400, 300), (1000, 1000), (1000, 1000)]
+    first = view.where("x1 = 400").selectExpr("*", "200e0 AS wx", "150e0 AS wy", "800e0 AS sw", "600e0 AS sh")
+    r = views.on_screen(first).first()
+    assert (r["sx"], r["sy"]) == (400, 300)
+    there = views.in_world(views.on_screen(first.selectExpr("* EXCEPT (wx, wy)", "123e0 AS wx", "45e0 AS wy"))).first()
+    assert np.allclose((there["wx"], there["wy"]), (123, 45))
+    aimed = first.selectExpr("*", "400e0 AS sx", "300e0 AS sy", "4e0 AS factor", "1e9 AS dx", "0e0 AS dy")
+    near = views.in_world(views.zoomed(aimed)).first()
+    assert near["tall"] < first.first()["tall"] and np.allclose((near["wx"], near["wy"]), (200, 150))
+    assert views.panned(views.zoomed(aimed)).first()["cx"] >= -0.3 * 400
+    flat = first.selectExpr("* EXCEPT (sw)", "0e0 AS sw")
+    assert (views.on_screen(flat).first()["sx"], views.in_world(views.on_screen(flat)).first()["wx"]) == (0, 200)
 
 
 def test_native_header():
@@ -238,12 +244,23 @@ def test_native_header():
             decode(bad)
 
 
-def test_path_commands():
-    square = np.array([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])
-    smooth = polyline.path_commands(square, [0, 1, 2, 3])
-    assert [c[0] for c in smooth] == ["M", "Q", "Q", "Q", "Q", "Z"] and smooth[0][1:] == (0.0, 1.0)
-    rough = polyline.path_commands(np.array([(0.0, 0.0), (1.0, 0.1), (2.0, 0.0), (2.0, 2.0)]), [0, 2, 3])
-    assert [c[0] for c in rough] == ["M", "L", "C", "C", "L", "Q", "Z"]
+def test_path_commands(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    rough = [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0), (2.0, 2.0)]
+    rows = [(1, i, *p, True) for i, p in enumerate(square)] + [(2, i, *p, i != 1) for i, p in enumerate(rough)] + [(3, 0, 1.0, 1.0, True)]
+    got = polyline.path_commands(spark.createDataFrame(rows, "id long, pos long, x double, y double, corner boolean")).orderBy("id", "pos", "step").collect()
+    by = {i: [(r["command"], tuple(r["args"])) for r in got if r["id"] == i] for i in (1, 2)}
+    assert by[1] == [("M", (0, 1)), ("Q", (0, 0, 1, 0)), ("Q", (2, 0, 2, 1)), ("Q", (2, 2, 1, 2)), ("Q", (0, 2, 0, 1)), ("Z", ())]
+    assert [c for c, _ in by[2]] == ["M", "L", "C", "C", "L", "Q", "Z"]
+    assert by[2][2][1] == (0 + (1 - 2) / 8, (0.1 - 2) / 8, 1 - (2 - 0) / 8, 0.1 - 0.0, 1, 0.1)
+
+
+def test_fractal_ring_draws_in_line_order():
+    ring = np.array([(0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0)])
+    whole, edged = polyline.fractal_ring(ring, 5), polyline.fractal_ring(ring, 5, size=(1e9, 1e9))
+    assert [p.tolist() for p in ring] == [p for p in whole.tolist() if p in ring.tolist()] and len(whole) <= 4 * 16
+    assert not any(0 < y < 40 and x == 0 for x, y in whole) and any(np.array_equal(p, (0, 40)) for p in edged)
+    assert len(edged) <= len(whole) and polyline.fractal_ring(ring[:2], 5).tolist() == ring[:2].tolist()
 
 
 def test_palette_ends():
