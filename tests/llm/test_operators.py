@@ -698,6 +698,53 @@ def test_repeated_spans_are_found(spark):
     assert repeats.repeated_spans(docs(spark, [])).count() == 0
 
 
+def slow_spans(texts):
+    """Union of the runs of LEAST words that another document holds, for each (id, text)."""
+    rows = sorted({(i, t) for i, t in texts if t}, key=str)
+    least = repeats.LEAST
+    split = {r: r[1].split() for r in rows}
+    holders = defaultdict(set)
+    for r, w in split.items():
+        for i in range(len(w) - least + 1):
+            holders[tuple(w[i : i + least])].add(r)
+    out = set()
+    for r, w in split.items():
+        starts = [i for i in range(len(w) - least + 1) if len(holders[tuple(w[i : i + least])]) > 1]
+        spans = []
+        for i in starts:
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = i + least
+            else:
+                spans.append([i, i + least])
+        out |= {(r[0], a, b) for a, b in spans}
+    return out
+
+
+@pytest.mark.parametrize("few", [16, 2])
+def test_repeated_spans_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(repeats, "FEW", few)
+    rng = random.Random(17 + few)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijk", k=6)) for _ in range(n)]
+    texts = []
+    for _ in range(60):  # triples: the second shares some words with the first, the third the last of these and more
+        n, m = rng.randint(44, 70), rng.randint(8, 45)
+        x = fresh(n + 60)
+        texts += [fresh(20) + x, fresh(rng.randint(0, 60)) + x[:n] + fresh(30), fresh(25) + x[n - m : n + 40] + fresh(9)]
+    for _ in range(6):  # passages that end, or begin, in lines which many documents hold
+        line, held = fresh(rng.randint(8, 30)), fresh(rng.randint(22, 45))
+        for _ in range(3):
+            texts += [fresh(15) + held + line + fresh(30), fresh(15) + line + held + fresh(30)]
+        texts += [fresh(rng.randint(20, 60)) + line + fresh(60) for _ in range(25)]
+    ends = [fresh(14) for _ in range(4)]
+    texts += [fresh(70) + sum(ends, []) for _ in range(20)] + [fresh(50) + ends[0] + fresh(3) + ends[1] for _ in range(20)]
+    copy = fresh(140)
+    texts += [list(copy) for _ in range(20)] + [copy[:60] + fresh(9) + copy[70:] for _ in range(10)] + [fresh(30_000) + copy[40:100]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rows += rows[:3] + [(5, rows[100][1]), (None, rows[7][1]), (None, rows[7][1]), (None, " ".join(fresh(80))), (900, None), (901, ""), (902, " \n")]
+    got = [(r["doc_id"], r["start_word"], r["end_word"]) for r in repeats.repeated_spans(docs(spark, rows).withColumn("row", F.lit(1)).withColumn("gram", F.lit(2)).repartition(5)).collect()]
+    assert sorted(got, key=str) == sorted(slow_spans(rows), key=str)
+
+
 def test_copies_are_covered_whole(spark):
     rng = random.Random(12)
     text = " ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(300))

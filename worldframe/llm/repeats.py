@@ -3,16 +3,20 @@
 A text is a sequence of words between ASCII white space, compared by 32-bit hashes (the first words of a match
 by a 64-bit hash of their own). Of every WINDOW consecutive runs of GRAM words the one of least hash is selected,
 so two texts that share LEAST = GRAM + WINDOW - 1 words share a selected position there. Suffixes whose first
-run occurs once are dropped by counting; the rest carry the words before and after their position, are sorted
-over all tasks by what follows, then by what precedes (reversed), and each is compared with its nearest
-neighbours of other documents: the common prefix extends the match to the right, the common words before it to
-the left. Neighbours in sort order have the longest prefix in common, and among equal prefixes the longest
-common left part. Matches of consecutive positions are merged; spans of LEAST words or more are returned.
+run occurs once are dropped by counting; the rest carry the words before and after their position and are sorted
+by what follows, then by what precedes (reversed). Two suffixes match if the common words after and before their positions
+are LEAST together or more; the words a suffix has in common with any match are a span. Spans of consecutive positions are
+merged, so a passage is reported as far as other documents, one or several, hold LEAST words of it at every place.
+
+No match is lost. Suffixes of a run that occurs FEW times or less meet all the others of their run. Those of a commoner run
+are compared with their nearest neighbours in sort order over all tasks; where that leaves open whether a farther one
+reaches more to the left, the runs of LEAST words around the positions are counted by hash: one that two documents hold is a span.
 
 Ties of equal suffixes are dealt by document and position, so that a passage which a third of all documents hold
-spreads over tasks; only the first and last rows of each task are compared in one place. Null and empty texts and
-those of fewer words have no span. Repeated rows (same id) are one document: a text does not repeat itself. Rows without
-an id take part as one document without an id. An empty table gives an empty result. Other columns are not read.
+spreads over tasks; only the outermost rows of each task are compared in one place. Null and empty texts and those of
+fewer words have no span; texts of any length are read whole. A document is a row: repeated rows (same id and text) are one,
+and a text does not repeat itself; rows of one id and different texts, and rows without an id, are documents of their own. An empty
+table gives an empty result. Extra columns are not read, whatever their names.
 """
 
 from collections.abc import Iterator
@@ -24,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import materialise, trim
+from worldframe.llm.common import materialise, release, trim
 
 GRAM, WINDOW = 8, 43
 LEAST = GRAM + WINDOW - 1
 #: Words that a suffix carries after and before its position; matches run on from one selected position to the next.
 AFTER, BEFORE = LEAST, WINDOW
+#: Suffixes of a run that occurs so often or less all meet.
+FEW = 16
 CACHE = 150_000
 
 
@@ -83,8 +89,13 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(h == highest)
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, row (a hash of id and text: the document) and text."""
+    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+
+
 def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, gram, at: the selected positions of every text."""
+    """row, gram, at: the selected positions of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -99,42 +110,42 @@ def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     gram.append(h[p])
                     at.append(p)
                 arrays = [part.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "gram", "at"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "gram", "at"])
         del words
         trim()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc {kind}, gram long, at int")
+    return _rows(docs, id_col, text_col).select("row", "text").mapInArrow(run, "row long, gram long, at int")
 
 
 def suffixes(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, at, after, before: the words (four bytes each) after the kept positions and, reversed, before them."""
+    """doc, row, gram, common, at, after, before: the words (four bytes each) after the kept positions and, reversed, before them. kept: row, gram, at, common."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                of, at, after, before = [], [], [], []
-                for i, (text, places) in enumerate(zip(part.column(1), part.column(2), strict=True)):
-                    ids = words.ids(text.as_py())
-                    wide = ids.astype(">u4")
-                    for p in sorted(set(places.as_py())):
-                        # Places of another row with this id may lie beyond this text's end.
-                        if p + GRAM <= len(ids):
-                            of.append(i)
-                            at.append(p)
-                            after.append(wide[p : p + AFTER].tobytes())
-                            before.append(wide[max(0, p - BEFORE) : p][::-1].tobytes())
-                arrays = [part.column(0).take(pa.array(of, pa.int64())), pa.array(at, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "at", "after", "before"])
+                of, gram, common, at, after, before = [], [], [], [], [], []
+                for i, (text, places) in enumerate(zip(part.column(2), part.column(3), strict=True)):
+                    wide = words.ids(text.as_py()).astype(">u4")
+                    for place in places.as_py():
+                        p = place["at"]
+                        of.append(i)
+                        gram.append(place["gram"])
+                        common.append(place["common"])
+                        at.append(p)
+                        after.append(wide[p : p + AFTER].tobytes())
+                        before.append(wide[max(0, p - BEFORE) : p][::-1].tobytes())
+                index = pa.array(of, pa.int64())
+                arrays = [part.column(0).take(index), part.column(1).take(index), pa.array(gram, pa.int64()), pa.array(common, pa.bool_()), pa.array(at, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "row", "gram", "common", "at", "after", "before"])
         del words
         trim()
 
-    by_doc = kept.groupBy("doc").agg(F.collect_set("at").alias("places"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return texts.join(by_doc, texts["doc"].eqNullSafe(by_doc["doc"])).select(texts["doc"], "text", "places").mapInArrow(run, f"doc {kind}, at int, after binary, before binary")
+    by_row = kept.groupBy("row").agg(F.collect_set(F.struct("at", "gram", "common")).alias("places"))
+    texts = _rows(docs, id_col, text_col).join(by_row, "row").select("doc", "row", "text", "places")
+    return texts.mapInArrow(run, f"doc {kind}, row long, gram long, common boolean, at int, after binary, before binary")
 
 
 def _table(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,100 +160,186 @@ def _common(table: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return np.minimum(first, np.minimum(size[a], size[b]))
 
 
-def _compare(doc: np.ndarray, at: np.ndarray, after: list[bytes], before: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in sort order against their nearest neighbours of other documents: row, partner row, start, end."""
-    n = len(doc)
-    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
-    previous = begin[run] - 1
-    following = np.append(begin, n)[run + 1]
-    right, right_size = _table(after, AFTER)
-    left, left_size = _table(before, BEFORE)
-    row, partner, start, end = [], [], [], []
-    for other in (previous, following):
-        a = np.flatnonzero((other >= 0) & (other < n))
+class Block:
+    """Suffixes in sort order, as tables."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        number = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc, self.row, self.gram, self.at = batch.column("doc"), number("row"), number("gram"), number("at")
+        self.right, self.right_size = _table(batch.column("after").to_pylist(), AFTER)
+        self.left, self.left_size = _table(batch.column("before").to_pylist(), BEFORE)
+
+    def reach(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Common words of rows a and rows b before and after their positions."""
+        back, on = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
         for lo in range(0, len(a), 20_000):
-            i = a[lo : lo + 20_000]
-            b = other[i]
-            r = _common(right, right_size, i, b)
-            i, b, r = i[r >= GRAM], b[r >= GRAM], r[r >= GRAM]
-            back = _common(left, left_size, i, b)
-            row.append(i)
-            partner.append(b)
-            start.append(at[i] - back)
-            end.append(at[i] + r)
-    empty = np.zeros(0, dtype=np.int64)
-    return tuple(np.concatenate([empty, *x]) for x in (row, partner, start, end))
-
-
-def matches(sorted_suffixes: DataFrame, kind: str) -> DataFrame:
-    """doc, other, start, end of the matches found among neighbours of one task, and the tasks' edge rows (task not null)."""
+            part = slice(lo, lo + 20_000)
+            back[part] = _common(self.left, self.left_size, a[part], b[part])
+            on[part] = _common(self.right, self.right_size, a[part], b[part])
+        return back, on
+
+    def spans(self, a: np.ndarray, b: np.ndarray, back: np.ndarray, on: np.ndarray) -> pa.RecordBatch:
+        """doc, row, start, end, other: for each of a the words it shares with any b; all of these hold its position."""
+        good = (back + on >= LEAST) & (on >= GRAM)
+        a, b, back, on = a[good], b[good], back[good], on[good]
+        order = np.lexsort((-back - on, a))
+        a, b, back, on = a[order], b[order], back[order], on[order]
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
+        most = lambda x: np.maximum.reduceat(x, first) if len(first) else x
+        i, other = a[first], b[first]
+        arrays = [self.doc.take(pa.array(i)), pa.array(self.row[i]), pa.array(self.at[i] - most(back)), pa.array(self.at[i] + most(on)), self.doc.take(pa.array(other))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc", "row", "start", "end", "other"])
+
+
+def few_matches(rows: DataFrame, kind: str) -> DataFrame:
+    """doc, row, start, end, other of suffixes whose run is not common: sorted within their run, each meets all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in _then_none(batches):
+            parts = [b for b in (rest, batch) if b is not None and b.num_rows]
+            if not parts:
+                continue
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            gram = whole.column("gram").to_numpy()
+            # The last run may go on in the next batch.
+            upto = len(gram) if batch is None else int(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))[-1])
+            rest = whole.slice(upto)
+            edges = np.append(np.flatnonzero(np.concatenate([[True], gram[1:upto] != gram[: max(0, upto - 1)]])) if upto else np.zeros(0, dtype=np.int64), upto)
+            at = 0
+            while at < len(edges) - 1:
+                to = max(at + 1, int(np.searchsorted(edges, edges[at] + 20_000, "right")) - 1)
+                block = Block(whole.slice(int(edges[at]), int(edges[to] - edges[at])))
+                a, b = [], []
+                for step in range(1, FEW):
+                    i = np.flatnonzero((block.gram[step:] == block.gram[:-step]) & (block.row[step:] != block.row[:-step]))
+                    a.append(i)
+                    b.append(i + step)
+                a, b = np.concatenate(a), np.concatenate(b)
+                back, on = block.reach(a, b)
+                yield block.spans(np.concatenate([a, b]), np.concatenate([b, a]), np.tile(back, 2), np.tile(on, 2))
+                at = to
+
+    order = ["gram", "after", "before", "row", "at"]
+    return rows.repartition("gram").sortWithinPartitions(*order).mapInArrow(run, f"doc {kind}, row long, start long, end long, other {kind}")
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def common_matches(ordered: DataFrame, kind: str) -> DataFrame:
+    """Of suffixes in sort order against their nearest neighbours of other documents: spans (start not null); edge rows of the
+    task (task not null); and grams where a farther neighbour may reach more (reach: at most so many words on)."""
+    names = ["doc", "row", "start", "end", "other", "task", "gram", "at", "after", "before", "reach"]
+    kinds = [None, pa.int64(), pa.int64(), pa.int64(), None, pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        names = ["doc", "other", "start", "end", "task", "at", "after", "before"]
         last: pa.RecordBatch | None = None
         first = True
 
-        def rows(block: pa.RecordBatch) -> pa.RecordBatch:
-            """The rows as edge rows: compared again, in one place, with those of the tasks beside this one."""
-            nothing = pa.nulls(block.num_rows, pa.int64())
-            doc = block.column(0)
-            return pa.RecordBatch.from_arrays([doc, pa.nulls(block.num_rows, doc.type), nothing, nothing, pa.array([task] * block.num_rows, pa.int32()), *block.columns[1:]], names=names)
+        def out(n: int, id_type: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t or id_type)) for k, t in zip(names, kinds, strict=True)], names=names)
+
+        def edge(block: pa.RecordBatch) -> pa.RecordBatch:
+            """Compared again, in one place, with those of the tasks beside this one."""
+            here = {k: block.column(k) for k in ("doc", "row", "gram", "at", "after", "before")}
+            return out(block.num_rows, block.column("doc").type, task=pa.array([task] * block.num_rows, pa.int32()), **here)
 
         def ends(block: pa.RecordBatch, at_end: bool) -> pa.RecordBatch:
             """The outermost row and the nearest row of another document."""
-            code = block.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            order = range(len(code) - 1, -1, -1) if at_end else range(len(code))
-            keep = [order[0]]
-            other = next((i for i in order if code[i] != code[order[0]]), None)
-            return block.take(pa.array(sorted(keep + ([other] if other is not None else []))))
+            row = block.column("row").to_numpy()
+            order = np.arange(len(row))[::-1] if at_end else np.arange(len(row))
+            other = order[row[order] != row[order[0]]][:1]
+            return block.take(pa.array(np.sort(np.concatenate([order[:1], other]))))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 20_000):
                 part = batch.slice(lo, 20_000)
-                block = pa.Table.from_batches([b for b in (last, part) if b is not None]).combine_chunks().to_batches()[0]
+                whole = pa.Table.from_batches([b for b in (last, part) if b is not None]).combine_chunks().to_batches()[0]
                 if first:
-                    yield rows(ends(part, False))
-                    first = False
-                docs = block.column(0)
-                code = docs.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                at = block.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                i, b, start, end = _compare(code, at, block.column(2).to_pylist(), block.column(3).to_pylist())
-                nothing = [pa.nulls(len(i), t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array(i)), docs.take(pa.array(b)), pa.array(start), pa.array(end), *nothing], names=names)
-                # The next block begins with this one's last rows, so that its first rows have neighbours.
-                last = ends(block, True)
+                    yield edge(ends(part, False))
+                block, n = Block(whole), whole.num_rows
+                begin = np.flatnonzero(np.concatenate([[True], block.row[1:] != block.row[:-1]]))
+                run_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
+                before, after = begin[run_of] - 1, np.append(begin, n)[run_of + 1]
+                a = np.concatenate([np.flatnonzero(before >= 0), np.flatnonzero(after < n)])
+                b = np.concatenate([before[before >= 0], after[after < n]])
+                back, on = block.reach(a, b)
+                found = block.spans(a, b, back, on)
+                yield out(found.num_rows, found.column(0).type, **{k: found.column(k) for k in ("doc", "row", "start", "end", "other")})
+                # Open: rows whose farthest reach to the right is no match that reaches as far to the left as can be.
+                farthest, done = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+                np.maximum.at(farthest, a, on)
+                done[a[(on == block.right_size[a]) & (back == block.left_size[a]) & (back + on >= LEAST)]] = True
+                # The outermost document's rows may have a nearer neighbour elsewhere.
+                farthest[(run_of == 0) | (run_of == run_of[-1])] = AFTER
+                i = np.flatnonzero(~done & (farthest >= GRAM) & (farthest + block.left_size >= LEAST))
+                grams_open, at = np.unique(block.gram[i], return_inverse=True)
+                reach = np.zeros(len(grams_open), dtype=np.int64)
+                np.maximum.at(reach, at, farthest[i])
+                yield out(len(reach), found.column(0).type, gram=pa.array(grams_open), reach=pa.array(reach))
+                last, first = ends(whole, True), False
         if last is not None:
-            yield rows(last)
+            yield edge(last)
 
-    return sorted_suffixes.select("doc", "at", "after", "before").mapInArrow(run, f"doc {kind}, other {kind}, start long, end long, task int, at int, after binary, before binary")
+    columns = "doc {0}, row long, start long, end long, other {0}, task int, gram long, at int, after binary, before binary, reach long".format(kind)
+    return ordered.select("doc", "row", "gram", "at", "after", "before").mapInArrow(run, columns)
 
 
-def _merged(found: DataFrame, least: int) -> DataFrame:
-    """Overlapping or adjoining spans of a document as one; those of least words or more."""
-    by_doc = Window.partitionBy("doc").orderBy("start", "end")
-    reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(by_doc)
-    numbered = found.groupBy("doc", "start", "end").agg(F.min("other").alias("other")).withColumn("reach", reach).withColumn("island", island)
-    spans = numbered.groupBy("doc", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other_doc"))
-    return spans.where(F.col("end_word") - F.col("start_word") >= least).select("doc", "start_word", "end_word", "other_doc")
+def counted_matches(rows: DataFrame, reach: DataFrame, kind: str) -> DataFrame:
+    """doc, row, start, end, other: runs of LEAST words around the positions of the grams in reach that two documents hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                of, on, key = [], [], []
+                for i, (after, before, most) in enumerate(zip(*(part.column(k).to_pylist() for k in ("after", "before", "reach")), strict=True)):
+                    for t in range(max(GRAM, LEAST - len(before) // 4), min(most, len(after) // 4) + 1):
+                        of.append(i)
+                        on.append(t)
+                        key.append(xxhash.xxh64_intdigest(before[: 4 * (LEAST - t)] + after[: 4 * t], t) >> 1)
+                index = pa.array(of, pa.int64())
+                arrays = [part.column("doc").take(index), part.column("row").take(index), part.column("at").take(index), pa.array(on, pa.int64()), pa.array(key, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "row", "at", "reach", "key"])
+
+    wanted = rows.join(reach, "gram").select("doc", "row", "at", "after", "before", "reach")
+    held = materialise(wanted.mapInArrow(run, f"doc {kind}, row long, at int, reach long, key long"))
+    of_key = held.groupBy("key").agg(F.min(F.struct("row", "doc")).alias("lo"), F.max(F.struct("row", "doc")).alias("hi")).where("lo.row <> hi.row")
+    other = F.when(F.col("row") == F.col("lo.row"), F.col("hi.doc")).otherwise(F.col("lo.doc"))
+    start = F.col("at") + F.col("reach") - LEAST
+    return held.join(materialise(of_key), "key").select("doc", "row", start.alias("start"), (start + LEAST).alias("end"), other.alias("other"))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """Overlapping or adjoining spans of a document as one."""
+    by_row = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(by_row)
+    numbered = found.groupBy("row", "start", "end").agg(F.first("doc").alias("doc"), F.min("other").alias("other")).withColumn("reach", reach).withColumn("island", island)
+    spans = numbered.groupBy("row", "island").agg(F.first("doc").alias("doc"), F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other_doc"))
+    return spans.select("doc", "start_word", "end_word", "other_doc")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, start_word, end_word, n_words, other_doc: the passages of a text that another document holds too."""
+    """id_col, start_word, end_word, n_words, other_doc: the passages of a text that another document holds too. other_doc: the least id of those compared."""
     kind = docs.schema[id_col].dataType.simpleString()
     found = materialise(positions(docs, id_col, text_col))
     # Written, so that both sides of the join are shuffled anew and a very common run can be dealt over tasks.
-    shared = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    kept = found.join(shared, "gram", "left_semi").select("doc", "at")
-    rows = suffixes(docs, kept, id_col, text_col)
-    order = ["after", "before", "doc", "at"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    near = materialise(matches(ordered, kind))
+    shared = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > FEW).alias("common")))
+    rows = materialise(suffixes(docs, found.join(shared, "gram").select("row", "gram", "at", "common"), id_col, text_col))
+    release(found)
+    release(shared)
+    few = few_matches(rows.where("NOT common").drop("common"), kind)
+    common = rows.where("common").drop("common")
+    order = ["after", "before", "row", "at"]
+    near = materialise(common_matches(common.repartitionByRange(*order).sortWithinPartitions(*order), kind))
     # Two or four rows of each task meet here: neighbours that the border between two tasks parts.
-    edges = near.where("task IS NOT NULL").select(*order).coalesce(1).sortWithinPartitions(*order)
-    across = matches(edges, kind).where("task IS NULL")
-    spans = near.where("task IS NULL").unionByName(across).select("doc", "other", "start", "end")
-    out = _merged(spans, LEAST)
-    return out.select(F.col("doc").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc")
+    edges = near.where("task IS NOT NULL").select("doc", "row", "gram", "at", "after", "before").coalesce(1).sortWithinPartitions(*order)
+    both = near.unionByName(materialise(common_matches(edges, kind)))
+    reach = materialise(both.where("reach IS NOT NULL").groupBy("gram").agg(F.max("reach").alias("reach")))
+    spans = few.unionByName(both.where("start IS NOT NULL").select("doc", "row", "start", "end", "other")).unionByName(counted_matches(common, reach, kind))
+    return _merged(spans).select(F.col("doc").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc")
