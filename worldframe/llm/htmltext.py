@@ -305,7 +305,7 @@ def extract(pages: DataFrame) -> DataFrame:
     tree, shared = style_tree(parsed)
     low = tree.where(F.col("importance") < F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW_OPEN)).select("host", "node")
     gone = materialise(shared.join(materialise(low), ["host", "node"], "left_semi").groupBy("host", "page").agg(F.collect_set("node").alias("gone")))
-    joined = parsed.select("page_id", "url", "host", "page", "blocks").join(gone.hint("merge"), ["host", "page"], "left")
+    joined = parsed.select("page_id", "url", "host", "page", "blocks").join(gone, ["host", "page"], "left")
     kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.array_contains("gone", b["node"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
