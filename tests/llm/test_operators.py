@@ -720,7 +720,7 @@ def slow_spans(texts):
     return out
 
 
-@pytest.mark.parametrize("few", [16, 2])
+@pytest.mark.parametrize("few", [32, 2])
 def test_repeated_spans_against_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(repeats, "FEW", few)
     rng = random.Random(17 + few)

@@ -8,6 +8,9 @@ by what follows, then by what precedes (reversed). Two suffixes match if the com
 are LEAST together or more; the words a suffix has in common with any match are a span. Spans of consecutive positions are
 merged, so a passage is reported as far as other documents, one or several, hold LEAST words of it at every place.
 
+A position answers for the runs of LEAST words in which it is the (first) least; each run has one, and in every text the same,
+so a suffix carries only the words around its position that such runs can hold.
+
 No match is lost. Suffixes of a run that occurs FEW times or less meet all the others of their run. Those of a commoner run
 are compared with their nearest neighbours in sort order over all tasks; where that leaves open whether a farther one
 reaches more to the left, the runs of LEAST words around the positions are counted by hash: one that two documents hold is a span.
@@ -32,10 +35,10 @@ from worldframe.llm.common import materialise, release, trim
 
 GRAM, WINDOW = 8, 43
 LEAST = GRAM + WINDOW - 1
-#: Words that a suffix carries after and before its position; matches run on from one selected position to the next.
-AFTER, BEFORE = LEAST, WINDOW
+#: Words that a suffix carries after its position, and at most before it.
+AFTER, BEFORE = LEAST, WINDOW - 1
 #: Suffixes of a run that occurs so often or less all meet.
-FEW = 16
+FEW = 32
 CACHE = 150_000
 
 
@@ -89,36 +92,53 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(h == highest)
 
 
+def room(h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For selected positions: how many words before, and from the position on, the runs of LEAST words can hold in which it is the first least."""
+    if not len(p):
+        return np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int8)
+    edge = np.zeros(WINDOW - 1, dtype=h.dtype)
+    seen = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, h, edge]), WINDOW - 1)
+    mine = h[p][:, None]
+    back = (seen[p] <= mine)[:, ::-1]  # a nearer one of the same hash or less ends the room
+    on = seen[p + WINDOW] < mine
+    first = lambda x: np.where(x.any(axis=1), x.argmax(axis=1), WINDOW - 1)
+    return first(back).astype(np.int8), (first(on) + GRAM).astype(np.int8)
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, row (a hash of id and text: the document) and text."""
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
 
 def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, gram, at: the selected positions of every text."""
+    """row, gram, at, back, on: the selected positions of every text, and their room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                of, gram, at = [], [], []
+                of, gram, at, back, on = [], [], [], [], []
                 for i, text in enumerate(part.column(1)):
                     h = grams(words.ids(text.as_py()))
                     p = minimisers(h)
                     of.append(np.full(len(p), i))
                     gram.append(h[p])
                     at.append(p)
-                arrays = [part.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "gram", "at"])
+                    b, o = room(h, p)
+                    back.append(b)
+                    on.append(o)
+                whole = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
+                arrays = [part.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(gram).view(np.int64)), whole(at, np.int32), whole(back, np.int8), whole(on, np.int8)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "gram", "at", "back", "on"])
         del words
         trim()
 
-    return _rows(docs, id_col, text_col).select("row", "text").mapInArrow(run, "row long, gram long, at int")
+    return _rows(docs, id_col, text_col).select("row", "text").mapInArrow(run, "row long, gram long, at int, back byte, on byte")
 
 
 def suffixes(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, row, gram, common, at, after, before: the words (four bytes each) after the kept positions and, reversed, before them. kept: row, gram, at, common."""
+    """doc, row, gram, common, at, after, before: the words (four bytes each) after the kept positions and, reversed, before them. kept: row, gram, at, back, on, common."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +155,15 @@ def suffixes(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> Da
                         gram.append(place["gram"])
                         common.append(place["common"])
                         at.append(p)
-                        after.append(wide[p : p + AFTER].tobytes())
-                        before.append(wide[max(0, p - BEFORE) : p][::-1].tobytes())
+                        after.append(wide[p : p + place["on"]].tobytes())
+                        before.append(wide[p - place["back"] : p][::-1].tobytes())
                 index = pa.array(of, pa.int64())
                 arrays = [part.column(0).take(index), part.column(1).take(index), pa.array(gram, pa.int64()), pa.array(common, pa.bool_()), pa.array(at, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc", "row", "gram", "common", "at", "after", "before"])
         del words
         trim()
 
-    by_row = kept.groupBy("row").agg(F.collect_set(F.struct("at", "gram", "common")).alias("places"))
+    by_row = kept.groupBy("row").agg(F.collect_set(F.struct("at", "back", "on", "gram", "common")).alias("places"))
     texts = _rows(docs, id_col, text_col).join(by_row, "row").select("doc", "row", "text", "places")
     return texts.mapInArrow(run, f"doc {kind}, row long, gram long, common boolean, at int, after binary, before binary")
 
@@ -270,16 +290,18 @@ def common_matches(ordered: DataFrame, kind: str) -> DataFrame:
                 back, on = block.reach(a, b)
                 found = block.spans(a, b, back, on)
                 yield out(found.num_rows, found.column(0).type, **{k: found.column(k) for k in ("doc", "row", "start", "end", "other")})
-                # Open: rows whose farthest reach to the right is no match that reaches as far to the left as can be.
-                farthest, done = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+                # Open: rows to which a neighbour with less in common on the right may have more in common on the left.
+                farthest, left = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
                 np.maximum.at(farthest, a, on)
-                done[a[(on == block.right_size[a]) & (back == block.left_size[a]) & (back + on >= LEAST)]] = True
+                nearest = on == farthest[a]
+                np.maximum.at(left, a[nearest], back[nearest])
+                reach_of = np.minimum(farthest, LEAST - 1 - left)  # runs that reach more words on are matched or have no match
                 # The outermost document's rows may have a nearer neighbour elsewhere.
-                farthest[(run_of == 0) | (run_of == run_of[-1])] = AFTER
-                i = np.flatnonzero(~done & (farthest >= GRAM) & (farthest + block.left_size >= LEAST))
+                reach_of[(run_of == 0) | (run_of == run_of[-1])] = AFTER
+                i = np.flatnonzero((left < block.left_size) & (reach_of >= LEAST - block.left_size) | (reach_of == AFTER))
                 grams_open, at = np.unique(block.gram[i], return_inverse=True)
                 reach = np.zeros(len(grams_open), dtype=np.int64)
-                np.maximum.at(reach, at, farthest[i])
+                np.maximum.at(reach, at, reach_of[i])
                 yield out(len(reach), found.column(0).type, gram=pa.array(grams_open), reach=pa.array(reach))
                 last, first = ends(whole, True), False
         if last is not None:
@@ -330,7 +352,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialise(positions(docs, id_col, text_col))
     # Written, so that both sides of the join are shuffled anew and a very common run can be dealt over tasks.
     shared = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > FEW).alias("common")))
-    rows = materialise(suffixes(docs, found.join(shared, "gram").select("row", "gram", "at", "common"), id_col, text_col))
+    rows = materialise(suffixes(docs, found.join(shared, "gram").select("row", "gram", "at", "back", "on", "common"), id_col, text_col))
     release(found)
     release(shared)
     few = few_matches(rows.where("NOT common").drop("common"), kind)
