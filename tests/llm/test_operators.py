@@ -638,7 +638,9 @@ def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(size=(300, 8)) * 0.3 + c for c in rng.normal(size=(4, 8))] + [np.tile(rng.normal(size=8), (60, 1))]).astype(np.float32)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    odd = [(5000, None), (5020, [0.1] * 7), (5040, [float("nan")] + [0.0] * 7), (5060, [None] + [0.0] * 7), (5080, [float("inf")] + [0.0] * 7), (None, [0.1] * 8)]
+    odd = [(5000, None), (5040, [float("nan")] + [0.0] * 7), (5060, [None] + [0.0] * 7), (5080, [float("inf")] + [0.0] * 7), (None, [0.1] * 8), (5100, [])]
+    rows += [(len(x), [9.0] * 7), (len(x) + 1, [0.0] * 7)]  # shorter vectors: zero where they have no component
+    x = np.concatenate([x, [[9.0] * 7 + [0.0], [0.0] * 8]]).astype(np.float32)
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     whole = np.floor(64 * x.astype(np.float64)).astype(np.int64)
     got = defaultdict(dict)
@@ -649,6 +651,8 @@ def test_top_k_against_brute_force(spark):
         s = whole @ whole[q]
         order = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:20]
         assert got[q] == {k + 1: (i, s[i]) for k, i in enumerate(order)}
+    again = topk.top_k(df.where("vec_id < 3").withColumn("s", F.lit(1)).withColumn("rank", F.lit("x")).withColumn("v", F.lit(0)), F.col("vec_id") == 0).collect()
+    assert [r["rank"] for r in again] == [1, 2]
     few = topk.top_k(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()
     assert [r["rank"] for r in few] == [1, 2]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
@@ -781,3 +785,101 @@ def test_pipeline_over_the_small_tables(spark):
     out = corpus_pipeline.run(spark, at)
     held = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m"))
     assert out.count() > 0 and held.where("n <> m OR n > 2048").count() == 0
+
+
+# Clashing names, rows without an id and repeated rows
+
+
+def clashing(spark, rows, *names):
+    df = docs(spark, rows)
+    for i, name in enumerate(names):
+        df = df.withColumn(name, F.lit(i))
+    return df
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rng = random.Random(41)
+    rows = [(i, " ".join(words(rng, 30)) + " blockhead" * (i % 2)) for i in range(60)] + [(None, "x y z"), (None, None), (3, "again"), (3, "again"), (70, "long " * 200_000)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    df = clashing(spark, rows, "Score", "__upper", "__keep", "y", "fp", "row", "keys", "label", "lines", "piece", "first_word")
+    model, rules = toxicity.train(df, labels), quality.train(df, labels)
+    for scored in (toxicity.score(df, model), quality.score(df, rules)):
+        assert scored.columns == [c for c in df.columns if c != "Score"] + ["score"]
+        got = scored.collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["__upper"] == 1 for r in got)
+    assert len({r["score"] for r in toxicity.score(df, model).where("doc_id = 3 AND text = 'again'").collect()}) == 1
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and {r["__keep"] for r in kept.collect()} == {2} and kept.where("doc_id IS NULL").count() == 2
+    for found in (simhash.classes(df), neardup.classes(df)):
+        assert found.count() == len(rows) and found.where("doc_id IS NULL").count() == 2
+    bench = clashing(spark, [(1, " ".join(rows[5][1].split()[3:25])), (2, "nothing of the kind here at all")], "row").select(F.col("doc_id").alias("item_id"), "text", "row")
+    assert 5 in [r["doc_id"] for r in decontaminate.find(df, bench).collect()]
+    assert decontaminate.drop_contaminated(df, bench).columns == df.columns
+    for labelled in (df, docs(spark, [])):
+        assert toxicity.train(labelled, labels.limit(0)) and quality.train(labelled, labels.limit(0)).rules == []
+    few = quality.labelled_sample(docs(spark, [(0, "b"), (0, "a"), (0, None), (1, "c")]), labels, "quality", 5, 5).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in few if r["doc_id"] == 0) == ([(0, "")] if few and any(r["doc_id"] == 0 for r in few) else [])
+
+
+def test_item_blocks_are_checked_one_by_one(spark, monkeypatch):
+    rng = random.Random(42)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    items = [(i, fresh(20)) for i in range(30)] + [(7, fresh(20)), (None, fresh(20))]
+    rows = [(i, fresh(10) + " " + t + " " + fresh(10)) for i, (_, t) in enumerate(items)] + [(100, fresh(60))]
+    bench = spark.createDataFrame(items + items[:4], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 8)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs(spark, rows), bench).collect()}
+    assert got == {(i, k) for i, (k, _) in enumerate(items)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()] == [100]
+
+
+def test_walks_reach_the_recall_or_all_windows_are_verified():
+    rng = random.Random(43)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    assert 0 < decontaminate.Items([(i, fresh(rng.randint(15, 60))) for i in range(150)]).walks <= decontaminate.WALKS[-1]
+    short = [(i, fresh(rng.randint(5, 20))) for i in range(150)]
+    items = decontaminate.Items(short)
+    edited = ["a b c " + " ".join(["zzzzz", *t.split()[1:]]) + " d e" for _, t in short]  # the first word edited: the walks of short items rarely meet again
+    assert all(m and m[0][0] == i for i, m in enumerate(items.batch(edited)))
+
+
+# Pipeline
+
+
+def test_pipeline_against_slow_versions(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(44)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    notice, items = "This line stands in many of the documents", [fresh(20) for _ in range(4)]
+    texts = [fresh(60) + "\n" + fresh(60) + ("\n" + notice if i % 3 == 0 else "") + ("\n" + fresh(8) + " " + items[i % 4] + " " + fresh(8) if i % 7 == 0 else "") for i in range(60)]
+    texts += [texts[1], texts[2] + " end", None, "", " \n", "word " * 30_000]
+    rows = list(enumerate(texts)) + [(4, texts[4]), (None, texts[5]), (None, None)]
+    none = [(None, None, None, None, None)]
+    table = docs(spark, rows).unionByName(spark.createDataFrame(none, DOCS)).withColumn("__score", F.lit(1)).withColumn("piece", F.lit(2))
+    at = str(tmp_path)
+    table.coalesce(2).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([*enumerate(items), (None, None), (9, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, at).collect():
+        got[r["doc_id"]].append(r)
+    gone = slow_line_dedup([t for _, t in rows])
+    clean = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[t]) for i, t in rows if i is not None}
+    sets = {i: five_words(t) for i, t in clean.items()}
+    first = [i for i in clean if not any(sets[j] == sets[i] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in clean if j < i)]
+    want = {i for i in first if not any(x in (clean[i] or "") for x in items)}
+    assert {i for i in got if i is not None} == want and any(notice in (t or "") for t in texts) and not any(notice in (t or "") for t in clean.values())
+    tokens = Tokenizer.from_file(corpus_pipeline.tokenizer_path())
+    for i in want:
+        ids = np.array([*tokens.encode(clean[i] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        assert sorted((r["start"], r["ids_crc32"]) for r in got[i]) == [(s, zlib.crc32(ids[s : s + 2048].tobytes())) for s in range(0, len(ids), 2048)]
+    assert len(got[None]) == 3  # rows without an id stay: none is told apart from another
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -12,7 +12,7 @@ differs is an error. The loss mask covers the bodies of assistant turns.
 
 Null texts and roles are empty. Turns are ordered by turn (null first), then role, then text; repeated rows
 are turns of their own. Rows without a conversation id form one conversation without an id. An empty table
-gives an empty result. Other columns are not read. A conversation is one output string, so its turns must
+gives an empty result. Texts of any length are rendered whole. Extra columns are not read, whatever their names. A conversation is one output string, so its turns must
 meet in one row; that is the only group that is gathered.
 """
 

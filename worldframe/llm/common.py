@@ -77,7 +77,7 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, ones: int, zeros: int) -> DataFrame:
     """doc_id, text, y: at most so many training documents of label 1 and of label 0, chosen by a hash of the id.
 
-    Only ids and labels are ranked; the texts of the chosen (at most ones + zeros) ids are fetched by a join whose broadcast side has that bound. Null ids, null labels and labels other than 0 and 1 are left out.
+    Only ids and labels are ranked; the texts of the chosen (at most ones + zeros) ids are fetched by a join whose broadcast side has that bound, and of rows that repeat an id the least text. Null ids, null labels and labels other than 0 and 1 are left out.
     """
     y = F.col(label).cast("int")
     rows = (
@@ -86,4 +86,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, ones: int, z
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = rows.where("y = 1").orderBy(*order).limit(ones).unionByName(rows.where("y = 0").orderBy(*order).limit(zeros))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -9,26 +9,29 @@ target recall, from the places where windows are put: edits among an item's firs
 reaches it, all windows are verified. A window is verified by exact edit distance, widened by the edits allowed on both
 sides, with a free start and a free end.
 
-Items are taken in blocks of ITEM_BLOCK, each checked against all documents without a shuffle. Items and
-documents without words, null or empty, match nothing. Items without an id take part and match with a null item_id.
-Repeated rows each get their matches. Items of under MIN_WORDS words must occur word for word. Empty tables give empty results.
+Items are taken in blocks of ITEM_BLOCK, each checked against all documents without a shuffle; one block is broadcast at a
+time. Items and documents without words, null or empty, match nothing. Items without an id take part and match with a null
+item_id. Texts of any length are read whole. Repeated documents each get their matches, repeated items count once; of an item's matches
+in a document the one of fewest edits is told, of ties the first. Items of under MIN_WORDS words must occur word for word. Empty tables
+give empty results. Extra columns are not read by find() and kept by drop_contaminated(), whatever their names.
 """
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import trim
+from worldframe.llm.common import materialise, trim
 
 TOLERANCE = 0.2
 RECALL = 0.999
-SAMPLED = 3
+SAMPLED = 2
 #: Numbers of walks to choose from.
-WALKS = (32, 64, 96, 128, 192, 256, 384)
+WALKS = (32, 64, 96, 128, 192, 256)
 ITEM_BLOCK = 20_000
 MIN_WORDS = 5
 BATCH = 1000
@@ -255,25 +258,37 @@ class Items:
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    """Items in blocks by id, those without an id last."""
-    ids = [r[0] for r in items.where("item_id IS NOT NULL").select("item_id").distinct().orderBy("item_id").collect()]
-    blocks = [F.col("item_id").between(ids[at], ids[min(at + ITEM_BLOCK, len(ids)) - 1]) for at in range(0, len(ids), ITEM_BLOCK)]
-    for one in (*blocks, F.col("item_id").isNull()):
-        rows = items.where(one).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
+    """Different items in blocks of about ITEM_BLOCK, dealt by a hash; the driver holds one block at a time."""
+    each = items.select("item_id", "text").distinct()
+    n = -(-each.count() // ITEM_BLOCK)
+    for k in range(n):
+        rows = each.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         if rows:
             yield [(r[0], r[1]) for r in rows]
 
 
+def _each_block(docs: DataFrame, items: DataFrame, tolerance: float, step: Callable[[DataFrame, Broadcast], DataFrame], chained: bool) -> Iterator[DataFrame]:
+    """step(docs, block) for each block of items, chained: of the result for the block before. A block's broadcast is released before the next one is made: all but the last result are written."""
+    blocks = _blocks(items)
+    rows = next(blocks, None)
+    while rows is not None:
+        known = docs.sparkSession.sparkContext.broadcast(Items(rows, tolerance))
+        out, rows = step(docs, known), next(blocks, None)
+        if rows is not None:
+            out = materialise(out)
+            known.destroy()
+        docs = out if chained else docs
+        yield out
+
+
 def find(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, first_word, n_words, edits, item_words: the best match of each item in each document."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id long, first_word long, n_words long, edits long, item_words long"
-    out = None
-    for rows in _blocks(items):
-        block = spark.sparkContext.broadcast(Items(rows, tolerance))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def step(docs: DataFrame, block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = block.value
             for batch in batches:
                 for start in range(0, batch.num_rows, BATCH):
@@ -285,23 +300,28 @@ def find(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, id_col
                         yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "item_id", "first_word", "n_words", "edits", "item_words"])
             trim()
 
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+    out = None
+    for found in _each_block(docs, items, tolerance, step, chained=False):
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, text_col: str = "text") -> DataFrame:
-    """The rows whose text matches no item; all columns are kept. One pass, no shuffle."""
-    out = docs
-    for rows in _blocks(items):
-        block = docs.sparkSession.sparkContext.broadcast(Items(rows, tolerance))
+    """The rows whose text matches no item; all columns are kept. One pass for each block of items, no shuffle."""
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def step(docs: DataFrame, block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 text = batch.column(batch.schema.get_field_index(text_col))
                 keep = [not found for start in range(0, batch.num_rows, BATCH) for found in block.value.batch(text.slice(start, BATCH).to_pylist())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
             trim()
 
-        out = out.mapInArrow(run, out.schema)
+        return docs.mapInArrow(run, docs.schema)
+
+    out = docs
+    for out in _each_block(docs, items, tolerance, step, chained=True):  # noqa: B007
+        pass
     return out

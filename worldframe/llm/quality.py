@@ -4,8 +4,9 @@ Statistics of a text are Spark columns. Small boosted trees are grown on the sta
 of labelled texts; every path from a root is a conjunctive rule. A logistic model with a lasso penalty over
 the rules chooses few of them, and these are compiled into one column expression, so scoring runs in the JVM.
 
-Null and empty texts have all statistics zero and are scored like any other. Repeated rows score alike. With no
-labelled row of either class every score is 0.5. An empty table gives an empty result. All columns are kept.
+Null and empty texts have all statistics zero and are scored like any other; texts of any length are read whole. Repeated rows
+and ties score alike; rows without an id are scored and train nothing. With no labelled row of either class every score is 0.5. An
+empty table gives an empty result. All columns are kept, whatever their names, but for one named like the score, which is replaced.
 """
 
 from dataclasses import dataclass, field
@@ -14,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import labelled_sample
+from worldframe.llm.common import labelled_sample, unused
 
 #: Bounds of the sample and of the ensemble.
 PER_CLASS, TREES, DEPTH, BINS = 5000, 40, 3, 48
@@ -44,9 +45,10 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_statistics(docs: DataFrame, text_col: str = "text", names: tuple[str, ...] = ()) -> DataFrame:
+    """docs and the statistics under these names, NAMES if none are given."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({f"__{k}": v.cast("double") for k, v in statistics(text).items()})
+    return docs.withColumns({k: v.cast("double") for k, v in zip(names or NAMES, statistics(text).values(), strict=True)})
 
 
 NAMES = tuple(f"__{k}" for k in ("log_chars", "upper", "digits", "bars", "shouts", "symbols", "stops", "spaces", "word_size", "distinct_words", "distinct_lines", "line_size"))
@@ -62,11 +64,13 @@ class Rules:
     bias: float = 0.0
     rules: list[tuple[tuple[Condition, ...], float]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, names: tuple[str, ...] = ()) -> Column:
+        names = names or NAMES
+
         def holds(rule: tuple[Condition, ...]) -> Column:
             out = F.lit(True)
             for j, above, bound in rule:
-                out = out & (F.col(NAMES[j]) > bound if above else F.col(NAMES[j]) <= bound)
+                out = out & (F.col(names[j]) > bound if above else F.col(names[j]) <= bound)
             return out
 
         total = F.lit(self.bias)
@@ -164,5 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Rul
 
 
 def score(docs: DataFrame, rules: Rules, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs and a column with the probability that the text is of good quality."""
-    return with_statistics(docs, text_col).withColumn(into, rules.column()).drop(*NAMES)
+    """docs and a column with the probability that the text is of good quality; a column of that name, in any case, is replaced."""
+    docs = docs.drop(into)
+    names = tuple(unused(docs, *(n[2:] for n in NAMES)))
+    return with_statistics(docs, text_col, names).withColumn(into, rules.column(names)).drop(*names)

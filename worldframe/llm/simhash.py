@@ -1,7 +1,8 @@
 """SimHash near-duplicates: pigeonhole blocks, a join on blocks, Hamming verification, components.
 
-Nulls and empty texts: no words, fingerprint zero, linked like any other. Repeated rows share a
-fingerprint and so a class. Empty tables give empty results. Other columns of the input are not read.
+Nulls and empty texts: no words, fingerprint zero, linked like any other. Texts of any length are read whole. Repeated rows and
+ties share a fingerprint and so a class, rows without an id too. Empty tables give empty results. Extra columns are not read, and
+kept by drop_near_duplicates(), whatever their names.
 """
 
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import materialise, release, trim
+from worldframe.llm.common import materialise, release, trim, unused
 
 BITS = 64
 #: Five blocks, at most two of which can hold the differing bits: any three that agree name a bucket.
@@ -134,6 +135,7 @@ def as_hex(fp: Column) -> Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Callable[..., DataFrame] = classes) -> DataFrame:
     """One row of each class (of by) stays: that with the least id (of repeated rows with this id, one); rows without an id stay."""
     found = by(docs, id_col, text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+    kept = unused(docs, "keep")[0]
+    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(kept)).distinct()
+    first = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(kept), "left_semi").dropDuplicates([id_col])
     return first.unionByName(docs.where(F.col(id_col).isNull()))

@@ -4,15 +4,16 @@ Vectors become integers, floor(scale * x). With M the largest norm, the point (x
 M, so that a larger inner product with the query is a smaller Euclidean distance, which is the metric of the
 trees. Every shard of SHARD rows is a tree: leaf pages of near points around a pivot, each with its covering
 radius and each entry's distance to the pivot, under routing nodes with radii and parent distances of their
-own. A block of queries meets every shard once; in a shard each query takes its pages best bound first and
+own. A block of QUERIES queries meets every shard once, so up to 20 QUERIES rows at a twentieth asked, each row is shuffled and put
+into a tree once; in a shard each query takes its pages best bound first and
 stops when no page can hold a better score; within a page the stored parent distances rule entries out by the
 triangle inequality before anything is computed. Scores are integers and bounds are widened by SLACK, so the
 result is exact.
 
-Vectors that are null, empty, of another length than most, or hold null or non-finite components take no
-part. A query with fewer candidates gets them all. Ties go to the smaller id; repeated rows (same id) are
+Vectors that are null, empty, or hold null or non-finite components take no part. A vector shorter than another is
+zero where it has no component. A query with fewer candidates gets them all. Ties go to the smaller id; repeated rows (same id) are
 candidates of their own, except that rows with a query's id are not its candidates. Rows without an id take
-no part. An empty table gives an empty result. Other columns are not read.
+no part. An empty table gives an empty result. Extra columns are not read, whatever their names.
 """
 
 from collections.abc import Iterator
@@ -23,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAGE, FANOUT, SHARD, QUERIES = 128, 16, 16_384, 4096
+PAGE, FANOUT, SHARD, QUERIES = 128, 16, 16_384, 65_536
+#: Queries that search a tree at once.
+AT_ONCE = 2048
 SLACK = 1e-6
 #: A score under all others.
 NONE = -(1 << 62)
@@ -143,11 +146,11 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score. Blocks of queries meet shards of rows; both have bounded sizes, by hashes of the id."""
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), is_query.alias("q"), quantised(F.col(vector_col), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    sizes = whole.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.count_if("q").alias("asked")).orderBy(F.desc("rows"), "n").first()
+    sizes = whole.agg(F.count("*").alias("rows"), F.count_if("q").alias("asked"), F.max(F.size("v")).alias("width")).first()
     schema = T.StructType([T.StructField(n, t) for n, t in (("query_id", T.LongType()), ("vec_id", T.LongType()), ("score", T.LongType()))])
-    if sizes is None:
+    if not sizes["asked"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    whole = whole.where(F.size("v") == sizes["n"])
+    width = sizes["width"]
     shards, blocks = max(1, -(-sizes["rows"] // shard)), max(1, -(-sizes["asked"] // queries))
     deal = F.xxhash64(F.lit(1), "id", "v")
     rows = whole.select("id", "v", F.pmod(deal, F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
@@ -157,9 +160,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({n: np.array([], dtype=np.int64) for n in ("query_id", "vec_id", "score")})
-        x, q = (np.array(part["v"].tolist(), dtype=np.float64) for part in (left, right))
+        x, q = np.zeros((len(left), width)), np.zeros((len(right), width))
+        for table, part in ((x, left), (q, right)):
+            for i, v in enumerate(part["v"]):
+                table[i, : len(v)] = v
         mine, ids = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-        score, found = Tree(mine, x, float((x * x).sum(axis=1).max())).search(ids, q, k)
+        tree = Tree(mine, x, float((x * x).sum(axis=1).max()))
+        parts = [tree.search(ids[at : at + AT_ONCE], q[at : at + AT_ONCE], k) for at in range(0, len(ids), AT_ONCE)]
+        score, found = (np.concatenate(z) for z in zip(*parts, strict=True))
         there = found != -1
         return pd.DataFrame({"query_id": np.repeat(ids, there.sum(axis=1)), "vec_id": found[there], "score": score[there]})
 

@@ -8,9 +8,10 @@ hinge). A sentence's margin is that of its worst word, and a text's margin that
 label of a text is shared by its sentences, so the words that bear it are found by alternation (MI-SVM).
 Because the margin is linear in the kernel, the trained model is one weight per subsequence.
 
-Null and empty texts score as texts without a word. Repeated rows score alike. An empty table gives an
-empty result. Where no words set toxic texts apart, as with labelled rows of one class or none, every score is the
-share of toxic labels (none: near 0). Extra columns are not read.
+Null and empty texts score as texts without a word; texts of any length are read whole. Repeated rows and ties score
+alike; rows without an id are scored and train nothing. An empty table gives an empty result. Where no words set toxic texts apart, as with labelled rows of one class or none, every score is the
+share of toxic labels (none: near 0). Extra columns are kept, whatever their names, but for one named like the score, which is
+replaced.
 """
 
 import re
@@ -269,7 +270,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs and a column with the probability that the whole text is toxic."""
+    """docs and a column with the probability that the whole text is toxic; a column of that name, in any case, is replaced."""
+    docs = docs.drop(into)
     schema = docs.withColumn(into, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
