@@ -106,7 +106,11 @@ def map_text():
     slots[4] = json.dumps([{"id": "b1", "name": "Note", "legend": "L \ud800 x"}])
     slots[5] = '<svg id="map" width="1">\r\n<g/>\r\n</svg>'
     slots[7], slots[8], slots[9], slots[10], slots[11] = "10,300,x", "1,-1,65537", "1,2,2", "-1,200,1", "5,-5,0.9"
-    slots[13] = json.dumps([0, {"i": 1, "name": "Elves", "origins": [0]}, {"i": 2, "name": "Orcs", "removed": True}])
+    slots[13] = json.dumps([0, {"i": 1, "name": "Elves", "origins": [0, "x", -2], "type": "Lake"}, {"i": 2, "name": "Orcs", "removed": True}])
+    slots[6] = json.dumps({"spacing": 2.5, "cellsX": 3, "cellsY": 2, "cellsDesired": 0, "points": [[1.5, 2]], "features": [0, {"i": 1, "type": "ocean", "border": True}, {"i": 3, "type": "isle", "land": True}, 5]})
+    slots[12] = json.dumps([0, {"i": 1, "type": "ocean", "land": False}, {"i": 2, "type": "continent", "land": True, "group": "continent"}, {"i": 3, "type": "lake", "group": "salt"}, {"i": 4, "type": "lake", "group": "odd"}])
+    slots[14] = json.dumps([{"i": 0}, {"i": 1, "form": "Union", "type": "Lake", "neighbors": [2, 3]}, {"i": 2, "form": "Tribe", "type": "Highland", "removed": 0}])
+    slots[15] = json.dumps([{}, {"i": 1, "type": "Naval", "capital": 1, "port": 2, "feature": 3, "walls": 1}, {"i": 2, "type": "Lake", "port": 0, "feature": 3, "removed": True}])
     slots[31] = "English|4|9|lt|0.1|a/bad|1/Nordic|5|9|7|0.2|b"
     slots[32] = json.dumps([{"i": 1, "name": "R", "cells": [4, 5, -1]}])
     slots[36] = json.dumps({"1": {"2": 7}, "x": {"3": 8}})
@@ -123,8 +127,19 @@ def test_map_file(spark, tmp_path, pack):
     cells = [tuple(r) for r in mapfile.cell_columns(files, mapfile.GRID).drop("path").orderBy("cell_id").collect()]
     assert cells == [(0, 10, 1, 1, -1, 5), (1, 255, 65535, 2, -56, -5), (2, 0, 1, 2, 1, 0)]
     assert [r["name"] for r in mapfile.catalog(files, "cultures").collect()] == ["Elves", "Orcs"]
-    river = mapfile.catalog(files, "rivers").select(mapfile.path_cells(F.col("cells")).alias("c")).first()["c"]
+    river = mapfile.catalog(files, "rivers").first()["cells"]
     assert river == [4, 5, mapfile.UNSET_CELL]
+    assert [(r["kind"], r["origins"], r["removed"]) for r in mapfile.catalog(files, "cultures").collect()] == [("lake", [0], False), ("generic", [], True)]
+    burgs = mapfile.catalog(files, "burgs").collect()
+    assert [(r["kind"], r["is_capital"], r["port_feature"], r["has_walls"], r["removed"]) for r in burgs] == [("naval", True, 3, True, False), ("generic", False, None, False, True)]
+    states = mapfile.catalog(files, "states").collect()
+    assert [(r["form"], r["kind"], r["neighbors"], r["removed"]) for r in states] == [("union", "generic", [2, 3], False), ("anarchy", "highland", [], False)]
+    features = mapfile.catalog(files, "features").collect()
+    assert [(r["kind"], r["is_land"], r["land_group"], r["lake_group"]) for r in features] == [("ocean", False, None, None), ("island", True, "continent", None), ("lake", False, None, "salt"), ("lake", False, None, None)]
+    grid = mapfile.grid_general(files).first()
+    assert (grid["cells_desired"], grid["cells_x"], [tuple(p) for p in grid["points"]], grid["boundary"]) == (6, 3, [(1.5, 2.0)], [])
+    assert [(r["id"], r["kind"], r["land_group"]) for r in mapfile.grid_features(files).orderBy("id").collect()] == [(1, "ocean", None), (3, "island", "island")]
+    assert [(r["id"], r["kind"]) for r in mapfile.grid_feature_kinds(files).orderBy("id").collect()] == [(0, "ocean"), (1, "ocean"), (2, "ocean"), (3, "island")]
     assert [tuple(r)[1:] for r in mapfile.route_map(files).collect()] == [(1, 2, 7)]
     assert [(r["id"], r["name"]) for r in mapfile.namebases(files).collect()] == [(0, "English"), (2, "Nordic")]
     assert mapfile.notes(files).first()["content"] == "Note\n\nL ? x"

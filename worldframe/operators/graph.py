@@ -85,7 +85,9 @@ def contours(cells: DataFrame, columns: int = 100) -> DataFrame:
         return at.select((F.col("cell_id") - by).alias("cell_id"), *(F.col(c).alias(f"{c}{name}") for c in ("x", "y", "h")))
 
     square = at.where(F.col("cx") < columns - 1).join(corner(1, "b"), "cell_id").join(corner(columns + 1, "c"), "cell_id").join(corner(columns, "d"), "cell_id")
-    level = square.withColumn("level", F.explode(F.sequence(F.lit(10).cast("long"), F.lit(90).cast("long"), F.lit(10).cast("long"))))
+    corners = ("h", "hb", "hc", "hd")
+    levels = F.filter(F.sequence(F.lit(10).cast("long"), F.lit(90).cast("long"), F.lit(10).cast("long")), lambda at: (at > F.least(*corners)) & (at <= F.greatest(*corners)))
+    level = square.withColumn("level", F.explode_outer(levels)).where("level IS NOT NULL")
 
     def crossing(a: str, b: str) -> Column:
         ha, hb = F.col(f"h{a}"), F.col(f"h{b}")

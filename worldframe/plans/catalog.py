@@ -210,17 +210,51 @@ def surrogate_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "documents").select("doc_id", mapfile.sanitised(text).alias("fixed"))
 
 
-@query(_with(("cells",)) + "SELECT cell_id AS src, cell_id + 1 AS dst, cell_id % 13 AS route_id FROM cells WHERE cell_id % 17 = 0 UNION ALL SELECT cell_id AS src, cell_id + 100 AS dst, cell_id % 13 + 1 AS route_id FROM cells WHERE cell_id % 17 = 0")
+@query(_with(("cells",)) + "SELECT cell_id AS src, cell_id + 1 AS dst, cell_id % 13 AS route_id FROM cells UNION ALL SELECT cell_id AS src, cell_id + 100 AS dst, cell_id % 13 + 1 AS route_id FROM cells")
 def route_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr("""concat('{"', cell_id, '":{"', cell_id + 1, '":', cell_id % 13, ',"', cell_id + 100, '":', cell_id % 13 + 1, '},"bad":{"1":2}}')""")
-    rows = frame(spark, sf_dir, "cells").where("cell_id % 17 = 0").select(F.lit("m").alias("path"), F.concat(F.array_repeat(F.lit(""), 36), F.array(body)).alias("slots"))
+    rows = frame(spark, sf_dir, "cells").select(F.lit("m").alias("path"), F.concat(F.array_repeat(F.lit(""), 36), F.array(body)).alias("slots"))
     return mapfile.route_map(rows).select("src", "dst", "route_id")
 
 
+def _map_files(rows: DataFrame, at: int, item: str) -> DataFrame:
+    """path, slots: map files of a hundred entities each (rows: key), with a JSON catalog in slot at and its placeholder."""
+    made = rows.selectExpr("CAST(key DIV 100 AS STRING) AS path", f"struct({item}) AS e", "key").groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("key", F.to_json("e").alias("j")))), lambda x: x["j"]).alias("items"))
+    text = F.concat(F.lit("[0,"), F.array_join("items", ","), F.lit("]"))
+    return made.select("path", F.concat(F.array_repeat(F.lit(""), at), F.array(text)).alias("slots"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'naval' WHEN 1 THEN 'river' ELSE 'generic' END AS kind, c_custkey % 10 = 0 AS is_capital,
+    CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS port_feature, c_acctbal < 0 AS removed FROM customer""")
+def burg_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of map files with one burg for each customer."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("CAST(c_custkey AS BIGINT) AS key", "CAST(c_nationkey AS BIGINT) AS feature", "c_acctbal AS paid")
+    item = "key AS i, CASE key % 4 WHEN 0 THEN 'Naval' WHEN 1 THEN 'River' WHEN 2 THEN 'Lake' ELSE 'Odd' END AS type, CAST(key % 10 = 0 AS INT) AS capital, key % 3 AS port, feature, paid < 0 AS removed"
+    return mapfile.catalog(_map_files(rows, 15, item), "burgs").select("id", "kind", "is_capital", "port_feature", "removed")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'ocean' WHEN 1 THEN 'island' WHEN 2 THEN 'lake' ELSE 'ocean' END AS kind, CASE WHEN p_partkey % 4 = 1 THEN 'island' END AS land_group,
+    CASE WHEN p_partkey % 4 = 2 AND p_size % 2 = 0 THEN 'salt' END AS lake_group FROM part""")
+def feature_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of map files with one feature for each part."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("CAST(p_partkey AS BIGINT) AS key", "p_size AS size")
+    item = "key AS i, CASE key % 4 WHEN 0 THEN 'ocean' WHEN 1 THEN 'isle' WHEN 2 THEN 'lake' ELSE 'reef' END AS type, key % 4 = 1 AS land, CASE WHEN size % 2 = 0 THEN 'salt' ELSE 'brine' END AS `group`"
+    return mapfile.catalog(_map_files(rows, 12, item), "features").select("id", "kind", "land_group", "lake_group")
+
+
+@query("""SELECT o_orderkey AS id, CAST(CASE WHEN o_custkey % 5 = 0 THEN 4294967295 ELSE o_custkey END AS BIGINT) AS last_cell, CAST(3 AS BIGINT) AS n_cells FROM orders WHERE o_orderkey IS NOT NULL""")
+def river_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of map files with one river for each order; a negative cell is the map's edge."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("CAST(o_orderkey AS BIGINT) AS key", "CAST(o_custkey AS BIGINT) AS c")
+    found = mapfile.catalog(_map_files(rows, 32, "key AS i, array(1, 2, CASE WHEN c % 5 = 0 THEN -1 ELSE c END) AS cells"), "rivers")
+    return found.select("id", F.element_at("cells", -1).alias("last_cell"), F.size("cells").cast("long").alias("n_cells"))
+
+
 # One task per map, line or basin: no SQL form.
-def maps(spark: SparkSession, sf_dir: str, cells: int = 400) -> DataFrame:
-    """A batch of maps, one per nation."""
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("CAST(n_nationkey AS BIGINT) AS map_id", "concat('seed', n_nationkey) AS seed", "400 AS width", "300 AS height", f"{cells} AS cells")
+def maps(spark: SparkSession, sf_dir: str, cells: int = 1000) -> DataFrame:
+    """A batch of maps, one for each 25 suppliers."""
+    groups = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("CAST(s_suppkey DIV 25 AS BIGINT) AS map_id").distinct()
+    return groups.selectExpr("map_id", "concat('seed', map_id) AS seed", "400 AS width", "300 AS height", f"{cells} AS cells")
 
 
 @query()

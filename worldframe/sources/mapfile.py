@@ -14,21 +14,28 @@ PACK = {
     24: ("score", "u16"), 25: ("state", "u16"), 26: ("religion", "u16"), 27: ("province", "u16"), 40: ("good", "u16"), 44: ("market", "u16"),
 }
 HEADER = ("version", "license", "date", "seed", "graph_width", "graph_height", "map_id")
-# JSON catalogs: slot, whether element 0 is a placeholder, and the fields as name: (key, type).
-CATALOGS: dict[str, tuple[int, bool, dict[str, tuple[str, str]]]] = {
-    "features": (12, True, {"id": ("i", "long"), "kind": ("type", "string"), "is_land": ("land", "string"), "touches_border": ("border", "string"), "cell_count": ("cells", "long"), "first_cell": ("firstCell", "long"), "group": ("group", "string"), "name": ("name", "string")}),
-    "cultures": (13, True, {"id": ("i", "long"), "name": ("name", "string"), "namebase_id": ("base", "long"), "shield": ("shield", "string"), "center_cell": ("center", "long"), "code": ("code", "string"), "color": ("color", "string"), "expansionism": ("expansionism", "float"), "kind": ("type", "string"), "origins": ("origins", "string"), "removed": ("removed", "string")}),
-    "states": (14, True, {"id": ("i", "long"), "name": ("name", "string"), "form": ("form", "string"), "full_name": ("fullName", "string"), "color": ("color", "string"), "center_cell": ("center", "long"), "culture": ("culture", "long"), "kind": ("type", "string"), "capital": ("capital", "long"), "diplomacy": ("diplomacy", "string"), "campaigns": ("campaigns", "string"), "military": ("military", "string"), "removed": ("removed", "string")}),
-    "burgs": (15, True, {"id": ("i", "long"), "name": ("name", "string"), "cell": ("cell", "long"), "x": ("x", "float"), "y": ("y", "float"), "culture": ("culture", "long"), "state": ("state", "long"), "feature": ("feature", "long"), "population": ("population", "float"), "kind": ("type", "string"), "capital": ("capital", "long"), "port": ("port", "long"), "removed": ("removed", "string")}),
-    "religions": (29, False, {"id": ("i", "long"), "name": ("name", "string"), "color": ("color", "string"), "kind": ("type", "string"), "expansion": ("expansion", "string"), "center_cell": ("center", "long"), "origins": ("origins", "string"), "removed": ("removed", "string")}),
-    "provinces": (30, True, {"id": ("i", "long"), "name": ("name", "string"), "state": ("state", "long"), "capital": ("burg", "long"), "color": ("color", "string"), "center_cell": ("center", "long"), "removed": ("removed", "string")}),
-    "rivers": (32, False, {"id": ("i", "long"), "name": ("name", "string"), "source_cell": ("source", "long"), "mouth_cell": ("mouth", "long"), "parent_river": ("parent", "long"), "basin_id": ("basin", "long"), "discharge_m3s": ("discharge", "float"), "length_km": ("length", "float"), "width_km": ("width", "float"), "width_factor": ("widthFactor", "float"), "source_width_km": ("sourceWidth", "float"), "type_name": ("type", "string"), "cells": ("cells", "string")}),
-    "markers": (35, False, {"id": ("i", "long"), "icon": ("icon", "string"), "kind": ("type", "string"), "x": ("x", "float"), "y": ("y", "float"), "cell": ("cell", "long")}),
-    "routes": (37, False, {"id": ("i", "long"), "group": ("group", "string"), "feature": ("feature", "long"), "points": ("points", "string"), "length": ("length", "float")}),
-    "zones": (38, False, {"id": ("i", "long"), "name": ("name", "string"), "color": ("color", "string"), "cells": ("cells", "string"), "kind": ("type", "string")}),
-    "ice": (39, False, {"id": ("i", "long"), "kind": ("type", "string"), "points": ("points", "string"), "cell": ("cellId", "long")}),
-    "measurers": (46, False, {"kind": ("type", "string"), "points": ("points", "string")}),
+# Closed domains of the catalogs, in lower case; what is in none becomes the last of its list.
+PEOPLE = ("river", "naval", "nomadic", "hunting", "highland", "generic")
+PEOPLE_OR_LAKE = ("lake", *PEOPLE)
+FORMS = ("monarchy", "republic", "theocracy", "union", "anarchy")
+LAND = ("continent", "isle", "lake_island", "island")
+LAKES = ("freshwater", "salt", "dry", "sinkhole", "lava")
+# JSON catalogs: slot, whether element 0 is a placeholder, and the fields as "name key kind".
+_CATALOGS = {
+    "features": (12, True, "id i long; kind type feature; is_land land flag; touches_border border flag; cell_count cells long; first_cell firstCell long; group group string; name name string; perimeter vertices ids; shoreline shoreline ids; lake_height height float"),
+    "cultures": (13, True, "id i long; name name string; namebase_id base long; shield shield string; center_cell center long; code code string; color color string; expansionism expansionism float; kind type culture; origins origins ids; locked lock flag; removed removed flag"),
+    "states": (14, True, "id i long; name name string; form form form; full_name fullName string; color color string; center_cell center long; culture culture long; kind type people; expansionism expansionism float; area_px area float; burg_count burgs long; cell_count cells long; rural_pop rural float; urban_pop urban float; neighbors neighbors ids; provinces provinces ids; capital capital long; diplomacy diplomacy string; campaigns campaigns string; military military string; coat_of_arms coa string; removed removed flag"),
+    "burgs": (15, True, "id i long; name name string; cell cell long; x x float; y y float; culture culture long; state state long; feature feature long; population population float; kind type people; is_capital capital flag; port port flag; has_citadel citadel flag; has_plaza plaza flag; has_shanty shanty flag; has_temple temple flag; has_walls walls flag; locked lock flag; removed removed flag"),
+    "religions": (29, False, "id i long; name name string; color color string; kind type string; expansion expansion string; center_cell center long; origins origins ids; removed removed flag"),
+    "provinces": (30, True, "id i long; name name string; state state long; capital burg long; color color string; center_cell center long; burgs burgs ids; locked lock flag; removed removed flag"),
+    "rivers": (32, False, "id i long; name name string; source_cell source long; mouth_cell mouth long; parent_river parent long; basin_id basin long; discharge_m3s discharge float; length_km length float; width_km width float; width_factor widthFactor float; source_width_km sourceWidth float; type_name type string; cells cells path"),
+    "markers": (35, False, "id i long; icon icon string; kind type string; x x float; y y float; cell cell long"),
+    "routes": (37, False, "id i long; group group string; feature feature long; points points string; length length float"),
+    "zones": (38, False, "id i long; name name string; color color string; cells cells ids; kind type string"),
+    "ice": (39, False, "id i long; kind type string; points points string; cell cellId long"),
+    "measurers": (46, False, "kind type string; points points string"),
 }
+CATALOGS = {name: (at, skip, {n: (key, kind) for n, key, kind in (f.split() for f in fields.split(";"))}) for name, (at, skip, fields) in _CATALOGS.items()}
 UNSET_CELL = 4294967295
 
 
@@ -98,12 +105,14 @@ def sanitised(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<!\\)(?:{high}(?!{low})|(?<!{high}){low})", "?")
 
 
-def catalog(files: DataFrame, name: str) -> DataFrame:
-    """path, pos and the fields of a JSON catalog; elements that are no objects are left out, as is a placeholder."""
-    at, skip, fields = CATALOGS[name]
-    rows = files.select("path", F.posexplode(F.from_json(sanitised(slot(at)), "array<string>")).alias("pos", "item"))
-    rows = rows.where(F.col("item").startswith("{") & (F.lit(not skip) | (F.col("pos") > 0)))
-    return rows.select("path", "pos", *(F.get_json_object("item", f"$.{key}").try_cast(kind).alias(n) for n, (key, kind) in fields.items()))
+def one_of(text: Column, domain: tuple[str, ...]) -> Column:
+    """The text in lower case if it is in a closed domain, else the domain's last."""
+    return F.when(F.lower(text).isin(*domain), F.lower(text)).otherwise(domain[-1])
+
+
+def feature_kind(text: Column) -> Column:
+    """ocean, island or lake; all kinds of land are islands, unknown kinds oceans."""
+    return F.when(text.isin(*LAND), "island").when(text == "lake", "lake").otherwise("ocean")
 
 
 def flag(text: Column) -> Column:
@@ -116,6 +125,62 @@ def path_cells(text: Column) -> Column:
     return F.transform(F.from_json(text, "array<long>"), lambda c: F.when(c < 0, F.lit(UNSET_CELL)).otherwise(c))
 
 
+def ids(text: Column) -> Column:
+    """The elements of a JSON array that are unsigned whole numbers; empty for anything else."""
+    found = F.filter(F.from_json(text, "array<string>"), lambda x: x.rlike("^[0-9]+$"))
+    return F.coalesce(F.transform(found, lambda x: x.try_cast("long")), F.array().cast("array<long>"))
+
+
+#: How the text of a JSON field becomes a column, by its kind; other kinds are SQL types.
+_READ = {
+    "flag": flag, "ids": ids, "path": path_cells, "feature": feature_kind, "people": lambda x: one_of(x, PEOPLE), "culture": lambda x: one_of(x, PEOPLE_OR_LAKE),
+    "form": lambda x: one_of(x, FORMS),
+}
+
+
+def _derived(rows: DataFrame, name: str) -> DataFrame:
+    """Columns that follow from others: the groups of features and the port of a burg."""
+    if name == "features":
+        lake = F.when((F.col("kind") == "lake") & F.col("group").isin(*LAKES), F.col("group"))
+        return rows.withColumns({"land_group": F.when(F.col("is_land"), one_of(F.coalesce("group", F.lit("")), LAND)), "lake_group": lake}).drop("group")
+    if name == "burgs":
+        return rows.withColumn("port_feature", F.when(F.col("port"), F.col("feature"))).drop("port")
+    return rows
+
+
+def catalog(files: DataFrame, name: str) -> DataFrame:
+    """path, pos and the fields of a JSON catalog; elements that are no objects are left out, as is a placeholder."""
+    at, skip, fields = CATALOGS[name]
+    rows = files.select("path", F.posexplode_outer(F.from_json(sanitised(slot(at)), "array<string>")).alias("pos", "item"))
+    rows = rows.where(F.col("item").startswith("{") & (F.lit(not skip) | (F.col("pos") > 0)))
+    text = lambda key: F.get_json_object("item", f"$.{key}")
+    return _derived(rows.select("path", "pos", *((_READ[kind](text(key)) if kind in _READ else text(key).try_cast(kind)).alias(n) for n, (key, kind) in fields.items())), name)
+
+
+def grid_general(files: DataFrame) -> DataFrame:
+    """path, spacing, cells_x, cells_y, cells_desired (all cells, if the file says 0), points, boundary of the grid."""
+    schema = "struct<spacing:float,cellsX:long,cellsY:long,cellsDesired:long,points:array<array<float>>,boundary:array<array<float>>>"
+    g = files.where(slot(6).isNotNull()).select("path", F.from_json(slot(6), schema).alias("g"))
+    desired = F.expr("coalesce(nullif(g.cellsDesired, 0), g.cellsX * g.cellsY)")
+    point = lambda name: F.transform(f"g.{name}", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return g.select("path", "g.spacing", F.col("g.cellsX").alias("cells_x"), F.col("g.cellsY").alias("cells_y"), desired.alias("cells_desired"), point("points").alias("points"), F.coalesce(point("boundary"), F.array().cast("array<struct<x:float,y:float>>")).alias("boundary"))
+
+
+def grid_features(files: DataFrame) -> DataFrame:
+    """path, id, kind, is_land, touches_border, land_group of the grid's features; land is an island."""
+    items = files.select("path", F.posexplode_outer(F.from_json(F.get_json_object(slot(6), "$.features"), "array<string>")).alias("pos", "item")).where("pos > 0 AND item LIKE '{%'")
+    text = lambda key: F.get_json_object("item", f"$.{key}")
+    rows = items.select("path", text("i").try_cast("long").alias("id"), feature_kind(text("type")).alias("kind"), flag(text("land")).alias("is_land"), flag(text("border")).alias("touches_border"))
+    return rows.where("id IS NOT NULL").withColumn("land_group", F.when(F.col("is_land"), "island"))
+
+
+def grid_feature_kinds(files: DataFrame) -> DataFrame:
+    """path, id, kind for every id from 0 to the largest; ids that no feature has are oceans."""
+    found = grid_features(files).groupBy("path", "id").agg(F.max_by("kind", "id").alias("kind"))
+    every = found.groupBy("path").agg(F.max("id").alias("most")).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"))).alias("id"))
+    return every.join(found, ["path", "id"], "left").select("path", "id", F.coalesce("kind", F.lit("ocean")).alias("kind"))
+
+
 def coordinates(files: DataFrame) -> DataFrame:
     at = lambda k: F.get_json_object(slot(2), f"$.{k}").try_cast("float")
     return files.select("path", at("latT").alias("lat_t"), at("latN").alias("lat_n"), at("latS").alias("lat_s"), F.coalesce(at("lonL"), at("lonW"), F.lit(0.0)).alias("lon_l"), F.coalesce(at("lonR"), at("lonE"), F.lit(0.0)).alias("lon_r"), slot(2).alias("extras"))
