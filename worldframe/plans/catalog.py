@@ -81,14 +81,19 @@ def height_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _side(a: str, b: str, k: int) -> str:
-    t = f"CASE WHEN abs({b}.height - {a}.height) < 1e-8 THEN 0.5e0 ELSE (l.level - {a}.height) * 1e0 / ({b}.height - {a}.height) END"
-    return f"""SELECT a.cell_id, l.level, {k} AS k, {a}.x + {t} * ({b}.x - {a}.x) AS x, {a}.y + {t} * ({b}.y - {a}.y) AS y FROM cells a
-        JOIN cells b ON b.cell_id = a.cell_id + 1 JOIN cells c ON c.cell_id = a.cell_id + 101 JOIN cells d ON d.cell_id = a.cell_id + 100
-        CROSS JOIN (SELECT range AS level FROM range(10, 91, 10)) l WHERE a.cx < 99 AND ({a}.height >= l.level) <> ({b}.height >= l.level)"""
+    t = f"CASE WHEN abs({b}_h - {a}_h) < 1e-8 THEN 0.5e0 ELSE (level - {a}_h) * 1e0 / ({b}_h - {a}_h) END"
+    return f"SELECT cell_id, level, {k} AS k, {a}_x + {t} * ({b}_x - {a}_x) AS x, {a}_y + {t} * ({b}_y - {a}_y) AS y FROM levels WHERE ({a}_h >= level) <> ({b}_h >= level)"
 
 
-@query(_with(("cells",), more=("sides AS (" + " UNION ALL ".join(_side(a, b, k) for k, (a, b) in enumerate((("a", "b"), ("b", "c"), ("d", "c"), ("a", "d")))) + ")",
-    "ranked AS (SELECT *, row_number() OVER (PARTITION BY cell_id, level ORDER BY k) - 1 AS i FROM sides)"))
+_CORNERS = ", ".join(f"{n}.{c} AS {n}_{k}" for n in "abcd" for c, k in (("x", "x"), ("y", "y"), ("height", "h")))
+
+
+@query(_with(("cells",), more=(
+    "lattice AS MATERIALIZED (SELECT cell_id, cx, x, y, height FROM cells)",
+    f"squares AS MATERIALIZED (SELECT a.cell_id, {_CORNERS} FROM lattice a JOIN lattice b ON b.cell_id = a.cell_id + 1 JOIN lattice c ON c.cell_id = a.cell_id + 101 JOIN lattice d ON d.cell_id = a.cell_id + 100 WHERE a.cx < 99)",
+    "levels AS MATERIALIZED (SELECT * FROM squares, (SELECT range AS level FROM range(10, 91, 10)) l)",
+    "sides AS (" + " UNION ALL ".join(_side(a, b, k) for k, (a, b) in enumerate((("a", "b"), ("b", "c"), ("d", "c"), ("a", "d")))) + ")",
+    "ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cell_id, level ORDER BY k) - 1 AS i FROM sides)"))
     + f"""SELECT CAST(p.level AS BIGINT) AS level, p.cell_id, CAST(p.i // 2 AS BIGINT) AS part, {R4.format('p.x')} AS x1, {R4.format('p.y')} AS y1, {R4.format('q.x')} AS x2, {R4.format('q.y')} AS y2
     FROM ranked p JOIN ranked q ON p.cell_id = q.cell_id AND p.level = q.level AND q.i = p.i + 1 WHERE p.i % 2 = 0""")
 def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
