@@ -218,7 +218,7 @@ class Page:
             if name == "p" or name in like:
                 self._pop(k)
                 return
-            if name in BLOCK:
+            if name in BLOCK or self.stack[k].after is not None:
                 return
 
     def _close(self, tag: str) -> None:
