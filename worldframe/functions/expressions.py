@@ -74,3 +74,11 @@ def nice_spacing(extent: str, parts: int) -> str:
     raw = f"({extent} / {num(parts)})"
     power = f"power(1e1, floor(log10(greatest({raw}, 1e0))))"
     return f"greatest(1e0, CASE WHEN {raw} <= {power} THEN {power} WHEN {raw} <= 2e0 * {power} THEN 2e0 * {power} WHEN {raw} <= 5e0 * {power} THEN 5e0 * {power} ELSE 1e1 * {power} END)"
+
+
+def edge_point(x: str, y: str, width: str, height: str) -> tuple[str, str]:
+    """The nearest point on the map's edge; on ties top before bottom, left and right."""
+    below, beyond = f"({height} - {y})", f"({width} - {x})"
+    top = f"{y} <= {below} AND {y} <= {x} AND {y} <= {beyond}"
+    bottom = f"{below} <= {x} AND {below} <= {beyond}"
+    return (f"CASE WHEN {top} OR {bottom} THEN {x} WHEN {x} <= {beyond} THEN 0e0 ELSE {width} END", f"CASE WHEN {top} THEN 0e0 WHEN {bottom} THEN {height} ELSE {y} END")

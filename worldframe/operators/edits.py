@@ -27,8 +27,33 @@ def last_writes(commands: DataFrame) -> DataFrame:
 
 
 def apply(entities: DataFrame, commands: DataFrame, entity: str) -> DataFrame:
-    """entities with names (trimmed) and colours (normalised) of the accepted commands."""
+    """entities with names (trimmed), colours (normalised) and, where they have one, government forms (op form) of the accepted commands."""
     ok = last_writes(checked(commands, entities, entity)[0])
-    wide = ok.groupBy("id").agg(F.max(F.when(F.col("op") == "rename", F.trim("value"))).alias("__name"), F.max(F.when(F.col("op") == "recolor", F.concat(F.lit("#"), F.lower(F.regexp_replace("value", "^#", ""))))).alias("__colour"))
+    wide = ok.groupBy("id").agg(F.max(F.when(F.col("op") == "rename", F.trim("value"))).alias("__name"), F.max(F.when(F.col("op") == "recolor", F.concat(F.lit("#"), F.lower(F.regexp_replace("value", "^#", ""))))).alias("__colour"), F.max(F.when(F.col("op") == "form", F.col("value"))).alias("__form"))
     joined = entities.join(wide, "id", "left")
-    return joined.withColumns({"name": F.coalesce("__name", "name"), "colour": F.coalesce("__colour", "colour")}).select(*entities.columns)
+    return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in ("name", "colour", "form") if c in entities.columns}).select(*entities.columns)
+
+
+def capitals(burgs: DataFrame, states: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(burgs, states) after commands of op capital (value true or false) on burgs, in order of seq.
+
+    A burg made capital takes the rank from the others of its state (but not in state 0) and gives the state its cell as centre.
+    burgs: id, cell, state, removed, is_capital; states: id, center_cell.
+    """
+    mine = checked(commands.where(F.col("op") == "capital"), burgs, "burg")[0].select("id", "seq", (F.col("value") == "true").alias("on"))
+    told = mine.join(burgs.select("id", "state", "cell"), "id")
+    own = told.groupBy("id").agg(F.max("seq").alias("__seq"), F.max_by("on", "seq").alias("__on"))
+    raised = told.where("on AND state > 0").groupBy("state").agg(F.max("seq").alias("__last"), F.max_by("cell", "seq").alias("__cell"))
+    joined = burgs.join(own, "id", "left").join(raised.drop("__cell"), "state", "left")
+    now = F.expr("CASE WHEN __last IS NULL THEN coalesce(__on, is_capital) ELSE coalesce(__on AND __seq = __last, false) END")
+    seated = states.join(raised.select(F.col("state").alias("id"), "__cell"), "id", "left").withColumn("center_cell", F.coalesce("__cell", "center_cell"))
+    return joined.withColumn("is_capital", now).select(*burgs.columns), seated.select(*states.columns)
+
+
+def selection(chosen: DataFrame, entities: dict[str, DataFrame]) -> DataFrame:
+    """chosen with name and colour buffers of the entity that each row (entity, id) selects; kinds that are not given, and unknown ids, leave them empty."""
+    rows = [df.select(F.lit(kind).alias("entity"), "id", "name", (F.col("colour") if "colour" in df.columns else F.lit("")).alias("colour")) for kind, df in entities.items()]
+    known = rows[0]
+    for more in rows[1:]:
+        known = known.unionByName(more)
+    return chosen.join(known, ["entity", "id"], "left").withColumns({"name": F.coalesce("name", F.lit("")), "colour": F.coalesce("colour", F.lit(""))})

@@ -61,13 +61,13 @@ def components(cells: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
 
 
 def trace(starts: DataFrame, pointers: DataFrame) -> DataFrame:
-    """start, step, cell_id: the path from each start along (src, dst) to its end."""
-    at = cut(starts.select(F.col("cell_id").alias("start"), F.lit(0).cast("long").alias("step"), "cell_id"))
-    out = at
-    hop = pointers.select(F.col("src").alias("cell_id"), F.col("dst").alias("to"))
-    while not at.isEmpty():
-        at = cut(at.join(hop, "cell_id").select("start", (F.col("step") + 1).alias("step"), F.col("to").alias("cell_id")))
-        out = out.unionByName(at)
+    """start, step, cell_id: the path from each start along (src, dst) to its end; known steps and the length of a hop double in each round."""
+    out = cut(starts.select(F.col("cell_id").alias("start"), F.lit(0).cast("long").alias("step"), "cell_id"))
+    hop, size = cut(pointers.select(F.col("src").alias("cell_id"), F.col("dst").alias("to"))), 1
+    while not hop.isEmpty():
+        onward = out.join(hop, "cell_id").select("start", (F.col("step") + size).alias("step"), F.col("to").alias("cell_id"))
+        out = cut(out.unionByName(onward))
+        hop, size = cut(hop.join(hop.select(F.col("cell_id").alias("to"), F.col("to").alias("far")), "to").select("cell_id", F.col("far").alias("to"))), 2 * size
     return out
 
 
@@ -103,27 +103,20 @@ def contours(cells: DataFrame, columns: int = 100) -> DataFrame:
     return pairs.select("level", "cell_id", F.col("part").cast("long").alias("part"), *(r(f"p[2 * part + {k}].{c}").alias(f"{c}{k + 1}") for k in (0, 1) for c in ("x", "y")))
 
 
-def reach(starts: DataFrame, edges: DataFrame, passable: DataFrame) -> DataFrame:
-    """label, cell_id: the cells that each label's start reaches over passable cells, frontier by frontier."""
-    found = cut(starts.select("label", "cell_id").distinct())
-    front = found
-    while not front.isEmpty():
-        step = front.join(edges.select(F.col("src").alias("cell_id"), "dst"), "cell_id").select("label", F.col("dst").alias("cell_id")).distinct()
-        front = cut(step.join(passable, "cell_id", "left_semi").select("label", "cell_id").join(found, ["label", "cell_id"], "left_anti"))
-        found = cut(found.unionByName(front))
-    return found
-
-
 def close_lakes(cells: DataFrame, edges: DataFrame, lakes: DataFrame, rise: int = 20, lake_height: int = 19) -> DataFrame:
-    """lake, closed: a lake is closed if its lowest shore does not reach other water below its height plus rise.
+    """lake, closed: a lake is closed if no way over cells below its height plus rise leads from its lowest shore to other water.
 
-    Cells of a lake are the water cells whose province is its id; lakes that touch the border are open.
+    cells: cell_id, height, feature; lakes: id. The ways are the connected parts of the passable cells, found once for all lakes.
     """
-    water = cells.where("height < 20").select(F.col("cell_id").alias("src"), F.col("province").alias("label"))
-    shore = edges.join(water, "src").join(cells.where("height >= 20").select(F.col("cell_id").alias("dst"), "height"), "dst")
-    low = shore.groupBy("label").agg(F.min(F.struct("height", F.col("dst").alias("cell_id"))).alias("at")).select("label", F.col("at.cell_id").alias("cell_id"))
-    inner = lakes.where(~F.col("touches_border")).select(F.col("id").alias("label"))
-    found = reach(low.join(inner, "label"), edges, cells.where(F.col("height") < lake_height + rise).select("cell_id"))
-    other = cells.where("height < 20").select("cell_id", "province")
-    open_lakes = found.join(other, "cell_id").where("province <> label").select("label").distinct().withColumn("open", F.lit(True))
-    return inner.join(open_lakes, "label", "left").select(F.col("label").alias("lake"), F.col("open").isNull().alias("closed"))
+    low_cells = cells.where(F.col("height") < lake_height + rise).select("cell_id", F.lit(1).alias("kind"))
+    inside = edges.join(low_cells.select(F.col("cell_id").alias("src")), "src", "left_semi").join(low_cells.select(F.col("cell_id").alias("dst")), "dst", "left_semi")
+    parts = components(low_cells, inside, "kind")
+    water = cells.where("height < 20").join(parts, "cell_id").groupBy("region").agg(F.min("feature").alias("least"), F.max("feature").alias("most"))
+    own = lakes.select(F.col("id").alias("feature"))
+    wet = cells.where("height < 20").join(own, "feature").select(F.col("cell_id").alias("src"), F.col("feature").alias("lake"))
+    shore = edges.join(wet, "src").join(cells.where("height >= 20").select(F.col("cell_id").alias("dst"), "height"), "dst")
+    low = shore.groupBy("lake").agg(F.min(F.struct("height", "dst")).alias("at")).select("lake", F.col("at.dst").alias("src"))
+    # The shore itself may be too high to pass; its neighbours are tried too.
+    tried = low.join(edges.select("src", "dst"), "src").select("lake", F.explode(F.array("src", "dst")).alias("cell_id")).distinct()
+    met = tried.join(parts, "cell_id").join(water, "region").where("least <> lake OR most <> lake").select("lake").distinct().withColumn("open", F.lit(True))
+    return own.withColumnRenamed("feature", "lake").join(met, "lake", "left").select("lake", F.col("open").isNull().alias("closed"))

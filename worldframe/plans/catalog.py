@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worldframe.functions.palette import height_colours
-from worldframe.operators import edits, graph, hydrology, isolines, mesh, nearest, polyline
+from worldframe.operators import edits, graph, hydrology, isolines, mesh, nearest, polyline, rivers
+from worldframe.plans.lineage import cut
 from worldframe.plans.relational import PLANS
 from worldframe.sinks import svg
 from worldframe.sources import derived, mapfile
@@ -28,6 +29,14 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return derived.FRAMES[name](spark, sf_dir)
 
 
+def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The named inputs; the components that places and features share are found once."""
+    made = {n: frame(spark, sf_dir, n) for n in names if n != "features"}
+    if "features" in names:
+        made["features"] = derived.features(spark, sf_dir, made.get("places"))
+    return made
+
+
 ZONES = "zones AS (SELECT CAST(z AS BIGINT) AS zone, cell_id FROM cells CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(z) WHERE cell_id % (z + 3) = 0)"
 
 
@@ -40,7 +49,7 @@ def _with(needs: tuple[str, ...], recursive: bool = False, more: tuple[str, ...]
 
 def _plan(name: str) -> Query:
     plan = PLANS[name]
-    return lambda spark, sf_dir: plan.run(spark, **{n: frame(spark, sf_dir, n) for n in plan.needs})
+    return lambda spark, sf_dir: plan.run(spark, **frames(spark, sf_dir, plan.needs))
 
 
 for _name, _p in PLANS.items():
@@ -332,13 +341,50 @@ def svg_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return svg.svg_lines(*(frame(spark, sf_dir, n) for n in ("cells", "edges", "burgs")))
 
 
-@query()
+@query(_with(("states",)) + """SELECT s.id, coalesce(r.name, s.name) AS name, coalesce(c.colour, s.colour) AS colour, s.removed FROM states s
+    LEFT JOIN (SELECT event_id % 30 AS id, concat('S', max(event_id)) AS name FROM events WHERE event_id % 2 = 0 GROUP BY 1) r ON s.id = r.id AND s.id <> 0 AND NOT s.removed
+    LEFT JOIN (SELECT event_id % 30 AS id, printf('#%06x', max(event_id)) AS colour FROM events WHERE event_id % 2 = 1 GROUP BY 1) c ON s.id = c.id AND s.id <> 0 AND NOT s.removed""")
 def edit_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of commands, made from events, applied to the states."""
     made = frame(spark, sf_dir, "events").selectExpr("event_id AS seq", "'state' AS entity", "event_id % 30 AS id", "CASE WHEN event_id % 2 = 0 THEN 'rename' ELSE 'recolor' END AS op", "CASE WHEN event_id % 2 = 0 THEN concat(' S', event_id, ' ') ELSE printf('#%06X', event_id) END AS value")
     return edits.apply(frame(spark, sf_dir, "states"), made, "state")
 
 
+@query(_with(("provinces", "states")) + """SELECT p.id, coalesce(r.name, p.name) AS name, coalesce(f.form, 'anarchy') AS form FROM provinces p
+    LEFT JOIN (SELECT event_id % 9 AS id, concat('P', max(event_id)) AS name FROM events WHERE event_id % 3 = 0 GROUP BY 1) r ON p.id = r.id AND p.id <> 0 AND NOT p.removed
+    LEFT JOIN (SELECT event_id % 9 AS id, concat('f', max(event_id) % 4) AS form FROM events WHERE event_id % 3 = 1 GROUP BY 1) f ON p.id = f.id AND p.id <> 0 AND NOT p.removed""")
+def province_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and forms set by events; a third of the renames is empty and is refused."""
+    made = frame(spark, sf_dir, "events").selectExpr("event_id AS seq", "'province' AS entity", "event_id % 9 AS id", "CASE WHEN event_id % 3 = 1 THEN 'form' ELSE 'rename' END AS op", "CASE event_id % 3 WHEN 0 THEN concat('P', event_id, ' ') WHEN 1 THEN concat('f', event_id % 4) ELSE '  ' END AS value")
+    return edits.apply(frame(spark, sf_dir, "provinces").withColumn("form", F.lit("anarchy")), made, "province").select("id", "name", "form")
+
+
+_CAPITALS = """told AS (SELECT o_orderkey AS seq, o_custkey AS id, o_orderkey % 3 <> 0 AS made, b.state, b.cell FROM orders JOIN burgs b ON o_custkey = b.id WHERE NOT b.removed),
+    last AS (SELECT t.* FROM told t JOIN (SELECT state, max(seq) AS seq FROM told WHERE made AND state > 0 GROUP BY state) m ON t.state = m.state AND t.seq = m.seq)"""
+
+
+def _capital_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    made = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS seq", "'burg' AS entity", "o_custkey AS id", "'capital' AS op", "CASE WHEN o_orderkey % 3 <> 0 THEN 'true' ELSE 'false' END AS value")
+    return edits.capitals(frame(spark, sf_dir, "burgs"), frame(spark, sf_dir, "states").withColumn("center_cell", F.lit(-1).cast("long")), made)
+
+
+@query(_with(("burgs",), more=(_CAPITALS,)) + """SELECT b.id, CASE WHEN l.seq IS NOT NULL THEN b.id = l.id AND NOT EXISTS (SELECT 1 FROM told t WHERE t.id = b.id AND t.seq > l.seq) WHEN x.id IS NULL THEN b.is_capital ELSE x.made END AS is_capital
+    FROM burgs b LEFT JOIN last l ON b.state = l.state LEFT JOIN (SELECT id, arg_max(made, seq) AS made FROM told GROUP BY id) x ON b.id = x.id""")
+def capital_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _capital_edits(spark, sf_dir)[0].select("id", "is_capital")
+
+
+@query(_with(("burgs", "states"), more=(_CAPITALS,)) + "SELECT s.id, CAST(coalesce(l.cell, -1) AS BIGINT) AS center_cell FROM states s LEFT JOIN last l ON s.id = l.state")
+def capital_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _capital_edits(spark, sf_dir)[1].select("id", "center_cell")
+
+
+@query(_with(("states", "provinces", "burgs")) + """SELECT e.event_id, CASE e.event_id % 4 WHEN 0 THEN coalesce(s.name, '') WHEN 1 THEN coalesce(p.name, '') WHEN 2 THEN coalesce(b.name, '') ELSE '' END AS name,
+    CASE e.event_id % 4 WHEN 0 THEN coalesce(s.colour, '') WHEN 1 THEN coalesce(p.colour, '') ELSE '' END AS colour
+    FROM events e LEFT JOIN states s ON e.user_id = s.id LEFT JOIN provinces p ON e.user_id = p.id LEFT JOIN burgs b ON e.user_id = b.id""")
+def entity_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = frame(spark, sf_dir, "events").selectExpr("event_id", "user_id AS id", "element_at(array('state', 'province', 'burg', 'culture'), CAST(event_id % 4 AS INT) + 1) AS entity")
+    return edits.selection(chosen, {"state": frame(spark, sf_dir, "states"), "province": frame(spark, sf_dir, "provinces"), "burg": frame(spark, sf_dir, "burgs")}).select("event_id", "name", "colour")
 
 
 @query(_with(("cells",)) + "SELECT c.cell_id, p.r, p.g, p.b FROM cells c JOIN (VALUES " + ", ".join(f"({h}, {r!r}e0, {g!r}e0, {b!r}e0)" for h, r, g, b in height_colours()) + ") p(h, r, g, b) ON least(c.height, 100) = p.h")
@@ -348,14 +394,104 @@ def height_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "cells").join(F.broadcast(ramp), F.least("height", F.lit(100)) == F.col("h")).select("cell_id", "r", "g", "b")
 
 
-@query(_with(("edges", "features"), True, ("""low AS (SELECT label, cell_id FROM (SELECT w.province AS label, e.dst AS cell_id, row_number() OVER (PARTITION BY w.province ORDER BY b.height, e.dst) AS k
-    FROM edges e JOIN cells w ON e.src = w.cell_id JOIN cells b ON e.dst = b.cell_id WHERE w.height < 20 AND b.height >= 20) WHERE k = 1)""",
-    "lake AS (SELECT id AS label FROM features WHERE kind = 'lake' AND NOT touches_border)",
-    "walk(label, cell_id) AS (SELECT l.label, l.cell_id FROM low l JOIN lake k ON l.label = k.label UNION SELECT w.label, e.dst FROM walk w JOIN edges e ON w.cell_id = e.src JOIN cells c ON e.dst = c.cell_id WHERE c.height < 39)"))
-    + "SELECT k.label AS lake, count(w.cell_id) = 0 AS closed FROM lake k LEFT JOIN (SELECT w.label, w.cell_id FROM walk w JOIN cells c ON w.cell_id = c.cell_id WHERE c.height < 20 AND c.province <> w.label) w ON k.label = w.label GROUP BY k.label")
+_LAKES = ("cells", "edges", "places", "features")
+_SHORE = """shore AS (SELECT f.id AS lake, e.dst AS out_cell, b.height FROM features f JOIN places p ON f.id = p.feature JOIN edges e ON p.cell_id = e.src JOIN cells b ON e.dst = b.cell_id WHERE f.kind = 'lake' AND b.height >= 20),
+    low AS MATERIALIZED (SELECT lake, arg_min(out_cell, (height, out_cell)) AS out_cell FROM shore GROUP BY lake)"""
+
+
+def _featured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """cells with their feature, edges, features; the components are found once."""
+    made = frames(spark, sf_dir, _LAKES)
+    return cut(made["cells"].join(made["places"], "cell_id")), made["edges"], cut(made["features"])
+
+
+@query(_with(_LAKES, True, (_SHORE, "walk(lake, cell_id) AS (SELECT lake, out_cell FROM low UNION SELECT w.lake, e.dst FROM walk w JOIN edges e ON w.cell_id = e.src JOIN cells c ON e.dst = c.cell_id WHERE c.height < 39)"))
+    + "SELECT k.lake, bool_and(p.feature = k.lake OR c.height >= 20) AS closed FROM walk k JOIN cells c ON k.cell_id = c.cell_id JOIN places p ON k.cell_id = p.cell_id GROUP BY k.lake")
 def close_lakes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lakes = frame(spark, sf_dir, "features").where("kind = 'lake'")
-    return graph.close_lakes(frame(spark, sf_dir, "cells"), frame(spark, sf_dir, "edges"), lakes)
+    cells, edges, features = _featured(spark, sf_dir)
+    return graph.close_lakes(cells, edges, features.where("kind = 'lake'"))
+
+
+@query(_with(_LAKES, more=(_SHORE,)) + """SELECT l.lake, l.out_cell, arg_min(e.dst, e.slot) AS lake_cell FROM low l JOIN edges e ON l.out_cell = e.src JOIN places p ON e.dst = p.cell_id AND p.feature = l.lake GROUP BY ALL""")
+def lake_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, edges, features = _featured(spark, sf_dir)
+    return rivers.outlets(cells, edges, features.where("kind = 'lake'"))
+
+
+@query(_with((*_LAKES, "streams"), True, (_SHORE, """leg AS MATERIALIZED (SELECT r.river, f.kind, f.id AS feature, s.river AS onward FROM (SELECT DISTINCT river FROM streams WHERE river <> 0) r JOIN places p ON r.river - 1 = p.cell_id JOIN features f ON p.feature = f.id
+    LEFT JOIN low l ON f.id = l.lake LEFT JOIN streams s ON l.out_cell = s.cell_id AND s.river <> 0)""", "chain(river, here) AS (SELECT river, river FROM leg UNION SELECT c.river, g.onward FROM chain c JOIN leg g ON c.here = g.river WHERE g.kind = 'lake' AND g.onward IS NOT NULL)"))
+    + "SELECT c.river, max(CASE WHEN g.kind = 'ocean' OR g.kind = 'lake' AND g.onward IS NULL THEN g.feature END) AS drain FROM chain c JOIN leg g ON c.here = g.river GROUP BY c.river")
+def drain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each river ends, through the lakes on its way."""
+    cells, edges, features = _featured(spark, sf_dir)
+    flow = cut(frame(spark, sf_dir, "streams")).where("river <> 0")
+    leaves = rivers.outlets(cells, edges, features.where("kind = 'lake'")).join(flow.selectExpr("cell_id AS out_cell", "river"), "out_cell").select("lake", "river")
+    return rivers.drains(flow.select("river", (F.col("river") - 1).alias("cell_id")).distinct(), cells, features, leaves)
+
+
+# Rings, perimeters and the shapes of rivers.
+@query(_with(("cells",)) + """SELECT cell_id, pos, x + CASE WHEN pos IN (1, 2) THEN 5e0 ELSE -5e0 END AS x, y + CASE WHEN pos >= 2 THEN 5e0 ELSE -5e0 END AS y FROM cells, (SELECT range AS pos FROM range(4)) r""")
+def cell_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rivers.cell_rings(frame(spark, sf_dir, "rings"), frame(spark, sf_dir, "vertices"))
+
+
+@query("""SELECT o.o_custkey AS id, CAST(o.pos AS BIGINT) AS pos, c.x, c.y FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders) o
+    JOIN (SELECT o_orderkey AS v, (o_orderkey % 100) * 10e0 AS x, (o_orderkey // 100) * 10e0 AS y FROM orders WHERE o_orderkey % 11 <> 0) c ON o.o_orderkey = c.v""")
+def perimeter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of a customer as a perimeter; every eleventh vertex is unknown."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    around = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("vertices"))
+    return rivers.perimeters(around, orders.where("o_orderkey % 11 <> 0").selectExpr("o_orderkey AS vertex", "(o_orderkey % 100) * 10e0 AS x", "(o_orderkey DIV 100) * 10e0 AS y"))
+
+
+def _river_paths(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+    """river, pos, cell_id: ways down from the heights; every seventh goes on to the map's edge (null)."""
+    way = graph.trace(cells.where("height >= 90"), graph.down(cells, frame(spark, sf_dir, "edges")))
+    over = way.where("start % 7 = 0").groupBy("start").agg((F.max("step") + 1).alias("step")).withColumn("cell_id", F.lit(None).cast("long"))
+    return way.unionByName(over).withColumnsRenamed({"start": "river", "step": "pos"})
+
+
+_PATHS = ("walk(river, pos, cell_id) AS (SELECT cell_id, CAST(0 AS BIGINT), cell_id FROM cells WHERE height >= 90 UNION ALL SELECT k.river, k.pos + 1, d.dst FROM walk k JOIN down d ON k.cell_id = d.src)",
+    """ended AS MATERIALIZED (SELECT w.*, c.x, c.y, c.height, max(pos) OVER (PARTITION BY river) AS top FROM walk w JOIN cells c ON w.cell_id = c.cell_id)""")
+
+
+@query(_with(("edges",), True, (DOWN, *_PATHS, "edge AS (SELECT * FROM ended WHERE river % 7 = 0 AND pos = top)"))
+    + f"""SELECT e.river, e.pos, {R4.format('CASE WHEN e.pos = e.top AND e.height < 20 THEN (e.x + b.x) / 2 ELSE e.x END')} AS x, {R4.format('CASE WHEN e.pos = e.top AND e.height < 20 THEN (e.y + b.y) / 2 ELSE e.y END')} AS y
+    FROM ended e LEFT JOIN ended b ON e.river = b.river AND b.pos = e.pos - 1
+    UNION ALL SELECT river, pos + 1, CASE WHEN least(y, 1500 - y) <= least(x, 1000 - x) THEN x WHEN x <= 1000 - x THEN 0e0 ELSE 1e3 END AS x,
+    CASE WHEN least(y, 1500 - y) <= least(x, 1000 - x) THEN CASE WHEN y <= 1500 - y THEN 0e0 ELSE 15e2 END ELSE y END AS y FROM edge WHERE height >= 20""")
+def river_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors of every river; on the lattice a coast lies half way between two cells."""
+    cells = frame(spark, sf_dir, "cells")
+    line = rivers.clipped(rivers.anchors(_river_paths(spark, sf_dir, cells), cells, 1000.0, 1500.0), cells, rivers.cell_rings(frame(spark, sf_dir, "rings"), frame(spark, sf_dir, "vertices")))
+    return line.selectExpr("river", "pos", R4.format("x") + " AS x", R4.format("y") + " AS y")
+
+
+@query()
+def river_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = frame(spark, sf_dir, "cells")
+    paths = cut(_river_paths(spark, sf_dir, cells))
+    known = cells.where("height >= 90").selectExpr("cell_id AS river", "population / 1e1 AS discharge", "1.2e0 AS width_factor", "5e-2 AS source_width")
+    return rivers.shapes(paths, known, cells, rivers.cell_rings(frame(spark, sf_dir, "rings"), frame(spark, sf_dir, "vertices")), 1000.0, 1500.0)
+
+
+@query(_with(("points",), more=("sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM points)", "spots AS (SELECT id, CAST(r.range AS BIGINT) AS pos, n FROM (SELECT id, count(*) AS n FROM points GROUP BY id), range(1000000) r WHERE r.range < 3 * n)"))
+    + "SELECT s.id, s.pos, max(coalesce(p.flux, 0e0)) OVER (PARTITION BY s.id ORDER BY s.pos) AS flux FROM spots s LEFT JOIN sized p ON s.id = p.id AND s.pos = 3 * p.pos")
+def river_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three points for each cell of the path."""
+    path = frame(spark, sf_dir, "points").select("id", "pos", "flux")
+    line = path.selectExpr("id", "explode(array(3 * pos, 3 * pos + 1, 3 * pos + 2)) AS pos")
+    return rivers.anchor_flux(line, path)
+
+
+@query()
+def river_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rivers of each state, a map of its own, after those that exist already (burgs stand for them)."""
+    cells = frame(spark, sf_dir, "cells").withColumn("map_id", F.col("state"))
+    own = cells.select("cell_id", "map_id")
+    near = frame(spark, sf_dir, "edges").join(own.selectExpr("cell_id AS src", "map_id AS a"), "src").join(own.selectExpr("cell_id AS dst", "map_id AS b"), "dst").where("a = b").select("src", "slot", "dst")
+    old = frame(spark, sf_dir, "burgs").selectExpr("-id AS id", "name", "'Creek' AS type_name", "-(id - id % 5) AS parent")
+    return rivers.generate(cells, near, old, erosion=True)[1]
 
 
 @query()

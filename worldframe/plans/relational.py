@@ -49,13 +49,13 @@ _DOWN = """SELECT src, dst FROM (SELECT e.src, e.dst, row_number() OVER (PARTITI
 
 PLANS: dict[str, Plan] = {
     # Flagship: the cell inspector.
-    "inspector_join": Plan(("cells", "biomes", "states", "cultures", "burgs"), f"""SELECT c.cell_id, c.height, {E.rn(E.height_display('c.height'), 4)} AS height_display,
+    "inspector_join": Plan(("cells", "biomes", "states", "cultures", "provinces", "burgs"), f"""SELECT c.cell_id, c.height, {E.rn(E.height_display('c.height'), 4)} AS height_display,
         coalesce(b.name, '?') AS biome_name, CASE WHEN c.state = 0 THEN 'Wildlands' ELSE coalesce(s.name, '?') END AS state_name,
         CASE WHEN c.culture = 0 THEN 'Wildlands' ELSE coalesce(k.name, '?') END AS culture_name,
-        CASE WHEN c.province = 0 THEN '—' ELSE concat('Province ', CAST(c.province AS VARCHAR(20))) END AS province_name,
+        CASE WHEN c.province = 0 THEN '—' ELSE coalesce(p.name, '?') END AS province_name,
         coalesce(t.name, '—') AS burg_name, {E.whole('c.population * 1e3 + 5e-1')} AS population_people
         FROM {{cells}} c LEFT JOIN {{biomes}} b ON c.biome = b.id LEFT JOIN {{states}} s ON c.state = s.id LEFT JOIN {{cultures}} k ON c.culture = k.id
-        LEFT JOIN {{burgs}} t ON c.cell_id = t.cell"""),
+        LEFT JOIN {{provinces}} p ON c.province = p.id LEFT JOIN {{burgs}} t ON c.cell_id = t.cell"""),
     # Scalar projections.
     "height_display": Plan(("cells",), f"SELECT c.cell_id, {E.rn(E.height_display('c.height'), 4)} AS metres, {E.rn(E.height_display('c.height', '1.8e0', True), 4)} AS feet FROM {{cells}} c"),
     "js_round": Plan(("points",), f"SELECT p.event_id, {E.rn('p.y - 5e1')} AS r0, {E.rn('p.y - 5e1', 1)} AS r1, {E.rn('(p.event_id % 9 - 4) / 2e0')} AS half FROM {{points}} p"),
@@ -65,7 +65,9 @@ PLANS: dict[str, Plan] = {
     "population_color": Plan(("cells",), f"""SELECT q.cell_id, CASE WHEN q.t > 0 THEN {E.rn('0.1e0 + 0.9e0 * q.t', 6)} ELSE 0e0 END AS r, CASE WHEN q.t > 0 THEN {E.rn('0.9e0 * (1e0 - 0.8e0 * q.t)', 6)} ELSE 0e0 END AS g,
         CASE WHEN q.t > 0 THEN {E.rn('0.4e0 * (1e0 - q.t)', 6)} ELSE 0e0 END AS b, CASE WHEN q.t > 0 THEN {E.rn('0.6e0 + 0.4e0 * q.t', 6)} ELSE 0e0 END AS a
         FROM (SELECT c.cell_id, CASE WHEN c.population <= 0 OR m.top <= 0 THEN 0e0 ELSE least(1e0, sqrt(c.population / m.top)) END AS t FROM {{cells}} c JOIN (SELECT max(population) AS top FROM {{cells}}) m ON 1 = 1) q"""),
-    "lake_route_color": Plan(("features",), "SELECT f.id, CASE f.id % 6 WHEN 0 THEN 'freshwater' WHEN 1 THEN 'salt' WHEN 2 THEN 'dry' WHEN 3 THEN 'sinkhole' WHEN 4 THEN 'lava' ELSE 'other' END AS lake_group, CASE f.id % 3 WHEN 0 THEN 'roads' WHEN 1 THEN 'trails' ELSE 'searoutes' END AS route_group FROM {features} f"),
+    "lake_route_color": Plan(("features",), """SELECT q.id, q.lake_group, CASE WHEN q.lake_group IN ('dry', 'lava') THEN 0.7e0 ELSE 0.2e0 END AS lake_r, CASE q.lake_group WHEN 'dry' THEN 0.65e0 WHEN 'lava' THEN 0.25e0 ELSE 0.45e0 END AS lake_g, CASE q.lake_group WHEN 'dry' THEN 0.5e0 WHEN 'lava' THEN 0.1e0 ELSE 0.8e0 END AS lake_b,
+        q.route_group, CASE q.route_group WHEN 'roads' THEN 0.5e0 WHEN 'trails' THEN 0.6e0 ELSE 0.2e0 END AS route_r, CASE q.route_group WHEN 'roads' THEN 0.3e0 WHEN 'trails' THEN 0.5e0 ELSE 0.4e0 END AS route_g, CASE q.route_group WHEN 'roads' THEN 0.1e0 WHEN 'trails' THEN 0.3e0 ELSE 0.8e0 END AS route_b, CASE q.route_group WHEN 'roads' THEN 0.7e0 ELSE 0.5e0 END AS route_a
+        FROM (SELECT id, CASE id % 6 WHEN 0 THEN 'freshwater' WHEN 1 THEN 'salt' WHEN 2 THEN 'dry' WHEN 3 THEN 'sinkhole' WHEN 4 THEN 'lava' END AS lake_group, CASE id % 3 WHEN 0 THEN 'roads' WHEN 1 THEN 'trails' ELSE 'searoutes' END AS route_group FROM {features}) q"""),
     "relief_class": Plan(("cells",), "SELECT c.cell_id, c.height, CASE WHEN c.height >= 80 THEN 6e0 WHEN c.height >= 60 THEN 4e0 ELSE 2.5e0 END AS size FROM {cells} c WHERE c.height >= 40"),
     "normalize_hex": Plan(("states",), """SELECT q.id, q.raw, CASE WHEN length(q.h) = 6 AND length(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(q.h), '0', ''), '1', ''), '2', ''), '3', ''), '4', ''), '5', ''), '6', ''), '7', ''), '8', ''), '9', ''), 'a', ''), 'b', ''), 'c', ''), 'd', ''), 'e', ''), 'f', '')) = 0
         THEN concat('#', lower(q.h)) END AS hex FROM (SELECT s.id, s.raw, CASE WHEN substr(s.raw, 1, 1) = '#' THEN substr(s.raw, 2) ELSE s.raw END AS h FROM (SELECT id, CASE WHEN id % 5 = 4 THEN upper(replace(colour, '#', '')) WHEN id % 5 = 3 THEN concat(colour, 'Z') WHEN id % 5 = 2 THEN '#12G456' ELSE upper(colour) END AS raw FROM {states}) s) q"""),
@@ -78,11 +80,11 @@ PLANS: dict[str, Plan] = {
     "segment_intersection": Plan(("points",), f"""SELECT q.event_id, CASE WHEN abs(q.d) >= 1e-9 AND q.s >= 0 AND q.s <= 1 AND q.u >= 0 AND q.u <= 1 THEN {E.rn('q.x + q.s * q.dx', 6)} END AS ix FROM (
         SELECT r.*, CASE WHEN abs(r.d) < 1e-9 THEN NULL ELSE ((47e1 - r.x) * 1e2 - (0e0 - r.y) * 0e0) / r.d END AS s, CASE WHEN abs(r.d) < 1e-9 THEN NULL ELSE ((47e1 - r.x) * r.dy - (0e0 - r.y) * r.dx) / r.d END AS u FROM (
         SELECT event_id, x, y, {_LEAD.format('x')} - x AS dx, {_LEAD.format('y')} - y AS dy, ({_LEAD.format('x')} - x) * 1e2 - ({_LEAD.format('y')} - y) * 0e0 AS d FROM {{points}}) r WHERE r.dx IS NOT NULL) q"""),
-    "is_navigable": Plan(("cells",), "SELECT c.cell_id, c.province <> 0 AND c.precipitation * 3 >= 100 AS navigable FROM {cells} c"),
+    "is_navigable": Plan(("streams",), "SELECT s.cell_id, s.river <> 0 AND s.flux >= 100 AS navigable FROM {streams} s"),
     "world_to_screen": Plan(("cells",), f"SELECT q.cell_id, q.sx, q.sy, {E.rn('q.sx / 2e0 + 1e2', 6)} AS wx FROM (SELECT c.cell_id, (c.x - 1e2) * 2e0 AS sx, (c.y - 5e1) * 2e0 AS sy FROM {{cells}} c) q"),
     # Filters.
     "land_filter": Plan(("cells",), "SELECT c.cell_id, c.height FROM {cells} c WHERE c.height >= 20"),
-    "water_mask": Plan(("cells", "features"), "SELECT c.cell_id, c.height < 20 OR f.id IS NOT NULL AS is_water FROM {cells} c LEFT JOIN (SELECT id FROM {features} WHERE kind = 'lake') f ON c.province = f.id"),
+    "water_mask": Plan(("cells", "places", "features"), "SELECT c.cell_id, c.height < 20 OR f.id IS NOT NULL AS is_water FROM {cells} c JOIN {places} p ON c.cell_id = p.cell_id LEFT JOIN (SELECT id FROM {features} WHERE kind = 'lake') f ON p.feature = f.id"),
     "soft_delete": Plan(("burgs",), "SELECT b.id, b.name FROM {burgs} b WHERE NOT b.removed AND b.id <> 0"),
     "viewport_cull": Plan(("burgs", "cells"), "SELECT q.id, q.name, q.sx, q.sy FROM (SELECT b.id, b.name, (c.x - 2e2) * 1.5e0 AS sx, (c.y - 1e2) * 1.5e0 AS sy FROM {burgs} b JOIN {cells} c ON b.cell = c.cell_id WHERE NOT b.removed) q WHERE q.sx >= 0 AND q.sx <= 8e2 AND q.sy >= 0 AND q.sy <= 6e2"),
     "border_points": Plan(("cells",), "SELECT c.cell_id, c.x <= 5e0 OR c.x >= 995e0 OR c.y <= 5e0 AS on_border FROM {cells} c WHERE c.x >= 0 AND c.x <= 1e3"),
@@ -91,6 +93,8 @@ PLANS: dict[str, Plan] = {
     "pack_grid_fk": Plan(("cells",), "SELECT p.cell_id, p.grid_id, coalesce(g.province, 0) AS feature_id, g.temperature, g.precipitation FROM (SELECT cell_id, cell_id - cell_id % 4 AS grid_id FROM {cells}) p LEFT JOIN {cells} g ON p.grid_id = g.cell_id"),
     "biome_color_join": Plan(("cells", "biomes"), "SELECT c.cell_id, coalesce(b.colour, '#000000') AS colour FROM {cells} c LEFT JOIN {biomes} b ON c.biome = b.id"),
     "state_color_join": _catalog_colour("states", "state"),
+    "province_color_join": _catalog_colour("provinces", "province"),
+    "religion_color_join": _catalog_colour("religions", "religion"),
     "culture_color_join": _catalog_colour("cultures", "culture"),
     "zone_last_wins": Plan(("cells", "zones"), "SELECT c.cell_id, z.zone FROM {cells} c LEFT JOIN (SELECT cell_id, max(zone) AS zone FROM {zones} GROUP BY cell_id) z ON c.cell_id = z.cell_id"),
     "entity_from_cell": Plan(("cells", "states", "burgs"), "SELECT c.cell_id, CASE WHEN s.id IS NOT NULL THEN 'state' WHEN b.id IS NOT NULL THEN 'burg' WHEN c.province <> 0 THEN 'province' END AS kind, CASE WHEN s.id IS NOT NULL THEN s.id WHEN b.id IS NOT NULL THEN b.id WHEN c.province <> 0 THEN c.province END AS id FROM {cells} c LEFT JOIN (SELECT id FROM {states} WHERE id <> 0 AND NOT removed) s ON c.state = s.id LEFT JOIN (SELECT id, cell FROM {burgs} WHERE NOT removed) b ON c.cell_id = b.cell"),
@@ -103,14 +107,18 @@ PLANS: dict[str, Plan] = {
     "layer_maxima": Plan(("cells",), "SELECT max(precipitation) AS precipitation, max(population) AS population FROM {cells}"),
     "bbox": Plan(("cells",), "SELECT coalesce(min(x), 0e0) AS x0, coalesce(min(y), 0e0) AS y0, coalesce(max(x), 0e0) AS x1, coalesce(max(y), 0e0) AS y1 FROM {cells}"),
     "next_id": Plan(("burgs",), "SELECT coalesce(max(id), 0) + 1 AS next_id FROM {burgs}"),
-    "lake_flux": Plan(("cells", "edges", "features"), "SELECT f.id AS lake, CAST(sum(q.precipitation) AS BIGINT) AS entering FROM (SELECT DISTINCT w.province AS lake, e.dst FROM {edges} e JOIN {cells} w ON e.src = w.cell_id WHERE w.height < 20) s JOIN {cells} q ON s.dst = q.cell_id JOIN {features} f ON s.lake = f.id WHERE q.height >= 20 AND f.kind = 'lake' GROUP BY f.id"),
+    "lake_flux": Plan(("cells", "edges", "places", "features"), "SELECT q.lake, CAST(sum(q.precipitation) AS BIGINT) AS entering FROM (SELECT DISTINCT p.feature AS lake, e.dst, b.precipitation FROM {edges} e JOIN {places} p ON e.src = p.cell_id JOIN {features} f ON p.feature = f.id JOIN {cells} b ON e.dst = b.cell_id WHERE b.height >= 20 AND f.kind = 'lake') q GROUP BY q.lake"),
     "neighbor_mean": Plan(("cells", "edges"), f"SELECT n.src AS cell_id, {E.rn('avg(CASE WHEN n.height >= 20 THEN 1e1 ELSE 1e0 END)', 6)} AS mean FROM ({_NEAR}) n GROUP BY n.src"),
-    "confluence_influx": Plan(("cells", "edges"), f"SELECT d.dst AS cell_id, CAST(sum(c.precipitation) - max(c.precipitation) AS BIGINT) AS influx FROM ({_DOWN}) d JOIN {{cells}} c ON d.src = c.cell_id GROUP BY d.dst HAVING count(*) > 1"),
-    "downcut": Plan(("cells", "edges"), f"SELECT c.cell_id, {E.whole('least(c.precipitation / n.higher, 5e0)')} AS cut FROM {{cells}} c JOIN (SELECT e.src, avg(b.precipitation * 1e0) AS higher FROM {{edges}} e JOIN {{cells}} a ON e.src = a.cell_id JOIN {{cells}} b ON e.dst = b.cell_id WHERE b.height > a.height GROUP BY e.src) n ON c.cell_id = n.src WHERE c.height >= 35 AND c.precipitation > 0 AND n.higher > 0"),
+    "confluence_influx": Plan(("cells", "edges", "streams"), "SELECT e.src AS cell_id, CAST(sum(s.flux) - max(s.flux) AS BIGINT) AS influx FROM {edges} e JOIN {cells} a ON e.src = a.cell_id JOIN {cells} b ON e.dst = b.cell_id JOIN {streams} s ON e.dst = s.cell_id WHERE b.height > a.height AND s.river <> 0 GROUP BY e.src HAVING count(*) > 1"),
+    "downcut": Plan(("cells", "edges", "streams"), f"SELECT c.cell_id, {E.whole('least(o.flux / n.higher, 5e0)')} AS cut FROM {{cells}} c JOIN {{streams}} o ON c.cell_id = o.cell_id JOIN (SELECT e.src, avg(s.flux * 1e0) AS higher FROM {{edges}} e JOIN {{cells}} a ON e.src = a.cell_id JOIN {{cells}} b ON e.dst = b.cell_id JOIN {{streams}} s ON e.dst = s.cell_id WHERE b.height > a.height GROUP BY e.src) n ON c.cell_id = n.src WHERE c.height >= 35 AND o.flux > 0 AND n.higher > 0"),
     "river_groups": Plan(("points",), "SELECT p.id AS river, count(*) AS cells, min(p.event_id) AS source, max(p.event_id) AS last FROM {points} p GROUP BY p.id HAVING count(*) >= 3"),
+    # Cells of a river in order of id; the mouth is the last but one. modifier: the fourth root of the map's cells over 10,000.
+    "define_rivers": Plan(("streams",), f"""SELECT q.id, q.source_cell, q.mouth_cell, q.discharge, q.width_factor, {E.rn('q.source_width', 6)} AS source_width, {E.rn(E.river_width(E.river_offset('q.n_cells', 'q.discharge', 'q.width_factor', 'q.source_width')), 6)} AS width_km, q.n_cells FROM (
+        SELECT r.river AS id, min(r.cell_id) AS source_cell, max(CASE WHEN r.pos = r.n - 2 THEN r.cell_id END) AS mouth_cell, max(CASE WHEN r.pos = r.n - 2 THEN r.flux END) AS discharge, max(1.2e0 * {E.rn('1e0 / r.modifier', 2)}) AS width_factor, max(CASE WHEN r.pos = 0 THEN {E.source_width('r.flux')} END) AS source_width, count(*) AS n_cells
+        FROM (SELECT river, cell_id, flux, modifier, row_number() OVER (PARTITION BY river ORDER BY cell_id) - 1 AS pos, count(*) OVER (PARTITION BY river) AS n FROM {{streams}} WHERE river <> 0) r WHERE r.n >= 3 GROUP BY r.river) q"""),
     "polyline_length": Plan(("points",), f"SELECT q.id, {E.rn('coalesce(sum(sqrt(q.dx * q.dx + q.dy * q.dy)), 0e0)', 4)} AS length FROM (SELECT id, {_LEAD.format('x')} - x AS dx, {_LEAD.format('y')} - y AS dy FROM {{points}}) q GROUP BY q.id"),
     "ring_area": Plan(("points",), f"SELECT q.id, {E.rn('sum(q.x * q.ny - q.nx * q.y) / 2e0', 3)} AS signed_area, {E.whole('least(abs(sum(q.x * q.ny - q.nx * q.y) / 2e0), 65535e0)')} AS area FROM (SELECT id, x, y, coalesce({_LEAD.format('x')}, first_value(x) OVER (PARTITION BY id ORDER BY pos)) AS nx, coalesce({_LEAD.format('y')}, first_value(y) OVER (PARTITION BY id ORDER BY pos)) AS ny FROM {{points}}) q GROUP BY q.id"),
-    "lowest_shore": Plan(("cells", "edges"), "SELECT lake, dst AS cell_id, height FROM (SELECT q.*, row_number() OVER (PARTITION BY lake ORDER BY height, dst) AS k FROM (SELECT DISTINCT w.province AS lake, e.dst, b.height FROM {edges} e JOIN {cells} w ON e.src = w.cell_id JOIN {cells} b ON e.dst = b.cell_id WHERE w.height < 20 AND b.height >= 20) q) r WHERE k = 1"),
+    "lowest_shore": Plan(("cells", "edges", "places", "features"), "SELECT lake, dst AS cell_id, height FROM (SELECT q.*, row_number() OVER (PARTITION BY lake ORDER BY height, dst) AS k FROM (SELECT DISTINCT p.feature AS lake, e.dst, b.height FROM {edges} e JOIN {places} p ON e.src = p.cell_id JOIN {features} f ON p.feature = f.id JOIN {cells} b ON e.dst = b.cell_id WHERE f.kind = 'lake' AND b.height >= 20) q) r WHERE k = 1"),
     "water_counts": Plan(("cells",), "SELECT CAST(count_if(height < 20) AS BIGINT) AS water, CAST(count_if(height >= 20) AS BIGINT) AS land, count(*) AS cells FROM {cells}"),
     "state_stats": Plan(("cells", "burgs"), f"SELECT c.state, c.cells, c.rural, coalesce(b.burgs, 0) AS burgs, coalesce(b.urban, 0e0) AS urban FROM (SELECT state, count(*) AS cells, {E.rn('sum(population)', 2)} AS rural FROM {{cells}} GROUP BY state) c LEFT JOIN (SELECT state, count(*) AS burgs, {E.rn('sum(population)', 2)} AS urban FROM {{burgs}} WHERE NOT removed GROUP BY state) b ON c.state = b.state"),
     # Ordered sequences.
@@ -128,7 +136,7 @@ PLANS: dict[str, Plan] = {
     "height_order": Plan(("cells",), "SELECT cell_id, CAST(row_number() OVER (PARTITION BY state ORDER BY height, cell_id) AS BIGINT) AS rising, CAST(row_number() OVER (PARTITION BY state ORDER BY height DESC, cell_id) AS BIGINT) AS falling FROM {cells} WHERE height >= 20"),
     # Graph.
     "alter_heights": Plan(("cells", "edges"), f"SELECT c.cell_id, {E.rn('CASE WHEN c.height >= 20 THEN c.height + t.t / 1e2 + coalesce(n.mean, t.t) / 1e4 ELSE c.height * 1e0 END', 5)} AS h FROM {{cells}} c JOIN (SELECT cell_id, CASE WHEN height > 50 THEN 1e1 ELSE 5e0 END AS t FROM {{cells}}) t ON c.cell_id = t.cell_id LEFT JOIN (SELECT n.src, avg(CASE WHEN n.height >= 20 THEN 1e1 ELSE 1e0 END) AS mean FROM ({_NEAR}) n GROUP BY n.src) n ON c.cell_id = n.src"),
-    "lake_climate": Plan(("features", "cells"), f"SELECT q.id, q.flux, {E.rn('q.evaporation', 4)} AS evaporation, NOT q.touches_border AND q.evaporation >= q.flux AS closed FROM (SELECT f.id, f.touches_border, coalesce(s.flux, 0) AS flux, ((700e0 * (coalesce(s.temperature, 20) + 6e-3 * sqrt(greatest(19e0 - 18e0, 0e0)))) / 5e1 + 75e0) / (8e1 - coalesce(s.temperature, 20)) * f.cell_count AS evaporation FROM {{features}} f LEFT JOIN (SELECT province, CAST(sum(precipitation) AS BIGINT) AS flux, min(temperature) AS temperature FROM {{cells}} WHERE height >= 20 GROUP BY province) s ON f.id = s.province WHERE f.kind = 'lake') q"),
+    "lake_climate": Plan(("features", "places", "edges", "cells"), f"SELECT q.id, q.flux, {E.rn('q.evaporation', 4)} AS evaporation, q.evaporation >= q.flux AS closed FROM (SELECT f.id, coalesce(s.flux, 0) AS flux, ((700e0 * (coalesce(s.temperature, 20) + 6e-3 * sqrt(greatest(19e0 - 18e0, 0e0)))) / 5e1 + 75e0) / (8e1 - coalesce(s.temperature, 20)) * f.cell_count AS evaporation FROM {{features}} f LEFT JOIN (SELECT d.lake, CAST(sum(d.precipitation) AS BIGINT) AS flux, min(d.temperature) AS temperature FROM (SELECT DISTINCT p.feature AS lake, e.dst, b.precipitation, b.temperature FROM {{edges}} e JOIN {{places}} p ON e.src = p.cell_id JOIN {{cells}} b ON e.dst = b.cell_id WHERE b.height >= 20) d GROUP BY d.lake) s ON f.id = s.lake WHERE f.kind = 'lake') q"),
     "steepest_descent": Plan(("cells", "edges"), f"SELECT d.src, d.dst FROM ({_DOWN}) d"),
     "river_cascade": Plan(("cells",), "SELECT r.cell_id AS river FROM {cells} r LEFT ANTI JOIN (SELECT cell_id AS gone FROM {cells} WHERE cell_id % 25 = 10) g ON r.cell_id - r.cell_id % 5 = g.gone"),
     "basin": Plan(("cells",), "SELECT r.cell_id AS id, coalesce(nullif(r.name, ''), concat('River ', CAST(r.cell_id AS VARCHAR(20)))) AS name, coalesce(nullif(r.type_name, ''), 'River') AS type_name, coalesce(p.cell_id, r.cell_id) AS basin FROM (SELECT cell_id, cell_id - cell_id % 5 AS parent, CASE WHEN cell_id % 3 = 0 THEN '' ELSE 'Named' END AS name, CASE WHEN cell_id % 4 = 0 THEN 'Fork' ELSE '' END AS type_name FROM {cells}) r LEFT JOIN {cells} p ON r.parent = p.cell_id"),
