@@ -1,7 +1,5 @@
 """Rivers as entities: their cells, widths, outlets and drawn shapes, composed of windows, equi-joins and pointer doubling."""
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,12 +43,14 @@ def drains(last: DataFrame, places: DataFrame, features: DataFrame, outflow: Dat
     on = outflow.select(F.col("lake").alias("feature"), F.col("river").alias("to"))
     step = last.join(known, "cell_id", "left").join(on, "feature", "left").withColumn("to", F.when(F.col("kind") == "lake", F.col("to")))
     at = cut(step.selectExpr("river", "to", "CASE WHEN to IS NULL AND kind IN ('lake', 'ocean') THEN feature END AS drain"))
-    # Doubling resolves every chain in log2 rounds; what is left then runs in a circle.
-    for _ in range(math.ceil(math.log2(at.count() + 1)) + 1):
-        if at.where("to IS NOT NULL").isEmpty():
-            break
-        after = at.select(F.col("river").alias("to"), F.col("to").alias("next"), F.col("drain").alias("found"), F.lit(True).alias("there"))
-        at = cut(at.join(after, "to", "left").selectExpr("river", "CASE WHEN there THEN next END AS to", "coalesce(drain, found) AS drain"))
+    # Round k settles chains of up to 2^k rivers. Behind every long chain are all shorter ones: a round that settles none leaves circles only.
+    settled, more = at.where("to IS NULL").count(), True
+    while more:
+        after = at.select(F.col("river").alias("to"), F.col("to").alias("next"), "drain")
+        onward = at.where("to IS NOT NULL").select("river", "to").join(after, "to", "left").select("river", F.col("next").alias("to"), "drain")
+        at = cut(at.where("to IS NULL").unionByName(onward))
+        now = at.where("to IS NULL").count()
+        settled, more = now, now > settled
     return at.selectExpr("river", "CASE WHEN to IS NULL THEN drain END AS drain")
 
 
