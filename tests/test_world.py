@@ -293,3 +293,33 @@ def test_outline_of_a_region(spark):
     ring = spark.createDataFrame([(i, 0) for i in range(9) if i != 4], "cell_id long, region long")
     got = isolines.outlines(isolines.boundary_sides(cells, edges, ring)).collect()
     assert sorted({r["ring"] for r in got}) == [0, 1] and len(got) == 16
+
+
+def test_relaxing_keeps_anchors_and_flips_spikes():
+    from worldframe.operators.rivers import relax_between
+
+    line = np.array([(0.0, 0.0), (1.0, 5.0), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0)])
+    anchor = np.array([True, False, True, True, True])
+    assert relax_between(line, anchor).tolist() == [[0, 0], [1, -5], [2, 0], [3, 5], [4, 0]]
+    wide = np.array([(0.0, 0.0), (1.0, 5.0), (2.0, 0.0), (3.0, -5.0), (4.0, 0.0)])
+    assert np.array_equal(relax_between(wide, anchor), wide)
+    assert np.array_equal(relax_between(line[:2], anchor[:2]), line[:2])
+
+
+def test_capital_commands(spark):
+    burgs = spark.createDataFrame([(1, 10, 1, False, True), (2, 20, 1, False, False), (3, 30, 0, False, False)], "id long, cell long, state long, removed boolean, is_capital boolean")
+    states = spark.createDataFrame([(1, -1)], "id long, center_cell long")
+    commands = spark.createDataFrame([(1, "burg", 2, "capital", "true"), (2, "burg", 3, "capital", "true"), (3, "burg", 2, "capital", "false")], "seq long, entity string, id long, op string, value string")
+    towns, seats = edits.capitals(burgs, states, commands)
+    assert {r["id"]: r["is_capital"] for r in towns.collect()} == {1: False, 2: False, 3: True}
+    assert seats.first()["center_cell"] == 20
+
+
+def test_drains_through_lakes_and_circles(spark):
+    from worldframe.operators import rivers
+
+    last = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)], "river long, cell_id long")
+    places = spark.createDataFrame([(1, 11), (2, 12), (3, 13), (4, 14), (5, 15)], "cell_id long, feature long")
+    features = spark.createDataFrame([(11, "lake"), (12, "ocean"), (13, "lake"), (14, "island"), (15, "lake")], "id long, kind string")
+    outflow = spark.createDataFrame([(11, 2), (13, 3)], "lake long, river long")
+    assert {r["river"]: r["drain"] for r in rivers.drains(last, places, features, outflow).collect()} == {1: 12, 2: 12, 3: None, 4: None, 5: 15}
