@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from worldframe.llm import chat, decontaminate, htmltext, linededup, neardup, packing, quality, repeats, simhash, topk, toxicity
+from worldframe.llm import chat, common, decontaminate, divergence, htmltext, infill, linededup, neardup, packing, quality, records, repeats, simhash, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -178,10 +178,9 @@ def test_encoder_forgets_and_parts(spark, monkeypatch):
     from worldframe.llm.queries import tokenizer_path
 
     monkeypatch.setattr(packing, "CACHE", 10)
-    monkeypatch.setattr(packing, "PART_BYTES", 200)
     encoder, rng = packing.Encoder(tokenizer_path()), random.Random(31)
     texts = pa.array([" ".join("".join(rng.choices("abcdé", k=4)) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None])
-    parts = list(packing._parts(texts))
+    parts = list(common.parts(texts, 200))
     assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()] and sum(n for _, n in parts) == 61
     for lo, n in parts:
         ids, bounds = encoder.encode(texts.slice(lo, n))

@@ -5,7 +5,11 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +62,28 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def parts(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive parts of about size bytes; a longer text is a part of its own."""
+    upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+        yield at, end - at
+        at = end
+
+
+def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row (null: none) and the texts' bounds there."""
+    flat = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+    bounds = np.frombuffer(flat.buffers()[1], dtype=np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(flat.buffers()[2], dtype=np.uint8) if flat.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def trim() -> None:
     """Give freed memory back to the system: Python workers live on between the stages of a job."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -17,13 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worldframe.llm.common import materialise, trim
+from worldframe.llm.common import materialise, parts, trim
 
 ROOM = 2048
 #: Buckets of a length's pieces for numbering them: SALT, and one more for each PARTS_PER_SALT tasks that wrote them.
 SALT, PARTS_PER_SALT = 64, 64
-#: Bytes of text encoded at once, and the number of known stems from which on they are forgotten.
-PART_BYTES, CACHE = 8 << 20, 600_000
+#: The number of known stems from which on they are forgotten.
+CACHE = 600_000
 MARK = "\x01"
 
 
@@ -119,16 +119,6 @@ def _gathered(ids: np.ndarray, bound: np.ndarray, at: np.ndarray) -> tuple[np.nd
     return out, total
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of consecutive parts of about PART_BYTES; a longer text is a part of its own."""
-    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(size):
-        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, "right")))
-        yield at, upto - at
-        at = upto
-
-
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, piece, start, length, ids_crc32 of every piece, and row: the piece's place in its task's output. Only documents longer than room are cut."""
 
@@ -136,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc
         encoder = Encoder(tokenizer)
         count = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for lo, n in _parts(batch.column(1)):
+            for lo, n in parts(batch.column(1)):
                 part = batch.slice(lo, n)
                 ids, bounds = encoder.encode(part.column(1))
                 total = np.diff(bounds)
