@@ -34,6 +34,8 @@ SPAN = 256
 SMALL_INDEX = 300_000
 #: Known units from which on they are forgotten.
 CACHE = 400_000
+#: Units encoded in one text.
+LOT = 200
 _HEAD, _PAYLOAD = "<QI", "<qB"
 #: Bytes of a frame besides the ids.
 _BESIDE = 12 + 9 + 4 + 1
@@ -87,6 +89,7 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.line = self._ids("\n")[0]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
         self.by_unit = True
@@ -99,13 +102,25 @@ class ByteEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units in a row and each unit's number of ids: many in one text, parted by new lines, which stand in none of them."""
+        lots = [units[at : at + LOT] for at in range(0, len(units), LOT)]
+        found = [np.array([*e.ids, self.line], dtype="<u4") for e in self.tokenizer.encode_batch_fast(["\n".join(x) for x in lots], add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, dtype="<u4"), *found])
+        ends = np.flatnonzero(flat == self.line)
+        if len(ends) != len(units):  # another tokenizer
+            single = [np.array(self._ids(u), dtype="<u4") for u in units]
+            return np.concatenate(single), np.array([len(x) for x in single])
+        return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+
     def _learn(self, new: pa.Array) -> None:
-        if not len(new):
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
-        self.units = pa.concat_arrays([self.units, new])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), dtype="<u4")])
-        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum([len(x) for x in found])])
+        text = new.cast(pa.large_string())
+        simple = pc.match_substring_regex(text, r"^ ?[^ \t\n\v\f\r]+$")
+        other = [self._ids(u) for u in text.filter(pc.invert(simple)).to_pylist()]
+        ids, sizes = self._joined(text.filter(simple).to_pylist())
+        self.units = pa.concat_arrays([self.units, new.filter(simple), new.filter(pc.invert(simple))])
+        self.ids = np.concatenate([self.ids, ids, np.fromiter((i for x in other for i in x), dtype="<u4")])
+        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum([*sizes.tolist(), *(len(x) for x in other)], dtype=np.int64)])
 
     def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row and the texts' bounds there."""
