@@ -84,7 +84,8 @@ class Encoder:
         """The ids of distinct words in a row, and each word's bounds there."""
         if self.folds:
             words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))  # special tokens are not folded
-            words = pc.replace_substring_regex(words, "([a-z0-9À-ÖØ-öø-ɏ])([.,;:!?]+)$", "\\1 \\2")
+            # Not after U+0130: its folding ends in a combining dot, which joins the stop.
+            words = pc.replace_substring_regex(words, "([a-z0-9À-ÖØ-öø-įı-ɏ])([.,;:!?]+)$", "\\1 \\2")
         parts = pc.ascii_split_whitespace(words)
         coded = parts.flatten().dictionary_encode()
         if len(self.stems) > CACHE:
