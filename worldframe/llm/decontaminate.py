@@ -35,6 +35,8 @@ WALKS = (32, 64, 96, 128, 192, 256)
 ITEM_BLOCK = 20_000
 MIN_WORDS = 5
 BATCH = 1000
+#: Windows that rare runs open at once.
+PAIRS = 1_000_000
 _SPACES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -108,28 +110,49 @@ class Items:
         self.base = len(self.vocabulary) + 1
         self.words = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for _, t in found]
         self.most = [int(tolerance * len(w)) if len(w) >= MIN_WORDS else 0 for w in self.words]
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.longest = max((len(w) for w in self.words), default=0)
         self.seed_length = 3
         grams: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
             for p in range(max(1, len(w) - self.seed_length + 1)):
                 grams.setdefault(self.gram(w[p : p + 3]), []).append((k, p))
-        self.grams = grams
         self.short = {len(w) for w in self.words if len(w) < 3}
         for k, w in enumerate(self.words):
             if self.most[k] == 1 and len(w) == MIN_WORDS:  # one edit can spoil all runs of three, but not the last three words and the first two
                 grams.setdefault(self.gram(w[:2]), []).append((k, 0))
                 self.short.add(2)
         self.gram_keys = np.array(sorted(grams), dtype=np.int64)
-        self.steps = 3 * self.longest
+        self.edits = np.array(self.most, dtype=np.int64)
+        self._seeds(grams)
         self.rng = np.random.default_rng(seed)
-        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.share = np.random.default_rng(seed + 1).random((WALKS[-1], SAMPLED))
         self.walks = self._walks(recall)
         every = np.repeat(np.arange(len(self.words)), self.walks)
         own = [self.keys([self.words[i] for i in every[at : at + 50_000]], every[at : at + 50_000], np.arange(at, min(at + 50_000, len(every))) % self.walks) for at in range(0, len(every), 50_000)]
         self.own = np.concatenate(own).reshape(len(self.words), self.walks, SAMPLED) if own else np.zeros((0, self.walks, SAMPLED), dtype=np.int64)
 
+    def _seeds(self, grams: dict[int, list[tuple[int, int]]]) -> None:
+        """need: runs of three that the edits allowed leave, and how many different ones and different words; seeds: each item's rarest runs, so many that one is left; and sorted keys of the items' words and runs."""
+        self.need = np.array([max(1, len(w) - 2 - 3 * m) for w, m in zip(self.words, self.most, strict=True)], dtype=np.int64)
+        rows = [(k, p, g, len(grams[c])) for g, c in enumerate(self.gram_keys.tolist()) for k, p in grams[c]]
+        k, p, g, n = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, dtype=np.int64)] * 4
+        order = np.lexsort((p, g, n, k))
+        rank = np.arange(len(order)) - np.searchsorted(k[order], k[order])
+        # All runs of items whose edits can spoil any but one, and of those with runs of their own kind.
+        total = np.bincount(k, minlength=len(self.words)) if len(k) else np.zeros(len(self.words), dtype=np.int64)
+        chosen = order[rank < np.where(self.need > 1, total - self.need + 1, total)[k[order]]] if len(k) else order
+        chosen = chosen[np.argsort(g[chosen], kind="stable")]
+        self.seed_at = np.searchsorted(g[chosen], np.arange(len(self.gram_keys) + 1))
+        self.seed_item, self.seed_off = k[chosen], p[chosen]
+        at = np.lexsort((p, k * max(len(self.gram_keys), 1) + g))
+        self.run_at, self.run_off = (k * len(self.gram_keys) + g)[at], p[at]
+        self.run_keys = np.unique(self.run_at)
+        runs = [len(set(zip(w[:-2].tolist(), w[1:-1].tolist(), w[2:].tolist(), strict=True))) if len(w) > 2 else 0 for w in self.words]
+        self.need_runs = np.maximum(np.array(runs, dtype=np.int64) - 3 * self.edits, 0)
+        self.need_words = np.array([len(set(w.tolist())) for w in self.words], dtype=np.int64) - self.edits
+        self.word_keys = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(i * self.base + w for i, w in enumerate(self.words))]))
+
     def gram(self, w: np.ndarray) -> int:
         w = list(map(int, w[:3])) + [0] * (3 - len(w[:3]))
         return (w[0] * self.base + w[1]) * self.base + w[2]
@@ -192,49 +215,119 @@ class Items:
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[int | None, int, int, int, int]]]:
         get = self.vocabulary.get
-        docs, seeds = [], []
-        for d, text in enumerate(texts):
+        docs = []
+        for text in texts:
             w = tokens(text)
-            ids = np.fromiter(map(get, w, [0] * len(w)), dtype=np.int64, count=len(w))
-            docs.append(ids)
-            if len(self.gram_keys) and len(ids):
-                padded = np.concatenate([ids, [0, 0]])
-                code = (padded[:-2] * self.base + padded[1:-1]) * self.base + padded[2:]
-                full = np.flatnonzero((padded[:-2] > 0) & (padded[1:-1] > 0) & (padded[2:] > 0))
-                for n in self.short:  # items of one or two words have a gram of their own
-                    part = padded[:-2] * self.base * self.base + (padded[1:-1] * self.base if n == 2 else 0)
-                    self._seek(part, np.flatnonzero(padded[:-2] > 0), d, seeds)
-                self._seek(code, full, d, seeds)
+            docs.append(np.fromiter(map(get, w, [0] * len(w)), dtype=np.int64, count=len(w)))
         out: list[dict[int, tuple[int | None, int, int, int, int]]] = [{} for _ in texts]
-        if not seeds:
+        if not self.words:
             return [[] for _ in texts]
-        windows = self._kept(seeds)
-        for at in range(0, len(windows), 4096):
-            self._verify(windows[at : at + 4096], docs, out)
+        flat = np.concatenate([x for d in docs for x in (d, np.zeros(2, dtype=np.int64))])
+        bounds = np.concatenate([[0], np.cumsum([len(d) + 2 for d in docs])])
+        item, start = self._windows(flat, bounds)
+        doc = np.searchsorted(bounds, start, "right") - 1
+        order = np.lexsort((start, item, doc))
+        item, start, doc = item[order], start[order], doc[order]
+        for at in range(0, len(item), 4096):
+            some = slice(at, at + 4096)
+            self._verify(list(zip(doc[some].tolist(), item[some].tolist(), (start[some] - bounds[doc[some]]).tolist(), strict=True)), docs, out)
         return [sorted(x.values()) for x in out]
 
-    def _kept(self, seeds: list) -> list[tuple[int, int, int]]:
-        """(document, item, start) of the windows that hold as many of the item's word runs as the edits allowed leave."""
-        places: dict[tuple[int, int], Counter] = {}
-        for d, k, p, o in seeds:
-            places.setdefault((d, k), Counter())[max(0, p - o)] += 1
-        out = []
-        for (d, k), starts in places.items():
-            n, most = len(self.words[k]), self.most[k]
-            need = max(1, n - 2 - 3 * most)
-            if starts.total() >= need:
-                known = sorted(starts)
-                count = np.array([starts[s] for s in known])
-                total = np.concatenate([[0], np.cumsum(count)])
-                lo, hi = np.searchsorted(known, np.array(known) - most), np.searchsorted(known, np.array(known) + most, "right")
-                out += [(d, k, s) for s, held in zip(known, total[hi] - total[lo], strict=True) if held >= need]
-        return sorted(out)
-
-    def _seek(self, code: np.ndarray, where: np.ndarray, d: int, seeds: list) -> None:
-        x = code[where]
-        i = np.minimum(np.searchsorted(self.gram_keys, x), len(self.gram_keys) - 1)
-        for j in np.flatnonzero(self.gram_keys[i] == x):
-            seeds += [(d, k, int(where[j]), o) for k, o in self.grams[int(x[j])]]
+    def _windows(self, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start in flat) of the windows that hold as many of the item's words and word runs as the edits allowed leave.
+
+        Only an item's rarest runs, one more than the edits allowed can spoil, open windows; what a window holds is counted for those alone.
+        """
+        grams = self._grams(flat)
+        found = [self._counted(k, s, grams[3], flat, bounds) for n, g in grams.items() for k, s in self._opened(g, bounds, n)]
+        item, start = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in (0, 1))
+        item, start = self._unique(item, start, len(flat))
+        few = self.need[item] <= 1
+        more = self._banded(item[~few], start[~few], grams[3], bounds, len(flat))
+        return np.concatenate([item[few], more[0]]), np.concatenate([start[few], more[1]])
+
+    def _grams(self, flat: np.ndarray) -> dict[int, np.ndarray]:
+        """By number of words: which known run begins at each place of flat, -1 where none does."""
+        after = np.concatenate([flat[1:], [0]]), np.concatenate([flat[2:], [0, 0]])
+        out = {}
+        for n in {3, *self.short}:
+            known = (flat > 0) & ((after[0] > 0) | (n < 2)) & ((after[1] > 0) | (n < 3))
+            code = (flat * self.base + (after[0] if n > 1 else 0)) * self.base + (after[1] if n > 2 else 0)
+            g = np.minimum(np.searchsorted(self.gram_keys, code), max(len(self.gram_keys) - 1, 0))
+            out[n] = np.where(known & (self.gram_keys[g] == code), g, -1)
+        return out
+
+    def _opened(self, gram: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, start) of the windows that rare runs open, about PAIRS at a time, each once."""
+        where = np.flatnonzero(gram >= 0)
+        size = self.seed_at[gram[where] + 1] - self.seed_at[gram[where]]
+        where, size = where[size > 0], size[size > 0]
+        upto = np.cumsum(size)
+        lo = 0
+        while lo < len(where):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+            count, place = size[lo:hi], where[lo:hi]
+            at = np.repeat(self.seed_at[gram[place]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            place = np.repeat(place, count)
+            first = bounds[np.searchsorted(bounds, place, "right") - 1]
+            yield self._unique(self.seed_item[at], np.maximum(place - self.seed_off[at], first), len(gram))
+            lo = hi
+
+    @staticmethod
+    def _unique(item: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.unique(item * n + start)
+        return both // max(n, 1), both % max(n, 1)
+
+    def _spread(self, item: np.ndarray, start: np.ndarray, bounds: np.ndarray, less: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of all places of the windows, widened by the edits allowed on both sides within their documents."""
+        doc = np.searchsorted(bounds, start, "right") - 1
+        lo = np.maximum(start - self.edits[item], bounds[doc])
+        size = np.maximum(np.minimum(start + self.sizes[item] - less + self.edits[item], bounds[doc + 1]) - lo, 0)
+        row = np.repeat(np.arange(len(item)), size)
+        return row, np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    def _counted(self, item: np.ndarray, start: np.ndarray, gram: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows with enough different words of the item, then with enough of its different runs of three: an edit spoils one word and three runs at most."""
+        for values, keys, base, need, less in ((flat, self.word_keys, self.base, self.need_words, 0), (gram, self.run_keys, len(self.gram_keys), self.need_runs, 2)):
+            keep = np.zeros(len(item), dtype=bool)
+            for at in range(0, len(item), 20_000):
+                k = item[at : at + 20_000]
+                row, place = self._spread(k, start[at : at + 20_000], bounds, less)
+                key = k[row] * base + values[place]
+                known = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                held = (keys[known] == key) & (values[place] >= 0) if len(keys) else np.zeros(len(key), dtype=bool)
+                different = np.unique(row[held] * len(keys) + known[held]) // max(len(keys), 1)
+                keep[at : at + 20_000] = np.bincount(different, minlength=len(k)) >= need[k]
+            item, start = item[keep], start[keep]
+        return item, start
+
+    def _banded(self, item: np.ndarray, start: np.ndarray, gram: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """All starts that runs in these windows point to, where enough of them point within the edits allowed."""
+        if not len(item):
+            return item, start
+        triples = []
+        for at in range(0, len(item), 20_000):
+            row, place = self._spread(item[at : at + 20_000], start[at : at + 20_000], bounds, 2)
+            row, place = row[gram[place] >= 0], place[gram[place] >= 0]
+            k = item[at : at + 20_000][row]
+            key = k * len(self.gram_keys) + gram[place]
+            lo, hi = np.searchsorted(self.run_at, key), np.searchsorted(self.run_at, key, "right")
+            of = np.repeat(np.arange(len(key)), hi - lo)
+            off = self.run_off[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())]
+            triples.append(np.unique((k[of] * n + place[of]) * (self.longest + 1) + off))
+        both = np.unique(np.concatenate(triples))
+        off, both = both % (self.longest + 1), both // (self.longest + 1)
+        k, place = both // n, both % n
+        doc = np.searchsorted(bounds, place, "right") - 1
+        begin = np.maximum(place - off, bounds[doc])
+        most = self.edits[k]
+        # Starts of different items or documents are further apart than any number of edits.
+        wide = n + (2 * int(self.edits.max()) + 2) * len(bounds)
+        code = k * 2 * wide + begin + doc * (2 * int(self.edits.max()) + 2)
+        order = np.argsort(code, kind="stable")
+        code, k, begin, most = code[order], k[order], begin[order], most[order]
+        held = np.searchsorted(code, code + most, "right") - np.searchsorted(code, code - most)
+        return self._unique(k[held >= self.need[k]], begin[held >= self.need[k]], n)
 
     def _verify(self, windows: list, docs: list, out: list) -> None:
         item = np.array([k for _, k, _ in windows])
