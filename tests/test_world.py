@@ -193,7 +193,7 @@ def test_flow_down_a_slope(spark):
     assert {r["cell_id"]: r["flux"] for r in graph.flow(cells, edges).collect()} == {0: 1, 1: 2, 2: 3, 3: 4}
     pointers = graph.down(cells, edges)
     assert {r["node"]: r["root"] for r in graph.roots(pointers).collect()} == dict.fromkeys(range(5), 4)
-    rivers = hydrology.river_ids(cells, pointers, graph.roots(pointers), min_flux=2)
+    rivers = hydrology.drain(cells, pointers, min_flux=2)
     assert {r["cell_id"]: r["river"] for r in rivers.collect()} == {0: -1, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
@@ -285,16 +285,6 @@ def test_palette_ends():
     assert len(height_colours()) == 101 and all(0 <= v <= 1 for row in height_colours() for v in row[1:])
 
 
-def test_outline_of_a_region(spark):
-    from worldframe.operators import isolines
-
-    cells = spark.createDataFrame([(y * 3 + x, x, y) for y in range(3) for x in range(3)], "cell_id long, cx long, cy long")
-    edges = lattice(spark, [[1] * 3] * 3)[1]
-    ring = spark.createDataFrame([(i, 0) for i in range(9) if i != 4], "cell_id long, region long")
-    got = isolines.outlines(isolines.boundary_sides(cells, edges, ring)).collect()
-    assert sorted({r["ring"] for r in got}) == [0, 1] and len(got) == 16
-
-
 def test_relaxing_keeps_anchors_and_flips_spikes():
     from worldframe.operators.rivers import relax_between
 

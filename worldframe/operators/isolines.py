@@ -1,47 +1,88 @@
-"""Closed outlines of regions on the lattice: boundary sides by anti-joins, their order in one task per region."""
+"""Closed outlines of regions over any polygon mesh, ordered by list ranking; no task holds a region or a ring.
 
-import pandas as pd
-from pyspark.sql import DataFrame
+A side of a cell is a boundary if no cell of the same region lies beyond it. The side after it is found by turning about its end: the next side of
+the same cell, or while that is inner, the next side of the cell beyond. Then pointers double around each ring and carry the
+least side met and the distance to it, so that the rounds grow with the logarithm of the longest ring and all rings are ranked at once.
+"""
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sides of a cell, by slot (right, below, left, above): the corner where each begins and ends, so that the cell is on the same hand.
-SIDES = (((1, 0), (1, 1)), ((1, 1), (0, 1)), ((0, 1), (0, 0)), ((0, 0), (1, 0)))
-
-
-def boundary_sides(cells: DataFrame, edges: DataFrame, regions: DataFrame) -> DataFrame:
-    """region, ax, ay, bx, by: the sides of cells beyond which the region ends."""
-    own = cells.select("cell_id", "cx", "cy").join(regions, "cell_id")
-    near = regions.select(F.col("cell_id").alias("dst"), F.col("region").alias("other"))
-    inner = edges.join(near, "dst").select(F.col("src").alias("cell_id"), "slot", F.col("other").alias("region"))
-    sides = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), *(F.lit(v).alias(n) for n, v in zip("abcd", (*p, *q), strict=True))) for s, (p, q) in enumerate(SIDES)])
-    every = own.select("cell_id", "cx", "cy", "region", F.explode(sides).alias("s")).withColumn("slot", F.col("s.slot"))
-    edge = every.join(inner, ["cell_id", "slot", "region"], "left_anti")
-    return edge.select("region", (F.col("cx") + F.col("s.a")).alias("ax"), (F.col("cy") + F.col("s.b")).alias("ay"), (F.col("cx") + F.col("s.c")).alias("bx"), (F.col("cy") + F.col("s.d")).alias("by"))
-
-
-def outlines(sides: DataFrame) -> DataFrame:
-    """region, ring, pos, x, y: the sides of each region joined to closed rings, outer rings and holes."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for region, own in part.groupby("region"):
-            onward: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for ax, ay, bx, by in sorted(zip(own["ax"], own["ay"], own["bx"], own["by"], strict=True)):
-                onward.setdefault((ax, ay), []).append((bx, by))
-            ring = 0
-            while onward:
-                start = at = min(onward)
-                pos = 0
-                while at in onward:
-                    rows.append((region, ring, pos, float(at[0]), float(at[1])))
-                    following = onward[at].pop(0)
-                    if not onward[at]:
-                        del onward[at]
-                    at, pos = following, pos + 1
-                    if at == start:
-                        break
-                ring += 1
-        return pd.DataFrame(rows, columns=["region", "ring", "pos", "x", "y"])
-
-    tasks = 4 * int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sides.groupBy(F.pmod(F.xxhash64("region"), F.lit(tasks))).applyInPandas(run, "region long, ring long, pos long, x double, y double")
+from worldframe.plans.lineage import cut
+
+#: Sides that a cell may have; a side's number is its cell's id times this, plus its place.
+SIDES = 1024
+
+
+def sides(rings: DataFrame, regions: DataFrame) -> DataFrame:
+    """side, cell_id, region, a, b, onward (the cell's next side), inner (the next side of the cell beyond, if that is of the region), beyond (its cell).
+
+    rings: cell_id, pos, vertex, a cell's corners in order, all cells in the same sense; regions: cell_id, region; cells without one only lie beyond others.
+    """
+    around = Window.partitionBy("cell_id").orderBy("pos")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    number = F.col("cell_id") * SIDES + F.col("pos")
+    each = rings.select(
+        "cell_id", number.alias("side"), F.col("vertex").alias("a"),
+        F.coalesce(F.lead("vertex").over(around), F.first("vertex").over(whole)).alias("b"), F.coalesce(F.lead(number).over(around), F.first(number).over(whole)).alias("onward"),
+    )
+    every = cut(each.join(regions.select("cell_id", "region"), "cell_id", "left"))
+    over = every.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("cell_id").alias("beyond"), F.col("region").alias("there"), F.col("onward").alias("turn"))
+    met = every.where("region IS NOT NULL").join(over, ["a", "b"], "left")
+    return met.select("side", "cell_id", "region", "a", "b", "onward", F.when(F.col("there") == F.col("region"), F.col("turn")).alias("inner"), "beyond")
+
+
+def following(every: DataFrame) -> DataFrame:
+    """side, next: the boundary side after each boundary side; as many rounds as inner sides meet in a corner."""
+    inner = every.where("inner IS NOT NULL").select(F.col("side").alias("next"), "inner")
+    open_ = cut(every.where("inner IS NULL").select("side", F.col("onward").alias("next")))
+    found = None
+    while not open_.isEmpty():
+        turned = cut(open_.join(inner, "next", "left"))
+        ends = turned.where("inner IS NULL").select("side", "next")
+        found = ends if found is None else found.unionByName(ends)
+        open_ = turned.where("inner IS NOT NULL").select("side", F.col("inner").alias("next"))
+    return open_ if found is None else cut(found)
+
+
+def ranked(links: DataFrame) -> DataFrame:
+    """side, ring (the least side of the ring), pos (sides after it, from 0), sides (of the ring); links: side, next, a permutation."""
+    at, size = cut(links.select("side", F.col("next").alias("jump"), F.col("side").alias("ring"), F.lit(0).cast("long").alias("ahead"))), 1
+    while True:
+        far = at.select(F.col("side").alias("jump"), F.col("jump").alias("to"), F.col("ring").alias("low"), F.col("ahead").alias("more"))
+        lower = F.col("low") < F.col("ring")
+        at = cut(at.join(far, "jump").select("side", F.col("to").alias("jump"), F.least("ring", "low").alias("ring"), F.when(lower, F.col("more") + size).otherwise(F.col("ahead")).alias("ahead"), lower.alias("moved")))
+        size *= 2
+        # If no run of so many sides meets a lower one, every run has seen its whole ring.
+        if at.where("moved").isEmpty():
+            break
+    length = at.groupBy("ring").agg((F.max("ahead") + 1).alias("sides"))
+    return at.join(length, "ring").select("side", "ring", ((F.col("sides") - F.col("ahead")) % F.col("sides")).alias("pos"), "sides")
+
+
+def outlines(rings: DataFrame, regions: DataFrame) -> DataFrame:
+    """region, ring, pos, vertex, onward (the next vertex), beyond (the cell on the other side, null at the mesh's end) of all outer rings and holes."""
+    every = cut(sides(rings, regions))
+    order = ranked(following(every))
+    edge = every.where("inner IS NULL").select("side", "region", F.col("a").alias("vertex"), F.col("b").alias("onward"), "beyond")
+    return edge.join(order, "side").select("region", "ring", "pos", "vertex", "onward", "beyond")
+
+
+def without_lakes(outline: DataFrame, places: DataFrame, features: DataFrame) -> DataFrame:
+    """outline without the rings that part a region from a lake which lies wholly inside it: beyond all their sides is that one lake, and beyond none of the lake's other sides another region.
+
+    places: cell_id, feature; features: id, kind. Rings that are kept are whole.
+    """
+    lakes = features.where("kind = 'lake'").select(F.col("id").alias("lake"))
+    over = outline.join(places.select(F.col("cell_id").alias("beyond"), F.col("feature").alias("lake")), "beyond", "left").join(lakes.withColumn("wet", F.lit(True)), "lake", "left")
+    each = over.select("region", "ring", F.when(F.col("wet"), F.col("lake")).alias("lake"))
+    ring = each.groupBy("ring").agg(F.min("lake").alias("lake"), F.max("lake").alias("most"), F.count("*").alias("sides"), F.count("lake").alias("wet"))
+    one = ring.where("sides = wet AND lake = most").select("ring", "lake")
+    shared = each.where("lake IS NOT NULL").groupBy("lake").agg(F.min("ring").alias("first"), F.max("ring").alias("last")).where("first = last")
+    return outline.join(one.join(shared, "lake").select("ring"), "ring", "left_anti")
+
+
+def areas(outline: DataFrame, vertices: DataFrame) -> DataFrame:
+    """region, ring, sides, area (twice the signed one; a hole's sign is the other one); vertices: vertex, x, y."""
+    at = outline.join(vertices.select("vertex", "x", "y"), "vertex").join(vertices.select(F.col("vertex").alias("onward"), F.col("x").alias("nx"), F.col("y").alias("ny")), "onward")
+    return at.groupBy("region", "ring").agg(F.count("*").alias("sides"), F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")).alias("area"))

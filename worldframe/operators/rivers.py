@@ -180,7 +180,7 @@ def generate(cells: DataFrame, edges: DataFrame, existing: DataFrame, erosion: b
     thinned = cells.groupBy(map_col).agg(F.pow(F.count("*") / 1e4, 0.25).alias("modifier"))
     ground = filled.join(cells.select("cell_id", "precipitation"), "cell_id").join(thinned, map_col).selectExpr("cell_id", "modifier", "h AS height", "CAST(floor(precipitation / modifier) AS BIGINT) AS precipitation")
     pointers = cut(graph.down(ground, edges))
-    drained = cut(hydrology.river_ids(ground, pointers, graph.roots(pointers), MIN_FLUX))
+    drained = cut(hydrology.drain(ground, pointers, min_flux=MIN_FLUX))
     named = drained.selectExpr("cell_id", "flux", "CASE WHEN river < 0 THEN 0 ELSE river + 1 END AS river")
     made = define(named.join(ground.select("cell_id", "modifier"), "cell_id")).selectExpr("id", "'' AS name", "'' AS type_name", "CAST(NULL AS BIGINT) AS parent")
     every = existing.select("id", "name", "type_name", "parent").unionByName(made)

@@ -329,11 +329,59 @@ def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydrology.fill_depressions(cells.withColumn("map_id", F.col("state")), frame(spark, sf_dir, "edges").join(own, "src"))
 
 
-@query()
+#: Arrivals at each cell, in the order of the cells that send them, folded one after another; names by following the stream that prevails. twice: cells that send on two times, fill: what lakes get.
+def _drainage(twice: str, fill: str) -> str:
+    return _with(("edges", "places", "features"), True, (
+        "lakes AS MATERIALIZED (SELECT id AS lake FROM features WHERE kind = 'lake')", f"twice AS MATERIALIZED ({twice})", f"fill AS MATERIALIZED ({fill})", DOWN,
+        "send AS MATERIALIZED (SELECT d.src, d.dst, b.height >= 20 AS land, CASE WHEN t.cell_id IS NULL THEN 1 ELSE 2 END AS times FROM down d JOIN cells b ON d.dst = b.cell_id LEFT JOIN twice t ON d.src = t.cell_id)",
+        "walk(cell_id, w) AS (SELECT cell_id, precipitation FROM cells WHERE height >= 20 UNION ALL SELECT d.dst, k.w * d.times FROM walk k JOIN send d ON k.cell_id = d.src AND d.land)",
+        "wet AS MATERIALIZED (SELECT cell_id, least(CAST(sum(w) AS BIGINT), 65535) AS flux FROM walk GROUP BY cell_id)",
+        # On a lattice at most three cells drain into one, so a cell that has a name keeps one.
+        "named AS MATERIALIZED (SELECT DISTINCT d.dst AS cell_id FROM send d JOIN wet w ON d.src = w.cell_id WHERE w.flux >= 30)",
+        """event AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY high DESC, src, step) AS k FROM (
+            SELECT d.dst AS cell_id, c.height AS high, d.src, s.step, w.flux AS f, CASE WHEN CASE s.step WHEN 2 THEN w.flux >= 30 ELSE n.cell_id IS NOT NULL END THEN d.src END AS heir, d.land FROM send d JOIN cells c ON d.src = c.cell_id
+                JOIN wet w ON d.src = w.cell_id LEFT JOIN named n ON d.src = n.cell_id JOIN (VALUES (1), (2)) s(step) ON s.step = 2 OR d.times = 2
+            UNION ALL SELECT f.lake_cell, c.height, f.cell_id, 0, f.entering, f.lake_cell, false FROM fill f JOIN cells c ON f.cell_id = c.cell_id))""",
+        """fold(cell_id, k, flux, confluence, heir) AS (SELECT DISTINCT cell_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM event UNION ALL
+            SELECT e.cell_id, e.k, CASE WHEN e.land OR e.step = 0 THEN least(65535, s.flux + e.f) ELSE s.flux END,
+            CASE WHEN e.step = 0 OR s.heir IS NULL THEN s.confluence WHEN e.f > greatest(0, s.flux - s.confluence) THEN least(65535, s.confluence + s.flux) ELSE least(65535, s.confluence + e.f) END,
+            CASE WHEN e.step = 0 THEN coalesce(s.heir, e.heir) WHEN s.heir IS NULL OR e.f > greatest(0, s.flux - s.confluence) THEN e.heir ELSE s.heir END FROM fold s JOIN event e ON s.cell_id = e.cell_id AND e.k = s.k + 1)""",
+        "met AS MATERIALIZED (SELECT cell_id, max_by(flux, k) AS flux, max_by(confluence, k) AS confluence, arg_max_null(heir, k) AS heir FROM fold GROUP BY cell_id)",
+        "name(cell_id, begun) AS (SELECT cell_id, heir FROM met WHERE heir IS NOT NULL UNION ALL SELECT n.cell_id, m.heir FROM name n JOIN met m ON n.begun = m.cell_id WHERE m.heir IS NOT NULL AND m.heir <> m.cell_id)",
+        "origin AS (SELECT n.cell_id, n.begun FROM name n LEFT JOIN met m ON n.begun = m.cell_id WHERE m.heir IS NULL OR m.heir = m.cell_id)")) + """SELECT c.cell_id, CAST(CASE WHEN c.height >= 20 THEN coalesce(w.flux, 0) ELSE coalesce(m.flux, 0) END AS BIGINT) AS flux, coalesce(m.confluence, 0) AS confluence,
+        coalesce(o.begun, CASE WHEN c.height >= 20 AND w.flux >= 30 THEN c.cell_id END, -1) AS river FROM cells c LEFT JOIN wet w ON c.cell_id = w.cell_id LEFT JOIN met m ON c.cell_id = m.cell_id LEFT JOIN origin o ON c.cell_id = o.cell_id"""
+
+
+@query(_drainage("SELECT cell_id FROM cells WHERE false", "SELECT cell_id, cell_id AS lake_cell, cell_id AS entering FROM cells WHERE false"))
 def river_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without lakes."""
     cells = frame(spark, sf_dir, "cells")
-    pointers = graph.down(cells, frame(spark, sf_dir, "edges"))
-    return hydrology.river_ids(cells, pointers, graph.roots(pointers))
+    return hydrology.drain(cells, cut(graph.down(cells, frame(spark, sf_dir, "edges"))))
+
+
+_OUTLET = """SELECT cell_id, arg_max(lake_cell, lake) AS lake_cell, arg_max(entering, lake) AS entering FROM (
+    SELECT l.lake, l.src AS cell_id, l.dst AS lake_cell, n.entering FROM (SELECT p.feature AS lake, e.src, e.dst, row_number() OVER (PARTITION BY p.feature ORDER BY c.height, e.src, e.slot) AS k
+        FROM edges e JOIN places p ON e.dst = p.cell_id JOIN lakes s ON p.feature = s.lake JOIN cells c ON e.src = c.cell_id WHERE c.height >= 20) l
+    JOIN (SELECT lake, CAST(sum(precipitation) AS BIGINT) AS entering FROM (SELECT DISTINCT p.feature AS lake, e.src, c.precipitation FROM edges e JOIN places p ON e.dst = p.cell_id JOIN lakes s ON p.feature = s.lake JOIN cells c ON e.src = c.cell_id WHERE c.height >= 20) GROUP BY lake) n
+    ON l.lake = n.lake WHERE l.k = 1) GROUP BY cell_id"""
+
+
+@query(_drainage(f"SELECT cell_id FROM ({_OUTLET})", _OUTLET))
+def lake_drainage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lake runs over at its outlet; what enters it is the precipitation of its shore."""
+    made = frames(spark, sf_dir, ("cells", "edges", "places", "features"))
+    placed = cut(made["cells"].join(made["places"], "cell_id"))
+    edges, lakes = cut(made["edges"]), cut(made["features"].where("kind = 'lake'").select("id"))
+    entering = PLANS["lake_flux"].run(spark, cells=placed, edges=edges, places=placed.select("cell_id", "feature"), features=lakes.withColumn("kind", F.lit("lake")))
+    outlets = cut(rivers.outlets(placed, edges, lakes).join(entering, "lake"))
+    return hydrology.drain(placed, cut(graph.down(placed, edges)), outlets)
+
+
+@query(_with(("edges",), True, ("reach(cell_id, level) AS (SELECT cell_id, height FROM cells WHERE height < 20 UNION SELECT e.dst, greatest(r.level, c.height) FROM reach r JOIN edges e ON r.cell_id = e.src JOIN cells c ON e.dst = c.cell_id WHERE c.height >= 20)",))
+    + "SELECT c.cell_id, CAST(min(r.level) AS DOUBLE) AS level FROM cells c LEFT JOIN reach r ON c.cell_id = r.cell_id WHERE c.height >= 20 GROUP BY c.cell_id")
+def spill_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The height that water must reach to leave each land cell."""
+    return hydrology.spill_levels(cut(frame(spark, sf_dir, "cells").select("cell_id", "height")), cut(frame(spark, sf_dir, "edges")))
 
 
 @query()
@@ -494,7 +542,51 @@ def river_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rivers.generate(cells, near, old, erosion=True)[1]
 
 
-@query()
+def _outlines(regions: str) -> tuple[str, ...]:
+    """outline: region, ring, pos, a, b, beyond. The side after a boundary side by turning about its end, one side at a time; rings by walking from every side as long as no lower one is met."""
+    return (
+        regions,
+        """side AS MATERIALIZED (SELECT cell_id * 1024 + pos AS side, cell_id, vertex AS a, coalesce(lead(vertex) OVER w, first_value(vertex) OVER w) AS b,
+            coalesce(lead(cell_id * 1024 + pos) OVER w, cell_id * 1024) AS onward FROM rings WINDOW w AS (PARTITION BY cell_id ORDER BY pos))""",
+        """met AS MATERIALIZED (SELECT s.side, s.a, s.b, s.onward, r.region, o.cell_id AS beyond, CASE WHEN q.region = r.region THEN o.onward END AS turn FROM side s JOIN regions r ON s.cell_id = r.cell_id
+            LEFT JOIN side o ON s.a = o.b AND s.b = o.a LEFT JOIN regions q ON o.cell_id = q.cell_id)""",
+        "turned(side, went) AS (SELECT side, onward FROM met WHERE turn IS NULL UNION ALL SELECT t.side, m.turn FROM turned t JOIN met m ON t.went = m.side WHERE m.turn IS NOT NULL)",
+        "onto AS MATERIALIZED (SELECT t.side, t.went FROM turned t JOIN met m ON t.went = m.side WHERE m.turn IS NULL)",
+        "round(ring, pos, side) AS (SELECT side, CAST(0 AS BIGINT), side FROM onto UNION ALL SELECT r.ring, r.pos + 1, o.went FROM round r JOIN onto o ON r.side = o.side WHERE o.went > r.ring)",
+        "closed AS (SELECT r.ring FROM round r JOIN onto o ON r.side = o.side WHERE o.went = r.ring)",
+        "outline AS MATERIALIZED (SELECT m.region, r.ring, r.pos, m.a, m.b, m.beyond FROM round r JOIN closed k ON r.ring = k.ring JOIN met m ON r.side = m.side)",
+    )
+
+
+_CULTURES = """regions AS MATERIALIZED (SELECT cell_id, min(label) AS region FROM culture_walk GROUP BY cell_id)"""
+_CULTURE_WALK = (
+    "alike AS MATERIALIZED (SELECT e.src, e.dst FROM edges e JOIN cells a ON e.src = a.cell_id JOIN cells b ON e.dst = b.cell_id WHERE a.culture = b.culture AND a.culture <> 0)",
+    "culture_walk(cell_id, label) AS (SELECT cell_id, cell_id FROM cells WHERE culture <> 0 UNION SELECT s.dst, k.label FROM culture_walk k JOIN alike s ON k.cell_id = s.src WHERE k.label < s.dst)",
+)
+
+
+@query(_with(("edges", "vertices"), True, (*_CULTURE_WALK, *_outlines(_CULTURES)))
+    + "SELECT o.region, o.ring, o.pos, v.x, v.y FROM outline o JOIN vertices v ON o.a = v.vertex")
 def isoline_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, edges = frame(spark, sf_dir, "cells"), frame(spark, sf_dir, "edges")
-    return isolines.outlines(isolines.boundary_sides(cells, edges, graph.components(cells.where("culture <> 0"), edges, "culture")))
+    """The outer rings and holes of connected cells of one culture, culture 0 left out."""
+    made = frames(spark, sf_dir, ("cells", "edges", "rings", "vertices"))
+    inside = made["cells"].where("culture <> 0").select("cell_id", "culture")
+    near = made["edges"].join(inside.select(F.col("cell_id").alias("src")), "src", "left_semi")
+    out = isolines.outlines(made["rings"], graph.components(inside, near, "culture"))
+    return out.join(made["vertices"], "vertex").select("region", "ring", "pos", "x", "y")
+
+
+@query(_with(("edges", "features", "vertices"), True, _outlines("regions AS MATERIALIZED (SELECT p.cell_id, p.feature AS region FROM places p JOIN features f ON p.feature = f.id WHERE f.kind = 'island')"))
+    + """, wet AS (SELECT o.*, f.id AS lake FROM outline o LEFT JOIN places p ON o.beyond = p.cell_id LEFT JOIN features f ON p.feature = f.id AND f.kind = 'lake'),
+    one AS (SELECT ring, min(lake) AS lake FROM wet GROUP BY ring HAVING count(*) = count(lake) AND min(lake) = max(lake)), alone AS (SELECT lake FROM wet WHERE lake IS NOT NULL GROUP BY lake HAVING count(DISTINCT ring) = 1)
+    SELECT o.region, o.ring, count(*) AS sides, sum(u.x * v.y - v.x * u.y) AS area FROM outline o JOIN vertices u ON o.a = u.vertex JOIN vertices v ON o.b = v.vertex
+    WHERE o.ring NOT IN (SELECT ring FROM one JOIN alone ON one.lake = alone.lake) GROUP BY o.region, o.ring""")
+def state_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the rings of each state's connected land, without those about a lake that lies wholly inside."""
+    made = frames(spark, sf_dir, ("rings", "vertices", "places"))
+    places = cut(made["places"])
+    features = cut(derived.features(spark, sf_dir, places))
+    land = places.join(features.where("kind = 'island'").select(F.col("id").alias("feature")), "feature", "left_semi").withColumnRenamed("feature", "region")
+    out = cut(isolines.outlines(made["rings"], land))
+    return isolines.areas(isolines.without_lakes(out, places, features), made["vertices"])
+

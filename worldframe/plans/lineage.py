@@ -1,16 +1,39 @@
-"""Cutting lineage in iterative plans: reliable checkpoints in the cluster's shared folder."""
+"""Cutting lineage in iterative plans: tables written to the cluster's shared folder and read back.
 
+A round that is read from files has their statistics: a self-join in a loop would otherwise square Spark's size estimate
+round by round, and no join of small tables would be broadcast any more.
+"""
+
+import atexit
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the folder in spark.checkpoint.dir; a local master without one gets a temporary folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local master without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='worldframe-')}")
-    return df.checkpoint()
+        named = f"file://{tempfile.mkdtemp(prefix='worldframe-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, written and read back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/worldframe-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
