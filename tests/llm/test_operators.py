@@ -290,22 +290,38 @@ def slow_line_dedup(texts):
         for ks in keys[t].values():
             for k in ks:
                 holds[k].add(t)
+    kin = {t: s for t in texts if (s := {k for ks in keys[t].values() for k in ks if len(holds[k]) > 1})}
+
+    def near(x, other):
+        """Whether a text of shared templates holds a line like x: five words in a row, or in short lines a token in the same place."""
+        a = line_keys(x)[0].split(" ")
+        for y in lines[other].values():
+            b = line_keys(y)[0].split(" ")
+            if len(a) >= 8 <= len(b) and {tuple(a[i : i + 5]) for i in range(len(a) - 4)} & {tuple(b[i : i + 5]) for i in range(len(b) - 4)}:
+                return True
+            if len(a) == len(b) < 8 and any(p == q for p, q in zip(a, b, strict=True)):
+                return True
+        return False
+
     weight = {}
-    for t in texts:
-        total = sum(map(len, lines[t].values()))
-        by = sorted((max(len(holds[k]) for k in keys[t][i]), len(x)) for i, x in lines[t].items())
-        own, seen, median = sum(n for f, n in by if f == 1), 0, 1
-        for f, n in by:
-            if 2 * seen >= total:
-                break
-            seen, median = seen + n, f
-        weight[t] = (total, own, median)
+    for t in kin:
+        held = {i: max(len(holds[k]) for k in keys[t][i]) for i in lines[t]}
+        held = {i: max(f, 1 + sum(near(lines[t][i], o) for o in kin if o != t and kin[o] & kin[t])) for i, f in held.items()}
+        by = sorted((f, len(lines[t][i])) for i, f in held.items())
+        total, own = sum(x for _, x in by), sum(x for f, x in by if f == 1)
+        seen, median = own, 1
+        for f, x in by:
+            if f > 1 and 2 * seen < total:
+                seen, median = seen + x, f
+        weight[t] = (total, own, median, sum(len(lines[t][i].split()) for i, f in held.items() if f == 1))
     n = defaultdict(float)
     for k, ts in holds.items():
         for t in ts:
-            total, own, median = weight[t]
+            if t not in weight:
+                continue
+            total, own, median, words = weight[t]
             taken = sum(len(lines[t][i]) for i, ks in keys[t].items() if k in ks)
-            n[k] += 1 if 2 * own >= total - taken else 1 / median
+            n[k] += 1 if 2 * own >= total - taken or words >= 4 else 1 / median
     return {t: {i for i, ks in keys[t].items() if any(len(holds[k]) > 1 and n[k] >= 5 - 1e-6 for k in ks)} for t in texts}
 
 
@@ -354,6 +370,40 @@ def test_line_dedup_loses_no_template_to_a_hash(spark):
     assert all("\n" not in got[2000 + i] and got[2000 + i] for i in range(20))
 
 
+@pytest.mark.parametrize("shared", [1, 3, 8, 20])
+def test_line_dedup_of_texts_that_are_mostly_shared(spark, shared):
+    """However much a text shares, its shared lines go if it says anything of its own, however little."""
+    rng = random.Random(shared)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    every = [fresh(10) for _ in range(shared)]
+    rows = []
+    for own in (1, 2, 6, 20):
+        for _ in range(12):
+            lines = [fresh(rng.choice([4, 5, 9, 12])) for _ in range(own)]
+            at = rng.randint(0, own)
+            rows.append((len(rows), "\n".join(lines[:at] + every + lines[at:])))
+    got = {r["doc_id"]: r["text"].split("\n") for r in linededup.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert not any(set(got[i]) & set(every) for i, _ in rows)
+    assert all(got[i] == [x for x in t.split("\n") if x not in every] for i, t in rows)
+
+
+def test_line_dedup_keeps_near_copies(spark):
+    """Copies with edits anywhere, some in most fields of a line, are one text: nothing of theirs goes."""
+    rng = random.Random(8)
+    fresh = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    rows = []
+    for size in (6, 40, 150):
+        base = [fresh(n) for n in (40, 60, 3, 50, 5, 70)]
+        for _ in range(size):
+            lines = [list(x) for x in base]
+            for _ in range(12):
+                w = rng.choices(lines, weights=[len(x) for x in lines])[0]
+                w[rng.randrange(len(w))] = fresh(1)[0]
+            rows.append((len(rows), "\n".join(map(" ".join, lines))))
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert got == dict(rows)
+
+
 def test_line_dedup_keeps_clashing_columns(spark):
     rows = [(i, " ".join(chr(97 + i) * k for k in range(2, 9)) + "\nThe same line", 1, 2, 3, 4, 5) for i in range(8)] + [(None, None, None, None, None, None, None)] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, __key int, __drop int, __Lines int, n_lines int, n_chars int")

@@ -5,11 +5,12 @@ in the other. Tokens with a digit are variable anywhere (`<*>`). What is left of
 that holds different lines, a line also stands for generalised templates: of SHORT tokens or more one of the fields may be a
 variable, of LONG or more two of them, so that about half of a line's tokens at least are its template's own.
 
-A template recurs if it occurs in MIN_DOCS texts or more that are no copies of each other. Copies are known by what else they
-share: a text counts in full for a template if at least half of the characters of its other lines stand in no other
-text (by any template), and otherwise as one part in the number of texts that hold its median line (lines by their characters, each
-with the texts of its commonest template). A group of near copies thus adds up to about one text, whatever its size, and no
-hash decides. Lines of a recurring template are dropped from all documents.
+A template recurs if it occurs in MIN_DOCS texts or more that are no copies of each other. Copies are known by what else they say. A text
+counts in full for a template if it has something of its own: OWN_WORDS words or more in lines that no other text holds, by any template or
+edited; or if at least half of the characters of its other lines stand in such lines, however short. Otherwise it counts as one part in the number
+of texts that hold its median line (lines by their characters, each with the texts that hold it by its commonest template or edited). So a group of near copies adds up to about one text, whatever its size,
+and a text counts for a shared line however much else it shares. No hash decides about a template. A line of a text is edited if a text of its kin holds a
+line with one of the KEPT least runs of RUN words in it (of under LONG tokens: one of as many tokens, with a token in the same place); kin agree in one of KIN of their shared templates, chosen by hashes among the commoner ones.
 
 Blank lines are kept and never counted. Null texts stay null, empty texts empty; a document all of whose lines recur becomes an
 empty text. Texts of any length are read whole. Ties have no meaning: every line of a recurring template goes. Repeated rows (same
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from worldframe.llm.common import materialise, release, unused
 
 FIELDS, SHORT, LONG, MIN_DOCS = 4, 4, 8, 5
+OWN_WORDS, RUN, KEPT, KIN = 4, 5, 4, 4
 _VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
@@ -79,14 +81,35 @@ def _keys(lines: DataFrame) -> DataFrame:
     return at.select("copy", "total", "pos", "size", F.concat(F.array("exact"), lead, bound).alias("keys"))
 
 
-def _weights(shared: DataFrame) -> DataFrame:
-    """copy, total, own (characters in no other text), median (texts that hold its median line) of each text with shared lines."""
-    line = shared.groupBy("copy", "pos").agg(F.max("texts").alias("texts"), F.max("size").alias("size"), F.max("total").alias("total"))
-    text = line.groupBy("copy").agg(F.max("total").alias("total"), F.sum("size").alias("held"), F.sort_array(F.collect_list(F.struct("texts", "size"))).alias("lines"))
-    own = F.col("total") - F.col("held")
-    start = F.struct(own.alias("seen"), F.lit(1).cast("long").alias("median"))
+def _known_lines(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """copy, pos, size, words, total, texts of every line of the texts with shared lines: the texts that hold it by its commonest template, or edited among the text's kin; null if none else does."""
+    most = shared.groupBy("copy").agg(F.max("texts").alias("most"))
+    # Least hashes of all shared templates, of those at least a quarter and a half as common as the text's commonest, and the commonest.
+    by = [F.min(F.xxhash64(F.lit(0), "key")), *(F.min(F.when(F.col("texts") >= F.col("most") / n, F.xxhash64(F.lit(n), "key"))) for n in (4, 2))]
+    kin = shared.join(most, "copy").groupBy("copy").agg(*[x.alias(f"k{j}") for j, x in enumerate([*by, F.max(F.struct("texts", "key"))["key"]])])
+    held = shared.groupBy("copy", "pos").agg(F.max("texts").alias("texts"))
+    words = F.split("line", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.col("n") - (RUN - 1)), lambda i: F.xxhash64(F.slice(words, i, RUN)))
+    places = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64("n", i, F.get(words, i - 1)))
+    marks = F.when(F.col("n") >= LONG, F.slice(F.array_sort(runs), 1, KEPT)).otherwise(places)
+    of_kin = lines.join(kin, "copy").groupBy("copy", "pos").agg(*[F.first(c).alias(c) for c in ("line", "n", "size", "total", *(f"k{j}" for j in range(KIN)))])
+    each = materialise(of_kin.join(held, ["copy", "pos"], "left").select("copy", "pos", "size", "total", F.col("n").alias("words"), "texts", marks.alias("marks"), *(f"k{j}" for j in range(KIN))))
+    keys = F.array(*[F.xxhash64("mark", F.lit(j), f"k{j}") for j in range(KIN)])
+    told = materialise(each.select("copy", "pos", *(f"k{j}" for j in range(KIN)), F.explode("marks").alias("mark")).select("copy", "pos", F.explode(keys).alias("key")))
+    common = told.select("copy", "key").distinct().groupBy("key").agg(F.count("*").alias("edited")).where("edited > 1")
+    edited = told.join(materialise(common), "key").groupBy("copy", "pos").agg(F.max("edited").alias("edited"))
+    whole = each.drop("marks", *(f"k{j}" for j in range(KIN))).join(edited, ["copy", "pos"], "left")
+    return materialise(whole.withColumn("texts", F.greatest("texts", "edited")).drop("edited"))
+
+
+def _weights(known: DataFrame) -> DataFrame:
+    """copy, total, own and words (characters and words in lines that no other text holds, not even edited), median (texts that hold its median line)."""
+    mine = F.col("texts").isNull()
+    sums = [F.max("total").alias("total"), F.sum(F.when(mine, F.col("size")).otherwise(0)).alias("own"), F.sum(F.when(mine, F.col("words")).otherwise(0)).alias("words")]
+    text = known.groupBy("copy").agg(*sums, F.sort_array(F.collect_list(F.when(~mine, F.struct("texts", "size")))).alias("lines"))
+    start = F.struct(F.col("own").cast("long").alias("seen"), F.lit(1).cast("long").alias("median"))
     found = F.aggregate("lines", start, lambda a, x: F.when(2 * a["seen"] >= F.col("total"), a).otherwise(F.struct((a["seen"] + x["size"]).alias("seen"), x["texts"].alias("median"))))
-    return text.select("copy", "total", own.alias("own"), found["median"].alias("median"))
+    return text.select("copy", "total", "own", "words", found["median"].alias("median"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text") -> DataFrame:
@@ -94,13 +117,15 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "
     lines = materialise(_lines(docs, text_col))
     keyed = _keys(lines).select("copy", "total", "pos", "size", F.explode_outer("keys").alias("key"))
     held = materialise(keyed.distinct())
-    release(lines)
     common = held.select("key", "copy").distinct().groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
     # Written, so that a very common template can be dealt over tasks.
     shared = materialise(held.join(materialise(common), "key"))
     release(held)
-    of_text = shared.groupBy("key", "copy").agg(F.sum("size").alias("taken")).join(_weights(shared), "copy")
-    part = F.when(2 * F.col("own") >= F.col("total") - F.col("taken"), 1.0).otherwise(1.0 / F.col("median"))
+    known = _known_lines(lines, shared)
+    release(lines)
+    of_text = shared.groupBy("key", "copy").agg(F.sum("size").alias("taken")).join(_weights(known), "copy")
+    full = (F.col("words") >= OWN_WORDS) | (2 * F.col("own") >= F.col("total") - F.col("taken"))
+    part = F.when(full, 1.0).otherwise(1.0 / F.col("median"))
     recurring = of_text.groupBy("key").agg(F.sum(part).alias("n")).where(F.col("n") >= min_docs - 1e-6).select("key")
     return materialise(shared.join(materialise(recurring), "key", "left_semi").groupBy("copy").agg(F.collect_set("pos").alias("drop")))
 
