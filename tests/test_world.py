@@ -204,6 +204,36 @@ def test_depressions_fill(spark):
     assert h[4] > 50 and h[8] == 10
 
 
+@pytest.mark.parametrize(("width", "height", "cells", "seed"), [(100, 100, 50, "a"), (300, 100, 700, "b"), (90, 400, 300, "c"), (960, 540, 2500, "d")])
+def test_flips_give_the_triangulation_of_insertion(width, height, cells, seed):
+    placed = geometry.place(width, height, cells, seed)
+    points, n = placed["points"] + placed["boundary"], len(placed["points"])
+    assert geometry.lattice_triangles(np.array(points), placed["columns"], placed["rows"], len(points) - n) is not None
+    fast, slow = geometry.dual(points, n, (placed["columns"], placed["rows"])), geometry.dual(points, n)
+    assert {tuple(sorted(t)) for t in fast["triangles"].tolist()} == {tuple(sorted(t)) for t in slow["triangles"].tolist()}
+    assert (geometry._turns(np.array(points), fast["triangles"]) > 0).all() and fast["border"] == slow["border"]
+    assert [sorted(x) for x in fast["neighbours"]] == [sorted(x) for x in slow["neighbours"]]
+    whole = [abs(geometry.area(fast["vertices"][r])) for r in fast["rings"]]
+    assert np.allclose(np.abs(fast["areas"]), whole)
+
+
+def test_ten_thousand_cells_take_a_fraction_of_a_second():
+    import time
+
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        placed = geometry.place(2000, 2000, 10000, "861039636")
+        geometry.dual(placed["points"] + placed["boundary"], len(placed["points"]), (placed["columns"], placed["rows"]))
+        took.append(time.process_time() - began)
+    assert min(took) < 0.6
+
+
+def test_points_that_are_no_lattice_are_inserted():
+    square = [(float(x), float(y)) for x in range(5) for y in range(5)]
+    assert len(geometry.dual(square, 25, (5, 5))["triangles"]) == 32
+
+
 def test_maps_are_independent(spark):
     maps = spark.createDataFrame([(1, "a", 100, 100, 50), (2, "b", 100, 100, 50), (3, "a", 100, 100, 50)], "map_id long, seed string, width int, height int, cells int")
     got = {k: [] for k in (1, 2, 3)}

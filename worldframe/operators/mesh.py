@@ -46,7 +46,11 @@ def grid_points(maps: DataFrame) -> DataFrame:
 
 def _mesh(row: pd.Series) -> tuple[dict, dict]:
     placed = geometry.place(float(row["width"]), float(row["height"]), int(row["cells"]), str(row["seed"]))
-    return placed, geometry.dual(placed["points"] + placed["boundary"], len(placed["points"]))
+    return placed, geometry.dual(placed["points"] + placed["boundary"], len(placed["points"]), (placed["columns"], placed["rows"]))
+
+
+def _sizes(areas: np.ndarray) -> np.ndarray:
+    return np.minimum(np.abs(areas).astype(np.int64), 65535)
 
 
 def triangles(maps: DataFrame) -> DataFrame:
@@ -65,9 +69,8 @@ def voronoi(maps: DataFrame) -> DataFrame:
 
     def make(row: pd.Series) -> pd.DataFrame:
         placed, mesh = _mesh(row)
-        v = mesh["vertices"]
         p = placed["points"]
-        size = [min(int(abs(geometry.area(v[r]))), 65535) if len(r) > 2 else 0 for r in mesh["rings"]]
+        size = _sizes(mesh["areas"])
         return pd.DataFrame({"map_id": row["map_id"], "cell_id": np.arange(len(p)), "x": [q[0] for q in p], "y": [q[1] for q in p], "ring": mesh["rings"], "neighbors": mesh["neighbours"], "is_border": mesh["border"], "area": size})
 
     return _per_map(maps, make, "map_id long, cell_id long, x double, y double, ring array<long>, neighbors array<long>, is_border boolean, area long")
@@ -92,7 +95,7 @@ def repacked(maps: DataFrame) -> DataFrame:
                 kind[i] = -2
         packed = geometry.repack(placed["points"], mesh, placed["spacing"], height, kind, np.zeros(len(p), dtype=bool))
         again = geometry.dual([(x, y) for x, y, _, _ in packed] + placed["boundary"], len(packed))
-        size = [min(int(abs(geometry.area(again["vertices"][r]))), 65535) if len(r) > 2 else 0 for r in again["rings"]]
+        size = _sizes(again["areas"])
         return pd.DataFrame({"map_id": row["map_id"], "cell_id": np.arange(len(packed)), "grid_id": [q[2] for q in packed], "x": [q[0] for q in packed], "y": [q[1] for q in packed], "height": [q[3] for q in packed], "area": size})
 
     return _per_map(maps, make, "map_id long, cell_id long, grid_id long, x double, y double, height long, area long")
