@@ -208,8 +208,8 @@ def test_depressions_fill(spark):
 def test_flips_give_the_triangulation_of_insertion(width, height, cells, seed):
     placed = geometry.place(width, height, cells, seed)
     points, n = placed["points"] + placed["boundary"], len(placed["points"])
-    assert geometry.lattice_triangles(np.array(points), placed["columns"], placed["rows"], len(points) - n) is not None
-    fast, slow = geometry.dual(points, n, (placed["columns"], placed["rows"])), geometry.dual(points, n)
+    assert geometry.lattice_triangles(np.array(points), *placed["lattice"], len(points) - n) is not None
+    fast, slow = geometry.dual(points, n, placed["lattice"]), geometry.dual(points, n)
     assert {tuple(sorted(t)) for t in fast["triangles"].tolist()} == {tuple(sorted(t)) for t in slow["triangles"].tolist()}
     assert (geometry._turns(np.array(points), fast["triangles"]) > 0).all() and fast["border"] == slow["border"]
     assert [sorted(x) for x in fast["neighbours"]] == [sorted(x) for x in slow["neighbours"]]
@@ -224,7 +224,7 @@ def test_ten_thousand_cells_take_a_fraction_of_a_second():
     for _ in range(3):
         began = time.process_time()
         placed = geometry.place(2000, 2000, 10000, "861039636")
-        geometry.dual(placed["points"] + placed["boundary"], len(placed["points"]), (placed["columns"], placed["rows"]))
+        geometry.dual(placed["points"] + placed["boundary"], len(placed["points"]), placed["lattice"])
         took.append(time.process_time() - began)
     assert min(took) < 0.6
 

@@ -46,7 +46,7 @@ def grid_points(maps: DataFrame) -> DataFrame:
 
 def _mesh(row: pd.Series) -> tuple[dict, dict]:
     placed = geometry.place(float(row["width"]), float(row["height"]), int(row["cells"]), str(row["seed"]))
-    return placed, geometry.dual(placed["points"] + placed["boundary"], len(placed["points"]), (placed["columns"], placed["rows"]))
+    return placed, geometry.dual(placed["points"] + placed["boundary"], len(placed["points"]), placed["lattice"])
 
 
 def _sizes(areas: np.ndarray) -> np.ndarray:
