@@ -343,3 +343,52 @@ def test_drains_through_lakes_and_circles(spark):
     features = spark.createDataFrame([(11, "lake"), (12, "ocean"), (13, "lake"), (14, "island"), (15, "lake")], "id long, kind string")
     outflow = spark.createDataFrame([(11, 2), (13, 3)], "lake long, river long")
     assert {r["river"]: r["drain"] for r in rivers.drains(last, places, features, outflow).collect()} == {1: 12, 2: 12, 3: None, 4: None, 5: 15}
+
+
+def full_map(seed, cells, short=()):
+    """A map file whose columns fit its mesh; those in short have one value too few."""
+    placed = geometry.place(120, 90, cells, seed)
+    n = len(placed["points"])
+    grid = geometry.dual(placed["points"] + placed["boundary"], n, placed["lattice"])
+    height = [50 if (x - 60) ** 2 + (y - 45) ** 2 < 900 else 5 for x, y in placed["points"]]
+    land = [h >= 20 for h in height]
+    near = [any(land[j] != land[i] for j in grid["neighbours"][i]) for i in range(n)]
+    water = [(1 if near[i] else 2) if land[i] else (-1 if near[i] else -3) for i in range(n)]
+    packed = geometry.repack(placed["points"], grid, placed["spacing"], np.array(height), np.array(water), np.zeros(n, dtype=bool))
+    out = [""] * 47
+    out[0] = f"1.9|x|d|{seed}|120|90|7"
+    out[6] = json.dumps({"spacing": 1, "cellsX": 1, "cellsY": 1, "cellsDesired": cells, "points": placed["points"], "features": [0, {"i": 1, "type": "ocean"}, {"i": 2, "type": "island", "land": True}]})
+    lists = {7: height, 8: [3] * n, 9: [2 if x else 1 for x in land], 10: water, 11: [4] * n, 16: [k % 12 for k in range(len(packed))], 25: [k % 5 for k in range(len(packed))]}
+    for at, values in lists.items():
+        out[at] = ",".join(map(str, values[1:] if at in short else values))
+    return "\r\n".join(out), placed, packed
+
+
+def test_import_with_its_mesh(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = {}
+    for k, (seed, cells) in enumerate((("a", 80), ("b", 120), ("c", 60))):
+        text, *good[f"{k}.map"] = full_map(seed, cells)
+        (tmp_path / "in" / f"{k}.map").write_text(text, newline="")
+    (tmp_path / "in" / "bad.map").write_text(full_map("d", 70, (16, 25))[0], newline="")
+    (tmp_path / "in" / "worse.map").write_text(full_map("e", 70, (7,))[0], newline="")
+    (tmp_path / "in" / "none.map").write_text("1.9|x", newline="")
+    from worldframe.__main__ import main
+
+    main(str(tmp_path / "in"), str(tmp_path / "out"))
+    world = svg.load_world(spark, str(tmp_path / "out"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    errors = {r["file"]: r["message"] for r in world["import_errors"].select(name, "message").collect()}
+    assert set(errors) == {"bad.map", "worse.map", "none.map"} and errors["none.map"] == "no header or no grid"
+    assert errors["bad.map"].startswith("biome: ") and "; state: " in errors["bad.map"] and errors["worse.map"].startswith("height: ")
+    pack = world["pack_cells"].select(name, "*").collect()
+    grid = world["grid_cells"].select(name, "*").collect()
+    assert {r["file"] for r in pack} == {r["file"] for r in grid} == set(good)
+    for file, (placed, packed) in good.items():
+        mine = sorted((r for r in pack if r["file"] == file), key=lambda r: r["cell_id"])
+        assert [(r["x"], r["y"], r["grid_id"], r["height"]) for r in mine] == [tuple(p) for p in packed]
+        assert [(r["biome"], r["state"]) for r in mine] == [(k % 12, k % 5) for k in range(len(packed))] and all(r["burg"] is None for r in mine)
+        about = {r["cell_id"]: set(r["neighbors"]) for r in mine}
+        assert all(a in about[b] for a, x in about.items() for b in x) and all(len(r["ring"]) == len(r["ring_x"]) == len(r["ring_y"]) for r in mine)
+        ground = sorted((r for r in grid if r["file"] == file), key=lambda r: r["cell_id"])
+        assert [(r["x"], r["y"]) for r in ground] == placed["points"] and {r["temperature"] for r in ground} == {4} and {r["feature_id"] for r in ground} == {1, 2}

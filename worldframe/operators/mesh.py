@@ -99,3 +99,61 @@ def repacked(maps: DataFrame) -> DataFrame:
         return pd.DataFrame({"map_id": row["map_id"], "cell_id": np.arange(len(packed)), "grid_id": [q[2] for q in packed], "x": [q[0] for q in packed], "y": [q[1] for q in packed], "height": [q[3] for q in packed], "area": size})
 
     return _per_map(maps, make, "map_id long, cell_id long, grid_id long, x double, y double, height long, area long")
+
+
+REGENERATED = "path string, part string, cell_id long, grid_id long, x double, y double, height long, area long, feature_id long, is_border boolean, neighbors array<long>, ring array<long>, ring_x array<double>, ring_y array<double>, message string"
+
+_NAMES = [c.split()[0] for c in REGENERATED.split(", ")]
+
+
+def _cells(path: str, part: str, points: np.ndarray, mesh: dict, columns: dict) -> pd.DataFrame:
+    n = len(points)
+    at = [mesh["vertices"][r] for r in mesh["rings"]]
+    made = {"path": path, "part": part, "cell_id": np.arange(n), "x": points[:, 0], "y": points[:, 1], "area": _sizes(mesh["areas"]), "is_border": mesh["border"], "neighbors": mesh["neighbours"], "ring": mesh["rings"]}
+    return pd.DataFrame(made | columns | {"ring_x": [v[:, 0].tolist() for v in at], "ring_y": [v[:, 1].tolist() for v in at], "message": None})
+
+
+def _regenerate(row: pd.Series) -> list[pd.DataFrame]:
+    """The grid's and the packed cells of one file, or what is wrong with it."""
+
+    def wrong(message: str) -> list[pd.DataFrame]:
+        known = {"path": row["path"], "part": "error", "message": message}
+        return [pd.DataFrame({c: pd.Series([known.get(c)], dtype=object) for c in _NAMES})]
+
+    if row["seed"] is None or not row["width"] > 0 or not row["height"] > 0 or not row["desired"] > 0:
+        return wrong("no header or no grid")
+    placed = geometry.place(float(row["width"]), float(row["height"]), int(row["desired"]), str(row["seed"]))
+    points = np.array(placed["points"])
+    n = len(points)
+    if n != row["n_points"]:
+        return wrong(f"points: {row['n_points']} (expected {n})")
+    if len(row["heights"]) != n:
+        return wrong(f"height: {len(row['heights'])} (expected {n})")
+    mesh = geometry.dual(placed["points"] + placed["boundary"], n, placed["lattice"])
+    height, water, feature = (np.resize(np.append(np.asarray(row[c], dtype=np.int64), np.zeros(max(0, n - len(row[c])), dtype=np.int64)), n) for c in ("heights", "water", "features"))
+    lake = np.isin(feature, np.asarray(row["lakes"], dtype=np.int64))
+    packed = geometry.repack(placed["points"], mesh, placed["spacing"], height, water, lake)
+    sizes = [f"{name}: {size} (expected {len(packed)})" for name, size in zip(row["names"], row["sizes"], strict=True) if size not in (0, len(packed))]
+    if sizes:
+        return wrong("; ".join(sizes))
+    out = [_cells(row["path"], "grid", points, mesh, {"grid_id": np.arange(n), "height": height, "feature_id": feature})]
+    if packed:
+        at = np.array([(x, y) for x, y, _, _ in packed])
+        grid_id = np.array([g for _, _, g, _ in packed])
+        again = geometry.dual([(x, y) for x, y, _, _ in packed] + placed["boundary"], len(packed))
+        out.append(_cells(row["path"], "pack", at, again, {"grid_id": grid_id, "height": np.array([h for _, _, _, h in packed]), "feature_id": feature[grid_id]}))
+    return out
+
+
+def regenerated(rows: DataFrame) -> DataFrame:
+    """The cells of every map file with their geometry made anew: part grid or pack; or one row of part error, with all that does not fit in its message.
+
+    rows: path, seed, width, height, desired, n_points, heights, water, features, lakes (ids), names and sizes (of the packed columns), one for each file. A file is one map, and its cells are made in one task.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for _, row in part.iterrows():
+                yield from (made[_NAMES] for made in _regenerate(row))
+
+    return rows.mapInPandas(run, REGENERATED)

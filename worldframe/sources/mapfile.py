@@ -214,3 +214,32 @@ def namebases(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.posexplode(F.split(slot(31), "/")).alias("id", "entry")).withColumn("f", F.split("entry", r"\|", -1)).where("size(f) >= 5")
     # The file's fourth field is read once as text and once as the number m; b is the field after it.
     return rows.select("path", "id", F.col("f")[0].alias("name"), F.col("f")[1].try_cast("int").alias("min_length"), F.col("f")[2].try_cast("int").alias("max_length"), F.col("f")[3].alias("d"), F.coalesce(F.col("f")[3].try_cast("float"), F.lit(0.0)).alias("m"), F.col("f")[4].alias("b"))
+
+
+def mesh_inputs(files: DataFrame) -> DataFrame:
+    """What the geometry of each file is made from, as operators.mesh.regenerated() takes it."""
+    part = F.split(slot(0), r"\|", -1)
+    schema = "struct<cellsX:long,cellsY:long,cellsDesired:long,points:array<string>,features:array<string>>"
+    field = lambda x, key: F.get_json_object(x, f"$.{key}")
+    lakes = F.filter(F.slice(F.col("g.features"), 2, 1_000_000_000), lambda x: feature_kind(field(x, "type")) == "lake")
+    of = lambda at, kind: F.coalesce(numbers(slot(at), kind), F.array().cast("array<int>")).cast("array<long>")
+    rows = files.select("path", "slots", F.from_json(slot(6), schema).alias("g"), F.when(F.size(part) >= 6, part).alias("h"))
+    return rows.select(
+        "path", F.col("h")[3].alias("seed"), F.col("h")[4].try_cast("double").alias("width"), F.col("h")[5].try_cast("double").alias("height"),
+        F.expr("coalesce(nullif(g.cellsDesired, 0), g.cellsX * g.cellsY)").alias("desired"), F.coalesce(F.size("g.points"), F.lit(0)).cast("long").alias("n_points"),
+        of(7, "u8").alias("heights"), of(10, "i8").alias("water"), of(9, "u16").alias("features"),
+        F.coalesce(F.filter(F.transform(lakes, lambda x: field(x, "i").try_cast("long")), lambda i: i.isNotNull()), F.array().cast("array<long>")).alias("lakes"),
+        F.array(*(F.lit(n) for n, _ in PACK.values())).alias("names"), F.array(*(F.coalesce(F.size(numbers(slot(i), k)), F.lit(0)) for i, (_, k) in PACK.items())).alias("sizes"),
+    )
+
+
+def with_mesh(files: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(grid cells, packed cells, errors: path, message): the cells made anew, joined by position with the columns of their file; a file with an error has no cells.
+
+    cells: as operators.mesh.regenerated() gives them, written once.
+    """
+    errors = cells.where("part = 'error'").select("path", "message")
+    sound = files.join(errors.select("path"), "path", "left_anti")
+    own = lambda part: cells.where(F.col("part") == part).drop("part", "message")
+    grid = own("grid").drop("grid_id").join(cell_columns(sound, {k: v for k, v in GRID.items() if v[0] not in ("height", "feature_id")}), ["path", "cell_id"], "left")
+    return grid, own("pack").join(cell_columns(sound, PACK), ["path", "cell_id"], "left"), errors
