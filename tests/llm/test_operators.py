@@ -290,23 +290,22 @@ def slow_line_dedup(texts):
         for ks in keys[t].values():
             for k in ks:
                 holds[k].add(t)
-    kin = {t: s for t in texts if (s := {k for ks in keys[t].values() for k in ks if len(holds[k]) > 1})}
+    kin = {t: s for t in texts if (s := {k for ks in keys[t].values() for k in ks if len(holds[k]) >= 5})}
 
-    def near(x, other):
-        """Whether a text of shared templates holds a line like x: five words in a row, or in short lines a token in the same place."""
+    def marks(x):
+        """Five words in a row, or in short lines a token with its place."""
         a = line_keys(x)[0].split(" ")
-        for y in lines[other].values():
-            b = line_keys(y)[0].split(" ")
-            if len(a) >= 8 <= len(b) and {tuple(a[i : i + 5]) for i in range(len(a) - 4)} & {tuple(b[i : i + 5]) for i in range(len(b) - 4)}:
-                return True
-            if len(a) == len(b) < 8 and any(p == q for p, q in zip(a, b, strict=True)):
-                return True
-        return False
+        return {(len(a), i, w) for i, w in enumerate(a)} if len(a) < 8 else {tuple(a[i : i + 5]) for i in range(len(a) - 4)}
+
+    mine = {t: {i: marks(x) for i, x in lines[t].items()} for t in kin}
+
+    def near(t, i, other):
+        return any(mine[t][i] & m for m in mine[other].values())
 
     weight = {}
     for t in kin:
         held = {i: max(len(holds[k]) for k in keys[t][i]) for i in lines[t]}
-        held = {i: max(f, 1 + sum(near(lines[t][i], o) for o in kin if o != t and kin[o] & kin[t])) for i, f in held.items()}
+        held = {i: max(f, 1 + sum(near(t, i, o) for o in kin if o != t and kin[o] & kin[t])) for i, f in held.items()}
         by = sorted((f, len(lines[t][i])) for i, f in held.items())
         total, own = sum(x for _, x in by), sum(x for f, x in by if f == 1)
         seen, median = own, 1

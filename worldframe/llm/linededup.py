@@ -10,7 +10,7 @@ counts in full for a template if it has something of its own: OWN_WORDS words or
 edited; or if at least half of the characters of its other lines stand in such lines, however short. Otherwise it counts as one part in the number
 of texts that hold its median line (lines by their characters, each with the texts that hold it by its commonest template or edited). So a group of near copies adds up to about one text, whatever its size,
 and a text counts for a shared line however much else it shares. No hash decides about a template. A line of a text is edited if a text of its kin holds a
-line with one of the KEPT least runs of RUN words in it (of under LONG tokens: one of as many tokens, with a token in the same place); kin agree in one of KIN of their shared templates, chosen by hashes among the commoner ones.
+line with one of the KEPT least runs of RUN words in it (of under LONG tokens: one of as many tokens, with a token in the same place); kin agree in one of KIN of their templates of MIN_DOCS texts or more, chosen by hashes among the commoner ones.
 
 Blank lines are kept and never counted. Null texts stay null, empty texts empty; a document all of whose lines recur becomes an
 empty text. Texts of any length are read whole. Ties have no meaning: every line of a recurring template goes. Repeated rows (same
@@ -30,6 +30,15 @@ OWN_WORDS, RUN, KEPT, KIN = 4, 5, 4, 4
 _VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
+def _marks(lines: DataFrame) -> DataFrame:
+    """lines with marks in place of line: hashes by which an edited line is known, the KEPT least ones of its runs of RUN words; of under LONG tokens, each token with its place."""
+    at = lines.withColumn("w", F.split("line", " "))
+    # Made from the array and its places, so that the line is split once.
+    runs = F.slice(F.transform("w", lambda _, i: F.xxhash64(F.slice("w", i + 1, RUN))), F.lit(1), F.greatest(F.col("n") - (RUN - 1), F.lit(0)))
+    places = F.transform("w", lambda x, i: F.xxhash64(F.size("w"), i, x))
+    return at.withColumn("marks", F.when(F.col("n") >= LONG, F.slice(F.array_sort(runs), 1, KEPT)).otherwise(places)).drop("line", "w")
+
+
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """copy (a hash of the text), total (characters of its lines), pos, size, exact, two leaves, masked line and number of tokens of every line that is not blank."""
     clean = F.transform(F.split(text_col, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
@@ -81,25 +90,21 @@ def _keys(lines: DataFrame) -> DataFrame:
     return at.select("copy", "total", "pos", "size", F.concat(F.array("exact"), lead, bound).alias("keys"))
 
 
-def _known_lines(lines: DataFrame, shared: DataFrame) -> DataFrame:
-    """copy, pos, size, words, total, texts of every line of the texts with shared lines: the texts that hold it by its commonest template, or edited among the text's kin; null if none else does."""
-    most = shared.groupBy("copy").agg(F.max("texts").alias("most"))
+def _known_lines(lines: DataFrame, shared: DataFrame, min_docs: int) -> DataFrame:
+    """copy, pos, size, words, total, texts of every line of the texts that hold a template of min_docs texts or more: the texts that hold it by its commonest template, or edited among the text's kin; null if none else does."""
+    most = shared.groupBy("copy").agg(F.max("texts").alias("most")).where(F.col("most") >= min_docs)
     # Least hashes of all shared templates, of those at least a quarter and a half as common as the text's commonest, and the commonest.
     by = [F.min(F.xxhash64(F.lit(0), "key")), *(F.min(F.when(F.col("texts") >= F.col("most") / n, F.xxhash64(F.lit(n), "key"))) for n in (4, 2))]
-    kin = shared.join(most, "copy").groupBy("copy").agg(*[x.alias(f"k{j}") for j, x in enumerate([*by, F.max(F.struct("texts", "key"))["key"]])])
+    kin = shared.where(F.col("texts") >= min_docs).join(most, "copy").groupBy("copy").agg(*[x.alias(f"k{j}") for j, x in enumerate([*by, F.max(F.struct("texts", "key"))["key"]])])
     held = shared.groupBy("copy", "pos").agg(F.max("texts").alias("texts"))
-    words = F.split("line", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.col("n") - (RUN - 1)), lambda i: F.xxhash64(F.slice(words, i, RUN)))
-    places = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64("n", i, F.get(words, i - 1)))
-    marks = F.when(F.col("n") >= LONG, F.slice(F.array_sort(runs), 1, KEPT)).otherwise(places)
-    of_kin = lines.join(kin, "copy").groupBy("copy", "pos").agg(*[F.first(c).alias(c) for c in ("line", "n", "size", "total", *(f"k{j}" for j in range(KIN)))])
-    each = materialise(of_kin.join(held, ["copy", "pos"], "left").select("copy", "pos", "size", "total", F.col("n").alias("words"), "texts", marks.alias("marks"), *(f"k{j}" for j in range(KIN))))
+    # Copies of a text come with their lines each; what is told of them is the same.
+    each = materialise(_marks(lines.join(kin, "copy")).join(held, ["copy", "pos"], "left").select("copy", "pos", "size", "total", F.col("n").alias("words"), "texts", "marks", *(f"k{j}" for j in range(KIN))))
     keys = F.array(*[F.xxhash64("mark", F.lit(j), f"k{j}") for j in range(KIN)])
-    told = materialise(each.select("copy", "pos", *(f"k{j}" for j in range(KIN)), F.explode("marks").alias("mark")).select("copy", "pos", F.explode(keys).alias("key")))
+    told = materialise(each.select("copy", "pos", *(f"k{j}" for j in range(KIN)), F.explode("marks").alias("mark")).select("copy", "pos", F.explode(keys).alias("key")).distinct())
     common = told.select("copy", "key").distinct().groupBy("key").agg(F.count("*").alias("edited")).where("edited > 1")
     edited = told.join(materialise(common), "key").groupBy("copy", "pos").agg(F.max("edited").alias("edited"))
-    whole = each.drop("marks", *(f"k{j}" for j in range(KIN))).join(edited, ["copy", "pos"], "left")
-    return materialise(whole.withColumn("texts", F.greatest("texts", "edited")).drop("edited"))
+    once = each.groupBy("copy", "pos").agg(*[F.max(c).alias(c) for c in ("size", "total", "words", "texts")])
+    return materialise(once.join(edited, ["copy", "pos"], "left").withColumn("texts", F.greatest("texts", "edited")).drop("edited"))
 
 
 def _weights(known: DataFrame) -> DataFrame:
@@ -121,7 +126,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "
     # Written, so that a very common template can be dealt over tasks.
     shared = materialise(held.join(materialise(common), "key"))
     release(held)
-    known = _known_lines(lines, shared)
+    known = _known_lines(lines, shared, min_docs)
     release(lines)
     of_text = shared.groupBy("key", "copy").agg(F.sum("size").alias("taken")).join(_weights(known), "copy")
     full = (F.col("words") >= OWN_WORDS) | (2 * F.col("own") >= F.col("total") - F.col("taken"))
