@@ -392,3 +392,56 @@ def test_import_with_its_mesh(spark, tmp_path):
         assert all(a in about[b] for a, x in about.items() for b in x) and all(len(r["ring"]) == len(r["ring_x"]) == len(r["ring_y"]) for r in mine)
         ground = sorted((r for r in grid if r["file"] == file), key=lambda r: r["cell_id"])
         assert [(r["x"], r["y"]) for r in ground] == placed["points"] and {r["temperature"] for r in ground} == {4} and {r["feature_id"] for r in ground} == {1, 2}
+
+
+def test_drawing_in_global_order(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    cells = spark.createDataFrame([(i, float(i % 4 * 10 + 5), float(i // 4 * 10 + 5), 10 * i, i % 4 // 2) for i in range(12)], "cell_id long, x double, y double, height long, state long")
+    near = [(i, s, j) for i in range(12) for s, (j, ok) in enumerate(((i + 1, i % 4 < 3), (i + 4, i < 8), (i - 1, i % 4 > 0), (i - 4, i >= 4))) if ok]
+    edges = spark.createDataFrame(near, "src long, slot long, dst long")
+    rings = spark.createDataFrame([(i, k, i // 4 * 5 + i % 4 + d) for i in range(12) for k, d in enumerate((0, 1, 6, 5))], "cell_id long, pos long, vertex long")
+    vertices = spark.createDataFrame([(v, float(v % 5 * 10), float(v // 5 * 10)) for v in range(20)], "vertex long, x double, y double")
+    paths = spark.createDataFrame([(3, 0, 1), (3, 1, 5), (3, 2, 99)], "river long, pos long, cell_id long")
+    rivers = spark.createDataFrame([(3, 9000.0), (4, 1.0)], "river long, discharge double")
+    burgs = spark.createDataFrame([(1, "A & <b>", 2, False, True), (2, "gone", 3, True, False), (0, "none", 3, False, False)], "id long, name string, cell long, removed boolean, is_capital boolean")
+    lines = svg.svg_lines(cells, rings, vertices, paths, rivers, edges, burgs, 40, 30)
+    svg.write_svg(lines.repartition(7), str(tmp_path / "map"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "map").glob("part-*")))
+    root = ET.fromstring(text)
+    kinds = [e.tag.split("}")[1] for e in root]
+    assert kinds == ["rect", *["polygon"] * 12, "polyline", "path", "circle", "text"]
+    assert root[1].attrib["points"] == "0.0,0.0 10.0,0.0 10.0,10.0 0.0,10.0"
+    assert root[13].attrib["points"].split() == ["15.0,5.0", "15.0,15.0", "0.0,0.0"] and root[13].attrib["stroke-width"] == "1.8"
+    assert root[14].attrib["d"].split() == [x for y in (5, 15, 25) for x in ("M", f"15.0,{y}.0", "L", f"25.0,{y}.0")]
+    assert root[-1].text == "A & <b>" and root[-2].attrib["r"] == "5"
+
+
+def test_first_preset_that_fits(spark):
+    from worldframe.functions import views
+
+    presets = spark.createDataFrame([("p", 0, "a"), ("p", 0, "b"), ("q", 1, "b"), ("q", 1, "a"), ("r", 2, "c")], "preset string, k long, layer string")
+    shown = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (3, "a"), (4, "a"), (4, "b"), (4, "c")], "id long, layer string")
+    assert {r["id"]: r["preset"] for r in views.presets_shown(shown, presets).collect()} == {1: "p", 2: "r", 3: "custom", 4: "custom"}
+
+
+def test_lines_at_round_distances(spark):
+    from worldframe.functions import views
+
+    box = lambda x, y: spark.createDataFrame([(3.0, -7.0), (3.0 + x, -7.0 + y)], "x double, y double")
+    got = [(r["axis"], r["at"]) for r in views.grid_lines(box(60.0, 120.0), 12).orderBy("axis", "k").collect()]
+    assert [a for x, a in got if x == "x"] == [5.0 * k for k in range(1, 13)] and [a for x, a in got if x == "y"] == [5.0 * k for k in range(-1, 23)]
+    assert views.grid_lines(box(0.0, 5.0), 12).count() == 0
+
+
+def test_river_tree(spark):
+    from worldframe.operators import rivers
+
+    drained = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (8, 8), (9, -1)], "cell_id long, river long")
+    pointers = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 2), (8, 6), (9, 1)], "src long, dst long")
+    tree = rivers.parents(drained, pointers)
+    assert {r["river"]: r["parent"] for r in tree.collect()} == {1: None, 5: 1, 8: 5}
+    named = rivers.specified(spark.createDataFrame([(1, "Elbe", ""), (5, "", "Fork"), (8, "", "")], "id long, name string, type_name string"), tree)
+    assert {r["id"]: (r["name"], r["type_name"], r["basin"]) for r in named.collect()} == {1: ("Elbe", "River", 1), 5: ("River 5", "Fork", 1), 8: ("River 8", "River", 5)}
+    assert [r["id"] for r in rivers.without(named, spark.createDataFrame([(5,)], "id long")).collect()] == [1]
+    assert rivers.without(named, spark.createDataFrame([(1,)], "id long")).select("id").collect()[0][0] == 8

@@ -70,10 +70,10 @@ def escape_xml(text: str) -> str:
 
 
 def nice_spacing(extent: str, parts: int) -> str:
-    """The least of 1, 2, 5 and 10 times a power of ten that is not under extent / parts; 1 at least."""
+    """1, 2, 5 or 10 times a power of ten, by how many such powers extent / parts is: under 1.5, 3.5, 7.5 or more (fixed values); 1 at least."""
     raw = f"({extent} / {num(parts)})"
-    power = f"power(1e1, floor(log10(greatest({raw}, 1e0))))"
-    return f"greatest(1e0, CASE WHEN {raw} <= {power} THEN {power} WHEN {raw} <= 2e0 * {power} THEN 2e0 * {power} WHEN {raw} <= 5e0 * {power} THEN 5e0 * {power} ELSE 1e1 * {power} END)"
+    power = f"power(1e1, floor(log10({raw})))"
+    return f"greatest(1e0, CASE WHEN {raw} < 1.5e0 * {power} THEN {power} WHEN {raw} < 3.5e0 * {power} THEN 2e0 * {power} WHEN {raw} < 7.5e0 * {power} THEN 5e0 * {power} ELSE 1e1 * {power} END)"
 
 
 def edge_point(x: str, y: str, width: str, height: str) -> tuple[str, str]:

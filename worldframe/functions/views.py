@@ -7,6 +7,8 @@ operation adds or replaces columns, so any number of views is moved in one proje
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from worldframe.functions import expressions as E
+
 #: Least and most visible height, room around a framed box, share of the map a view may leave it by.
 LEAST, MOST, PADDING, MARGIN = 4.0, 1e6, 1.03, 0.3
 
@@ -60,3 +62,23 @@ def framed(boxes: DataFrame) -> DataFrame:
     box = boxes.withColumns({c: F.expr(f"CASE WHEN {real} THEN double({c}) ELSE {v} END") for c, v in (("x0", "0e0"), ("y0", "0e0"), ("x1", "1e3"), ("y1", "1e3"))})
     need = f"{PADDING}e0 * greatest(y1 - y0, 1e0, greatest(x1 - x0, 1e0) / greatest(aspect, 1e-6))"
     return kept(box.withColumns({"cx": F.expr("(x0 + x1) / 2e0"), "cy": F.expr("(y0 + y1) / 2e0"), "tall": F.expr(f"greatest({LEAST}e0, least({MOST}e0, {need}))")}))
+
+
+def presets_shown(shown: DataFrame, presets: DataFrame) -> DataFrame:
+    """id, preset: the first preset that has just the layers that an id shows, `custom` if none has. shown: id, layer; presets: preset, k (their order), layer.
+
+    Sets are compared as sorted arrays, which are as long as there are layers at most.
+    """
+    layers = F.sort_array(F.collect_set("layer")).alias("layers")
+    sets = presets.groupBy("preset", "k").agg(layers).groupBy("layers").agg(F.min_by("preset", "k").alias("preset"))
+    return shown.groupBy("id").agg(layers).join(sets, "layers", "left").select("id", F.coalesce("preset", F.lit("custom")).alias("preset"))
+
+
+def grid_lines(cells: DataFrame, parts: int) -> DataFrame:
+    """axis, k, at, low, high: lines at round distances across the box of all cells, about so many along its shorter side; none if the box has no area."""
+    box = cells.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("x1 > x0 AND y1 > y0")
+    box = box.withColumn("g", F.greatest(F.expr(E.nice_spacing("least(x1 - x0, y1 - y0)", parts)), F.lit(1.0)))
+    sides = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"{a}0").alias("begin"), F.col(f"{a}1").alias("upto"), F.col(f"{b}0").alias("low"), F.col(f"{b}1").alias("high")) for a, b in ("xy", "yx")])
+    each = box.select("g", F.explode(sides).alias("s")).select("g", "s.*").withColumn("start", F.ceil(F.col("begin") / F.col("g")) * F.col("g"))
+    count = F.floor((F.col("upto") - F.col("start")) / F.col("g")).cast("long")
+    return each.where("start <= upto").select("axis", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("k"), "g", "start", "low", "high").select("axis", "k", (F.col("start") + F.col("k") * F.col("g")).alias("at"), "low", "high")

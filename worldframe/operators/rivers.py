@@ -159,6 +159,39 @@ def anchor_flux(points: DataFrame, path: DataFrame) -> DataFrame:
     return points.select("id", "pos").join(put, ["id", "pos"], "left").selectExpr("id", "pos", f"max(coalesce(put, 0)) {w} AS flux")
 
 
+def parents(drained: DataFrame, pointers: DataFrame) -> DataFrame:
+    """river, parent: the river whose cell a river's last cell drains into; null where it ends in none or keeps its name. drained: cell_id, river (-1 if none); pointers: src, dst."""
+    named = drained.where("river >= 0").select("cell_id", "river")
+    after = pointers.join(named.select(F.col("cell_id").alias("src"), "river"), "src").join(named.select(F.col("cell_id").alias("dst"), F.col("river").alias("parent")), "dst")
+    lost = after.where("river <> parent").groupBy("river").agg(F.min("parent").alias("parent"))
+    return named.select("river").distinct().join(lost, "river", "left")
+
+
+def specified(rivers: DataFrame, tree: DataFrame) -> DataFrame:
+    """id, name, type_name, parent, basin of rivers (id, name, type_name): the basin is the parent if that is a river, else the river itself; empty names become `River id` and `River`. tree: river, parent."""
+    held = rivers.join(tree.select(F.col("river").alias("id"), "parent"), "id", "left")
+    known = rivers.select(F.col("id").alias("parent"), F.col("id").alias("basin"))
+    name = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
+    return held.join(known, "parent", "left").select("id", name(F.col("name"), F.concat(F.lit("River "), F.col("id").cast("string"))).alias("name"), name(F.col("type_name"), F.lit("River")).alias("type_name"), "parent", F.coalesce("basin", "id").alias("basin"))
+
+
+def without(rivers: DataFrame, removed: DataFrame) -> DataFrame:
+    """rivers (id, parent, basin) but for those that are removed (id), and those whose parent or basin is."""
+    out = rivers
+    for c in ("id", "parent", "basin"):
+        out = out.join(removed.select(F.col("id").alias(c)), c, "left_anti")
+    return out.select(rivers.columns)
+
+
+def courses(cells: DataFrame, edges: DataFrame, drained: DataFrame) -> DataFrame:
+    """river, step, cell_id: from the cell where a river begins, each time the lowest strictly lower neighbour (the first of equals) of the same river, to its mouth."""
+    named = cells.select("cell_id", "height").join(drained.where("river >= 0").select("cell_id", "river"), "cell_id")
+    a, b = named.select(F.col("cell_id").alias("src"), F.col("height").alias("high"), F.col("river").alias("own")), named.select(F.col("cell_id").alias("dst"), F.col("height").alias("low"), "river")
+    lower = edges.join(a, "src").join(b, "dst").where("own = river AND low < high")
+    onward = cut(lower.groupBy("src").agg(F.min(F.struct("low", "slot", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst")))
+    return graph.trace(named.where("cell_id = river").select("cell_id"), onward).withColumnRenamed("start", "river")
+
+
 def define(streams: DataFrame) -> DataFrame:
     """id, source_cell, mouth_cell, discharge, width_factor, source_width, width_km, n_cells: rivers of three cells or more.
 

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worldframe.functions import views
 from worldframe.functions.palette import height_colours
 from worldframe.operators import edits, graph, hydrology, isolines, mesh, nearest, polyline, rivers
 from worldframe.plans.lineage import cut
@@ -149,12 +150,23 @@ _NEAR = """near AS (SELECT *, lead(x, 1) OVER w AS x2, lead(y, 1) OVER w AS y2,
     coalesce(lead(x, 2) OVER w, lead(x, 1) OVER w) AS x3, coalesce(lead(y, 2) OVER w, lead(y, 1) OVER w) AS y3, count(*) OVER (PARTITION BY id) AS n FROM points WINDOW w AS (PARTITION BY id ORDER BY pos))"""
 
 
-@query(_with(("points",), more=(_NEAR,)) + f"""SELECT id, pos, CAST(part AS BIGINT) AS part, {R4.format(_CR.format(c='x'))} AS x, {R4.format(_CR.format(c='y'))} AS y FROM (SELECT n.*, r.range AS part, r.range / 4e0 AS t FROM near n CROSS JOIN range(4) r WHERE x2 IS NOT NULL)
+@query(_with(("points",), more=(_NEAR,)) + f"""SELECT id, pos, CAST(part AS BIGINT) AS part, {R4.format(_CR.format(c='x'))} AS x, {R4.format(_CR.format(c='y'))} AS y FROM (SELECT n.*, r.range AS part, r.range / 4e0 AS t FROM near n CROSS JOIN range(4) r WHERE x2 IS NOT NULL AND n.n > 2)
+    UNION ALL SELECT id, pos, CAST(r.range AS BIGINT), {R4.format('x + (x2 - x) * (r.range / 5e0)')}, {R4.format('y + (y2 - y) * (r.range / 5e0)')} FROM near CROSS JOIN range(5) r WHERE x2 IS NOT NULL AND n = 2
     UNION ALL SELECT id, pos, CAST(0 AS BIGINT) AS part, {R4.format('x')} AS x, {R4.format('y')} AS y FROM near WHERE x2 IS NULL""")
 def catmull_rom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polyline.catmull_rom(frame(spark, sf_dir, "points"))
 
 
+_RING = """ring AS (SELECT p.id, p.pos, p.x, p.y, b.x AS x0, b.y AS y0, c.x AS x2, c.y AS y2, d.x AS x3, d.y AS y3, s.n FROM points p JOIN (SELECT id, count(*) AS n FROM points GROUP BY id) s ON p.id = s.id
+    JOIN points b ON b.id = p.id AND b.pos = (p.pos + s.n - 1) % s.n JOIN points c ON c.id = p.id AND c.pos = (p.pos + 1) % s.n JOIN points d ON d.id = p.id AND d.pos = (p.pos + 2) % s.n)"""
+
+
+@query(_with(("points",), more=(_RING,)) + f"""SELECT id, pos, CAST(part AS BIGINT) AS part, {R4.format(_CR.format(c='x'))} AS x, {R4.format(_CR.format(c='y'))} AS y FROM (SELECT g.*, r.range AS part, r.range / 4e0 AS t FROM ring g CROSS JOIN range(4) r WHERE g.n >= 4)
+    UNION ALL SELECT id, pos, CAST(0 AS BIGINT), {R4.format('x')}, {R4.format('y')} FROM ring WHERE n < 4""")
+def catmull_rom_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polyline.catmull_rom(frame(spark, sf_dir, "points"), closed=True)
+
+
 _BENT = f"""bent AS (SELECT *, 0.5e0 + 1e0 / step + greatest(0.5e0 - step / 1e2, 0e0) AS m, CASE WHEN d2 > 0 THEN (y2 - y) / sqrt(d2) ELSE 0e0 END AS si, CASE WHEN d2 > 0 THEN (x2 - x) / sqrt(d2) ELSE 1e0 END AS co,
     step < 20 AND (d2 > 64 OR (d2 > 36 AND n < 5)) AS two, x2 IS NULL OR (d2 <= 25 AND n >= 6) AS none FROM (SELECT *, CAST(10 + pos AS DOUBLE) AS step, power(x2 - x, 2e0) + power(y2 - y, 2e0) AS d2 FROM near))"""
 
@@ -366,6 +378,70 @@ _OUTLET = """SELECT cell_id, arg_max(lake_cell, lake) AS lake_cell, arg_max(ente
     ON l.lake = n.lake WHERE l.k = 1) GROUP BY cell_id"""
 
 
+_DRAINED = _drainage("SELECT cell_id FROM cells WHERE false", "SELECT cell_id, cell_id AS lake_cell, cell_id AS entering FROM cells WHERE false")
+_TREE = (DOWN, f"drained AS MATERIALIZED ({_DRAINED})", "tree AS MATERIALIZED (SELECT r.river, min(p.parent) AS parent FROM (SELECT DISTINCT river FROM drained WHERE river >= 0) r LEFT JOIN (SELECT a.river, b.river AS parent FROM down d JOIN drained a ON d.src = a.cell_id JOIN drained b ON d.dst = b.cell_id WHERE a.river >= 0 AND b.river >= 0 AND a.river <> b.river) p ON r.river = p.river GROUP BY r.river)")
+_SPECIFIED = """known AS MATERIALIZED (SELECT t.river AS id, CASE WHEN b.id IS NULL OR b.id % 3 = 0 THEN 'River ' || t.river ELSE b.name END AS name, CASE WHEN b.is_capital THEN 'Fork' ELSE 'River' END AS type_name, t.parent, coalesce(p.river, t.river) AS basin
+    FROM tree t LEFT JOIN (SELECT cell, min(id) AS id, min_by(name, id) AS name, min_by(is_capital, id) AS is_capital FROM burgs GROUP BY cell) b ON b.cell = t.river LEFT JOIN tree p ON t.parent = p.river)"""
+
+
+def _rivers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cells, edges, drained, tree) of the whole land."""
+    cells, edges = cut(frame(spark, sf_dir, "cells")), cut(frame(spark, sf_dir, "edges"))
+    pointers = cut(graph.down(cells, edges))
+    drained = cut(hydrology.drain(cells, pointers))
+    return cells, edges, drained, cut(rivers.parents(drained, pointers))
+
+
+@query(_with(("edges",), True, _TREE) + "SELECT t.river, t.parent, coalesce(p.river, t.river) AS basin FROM tree t LEFT JOIN tree p ON t.parent = p.river")
+def parent_basin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _rivers(spark, sf_dir)[3]
+    return tree.join(tree.select(F.col("river").alias("parent"), F.col("river").alias("basin")), "parent", "left").select("river", "parent", F.coalesce("basin", "river").alias("basin"))
+
+
+def _specified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rivers that begin at a town bear its name, but for every third; those of capitals are forks."""
+    tree = _rivers(spark, sf_dir)[3]
+    town = frame(spark, sf_dir, "burgs").groupBy(F.col("cell").alias("river")).agg(F.min(F.struct("id", "name", "is_capital")).alias("t"))
+    named = tree.select("river").join(town, "river", "left").selectExpr("river AS id", "CASE WHEN t.id % 3 <> 0 THEN t.name ELSE '' END AS name", "CASE WHEN t.is_capital THEN 'Fork' ELSE '' END AS type_name")
+    return rivers.specified(named, tree)
+
+
+@query(_with(("edges", "burgs"), True, (*_TREE, _SPECIFIED)) + "SELECT * FROM known")
+def basin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _specified(spark, sf_dir)
+
+
+@query(_with(("edges", "burgs"), True, (*_TREE, _SPECIFIED, "gone AS (SELECT k.id FROM known k JOIN cells c ON k.id = c.cell_id WHERE c.state = 3)"))
+    + "SELECT k.id, k.parent, k.basin FROM known k WHERE k.id NOT IN (SELECT id FROM gone) AND coalesce(k.parent NOT IN (SELECT id FROM gone), true) AND k.basin NOT IN (SELECT id FROM gone)")
+def river_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the rivers that begin in one state, their direct children and their basins."""
+    known = cut(_specified(spark, sf_dir).select("id", "parent", "basin"))
+    return rivers.without(known, known.join(frame(spark, sf_dir, "cells").where("state = 3").select(F.col("cell_id").alias("id")), "id", "left_semi"))
+
+
+@query(_with(("edges",), True, (*_TREE[:2], """step AS MATERIALIZED (SELECT src, dst FROM (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.src ORDER BY b.height, e.slot) AS k FROM edges e JOIN cells a ON e.src = a.cell_id JOIN cells b ON e.dst = b.cell_id
+    JOIN drained p ON e.src = p.cell_id JOIN drained q ON e.dst = q.cell_id WHERE p.river >= 0 AND p.river = q.river AND b.height < a.height) WHERE k = 1)""",
+    "course(river, step, cell_id) AS (SELECT river, CAST(0 AS BIGINT), cell_id FROM drained WHERE river = cell_id UNION ALL SELECT c.river, c.step + 1, s.dst FROM course c JOIN step s ON c.cell_id = s.src)")) + "SELECT * FROM course")
+def river_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of every river from where it begins, along cells of its own."""
+    cells, edges, drained, _ = _rivers(spark, sf_dir)
+    return rivers.courses(cells, edges, drained)
+
+
+@query("SELECT i.*, CASE WHEN d.river < 0 THEN '—' ELSE 'River ' || d.river END AS river_name, d.flux FROM (" + ORACLE_SQL["inspector_join"] + ") i JOIN (" + _DRAINED + ") d ON i.cell_id = d.cell_id")
+def inspector_river(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell inspector with the river of each cell."""
+    drained = _rivers(spark, sf_dir)[2].selectExpr("cell_id", "CASE WHEN river < 0 THEN '—' ELSE concat('River ', river) END AS river_name", "flux")
+    return flagship(spark, sf_dir).join(drained, "cell_id")
+
+
+@query(_with(("cells",)) + """SELECT axis, CAST(k AS BIGINT) AS k, start + k * spacing AS at, low, high FROM (
+    SELECT 'x' AS axis, ceil(x0 / g) * g AS start, g AS spacing, x1 AS upto, y0 AS low, y1 AS high FROM spans UNION ALL SELECT 'y', ceil(y0 / g) * g, g, y1, x0, x1 FROM spans) l, range(1000) r(k) WHERE start + k * spacing <= upto""".replace(
+    "FROM spans", "FROM (SELECT *, greatest(CASE WHEN b / m < 1.5 THEN 1 WHEN b / m < 3.5 THEN 2 WHEN b / m < 7.5 THEN 5 ELSE 10 END * m, 1e0) AS g FROM (SELECT *, power(10e0, floor(log10(b))) AS m FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, least(max(x) - min(x), max(y) - min(y)) / 12e0 AS b FROM cells))) s"))
+def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.grid_lines(frame(spark, sf_dir, "cells"), 12)
+
+
 @query(_drainage(f"SELECT cell_id FROM ({_OUTLET})", _OUTLET))
 def lake_drainage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lake runs over at its outlet; what enters it is the precipitation of its shore."""
@@ -384,9 +460,47 @@ def spill_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydrology.spill_levels(cut(frame(spark, sf_dir, "cells").select("cell_id", "height")), cut(frame(spark, sf_dir, "edges")))
 
 
-@query()
+_TENTH = "printf('%.1f', floor(({0}) * 10 + 0.5e0) / 10)"
+_X, _Y = _TENTH.format("{0}.x"), _TENTH.format("{0}.y")
+_XY = lambda t: f"{_X.format(t)} || ',' || {_Y.format(t)}"
+_FILLS = "[" + ", ".join(f"'{x}'" for x in svg.height_fills()) + "]"
+
+
+@query(_with(("edges", "vertices", "burgs"), more=("route AS (SELECT o_custkey AS river, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS cell_id FROM orders)",
+    "span AS (SELECT r.river, max(r.pos) AS last, c.c_acctbal AS discharge FROM route r JOIN customer c ON r.river = c.c_custkey GROUP BY r.river, c.c_acctbal)",
+    f"town AS (SELECT b.id, b.name, c.x, c.y, CASE WHEN b.is_capital THEN 5 ELSE 3 END AS r FROM burgs b JOIN cells c ON b.cell = c.cell_id WHERE b.id <> 0 AND NOT b.removed)"))
+    + f"""SELECT CAST(layer AS BIGINT) AS layer, CAST(id AS BIGINT) AS id, CAST(pos AS BIGINT) AS pos, line FROM (
+    SELECT 0 AS layer, 0 AS id, 0 AS pos, '<svg xmlns="http://www.w3.org/2000/svg" width="1000" height="1500" viewBox="0 0 1000 1500">' AS line UNION ALL SELECT 0, 0, 1, '<rect width="1000" height="1500" fill="#1a3a5c"/>' UNION ALL SELECT 5, 0, 0, '</svg>'
+    UNION ALL SELECT 1, c.cell_id, 0, '<polygon points="' || string_agg({_XY('v')}, ' ' ORDER BY k.pos) || '" fill="' || ({_FILLS})[least(greatest(any_value(c.height), 0), 100) + 1] || '" stroke="none" opacity="0.95"/>' FROM cells c JOIN rings k ON c.cell_id = k.cell_id JOIN vertices v ON k.vertex = v.vertex GROUP BY c.cell_id
+    UNION ALL SELECT 2, river, -1, '<polyline points="' FROM span UNION ALL SELECT 2, r.river, r.pos, coalesce({_XY('c')}, '0.0,0.0') FROM route r SEMI JOIN span s ON r.river = s.river LEFT JOIN cells c ON r.cell_id = c.cell_id
+    UNION ALL SELECT 2, river, last + 1, '" fill="none" stroke="#4488cc" stroke-width="' || {_TENTH.format('least(greatest(discharge / 5000, 0.5e0), 4e0)')} || '" stroke-linecap="round" stroke-linejoin="round"/>' FROM span
+    UNION ALL SELECT 3, e.src, 0, string_agg('M ' || {_XY('a')} || ' L ' || {_XY('b')}, ' ' ORDER BY e.dst) FROM edges e JOIN cells a ON e.src = a.cell_id JOIN cells b ON e.dst = b.cell_id WHERE e.src < e.dst AND a.state <> b.state GROUP BY e.src
+    UNION ALL SELECT 3, min(cell_id) - 1, 0, '<path d="' FROM cells UNION ALL SELECT 3, max(cell_id) + 1, 0, '" fill="none" stroke="#e63333" stroke-width="1.5" opacity="0.8"/>' FROM cells
+    UNION ALL SELECT 4, id, 0, '<circle cx="' || {_X.format('t')} || '" cy="' || {_Y.format('t')} || '" r="' || r || '" fill="white" stroke="black" stroke-width="0.5"/>' FROM town t
+    UNION ALL SELECT 4, id, 1, '<text x="' || {_TENTH.format('t.x + r + 2')} || '" y="' || {_Y.format('t')} || '" font-size="8" fill="white" stroke="black" stroke-width="0.3" font-family="sans-serif" text-anchor="start" dy=".3em">' || replace(replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') || '</text>' FROM town t)""")
 def svg_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return svg.svg_lines(*(frame(spark, sf_dir, n) for n in ("cells", "edges", "burgs")))
+    """The whole map; each customer's orders, which are cells, stand for the path of a river."""
+    made = frames(spark, sf_dir, ("cells", "rings", "vertices", "edges", "burgs"))
+    orders, people = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer"))
+    paths = orders.selectExpr("CAST(o_custkey AS BIGINT) AS river", "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS pos", "CAST(o_orderkey AS BIGINT) AS cell_id")
+    return svg.svg_lines(made["cells"], made["rings"], made["vertices"], paths, people.selectExpr("CAST(c_custkey AS BIGINT) AS river", "c_acctbal AS discharge"), made["edges"], made["burgs"], 1000, 1500)
+
+
+_SHOWN = f"""SELECT c.c_custkey AS id, l.layer FROM customer c JOIN (VALUES {', '.join(f"('{p}', {k}, '{x}')" for k, p in enumerate(PRESETS) for x in LAYERS if x in PRESETS[p].split())}) l(preset, k, layer) ON c.c_nationkey % 13 = l.k WHERE NOT (c.c_custkey % 5 = 0 AND l.layer = 'burgs')
+    UNION ALL SELECT c_custkey, 'zones' FROM customer WHERE c_acctbal < 0"""
+
+
+@query(f"""WITH shown AS ({_SHOWN}), preset(preset, k, layer) AS (VALUES {', '.join(f"('{p}', {k}, '{x}')" for k, p in enumerate(PRESETS) for x in LAYERS if x in PRESETS[p].split())}),
+    fit AS (SELECT s.id, p.preset, p.k FROM (SELECT DISTINCT id FROM shown) s CROSS JOIN (SELECT DISTINCT preset, k FROM preset) p
+        WHERE NOT EXISTS (SELECT 1 FROM shown h WHERE h.id = s.id AND NOT EXISTS (SELECT 1 FROM preset q WHERE q.preset = p.preset AND q.layer = h.layer))
+        AND NOT EXISTS (SELECT 1 FROM preset q WHERE q.preset = p.preset AND NOT EXISTS (SELECT 1 FROM shown h WHERE h.id = s.id AND h.layer = q.layer)))
+    SELECT s.id, coalesce(arg_min(f.preset, f.k), 'custom') AS preset FROM (SELECT DISTINCT id FROM shown) s LEFT JOIN fit f ON s.id = f.id GROUP BY s.id""")
+def preset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first preset that shows just the layers a user shows: each customer has those of a preset, some without towns, some with zones."""
+    every = spark.createDataFrame([(p, k, x) for k, p in enumerate(PRESETS) for x in LAYERS if x in PRESETS[p].split()], "preset string, k long, layer string")
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("CAST(c_custkey AS BIGINT) AS id", "CAST(c_nationkey % 13 AS BIGINT) AS k", "c_acctbal")
+    shown = people.join(every, "k").where("NOT (id % 5 = 0 AND layer = 'burgs')").select("id", "layer").unionByName(people.where("c_acctbal < 0").select("id", F.lit("zones").alias("layer")))
+    return views.presets_shown(shown, every)
 
 
 @query(_with(("states",)) + """SELECT s.id, coalesce(r.name, s.name) AS name, coalesce(c.colour, s.colour) AS colour, s.removed FROM states s

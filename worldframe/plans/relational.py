@@ -69,6 +69,12 @@ PLANS: dict[str, Plan] = {
         q.route_group, CASE q.route_group WHEN 'roads' THEN 0.5e0 WHEN 'trails' THEN 0.6e0 ELSE 0.2e0 END AS route_r, CASE q.route_group WHEN 'roads' THEN 0.3e0 WHEN 'trails' THEN 0.5e0 ELSE 0.4e0 END AS route_g, CASE q.route_group WHEN 'roads' THEN 0.1e0 WHEN 'trails' THEN 0.3e0 ELSE 0.8e0 END AS route_b, CASE q.route_group WHEN 'roads' THEN 0.7e0 ELSE 0.5e0 END AS route_a
         FROM (SELECT id, CASE id % 6 WHEN 0 THEN 'freshwater' WHEN 1 THEN 'salt' WHEN 2 THEN 'dry' WHEN 3 THEN 'sinkhole' WHEN 4 THEN 'lava' END AS lake_group, CASE id % 3 WHEN 0 THEN 'roads' WHEN 1 THEN 'trails' ELSE 'searoutes' END AS route_group FROM {features}) q"""),
     "relief_class": Plan(("cells",), "SELECT c.cell_id, c.height, CASE WHEN c.height >= 80 THEN 6e0 WHEN c.height >= 60 THEN 4e0 ELSE 2.5e0 END AS size FROM {cells} c WHERE c.height >= 40"),
+    # Colours and shapes of relief triangles (three corners, from the top).
+    "relief_triangles": Plan(("cells",), f"""SELECT r.cell_id, k.corner, {E.rn("r.x + k.sx * r.size * CASE WHEN r.height >= 80 THEN 0.7e0 ELSE 0.5e0 END", 4)} AS x,
+        {E.rn("r.y + r.size * CASE WHEN k.corner = 0 THEN CASE WHEN r.height >= 80 THEN -1e0 ELSE -0.6e0 END WHEN r.height >= 80 THEN 0.5e0 ELSE 0.4e0 END", 4)} AS y,
+        CASE WHEN r.height >= 80 THEN 0.6e0 WHEN r.height >= 60 THEN 0.45e0 ELSE 0.3e0 END AS r, CASE WHEN r.height >= 60 THEN 0.55e0 ELSE 0.5e0 END AS g,
+        CASE WHEN r.height >= 80 THEN 0.5e0 WHEN r.height >= 60 THEN 0.3e0 ELSE 0.25e0 END AS b, CASE WHEN r.height >= 80 THEN 0.7e0 WHEN r.height >= 60 THEN 0.6e0 ELSE 0.5e0 END AS a
+        FROM (SELECT c.*, CASE WHEN c.height >= 80 THEN 6e0 WHEN c.height >= 60 THEN 4e0 ELSE 2.5e0 END AS size FROM {{cells}} c WHERE c.height >= 40) r CROSS JOIN (VALUES (CAST(0 AS BIGINT), 0e0), (CAST(1 AS BIGINT), -1e0), (CAST(2 AS BIGINT), 1e0)) k(corner, sx)"""),
     "normalize_hex": Plan(("states",), """SELECT q.id, q.raw, CASE WHEN length(q.h) = 6 AND length(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(q.h), '0', ''), '1', ''), '2', ''), '3', ''), '4', ''), '5', ''), '6', ''), '7', ''), '8', ''), '9', ''), 'a', ''), 'b', ''), 'c', ''), 'd', ''), 'e', ''), 'f', '')) = 0
         THEN concat('#', lower(q.h)) END AS hex FROM (SELECT s.id, s.raw, CASE WHEN substr(s.raw, 1, 1) = '#' THEN substr(s.raw, 2) ELSE s.raw END AS h FROM (SELECT id, CASE WHEN id % 5 = 4 THEN upper(replace(colour, '#', '')) WHEN id % 5 = 3 THEN concat(colour, 'Z') WHEN id % 5 = 2 THEN '#12G456' ELSE upper(colour) END AS raw FROM {states}) s) q"""),
     "trim_name": Plan(("burgs",), "SELECT q.id, trim(q.name) AS name, length(trim(q.name)) > 0 AS valid FROM (SELECT id, CASE WHEN id % 7 = 0 THEN '   ' ELSE concat('  ', name, ' ') END AS name FROM {burgs}) q"),
@@ -101,7 +107,6 @@ PLANS: dict[str, Plan] = {
     "hover_tooltip": Plan(("cells", "biomes"), f"SELECT c.cell_id, coalesce(b.name, '?') AS biome, {E.rn(E.height_display('c.height'), 2)} AS height FROM {{cells}} c LEFT JOIN {{biomes}} b ON c.biome = b.id"),
     "burg_markers": Plan(("burgs", "cells", "states"), "SELECT b.id, c.x, c.y, CASE WHEN b.is_capital THEN 5e0 ELSE 3e0 END AS radius, coalesce(s.colour, '#808080') AS colour FROM {burgs} b JOIN {cells} c ON b.cell = c.cell_id LEFT JOIN (SELECT id, colour FROM {states} WHERE id <> 0) s ON b.state = s.id WHERE NOT b.removed"),
     "neighbor_join": Plan(("cells", "edges"), "SELECT e.src, e.slot, e.dst, a.height AS src_height, b.height AS dst_height FROM {edges} e JOIN {cells} a ON e.src = a.cell_id JOIN {cells} b ON e.dst = b.cell_id"),
-    "parent_basin": Plan(("cells",), "SELECT r.cell_id AS river, r.parent, coalesce(p.basin, r.cell_id) AS basin FROM (SELECT cell_id, cell_id - cell_id % 5 AS parent FROM {cells}) r LEFT JOIN (SELECT cell_id, cell_id - cell_id % 25 AS basin FROM {cells}) p ON r.parent = p.cell_id"),
     "fk_antijoin": Plan(("cells", "states"), "SELECT c.cell_id, c.state FROM {cells} c LEFT ANTI JOIN (SELECT id FROM {states} WHERE id % 6 <> 5) s ON c.state = s.id"),
     # Aggregates.
     "layer_maxima": Plan(("cells",), "SELECT max(precipitation) AS precipitation, max(population) AS population FROM {cells}"),
@@ -136,10 +141,14 @@ PLANS: dict[str, Plan] = {
     "height_order": Plan(("cells",), "SELECT cell_id, CAST(row_number() OVER (PARTITION BY state ORDER BY height, cell_id) AS BIGINT) AS rising, CAST(row_number() OVER (PARTITION BY state ORDER BY height DESC, cell_id) AS BIGINT) AS falling FROM {cells} WHERE height >= 20"),
     # Graph.
     "alter_heights": Plan(("cells", "edges"), f"SELECT c.cell_id, {E.rn('CASE WHEN c.height >= 20 THEN c.height + t.t / 1e2 + coalesce(n.mean, t.t) / 1e4 ELSE c.height * 1e0 END', 5)} AS h FROM {{cells}} c JOIN (SELECT cell_id, CASE WHEN height > 50 THEN 1e1 ELSE 5e0 END AS t FROM {{cells}}) t ON c.cell_id = t.cell_id LEFT JOIN (SELECT n.src, avg(CASE WHEN n.height >= 20 THEN 1e1 ELSE 1e0 END) AS mean FROM ({_NEAR}) n GROUP BY n.src) n ON c.cell_id = n.src"),
-    "lake_climate": Plan(("features", "places", "edges", "cells"), f"SELECT q.id, q.flux, {E.rn('q.evaporation', 4)} AS evaporation, q.evaporation >= q.flux AS closed FROM (SELECT f.id, coalesce(s.flux, 0) AS flux, ((700e0 * (coalesce(s.temperature, 20) + 6e-3 * sqrt(greatest(19e0 - 18e0, 0e0)))) / 5e1 + 75e0) / (8e1 - coalesce(s.temperature, 20)) * f.cell_count AS evaporation FROM {{features}} f LEFT JOIN (SELECT d.lake, CAST(sum(d.precipitation) AS BIGINT) AS flux, min(d.temperature) AS temperature FROM (SELECT DISTINCT p.feature AS lake, e.dst, b.precipitation, b.temperature FROM {{edges}} e JOIN {{places}} p ON e.src = p.cell_id JOIN {{cells}} b ON e.dst = b.cell_id WHERE b.height >= 20) d GROUP BY d.lake) s ON f.id = s.lake WHERE f.kind = 'lake') q"),
+    # Temperature of the shore's first cell; a lake stands a tenth below its lowest shore.
+    "lake_climate": Plan(("features", "places", "edges", "cells"), f"""SELECT q.id, q.flux, {E.rn('q.evaporation', 4)} AS evaporation, NOT q.touches_border AND q.evaporation >= q.flux AS closed,
+        CASE WHEN NOT q.touches_border AND q.evaporation < q.flux THEN q.out_cell END AS out_cell FROM (
+        SELECT f.id, f.touches_border, s.out_cell, coalesce(s.flux, 0) AS flux, ((700e0 * (coalesce(s.temperature, 20) + 6e-3 * sqrt(greatest(coalesce(s.low, 0) - 0.1e0 - 18e0, 0e0)))) / 5e1 + 75e0) / (8e1 - coalesce(s.temperature, 20)) * f.cell_count AS evaporation
+        FROM {{features}} f LEFT JOIN (SELECT d.lake, CAST(sum(d.precipitation) AS BIGINT) AS flux, min(d.height) AS low, max(CASE WHEN d.first = 1 THEN d.temperature END) AS temperature, max(CASE WHEN d.lowest = 1 THEN d.dst END) AS out_cell FROM (
+        SELECT u.*, row_number() OVER (PARTITION BY u.lake ORDER BY u.dst) AS first, row_number() OVER (PARTITION BY u.lake ORDER BY u.height, u.dst) AS lowest FROM (
+        SELECT DISTINCT p.feature AS lake, e.dst, b.height, b.precipitation, b.temperature FROM {{edges}} e JOIN {{places}} p ON e.src = p.cell_id JOIN {{cells}} b ON e.dst = b.cell_id WHERE b.height >= 20) u) d GROUP BY d.lake) s ON f.id = s.lake WHERE f.kind = 'lake') q"""),
     "steepest_descent": Plan(("cells", "edges"), f"SELECT d.src, d.dst FROM ({_DOWN}) d"),
-    "river_cascade": Plan(("cells",), "SELECT r.cell_id AS river FROM {cells} r LEFT ANTI JOIN (SELECT cell_id AS gone FROM {cells} WHERE cell_id % 25 = 10) g ON r.cell_id - r.cell_id % 5 = g.gone"),
-    "basin": Plan(("cells",), "SELECT r.cell_id AS id, coalesce(nullif(r.name, ''), concat('River ', CAST(r.cell_id AS VARCHAR(20)))) AS name, coalesce(nullif(r.type_name, ''), 'River') AS type_name, coalesce(p.cell_id, r.cell_id) AS basin FROM (SELECT cell_id, cell_id - cell_id % 5 AS parent, CASE WHEN cell_id % 3 = 0 THEN '' ELSE 'Named' END AS name, CASE WHEN cell_id % 4 = 0 THEN 'Fork' ELSE '' END AS type_name FROM {cells}) r LEFT JOIN {cells} p ON r.parent = p.cell_id"),
     "borders_state": _border("state"),
     "borders_province": _border("province"),
     "borders_culture": _border("culture"),
