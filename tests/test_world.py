@@ -445,3 +445,10 @@ def test_river_tree(spark):
     assert {r["id"]: (r["name"], r["type_name"], r["basin"]) for r in named.collect()} == {1: ("Elbe", "River", 1), 5: ("River 5", "Fork", 1), 8: ("River 8", "River", 5)}
     assert [r["id"] for r in rivers.without(named, spark.createDataFrame([(5,)], "id long")).collect()] == [1]
     assert rivers.without(named, spark.createDataFrame([(1,)], "id long")).select("id").collect()[0][0] == 8
+
+
+def test_edits_keep_clashing_columns(spark):
+    states = spark.createDataFrame([(1, "A", "#111111", False, 5, 6, 7)], "id long, name string, colour string, removed boolean, new_name int, Known int, k int")
+    commands = spark.createDataFrame([(1, "state", 1, "rename", "X", 3, 4)], "seq long, entity string, id long, op string, value string, known int, k int")
+    assert tuple(edits.apply(states, commands, "state").first()) == (1, "X", "#111111", False, 5, 6, 7)
+    assert edits.last_writes(commands).columns == commands.columns

@@ -276,6 +276,78 @@ def river_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.element_at("cells", -1).alias("last_cell"), F.size("cells").cast("long").alias("n_cells"))
 
 
+@query("""SELECT c_custkey AS id, c_name AS name, CASE c_nationkey % 4 WHEN 0 THEN 'lake' WHEN 1 THEN 'nomadic' WHEN 2 THEN 'highland' ELSE 'generic' END AS kind, CAST(CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS BIGINT) AS first_origin,
+    CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS n_origins, c_acctbal < 0 AS removed FROM customer""")
+def culture_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of map files with one culture for each customer; origins that are no unsigned whole numbers are dropped."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("CAST(c_custkey AS BIGINT) AS key", "CAST(c_nationkey AS BIGINT) AS n", "c_name", "c_acctbal AS paid")
+    item = "key AS i, c_name AS name, CASE n % 4 WHEN 0 THEN 'Lake' WHEN 1 THEN 'NOMADIC' WHEN 2 THEN 'highland' ELSE 'Odd' END AS type, array(CASE WHEN key % 3 = 0 THEN CAST(n AS STRING) ELSE '-7' END, 'x', '1.5') AS origins, CAST(paid < 0 AS INT) AS removed"
+    found = mapfile.catalog(_map_files(rows, 13, item), "cultures")
+    return found.select("id", "name", "kind", F.get("origins", F.lit(0)).alias("first_origin"), F.size("origins").alias("n_origins"), "removed")
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, CASE s_nationkey % 4 WHEN 0 THEN 'union' WHEN 1 THEN 'monarchy' ELSE 'anarchy' END AS form, CASE WHEN s_nationkey % 5 = 0 THEN 'naval' ELSE 'generic' END AS kind,
+    CAST(s_nationkey AS BIGINT) AS neighbor, '{"a":[' || s_suppkey || ',"x"]}' AS diplomacy, s_acctbal < 0 AS removed FROM supplier""")
+def state_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of map files with one state for each supplier; diplomacy stays as it is written."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("CAST(s_suppkey AS BIGINT) AS key", "CAST(s_nationkey AS BIGINT) AS n", "s_name", "s_acctbal AS paid")
+    item = "key AS i, s_name AS name, CASE n % 4 WHEN 0 THEN 'Union' WHEN 1 THEN 'Monarchy' WHEN 2 THEN 'Horde' END AS form, CASE WHEN n % 5 = 0 THEN 'Naval' ELSE 'Lake' END AS type, array(n) AS neighbors, named_struct('a', array(CAST(key AS STRING), 'x')) AS diplomacy, paid < 0 AS removed"
+    found = mapfile.catalog(_map_files(rows, 14, item), "states")
+    told = F.regexp_replace("diplomacy", r'"([0-9]+)"', "$1")
+    return found.select("id", "name", "form", "kind", F.get("neighbors", F.lit(0)).alias("neighbor"), told.alias("diplomacy"), "removed")
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, p_brand AS kind, CAST(p_size AS BIGINT) AS center_cell, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END AS n_origins FROM part""")
+def religion_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of map files with one religion for each part; the list has no placeholder, the file's own is taken off."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("CAST(p_partkey AS BIGINT) AS key", "p_name", "p_brand", "p_size")
+    made = _map_files(rows, 29, "key AS i, p_name AS name, p_brand AS type, p_size AS center, CASE WHEN p_size % 2 = 0 THEN array(1, 2) ELSE array(-1) END AS origins")
+    return mapfile.catalog(made, "religions").select("id", "name", "kind", "center_cell", F.size("origins").alias("n_origins"))
+
+
+@query("""SELECT o_orderkey AS id, CAST(o_custkey % 25 AS BIGINT) AS state, CAST(o_custkey AS BIGINT) AS capital, o_orderstatus = 'F' AS locked, CAST(2 AS BIGINT) AS n_burgs FROM orders""")
+def province_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of map files with one province for each order; its burg is the capital."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("CAST(o_orderkey AS BIGINT) AS key", "CAST(o_custkey AS BIGINT) AS c", "o_orderstatus AS told")
+    found = mapfile.catalog(_map_files(rows, 30, "key AS i, c % 25 AS state, c AS burg, CASE WHEN told = 'F' THEN 'yes' ELSE '' END AS lock, array(c, key) AS burgs"), "provinces")
+    return found.select("id", "state", "capital", "locked", F.size("burgs").cast("long").alias("n_burgs"))
+
+
+def _grid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, slots: a map file for each nation, its suppliers being points and features."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("CAST(s_nationkey AS STRING) AS path", "CAST(s_suppkey AS BIGINT) AS key", "s_acctbal AS a")
+    point, feature = F.array(F.col("key") / 2, F.col("a")), F.expr("to_json(struct(key AS i, CASE key % 3 WHEN 0 THEN 'ocean' WHEN 1 THEN 'isle' ELSE 'lake' END AS type, key % 3 = 1 AS land, a < 0 AS border))")
+    made = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("key", point.alias("p"), feature.alias("f")))).alias("s"))
+    points = F.to_json(F.transform("s", lambda x: x["p"]))
+    text = F.concat(F.lit('{"spacing":2.5,"cellsX":4,"cellsY":'), F.size("s"), F.lit(',"cellsDesired":'), F.when(F.col("path").cast("int") % 2 == 0, F.lit(0)).otherwise(F.lit(99)), F.lit(',"points":'), points, F.lit(',"features":[0,'), F.array_join(F.transform("s", lambda x: x["f"]), ","), F.lit("]}"))
+    return made.select("path", F.concat(F.array_repeat(F.lit(""), 6), F.array(text)).alias("slots"))
+
+
+@query("""SELECT CAST(s_nationkey AS VARCHAR) AS path, CASE WHEN s_nationkey % 2 = 0 THEN 4 * count(*) ELSE 99 END AS cells_desired, count(*) AS n_points, min(s_suppkey) / 2e0 AS first_x FROM supplier GROUP BY s_nationkey""")
+def grid_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mapfile.grid_general(_grid_files(spark, sf_dir))
+    return found.select("path", "cells_desired", F.size("points").cast("long").alias("n_points"), F.col("points")[0]["x"].cast("double").alias("first_x"))
+
+
+@query("""SELECT CAST(s_nationkey AS VARCHAR) AS path, s_suppkey AS id, CASE s_suppkey % 3 WHEN 1 THEN 'island' WHEN 2 THEN 'lake' ELSE 'ocean' END AS kind, s_suppkey % 3 = 1 AS is_land, s_acctbal < 0 AS touches_border, CASE WHEN s_suppkey % 3 = 1 THEN 'island' END AS land_group FROM supplier""")
+def grid_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapfile.grid_features(_grid_files(spark, sf_dir)).select("path", "id", "kind", "is_land", "touches_border", "land_group")
+
+
+@query("""SELECT CAST(n.s_nationkey AS VARCHAR) AS path, CAST(r.range AS BIGINT) AS id, CASE WHEN s.s_suppkey IS NULL THEN 'ocean' ELSE CASE s.s_suppkey % 3 WHEN 1 THEN 'island' WHEN 2 THEN 'lake' ELSE 'ocean' END END AS kind
+    FROM (SELECT s_nationkey, max(s_suppkey) AS most FROM supplier GROUP BY s_nationkey) n JOIN range((SELECT max(s_suppkey) + 1 FROM supplier)) r ON r.range <= n.most LEFT JOIN supplier s ON s.s_suppkey = r.range AND s.s_nationkey = n.s_nationkey""")
+def grid_feature_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapfile.grid_feature_kinds(_grid_files(spark, sf_dir)).select("path", "id", "kind")
+
+
+@query("""SELECT b.id, coalesce(r.name, b.name) AS name FROM (""" + derived.SQL["burgs"].replace("c_custkey AS id, c_name AS name", "c_custkey AS id, c_name AS name", 1) + """) b
+    LEFT JOIN (SELECT user_id AS id, 'B' || max(event_id) AS name FROM events WHERE event_id % 3 <> 0 GROUP BY user_id) r ON b.id = r.id AND NOT b.removed""")
+def rename_burgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event renames its user's burg; those divisible by three to nothing, which is refused."""
+    commands = frame(spark, sf_dir, "events").selectExpr("event_id AS seq", "'burg' AS entity", "CAST(user_id AS BIGINT) AS id", "'rename' AS op", "CASE WHEN event_id % 3 = 0 THEN '  ' ELSE concat(' B', event_id, ' ') END AS value")
+    return edits.apply(frame(spark, sf_dir, "burgs"), commands, "burg").select("id", "name")
+
+
 # One task per map, line or basin: no SQL form.
 def maps(spark: SparkSession, sf_dir: str, cells: int = 1000) -> DataFrame:
     """A batch of maps, one for each 25 suppliers."""
