@@ -293,9 +293,11 @@ def slow_line_dedup(texts):
     kin = {t: s for t in texts if (s := {k for ks in keys[t].values() for k in ks if len(holds[k]) >= 5})}
 
     def marks(x):
-        """Five words in a row, or in short lines a token with its place."""
-        a = line_keys(x)[0].split(" ")
-        return {(len(a), i, w) for i, w in enumerate(a)} if len(a) < 8 else {tuple(a[i : i + 5]) for i in range(len(a) - 4)}
+        """The pieces of twelve characters or more with the four least hashes, or in short lines each token with its place."""
+        words = line_keys(x)[0].split(" ")
+        pieces = [p for p in re.split(linededup._CUT, " ".join(words)) if len(p) >= 12]
+        least = sorted(pieces, key=lambda p: np.uint64(xxhash.xxh64_intdigest(p.encode(), seed=42)).astype(np.int64))
+        return {(len(words), i, w) for i, w in enumerate(words)} if len(words) < 8 else set(least[:4])
 
     mine = {t: {i: marks(x) for i, x in lines[t].items()} for t in kin}
 

@@ -10,7 +10,7 @@ counts in full for a template if it has something of its own: OWN_WORDS words or
 edited; or if at least half of the characters of its other lines stand in such lines, however short. Otherwise it counts as one part in the number
 of texts that hold its median line (lines by their characters, each with the texts that hold it by its commonest template or edited). So a group of near copies adds up to about one text, whatever its size,
 and a text counts for a shared line however much else it shares. No hash decides about a template. A line of a text is edited if a text of its kin holds a
-line with one of the KEPT least runs of RUN words in it (of under LONG tokens: one of as many tokens, with a token in the same place); kin agree in one of KIN of their templates of MIN_DOCS texts or more, chosen by hashes among the commoner ones.
+line with a mark of it: lines fall into pieces before words that begin with certain letters, and the KEPT least hashes of pieces are marks (of under LONG tokens: each token with its place); kin agree in one of KIN of their templates of MIN_DOCS texts or more, chosen by hashes among the commoner ones.
 
 Blank lines are kept and never counted. Null texts stay null, empty texts empty; a document all of whose lines recur becomes an
 empty text. Texts of any length are read whole. Ties have no meaning: every line of a recurring template goes. Repeated rows (same
@@ -26,21 +26,21 @@ from pyspark.sql import functions as F
 from worldframe.llm.common import materialise, release, unused
 
 FIELDS, SHORT, LONG, MIN_DOCS = 4, 4, 8, 5
-OWN_WORDS, RUN, KEPT, KIN = 4, 5, 4, 4
+OWN_WORDS, PIECE, KEPT, KIN = 4, 12, 4, 2
+#: Where a line falls into pieces, by its own words: before about a quarter of the first letters of some scripts.
+_CUT = " (?=[a-dA-DÀ-ÅÇà-åçα-εΑ-Εа-дА-Дא-ד])"
 _VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
-def _marks(lines: DataFrame) -> DataFrame:
-    """lines with marks in place of line: hashes by which an edited line is known, the KEPT least ones of its runs of RUN words; of under LONG tokens, each token with its place."""
-    at = lines.withColumn("w", F.split("line", " "))
-    # Made from the array and its places, so that the line is split once.
-    runs = F.slice(F.transform("w", lambda _, i: F.xxhash64(F.slice("w", i + 1, RUN))), F.lit(1), F.greatest(F.col("n") - (RUN - 1), F.lit(0)))
-    places = F.transform("w", lambda x, i: F.xxhash64(F.size("w"), i, x))
-    return at.withColumn("marks", F.when(F.col("n") >= LONG, F.slice(F.array_sort(runs), 1, KEPT)).otherwise(places)).drop("line", "w")
+def _marks() -> Column:
+    """Hashes by which an edited line (line, n tokens) is known: the KEPT least ones of its pieces of PIECE characters or more; of under LONG tokens, each token with its place."""
+    pieces = F.transform(F.filter(F.split("line", _CUT), lambda p: F.length(p) >= PIECE), lambda p: F.xxhash64(p))
+    places = F.transform(F.split("line", " "), lambda x, i: F.xxhash64("n", i, x))
+    return F.when(F.col("n") >= LONG, F.slice(F.array_sort(pieces), 1, KEPT)).otherwise(places)
 
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """copy (a hash of the text), total (characters of its lines), pos, size, exact, two leaves, masked line and number of tokens of every line that is not blank."""
+    """copy (a hash of the text), total (characters of its lines), pos, size, exact, two leaves, masked line, number of tokens and marks of every line that is not blank."""
     clean = F.transform(F.split(text_col, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("copy"), clean.alias("lines"))
     summed = rows.select("copy", "lines", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("total"))
@@ -51,7 +51,7 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     masked = spaced.withColumn("line", F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _VARIABLE, "<*>")).otherwise(F.col("line")))
     sized = masked.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
     return sized.select(
-        "copy", "total", "pos", "size", "n", "line", F.xxhash64("line").alias("exact"),
+        "copy", "total", "pos", "size", "n", "line", F.xxhash64("line").alias("exact"), _marks().alias("marks"),
         F.when(F.col("n") >= SHORT, F.xxhash64("n", F.substring_index("line", " ", 2))).alias("lead"),
         F.when(F.col("n") > SHORT, F.xxhash64(F.lit(0), "n", F.substring_index("line", " ", 1), F.substring_index("line", " ", -1))).alias("bound"),
     )
@@ -93,12 +93,12 @@ def _keys(lines: DataFrame) -> DataFrame:
 def _known_lines(lines: DataFrame, shared: DataFrame, min_docs: int) -> DataFrame:
     """copy, pos, size, words, total, texts of every line of the texts that hold a template of min_docs texts or more: the texts that hold it by its commonest template, or edited among the text's kin; null if none else does."""
     most = shared.groupBy("copy").agg(F.max("texts").alias("most")).where(F.col("most") >= min_docs)
-    # Least hashes of all shared templates, of those at least a quarter and a half as common as the text's commonest, and the commonest.
-    by = [F.min(F.xxhash64(F.lit(0), "key")), *(F.min(F.when(F.col("texts") >= F.col("most") / n, F.xxhash64(F.lit(n), "key"))) for n in (4, 2))]
+    # The least hash of those at least half as common as the text's commonest, and the commonest.
+    by = [F.min(F.when(2 * F.col("texts") >= F.col("most"), F.xxhash64("key")))]
     kin = shared.where(F.col("texts") >= min_docs).join(most, "copy").groupBy("copy").agg(*[x.alias(f"k{j}") for j, x in enumerate([*by, F.max(F.struct("texts", "key"))["key"]])])
     held = shared.groupBy("copy", "pos").agg(F.max("texts").alias("texts"))
     # Copies of a text come with their lines each; what is told of them is the same.
-    each = materialise(_marks(lines.join(kin, "copy")).join(held, ["copy", "pos"], "left").select("copy", "pos", "size", "total", F.col("n").alias("words"), "texts", "marks", *(f"k{j}" for j in range(KIN))))
+    each = materialise(lines.select("copy", "pos", "size", "total", "n", "marks").join(kin, "copy").join(held, ["copy", "pos"], "left").select("copy", "pos", "size", "total", F.col("n").alias("words"), "texts", "marks", *(f"k{j}" for j in range(KIN))))
     keys = F.array(*[F.xxhash64("mark", F.lit(j), f"k{j}") for j in range(KIN)])
     told = materialise(each.select("copy", "pos", *(f"k{j}" for j in range(KIN)), F.explode("marks").alias("mark")).select("copy", "pos", F.explode(keys).alias("key")).distinct())
     common = told.select("copy", "key").distinct().groupBy("key").agg(F.count("*").alias("edited")).where("edited > 1")
