@@ -429,7 +429,7 @@ def test_lines_at_round_distances(spark):
     from worldframe.functions import views
 
     box = lambda x, y: spark.createDataFrame([(3.0, -7.0), (3.0 + x, -7.0 + y)], "x double, y double")
-    got = [(r["axis"], r["at"]) for r in views.grid_lines(box(60.0, 120.0), 12).orderBy("axis", "k").collect()]
+    got = [(r["axis"], r["coord"]) for r in views.grid_lines(box(60.0, 120.0), 12).orderBy("axis", "k").collect()]
     assert [a for x, a in got if x == "x"] == [5.0 * k for k in range(1, 13)] and [a for x, a in got if x == "y"] == [5.0 * k for k in range(-1, 23)]
     assert views.grid_lines(box(0.0, 5.0), 12).count() == 0
 

@@ -75,10 +75,10 @@ def presets_shown(shown: DataFrame, presets: DataFrame) -> DataFrame:
 
 
 def grid_lines(cells: DataFrame, parts: int) -> DataFrame:
-    """axis, k, at, low, high: lines at round distances across the box of all cells, about so many along its shorter side; none if the box has no area."""
+    """axis, k, coord, low, high: lines at round distances across the box of all cells, about so many along its shorter side; none if the box has no area."""
     box = cells.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("x1 > x0 AND y1 > y0")
     box = box.withColumn("g", F.greatest(F.expr(E.nice_spacing("least(x1 - x0, y1 - y0)", parts)), F.lit(1.0)))
     sides = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"{a}0").alias("begin"), F.col(f"{a}1").alias("upto"), F.col(f"{b}0").alias("low"), F.col(f"{b}1").alias("high")) for a, b in ("xy", "yx")])
     each = box.select("g", F.explode(sides).alias("s")).select("g", "s.*").withColumn("start", F.ceil(F.col("begin") / F.col("g")) * F.col("g"))
     count = F.floor((F.col("upto") - F.col("start")) / F.col("g")).cast("long")
-    return each.where("start <= upto").select("axis", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("k"), "g", "start", "low", "high").select("axis", "k", (F.col("start") + F.col("k") * F.col("g")).alias("at"), "low", "high")
+    return each.where("start <= upto").select("axis", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("k"), "g", "start", "low", "high").select("axis", "k", (F.col("start") + F.col("k") * F.col("g")).alias("coord"), "low", "high")

@@ -507,7 +507,7 @@ def inspector_river(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir).join(drained, "cell_id")
 
 
-@query(_with(("cells",)) + """SELECT axis, CAST(k AS BIGINT) AS k, start + k * spacing AS at, low, high FROM (
+@query(_with(("cells",)) + """SELECT axis, CAST(k AS BIGINT) AS k, start + k * spacing AS coord, low, high FROM (
     SELECT 'x' AS axis, ceil(x0 / g) * g AS start, g AS spacing, x1 AS upto, y0 AS low, y1 AS high FROM spans UNION ALL SELECT 'y', ceil(y0 / g) * g, g, y1, x0, x1 FROM spans) l, range(1000) r(k) WHERE start + k * spacing <= upto""".replace(
     "FROM spans", "FROM (SELECT *, greatest(CASE WHEN b / m < 1.5 THEN 1 WHEN b / m < 3.5 THEN 2 WHEN b / m < 7.5 THEN 5 ELSE 10 END * m, 1e0) AS g FROM (SELECT *, power(10e0, floor(log10(b))) AS m FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, least(max(x) - min(x), max(y) - min(y)) / 12e0 AS b FROM cells))) s"))
 def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
