@@ -122,6 +122,22 @@ def test_near_duplicates_of_the_pipeline_against_brute_force(spark, pairs_up_to)
     assert neardup.classes(docs(spark, [])).count() == 0
 
 
+def test_two_large_classes_that_share_a_key_take_few_rounds(spark, monkeypatch):
+    # Texts of a class share 99 of 100 shingles, those of different classes 79: no pair links the classes.
+    held = {i: [*range(79), *range(1000 * (i // 40), 1000 * (i // 40) + 20), 10_000 + i] for i in range(40, 120)}
+    shared = spark.createDataFrame([(1, i, 100, len(held)) for i in held], "key long, fp long, n int, of long")
+    rounds, whole = [], neardup.components
+
+    def counted(edges):
+        rounds.append(1)
+        assert len(rounds) <= 6
+        return whole(edges)
+
+    monkeypatch.setattr(neardup, "components", counted)
+    label = neardup.links(shared, spark.createDataFrame(list(held.items()), "fp long, held array<long>"))
+    assert {r["node"]: r["label"] for r in label.collect()} == {i: i // 40 * 40 for i in held}
+
+
 # Packing
 
 

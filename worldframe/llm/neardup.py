@@ -113,7 +113,8 @@ def links(shared: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, pa
     All pairs of a key of few texts are verified. Of a key of more, each round takes texts of different components as
     pivots and compares every text with those of other components; then the pivot has met all that it could still link,
     and leaves the key. A key is done once its texts are in one component, so no pair is lost and a large group of copies
-    takes a round or two. The number of pivots grows by the round, so the rounds stay few.
+    takes a round or two. Pivots are chosen by text and not by component, eight times as many in each round, so the rounds
+    grow with the logarithm of the group, however large the components are that do not link.
     """
     alike = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m)
     few = shared.where(F.col("of") <= pairs_up_to)
@@ -130,7 +131,7 @@ def links(shared: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, pa
         release(at)
         if not still.limit(1).count():
             return label
-        slot = F.pmod(F.xxhash64("label"), F.lit(pivots))
+        slot = F.pmod(F.xxhash64("fp"), F.lit(pivots))
         heads = materialise(still.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("label", "fp", "n")).alias("head")).select("key", "head"))
         meet = still.join(heads, "key").where((F.col("label") != F.col("head.label")) & alike(F.col("n"), F.col("head.n")))
         edges = edges.unionByName(_verified(meet.select(F.col("head.fp").alias("a"), F.col("fp").alias("b")), sets, similarity))
