@@ -1,14 +1,24 @@
 """Operators on the adjacency edge table: components, flow, traces, height bands and contours.
 
 Iterations run in a number of rounds that grows with the logarithm of the longest path; each round is joins and
-aggregates on cell ids, and its result is checkpointed.
+aggregates on cell ids, and its result is checkpointed. Components and the ends of chains are first found inside blocks of
+consecutive ids, each in one task, so that the rounds only carry what crosses blocks.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worldframe.plans.lineage import cut
 
+#: A block has so many bits of consecutive ids; its edges and pointers, which one task looks at together, are bounded by it.
+BLOCK_BITS = 16
+
+
+def block(node: str) -> Column:
+    return F.shiftright(node, BLOCK_BITS)
+
 
 def down(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """src, dst: the steepest strictly lower neighbour of each land cell, the first on ties."""
@@ -18,16 +28,38 @@ def down(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return lower.groupBy("src").agg(F.min(F.struct("low", "slot", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst"))
 
 
+def _block_ends(part: pd.DataFrame) -> pd.DataFrame:
+    """node, root, out: the last node of each chain inside the block, or the first outside (out)."""
+    part = part.sort_values("src")
+    src, end = part["src"].to_numpy(), part["dst"].to_numpy().copy()
+
+    def known(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(src, x), len(src) - 1)
+        return np.where(src[at] == x, at, -1)
+
+    onward = known(end)
+    while (on := onward >= 0).any():
+        end[on], onward[on] = end[onward[on]], onward[onward[on]]
+    out = end >> BLOCK_BITS != src[0] >> BLOCK_BITS
+    last = np.unique(end[~out])
+    return pd.DataFrame({"node": np.concatenate([src, last]), "root": np.concatenate([end, last]), "out": np.concatenate([out, np.zeros(len(last), dtype=bool)])})
+
+
 def roots(pointers: DataFrame) -> DataFrame:
     """node, root: where each chain of (src, dst) ends, by pointer doubling. Chains must not be cyclic."""
-    ends = pointers.select(F.col("dst").alias("node")).distinct().join(pointers.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.col("node").alias("root"))
-    at = cut(pointers.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(ends))
-    while True:
+    inside = cut(pointers.select("src", "dst").groupBy(block("src")).applyInPandas(_block_ends, "node long, root long, out boolean"))
+    entered = inside.where("out").select(F.col("root").alias("node")).distinct()
+    led = entered.join(inside, "node", "left")
+    at = cut(led.select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("last")))
+    ends = at.where("last").select("node", F.col("node").alias("root"))
+    far = at = at.select("node", "root")
+    while not far.isEmpty():
         onward = at.select(F.col("node").alias("root"), F.col("root").alias("next"))
         step = cut(at.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
-        at = step.select("node", "root")
-        if step.where("moved").isEmpty():
-            return at
+        at, far = step.select("node", "root"), step.where("moved")
+    beyond = at.select(F.col("node").alias("root"), F.col("root").alias("end"))
+    whole = inside.where("out").join(beyond, "root").select("node", F.col("end").alias("root"))
+    return inside.where("NOT out").select("node", "root").unionByName(whole).unionByName(ends)
 
 
 def flow(cells: DataFrame, edges: DataFrame, weight: str = "precipitation", most: int = 65535) -> DataFrame:
@@ -42,22 +74,45 @@ def flow(cells: DataFrame, edges: DataFrame, weight: str = "precipitation", most
     return total.select(F.col("node").alias("cell_id"), F.least("sum", F.lit(most)).alias("flux"))
 
 
+def _block_labels(part: pd.DataFrame) -> pd.DataFrame:
+    """node, label: the least node reachable over the edges of a block."""
+    node, at = np.unique(part[["src", "dst"]].to_numpy(), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(node))
+    while True:
+        low = np.minimum(label[a], label[b])
+        told = label.copy()
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(told, x, low)
+        told = told[told]
+        if (told == label).all():
+            return pd.DataFrame({"node": node, "label": node[label]})
+        label = told
+
+
 def components(cells: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
-    """cell_id, region: the least cell reachable over edges between cells of one kind."""
+    """cell_id, region: the least cell reachable over edges (in both directions) between cells of one kind."""
     own = cells.select(F.col("cell_id").alias("src"), F.col(kind).alias("a"))
     other = cells.select(F.col("cell_id").alias("dst"), F.col(kind).alias("b"))
-    same = cut(edges.join(own, "src").join(other, "dst").where("a = b").select("src", "dst"))
-    at = cut(cells.select(F.col("cell_id").alias("node"), F.col("cell_id").alias("label")))
-    while True:
-        seen = same.join(at.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("low"))
-        low = at.join(seen, "node", "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
+    same = cut(edges.join(own, "src").join(other, "dst").where("a = b AND src <> dst").select("src", "dst"))
+    near = same.where(block("src") == block("dst"))
+    inside = cut(near.groupBy(block("src")).applyInPandas(_block_labels, "node long, label long"))
+    called = lambda x, y: inside.select(F.col("node").alias(x), F.col("label").alias(y))
+    far = same.where(block("src") != block("dst")).join(called("src", "a"), "src", "left").join(called("dst", "b"), "dst", "left")
+    far = far.select(F.coalesce("a", "src").alias("a"), F.coalesce("b", "dst").alias("b"))
+    far = cut(far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    at = cut(far.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    moved = far
+    while not moved.isEmpty():
+        seen = far.join(at.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
+        low = at.join(seen, "node").select("node", "label", F.least("label", "low").alias("low"))
         told = low.select("node", "low").unionByName(low.select(F.col("label").alias("node"), "low"))
         lower = cut(told.groupBy("node").agg(F.min("low").alias("label")))
         jumped = cut(lower.join(lower.select(F.col("node").alias("label"), F.col("label").alias("root")), "label").select("node", F.col("root").alias("label")))
         moved = jumped.join(at.withColumnRenamed("label", "old"), "node").where("label <> old")
         at = jumped
-        if moved.isEmpty():
-            return at.select(F.col("node").alias("cell_id"), F.col("label").alias("region"))
+    first = cells.select("cell_id").join(called("cell_id", "label"), "cell_id", "left").withColumn("label", F.coalesce("label", "cell_id"))
+    return cut(first.join(at.select(F.col("node").alias("label"), F.col("label").alias("region")), "label", "left").select("cell_id", F.coalesce("region", "label").alias("region")))
 
 
 def trace(starts: DataFrame, pointers: DataFrame) -> DataFrame:
