@@ -41,14 +41,14 @@ def sides(rings: DataFrame, regions: DataFrame) -> DataFrame:
 def following(every: DataFrame) -> DataFrame:
     """side, next: the boundary side after each boundary side; as many rounds as inner sides meet in a corner."""
     inner = every.where("inner IS NOT NULL").select(F.col("side").alias("next"), "inner")
-    open_ = cut(every.where("inner IS NULL").select("side", F.col("onward").alias("next")))
+    open_ = every.where("inner IS NULL").select("side", F.col("onward").alias("next"))
     found = None
     while not open_.isEmpty():
         turned = cut(open_.join(inner, "next", "left"))
         ends = turned.where("inner IS NULL").select("side", "next")
         found = ends if found is None else found.unionByName(ends)
         open_ = turned.where("inner IS NOT NULL").select("side", F.col("inner").alias("next"))
-    return open_ if found is None else cut(found)
+    return open_ if found is None else found
 
 
 def _block_rings(part: pd.DataFrame) -> pd.DataFrame:

@@ -774,5 +774,5 @@ def state_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = cut(derived.features(spark, sf_dir, places))
     land = places.join(features.where("kind = 'island'").select(F.col("id").alias("feature")), "feature", "left_semi").withColumnRenamed("feature", "region")
     out = cut(isolines.outlines(made["rings"], land))
-    return isolines.areas(isolines.without_lakes(out, places, features), made["vertices"])
+    return isolines.areas(isolines.without_lakes(out, places, features), cut(made["vertices"]))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worldframe.operators import graph, rivers
+from worldframe.plans.lineage import cut
 
 WIDTH = 100
 
@@ -65,7 +66,7 @@ def religions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cell_id, feature: connected water, and connected land of a state; a feature is named by its least cell."""
     kind = F.expr("CASE WHEN height < 20 THEN -1 ELSE state END")
-    return graph.components(cells(spark, sf_dir).withColumn("kind", kind), edges(spark, sf_dir), "kind").withColumnRenamed("region", "feature")
+    return graph.components(cut(cells(spark, sf_dir).select("cell_id", kind.alias("kind"))), edges(spark, sf_dir), "kind").withColumnRenamed("region", "feature")
 
 
 def features(spark: SparkSession, sf_dir: str, at: DataFrame | None = None) -> DataFrame:
