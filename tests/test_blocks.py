@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from worldframe.operators import graph, isolines
+from worldframe.operators import graph, isolines, rivers
 
 
 @pytest.fixture
@@ -52,3 +52,47 @@ def test_rings(spark, written):
     written.clear()
     assert isolines.ranked(spark.createDataFrame([x for x in links if x[0] in rings[0]], "side long, next long")).count() == 90
     assert len(written) <= 2
+
+
+def test_ends_of_edges_by_block(spark):
+    # Neighbours in other blocks, sources that are no cells, and ids far apart.
+    rng = random.Random(8)
+    ids = rng.sample(range(0, 4 << graph.BLOCK_BITS), 300) + list(range(500, 560))
+    height = {i: rng.randrange(0, 60) for i in ids}
+    pairs = {(a, b) for a in ids for b in rng.sample(ids, 4) if a != b} | {(a, a + 1) for a in range(500, 559)} | {(ids[0], 999_999)}
+    both = sorted(pairs | {(b, a) for a, b in pairs})
+    edges = spark.createDataFrame([(a, k % 7, b) for k, (a, b) in enumerate(both)], "src long, slot long, dst long")
+    slot = {ab: k % 7 for k, ab in enumerate(both)}
+    cells = spark.createDataFrame([(i, h, i % 5) for i, h in height.items()], "cell_id long, height long, feature long")
+    near = {i: [b for a, b in both if a == i and b in height] for i in ids}
+    lower = {i: min((height[j], slot[i, j], j) for j in n if height[j] < height[i])[2] for i, n in near.items() if height[i] >= 20 and any(height[j] < height[i] for j in n)}
+    assert {r["src"]: r["dst"] for r in graph.down(cells, edges).collect()} == lower
+    shore = {}
+    for i in ids:
+        for j in near[i]:
+            if height[i] >= 20 > height[j]:
+                shore[j % 5] = min(shore.get(j % 5, (99,)), (height[i], i, slot[i, j], j))
+    assert {r["feature"]: tuple(r)[1:] for r in graph.shores(cells, edges).collect()} == shore
+
+
+def test_sums_over_ways(spark):
+    # Ways to and fro between blocks, some sent on twice, held at most; what leads to no node is lost.
+    rng = random.Random(9)
+    ids = rng.sample(range(0, 5 << graph.BLOCK_BITS), 400)
+    to = {i: ids[rng.randrange(max(0, k - 6), k)] if k else None for k, i in enumerate(ids)} | {ids[7]: 9 << graph.BLOCK_BITS}
+    times, own = {i: rng.choice((1, 1, 1, 2)) for i in ids}, {i: rng.randrange(50) for i in ids}
+    want = dict(own)
+    for i in reversed(ids):
+        want[i] = min(want[i], 5000)
+        if to[i] in want:
+            want[to[i]] += want[i] * times[i]
+    rows = [(i, own[i], to[i], times[i] if to[i] is not None else None, f"n{i}") for i in ids]
+    got = graph.sums(spark.createDataFrame(rows, "node long, sum long, to long, times long, name string"), 5000).collect()
+    assert {r["node"]: (r["sum"], r["name"]) for r in got} == {i: (want[i], f"n{i}") for i in ids}
+
+
+def test_roots_of_rivers_do_not_meet_in_one_task(spark):
+    rivers_ = spark.range(0, 2000).selectExpr("id AS river", "CASE WHEN id % 100 = 1 THEN id - 1 WHEN id = 50 THEN -7 END AS parent")
+    tied = rivers.with_basin(rivers_, "river")
+    assert {r["river"]: r["basin"] for r in tied.collect()} == {i: i - (i % 100 == 1) for i in range(2000)}
+    assert tied._jdf.queryExecution().optimizedPlan().toString().startswith("Union")

@@ -16,8 +16,9 @@ MIN_FLUX = 30
 
 def streams(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """cell_id, flux, river: land cells and the water that rivers end in. A river is a drainage tree, named by its end plus one; 0 under MIN_FLUX."""
-    flux = graph.flow(cells, edges)
-    ends = graph.roots(graph.down(cells, edges)).withColumnRenamed("node", "cell_id")
+    pointers = cut(graph.down(cells, edges))
+    flux = graph.flow(cells, edges, pointers=pointers)
+    ends = graph.roots(pointers).withColumnRenamed("node", "cell_id")
     land = cut(flux.join(ends, "cell_id", "left").select("cell_id", "flux", F.coalesce("root", "cell_id").alias("root")))
     water = land.where(f"flux >= {MIN_FLUX}").select(F.col("root").alias("cell_id")).distinct().join(cells.where("height < 20").select("cell_id"), "cell_id", "left_semi")
     rows = land.selectExpr("cell_id", "flux", f"CASE WHEN flux >= {MIN_FLUX} THEN root + 1 ELSE 0 END AS river")
@@ -29,9 +30,8 @@ def outlets(cells: DataFrame, edges: DataFrame, lakes: DataFrame) -> DataFrame:
 
     cells: cell_id, height, feature; lakes: id.
     """
-    wet = cells.where("height < 20").join(lakes.select(F.col("id").alias("feature")), "feature").select(F.col("cell_id").alias("dst"), F.col("feature").alias("lake"))
-    shore = edges.join(wet, "dst").join(cells.where("height >= 20").select(F.col("cell_id").alias("src"), "height"), "src")
-    return shore.groupBy("lake").agg(F.min(F.struct("height", "src", "slot", "dst")).alias("at")).select("lake", F.col("at.src").alias("out_cell"), F.col("at.dst").alias("lake_cell"))
+    low = graph.shores(cells, edges).join(lakes.select(F.col("id").alias("feature")), "feature")
+    return low.select(F.col("feature").alias("lake"), F.col("cell_id").alias("out_cell"), F.col("beside").alias("lake_cell"))
 
 
 def drains(last: DataFrame, places: DataFrame, features: DataFrame, outflow: DataFrame) -> DataFrame:
@@ -170,9 +170,16 @@ def parents(drained: DataFrame, pointers: DataFrame) -> DataFrame:
 def specified(rivers: DataFrame, tree: DataFrame) -> DataFrame:
     """id, name, type_name, parent, basin of rivers (id, name, type_name): the basin is the parent if that is a river, else the river itself; empty names become `River id` and `River`. tree: river, parent."""
     held = rivers.join(tree.select(F.col("river").alias("id"), "parent"), "id", "left")
-    known = rivers.select(F.col("id").alias("parent"), F.col("id").alias("basin"))
     name = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
-    return held.join(known, "parent", "left").select("id", name(F.col("name"), F.concat(F.lit("River "), F.col("id").cast("string"))).alias("name"), name(F.col("type_name"), F.lit("River")).alias("type_name"), "parent", F.coalesce("basin", "id").alias("basin"))
+    told = held.select("id", name(F.col("name"), F.concat(F.lit("River "), F.col("id").cast("string"))).alias("name"), name(F.col("type_name"), F.lit("River")).alias("type_name"), "parent")
+    return with_basin(told, "id")
+
+
+def with_basin(rivers: DataFrame, id_col: str) -> DataFrame:
+    """rivers with basin: the parent if that is a river, else the river itself. Rivers without a parent take no part in the join: they would all meet in one task."""
+    known = rivers.select(F.col(id_col).alias("parent"), F.col(id_col).alias("basin"))
+    tied = rivers.where("parent IS NOT NULL").join(known, "parent", "left").select(*rivers.columns, F.coalesce("basin", id_col).alias("basin"))
+    return tied.unionByName(rivers.where("parent IS NULL").withColumn("basin", F.col(id_col)))
 
 
 def without(rivers: DataFrame, removed: DataFrame) -> DataFrame:
@@ -207,9 +214,8 @@ def generate(cells: DataFrame, edges: DataFrame, existing: DataFrame, erosion: b
     """
     spark = cells.sparkSession
     altered = PLANS["alter_heights"].run(spark, cells=cells, edges=edges)
-    own = cells.select(F.col("cell_id").alias("src"), map_col)
     raised = cells.drop("height").join(altered.select("cell_id", F.col("h").alias("height")), "cell_id")
-    filled = cut(hydrology.fill_depressions(raised, edges.join(own, "src"), map_col))
+    filled = cut(hydrology.fill_depressions(raised, edges, map_col))
     thinned = cells.groupBy(map_col).agg(F.pow(F.count("*") / 1e4, 0.25).alias("modifier"))
     ground = filled.join(cells.select("cell_id", "precipitation"), "cell_id").join(thinned, map_col).selectExpr("cell_id", "modifier", "h AS height", "CAST(floor(precipitation / modifier) AS BIGINT) AS precipitation")
     pointers = cut(graph.down(ground, edges))

@@ -31,11 +31,19 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    """The named inputs; the components that places and features share are found once."""
-    made = {n: frame(spark, sf_dir, n) for n in names if n != "features"}
+    """The named inputs; cells and edges that several need are written once, and the components that places and features share are found once."""
+    made: dict[str, DataFrame] = {}
+    if "cells" in names and {"edges", "places", "streams"} & {*names}:
+        made["cells"] = cut(frame(spark, sf_dir, "cells"))
+        made["edges"] = cut(derived.edges(spark, sf_dir, made["cells"]))
+        if {"places", "features"} & {*names}:
+            made["places"] = derived.places(spark, sf_dir, made["cells"], made["edges"])
+        if "streams" in names:
+            made["streams"] = derived.streams(spark, sf_dir, made["cells"], made["edges"])
+    made |= {n: frame(spark, sf_dir, n) for n in names if n != "features" and n not in made}
     if "features" in names:
-        made["features"] = derived.features(spark, sf_dir, made.get("places"))
-    return made
+        made["features"] = derived.features(spark, sf_dir, made.get("places"), made.get("cells"))
+    return {n: made[n] for n in names}
 
 
 ZONES = "zones AS (SELECT CAST(z AS BIGINT) AS zone, cell_id FROM cells CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(z) WHERE cell_id % (z + 3) = 0)"
@@ -408,9 +416,8 @@ def relax_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each state is a map of its own."""
-    cells = frame(spark, sf_dir, "cells")
-    own = cells.select(F.col("cell_id").alias("src"), F.col("state").alias("map_id"))
-    return hydrology.fill_depressions(cells.withColumn("map_id", F.col("state")), frame(spark, sf_dir, "edges").join(own, "src"))
+    cells = cut(frame(spark, sf_dir, "cells").select("cell_id", "cx", "height", "state"))
+    return hydrology.fill_depressions(cells.withColumn("map_id", F.col("state")), cut(derived.edges(spark, sf_dir, cells)))
 
 
 #: Arrivals at each cell, in the order of the cells that send them, folded one after another; names by following the stream that prevails. twice: cells that send on two times, fill: what lakes get.
@@ -436,11 +443,18 @@ def _drainage(twice: str, fill: str) -> str:
         coalesce(o.begun, CASE WHEN c.height >= 20 AND w.flux >= 30 THEN c.cell_id END, -1) AS river FROM cells c LEFT JOIN wet w ON c.cell_id = w.cell_id LEFT JOIN met m ON c.cell_id = m.cell_id LEFT JOIN origin o ON c.cell_id = o.cell_id"""
 
 
+def _sloping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, edges, the way down from each), written."""
+    cells = cut(frame(spark, sf_dir, "cells").select("cell_id", "cx", "height", "precipitation"))
+    edges = cut(derived.edges(spark, sf_dir, cells))
+    return cells, edges, cut(graph.down(cells, edges))
+
+
 @query(_drainage("SELECT cell_id FROM cells WHERE false", "SELECT cell_id, cell_id AS lake_cell, cell_id AS entering FROM cells WHERE false"))
 def river_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without lakes."""
-    cells = frame(spark, sf_dir, "cells")
-    return hydrology.drain(cells, cut(graph.down(cells, frame(spark, sf_dir, "edges"))))
+    cells, _, pointers = _sloping(spark, sf_dir)
+    return hydrology.drain(cells, pointers)
 
 
 _OUTLET = """SELECT cell_id, arg_max(lake_cell, lake) AS lake_cell, arg_max(entering, lake) AS entering FROM (
@@ -458,16 +472,14 @@ _SPECIFIED = """known AS MATERIALIZED (SELECT t.river AS id, CASE WHEN b.id IS N
 
 def _rivers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(cells, edges, drained, tree) of the whole land."""
-    cells, edges = cut(frame(spark, sf_dir, "cells")), cut(frame(spark, sf_dir, "edges"))
-    pointers = cut(graph.down(cells, edges))
+    cells, edges, pointers = _sloping(spark, sf_dir)
     drained = cut(hydrology.drain(cells, pointers))
     return cells, edges, drained, cut(rivers.parents(drained, pointers))
 
 
 @query(_with(("edges",), True, _TREE) + "SELECT t.river, t.parent, coalesce(p.river, t.river) AS basin FROM tree t LEFT JOIN tree p ON t.parent = p.river")
 def parent_basin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = _rivers(spark, sf_dir)[3]
-    return tree.join(tree.select(F.col("river").alias("parent"), F.col("river").alias("basin")), "parent", "left").select("river", "parent", F.coalesce("basin", "river").alias("basin"))
+    return rivers.with_basin(_rivers(spark, sf_dir)[3], "river").select("river", "parent", "basin")
 
 
 def _specified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -519,7 +531,7 @@ def lake_drainage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lake runs over at its outlet; what enters it is the precipitation of its shore."""
     made = frames(spark, sf_dir, ("cells", "edges", "places", "features"))
     placed = cut(made["cells"].join(made["places"], "cell_id"))
-    edges, lakes = cut(made["edges"]), cut(made["features"].where("kind = 'lake'").select("id"))
+    edges, lakes = made["edges"], cut(made["features"].where("kind = 'lake'").select("id"))
     entering = PLANS["lake_flux"].run(spark, cells=placed, edges=edges, places=placed.select("cell_id", "feature"), features=lakes.withColumn("kind", F.lit("lake")))
     outlets = cut(rivers.outlets(placed, edges, lakes).join(entering, "lake"))
     return hydrology.drain(placed, cut(graph.down(placed, edges)), outlets)
@@ -529,7 +541,8 @@ def lake_drainage(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT c.cell_id, CAST(min(r.level) AS DOUBLE) AS level FROM cells c LEFT JOIN reach r ON c.cell_id = r.cell_id WHERE c.height >= 20 GROUP BY c.cell_id")
 def spill_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The height that water must reach to leave each land cell."""
-    return hydrology.spill_levels(cut(frame(spark, sf_dir, "cells").select("cell_id", "height")), cut(frame(spark, sf_dir, "edges")))
+    cells = cut(frame(spark, sf_dir, "cells").select("cell_id", "cx", "height"))
+    return hydrology.spill_levels(cells, cut(derived.edges(spark, sf_dir, cells)))
 
 
 _TENTH = "printf('%.1f', floor(({0}) * 10 + 0.5e0) / 10)"
@@ -635,8 +648,10 @@ _SHORE = """shore AS (SELECT f.id AS lake, e.dst AS out_cell, b.height FROM feat
 
 def _featured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """cells with their feature, edges, features; the components are found once."""
-    made = frames(spark, sf_dir, _LAKES)
-    return cut(made["cells"].join(made["places"], "cell_id")), made["edges"], cut(made["features"])
+    own = cut(frame(spark, sf_dir, "cells").select("cell_id", "cx", "cy", "height", "state", "precipitation"))
+    edges = cut(derived.edges(spark, sf_dir, own))
+    placed = cut(own.join(derived.places(spark, sf_dir, own, edges), "cell_id"))
+    return placed, edges, cut(derived.features(spark, sf_dir, placed.select("cell_id", "feature"), own))
 
 
 @query(_with(_LAKES, True, (_SHORE, "walk(lake, cell_id) AS (SELECT lake, out_cell FROM low UNION SELECT w.lake, e.dst FROM walk w JOIN edges e ON w.cell_id = e.src JOIN cells c ON e.dst = c.cell_id WHERE c.height < 39)"))
@@ -658,7 +673,7 @@ def lake_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each river ends, through the lakes on its way."""
     cells, edges, features = _featured(spark, sf_dir)
-    flow = cut(frame(spark, sf_dir, "streams")).where("river <> 0")
+    flow = cut(rivers.streams(cells, edges).select("cell_id", "river")).where("river <> 0")
     leaves = rivers.outlets(cells, edges, features.where("kind = 'lake'")).join(flow.selectExpr("cell_id AS out_cell", "river"), "out_cell").select("lake", "river")
     return rivers.drains(flow.select("river", (F.col("river") - 1).alias("cell_id")).distinct(), cells, features, leaves)
 
@@ -721,9 +736,8 @@ def river_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def river_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rivers of each state, a map of its own, after those that exist already (burgs stand for them)."""
-    cells = frame(spark, sf_dir, "cells").withColumn("map_id", F.col("state"))
-    own = cells.select("cell_id", "map_id")
-    near = frame(spark, sf_dir, "edges").join(own.selectExpr("cell_id AS src", "map_id AS a"), "src").join(own.selectExpr("cell_id AS dst", "map_id AS b"), "dst").where("a = b").select("src", "slot", "dst")
+    cells = cut(frame(spark, sf_dir, "cells").select("cell_id", "cx", "height", "precipitation", F.col("state").alias("map_id")))
+    near = cut(graph.within(derived.edges(spark, sf_dir, cells), cells.select("cell_id", F.col("map_id").alias("kind"))))
     old = frame(spark, sf_dir, "burgs").selectExpr("-id AS id", "name", "'Creek' AS type_name", "-(id - id % 5) AS parent")
     return rivers.generate(cells, near, old, erosion=True)[1]
 
@@ -757,8 +771,7 @@ def isoline_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outer rings and holes of connected cells of one culture, culture 0 left out."""
     made = frames(spark, sf_dir, ("cells", "edges", "rings", "vertices"))
     inside = made["cells"].where("culture <> 0").select("cell_id", "culture")
-    near = made["edges"].join(inside.select(F.col("cell_id").alias("src")), "src", "left_semi")
-    out = isolines.outlines(made["rings"], graph.components(inside, near, "culture"))
+    out = isolines.outlines(made["rings"], graph.components(inside, made["edges"], "culture"))
     return out.join(made["vertices"], "vertex").select("region", "ring", "pos", "x", "y")
 
 

@@ -34,13 +34,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacency (src, slot, dst): four offsets per cell exploded, then an equi-join; never a theta join."""
-    at = cells(spark, sf_dir).select("cell_id", "cx")
-    step = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(x).cast("long").alias("dx"), F.lit(x + WIDTH * y).cast("long").alias("by")) for s, (x, y) in enumerate(((1, 0), (0, 1), (-1, 0), (0, -1)))]))
-    moved = at.select("cell_id", "cx", step.alias("o")).select(F.col("cell_id").alias("src"), F.col("o.slot"), (F.col("cell_id") + F.col("o.by")).alias("dst"), (F.col("cx") + F.col("o.dx")).alias("at"))
-    inside = moved.where(F.col("at").between(0, WIDTH - 1))
-    return inside.join(at.select(F.col("cell_id").alias("dst")), "dst").select("src", "slot", "dst")
+def edges(spark: SparkSession, sf_dir: str, at: DataFrame | None = None) -> DataFrame:
+    """Adjacency (src, slot, dst): the cells to the right and below, two offsets per cell, by an equi-join; each pair gives an edge in either direction. at: cell_id, cx of the cells, if written."""
+    at = (cells(spark, sf_dir) if at is None else at).select("cell_id", "cx")
+    step = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(x).cast("long").alias("dx"), F.lit(x + WIDTH * y).cast("long").alias("by")) for s, (x, y) in enumerate(((1, 0), (0, 1)))]))
+    moved = at.select("cell_id", "cx", step.alias("o")).select("cell_id", "o.slot", (F.col("cell_id") + F.col("o.by")).alias("other"), (F.col("cx") + F.col("o.dx")).alias("at"))
+    pairs = moved.where(F.col("at").between(0, WIDTH - 1)).join(at.select(F.col("cell_id").alias("other")), "other")
+    there, back = F.struct(F.col("cell_id").alias("src"), "slot", F.col("other").alias("dst")), F.struct(F.col("other").alias("src"), (F.col("slot") + 2).alias("slot"), F.col("cell_id").alias("dst"))
+    return pairs.select(F.explode(F.array(there, back)).alias("e")).select("e.*")
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,23 +64,27 @@ def religions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS id", "concat('Faith of ', r_name) AS name", "printf('#80%02x%02x', r_regionkey * 45, 220 - r_regionkey * 30) AS colour")
 
 
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell_id, feature: connected water, and connected land of a state; a feature is named by its least cell."""
+def places(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """cell_id, feature: connected water, and connected land of a state; a feature is named by its least cell. own, near: the cells and edges, if written."""
     kind = F.expr("CASE WHEN height < 20 THEN -1 ELSE state END")
-    return graph.components(cut(cells(spark, sf_dir).select("cell_id", kind.alias("kind"))), edges(spark, sf_dir), "kind").withColumnRenamed("region", "feature")
+    own = cut(cells(spark, sf_dir).select("cell_id", "cx", "height", "state")) if own is None else own
+    near = cut(edges(spark, sf_dir, own)) if near is None else near
+    return graph.components(own.select("cell_id", kind.alias("kind")), near, "kind").withColumnRenamed("region", "feature")
 
 
-def features(spark: SparkSession, sf_dir: str, at: DataFrame | None = None) -> DataFrame:
-    """Water that touches the left, right or upper border is an ocean, other water a lake, land an island. at: the places, if known."""
-    found = cells(spark, sf_dir).join(places(spark, sf_dir) if at is None else at, "cell_id").groupBy(F.col("feature").alias("id")).agg(F.min("height").alias("low"), F.expr(f"bool_or(cx IN (0, {WIDTH - 1}) OR cy = 0)").alias("touches_border"), F.count("*").alias("cell_count"))
+def features(spark: SparkSession, sf_dir: str, at: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+    """Water that touches the left, right or upper border is an ocean, other water a lake, land an island. at, own: the places and cells, if known."""
+    own = cells(spark, sf_dir) if own is None else own
+    found = own.join(places(spark, sf_dir) if at is None else at, "cell_id").groupBy(F.col("feature").alias("id")).agg(F.min("height").alias("low"), F.expr(f"bool_or(cx IN (0, {WIDTH - 1}) OR cy = 0)").alias("touches_border"), F.count("*").alias("cell_count"))
     return found.selectExpr("id", "CASE WHEN low >= 20 THEN 'island' WHEN touches_border THEN 'ocean' ELSE 'lake' END AS kind", "touches_border", "cell_count")
 
 
-def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell_id, flux, river, modifier of the cells that drain."""
-    own = cells(spark, sf_dir)
+def streams(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """cell_id, flux, river, modifier of the cells that drain. own, near: the cells and edges, if written."""
+    own = cut(cells(spark, sf_dir).select("cell_id", "cx", "height", "precipitation")) if own is None else own
+    near = cut(edges(spark, sf_dir, own)) if near is None else near
     size = own.agg(F.pow(F.count("*") / 1e4, 0.25).alias("modifier"))
-    return rivers.streams(own, edges(spark, sf_dir)).crossJoin(F.broadcast(size))  # one row
+    return rivers.streams(own, near).crossJoin(F.broadcast(size))  # one row
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
