@@ -1,5 +1,7 @@
 """Rivers as entities: their cells, widths, outlets and drawn shapes, composed of windows, equi-joins and pointer doubling."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,7 +87,8 @@ def clipped(points: DataFrame, cells: DataFrame, corners: DataFrame) -> DataFram
     enters = steps.where("NOT wet AND to_wet").groupBy("river").agg(F.max(F.struct("pos", "to_pos", "mouth", "x", "y", "wx", "wy")).alias("s")).select("river", "s.*")
     r = "OVER (PARTITION BY cell_id ORDER BY pos)"
     whole = "OVER (PARTITION BY cell_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    sides = corners.selectExpr("cell_id AS mouth", "pos AS side", "x AS ax", "y AS ay", f"coalesce(lead(x) {r}, first_value(x) {whole}) AS bx", f"coalesce(lead(y) {r}, first_value(y) {whole}) AS bv")
+    mouths = corners.join(enters.select(F.col("mouth").alias("cell_id")).distinct(), "cell_id", "left_semi")
+    sides = mouths.selectExpr("cell_id AS mouth", "pos AS side", "x AS ax", "y AS ay", f"coalesce(lead(x) {r}, first_value(x) {whole}) AS bx", f"coalesce(lead(y) {r}, first_value(y) {whole}) AS bv")
     met = enters.drop("pos").join(sides, "mouth").selectExpr("*", "(wx - x) * (bv - ay) - (wy - y) * (bx - ax) AS d")
     met = met.where("abs(d) >= 1e-9").selectExpr("*", "((ax - x) * (bv - ay) - (ay - y) * (bx - ax)) / d AS t", "((ax - x) * (wy - y) - (ay - y) * (wx - x)) / d AS u")
     hit = met.where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1").selectExpr("river", "to_pos", "side", "x + t * (wx - x) AS hx", "y + t * (wy - y) AS hy", "abs(t * (wx - x)) + abs(t * (wy - y)) AS far")
@@ -94,14 +97,21 @@ def clipped(points: DataFrame, cells: DataFrame, corners: DataFrame) -> DataFram
     return kept.selectExpr("river", "pos", "CASE WHEN pos = to_pos THEN hx ELSE x END AS x", "CASE WHEN pos = to_pos THEN hy ELSE y END AS y")
 
 
-def relax_between(line: np.ndarray, anchor: np.ndarray, passes: int = 4) -> np.ndarray:
-    """Flip the points between two anchors over the anchors' chord where that makes the three corners about them less acute; all of a pass at once."""
+def relax_between(line: np.ndarray, anchor: np.ndarray, passes: int = 4, river: np.ndarray | None = None) -> np.ndarray:
+    """Flip the points between two anchors over the anchors' chord where that makes the three corners about them less acute; all of a pass at once.
+
+    river: whose point each is, if there are several lines, one after another.
+    """
     n = len(line)
     at = np.arange(n)
+    opens = np.ones(n, dtype=bool) if river is None else np.append(True, river[1:] != river[:-1])[:n]
+    opens[1:] &= river is not None
+    first = np.maximum.accumulate(np.where(opens, at, 0))
+    end = np.append(np.minimum.accumulate(np.where(opens, at, n)[::-1])[::-1], n)[1:]
     before = np.maximum.accumulate(np.where(anchor, at, -1))
     after = np.minimum.accumulate(np.where(anchor, at, n)[::-1])[::-1]
-    free = at[~anchor & (before >= 0) & (after < n)]
-    free = free[(free > 0) & (free < n - 1)]
+    free = at[~anchor & (before >= first) & (after < end) & (at > first) & (at < end - 1)]
+    first, end = first[free], end[free]
 
     def sharp(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         u, v = a - b, c - b
@@ -114,7 +124,7 @@ def relax_between(line: np.ndarray, anchor: np.ndarray, passes: int = 4) -> np.n
         along = np.divide(((line[free] - p) * chord).sum(axis=1), size, out=np.zeros(len(free)), where=size > 0)
         flipped = np.where((size > 0)[:, None], 2 * (p + along[:, None] * chord) - line[free], line[free])
         left2, left, right, right2 = line[np.maximum(free - 2, 0)], line[free - 1], line[free + 1], line[np.minimum(free + 2, n - 1)]
-        old, new = ((free > 1) * sharp(left2, left, m) + sharp(left, m, right) + (free < n - 2) * sharp(m, right, right2) for m in (line[free], flipped))
+        old, new = ((free > first + 1) * sharp(left2, left, m) + sharp(left, m, right) + (free < end - 2) * sharp(m, right, right2) for m in (line[free], flipped))
         better = new < old - 1e-6
         if not better.any():
             break
@@ -134,11 +144,23 @@ def shapes(paths: DataFrame, rivers: DataFrame, cells: DataFrame, corners: DataF
     bent = polyline.meander(line, id_col="river").selectExpr("river", "CAST(row_number() OVER (PARTITION BY river ORDER BY pos, part) - 1 AS BIGINT) AS pos", "x", "y", "part = 0 AS anchor")
 
     def relax(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        out = relax_between(part[["x", "y"]].to_numpy(float), part["anchor"].to_numpy(bool))
+        out = relax_between(part[["x", "y"]].to_numpy(float), part["anchor"].to_numpy(bool), river=part["river"].to_numpy())
         return pd.DataFrame({"river": part["river"].to_numpy(), "pos": part["pos"].to_numpy(), "x": out[:, 0], "y": out[:, 1]})
 
-    calm = bent.groupBy("river").applyInPandas(relax, "river long, pos long, x double, y double")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rivers of a batch together; the last may go on in the next."""
+        kept = None
+        for part in parts:
+            part = part if kept is None else pd.concat([kept, part], ignore_index=True)
+            last = part["river"].to_numpy() == part["river"].iloc[-1] if len(part) else np.zeros(0, dtype=bool)
+            kept = part[last]
+            if not last.all():
+                yield relax(part[~last])
+        if kept is not None and len(kept):
+            yield relax(kept)
+
+    dealt = bent.repartition("river").sortWithinPartitions("river", "pos")
+    calm = dealt.mapInPandas(run, "river long, pos long, x double, y double")
     smooth = polyline.catmull_rom(calm, 4, "river").selectExpr("river", "CAST(row_number() OVER (PARTITION BY river ORDER BY pos, part) - 1 AS BIGINT) AS pos", "x", "y", "count(*) OVER (PARTITION BY river) AS n")
     known = rivers.selectExpr("river", "greatest(discharge, 1e0) AS q", "greatest(width_factor, 1e-1) AS wf", "greatest(source_width, 5e-2) AS sw")
     flux = "(q * (1e-1 + 9e-1 * pos / greatest(n - 1, 1)))"

@@ -38,6 +38,7 @@ def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str
         made["edges"] = cut(derived.edges(spark, sf_dir, made["cells"]))
         if {"places", "features"} & {*names}:
             made["places"] = derived.places(spark, sf_dir, made["cells"], made["edges"])
+        made |= {n: derived.FRAMES[n](spark, sf_dir, made["cells"]) for n in ("rings", "vertices") if n in names}
         if "streams" in names:
             made["streams"] = derived.streams(spark, sf_dir, made["cells"], made["edges"])
     made |= {n: frame(spark, sf_dir, n) for n in names if n != "features" and n not in made}
@@ -693,9 +694,9 @@ def perimeter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rivers.perimeters(around, orders.where("o_orderkey % 11 <> 0").selectExpr("o_orderkey AS vertex", "(o_orderkey % 100) * 10e0 AS x", "(o_orderkey DIV 100) * 10e0 AS y"))
 
 
-def _river_paths(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
+def _river_paths(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """river, pos, cell_id: ways down from the heights; every seventh goes on to the map's edge (null)."""
-    way = graph.trace(cells.where("height >= 90"), graph.down(cells, frame(spark, sf_dir, "edges")))
+    way = graph.trace(cells.where("height >= 90"), graph.down(cells, edges))
     over = way.where("start % 7 = 0").groupBy("start").agg((F.max("step") + 1).alias("step")).withColumn("cell_id", F.lit(None).cast("long"))
     return way.unionByName(over).withColumnsRenamed({"start": "river", "step": "pos"})
 
@@ -712,16 +713,16 @@ _PATHS = ("walk(river, pos, cell_id) AS (SELECT cell_id, CAST(0 AS BIGINT), cell
 def river_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anchors of every river; on the lattice a coast lies half way between two cells."""
     cells = frame(spark, sf_dir, "cells")
-    line = rivers.clipped(rivers.anchors(_river_paths(spark, sf_dir, cells), cells, 1000.0, 1500.0), cells, rivers.cell_rings(frame(spark, sf_dir, "rings"), frame(spark, sf_dir, "vertices")))
+    line = rivers.clipped(rivers.anchors(_river_paths(cells, cut(frame(spark, sf_dir, "edges"))), cells, 1000.0, 1500.0), cells, rivers.cell_rings(frame(spark, sf_dir, "rings"), frame(spark, sf_dir, "vertices")))
     return line.selectExpr("river", "pos", R4.format("x") + " AS x", R4.format("y") + " AS y")
 
 
 @query()
 def river_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = frame(spark, sf_dir, "cells")
-    paths = cut(_river_paths(spark, sf_dir, cells))
+    cells = cut(frame(spark, sf_dir, "cells").select("cell_id", "cx", "cy", "x", "y", "height", "population"))
+    paths = cut(_river_paths(cells, cut(derived.edges(spark, sf_dir, cells))))
     known = cells.where("height >= 90").selectExpr("cell_id AS river", "population / 1e1 AS discharge", "1.2e0 AS width_factor", "5e-2 AS source_width")
-    return rivers.shapes(paths, known, cells, rivers.cell_rings(frame(spark, sf_dir, "rings"), frame(spark, sf_dir, "vertices")), 1000.0, 1500.0)
+    return rivers.shapes(paths, known, cells, rivers.cell_rings(derived.rings(spark, sf_dir, cells), derived.vertices(spark, sf_dir, cells)), 1000.0, 1500.0)
 
 
 @query(_with(("points",), more=("sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM points)", "spots AS (SELECT id, CAST(r.range AS BIGINT) AS pos, n FROM (SELECT id, count(*) AS n FROM points GROUP BY id), range(1000000) r WHERE r.range < 3 * n)"))

@@ -87,15 +87,15 @@ def streams(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, near
     return rivers.streams(own, near).crossJoin(F.broadcast(size))  # one row
 
 
-def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell_id, pos, vertex: the corners of each cell on the lattice, clockwise."""
+def rings(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """cell_id, pos, vertex: the corners of each cell on the lattice, clockwise. own: the cells, if written."""
     steps = F.array(*[F.lit(v).cast("long") for v in (0, 1, WIDTH + 2, WIDTH + 1)])
-    return cells(spark, sf_dir).select("cell_id", "cx", "cy", F.posexplode(steps).alias("pos", "by")).selectExpr("cell_id", "CAST(pos AS BIGINT) AS pos", f"cy * {WIDTH + 1} + cx + by AS vertex")
+    return (cells(spark, sf_dir) if own is None else own).select("cell_id", "cx", "cy", F.posexplode(steps).alias("pos", "by")).selectExpr("cell_id", "CAST(pos AS BIGINT) AS pos", f"cy * {WIDTH + 1} + cx + by AS vertex")
 
 
-def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vertex, x, y."""
-    return rings(spark, sf_dir).select("vertex").distinct().selectExpr("vertex", f"(vertex % {WIDTH + 1}) * 10e0 AS x", f"(vertex DIV {WIDTH + 1}) * 10e0 AS y")
+def vertices(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """vertex, x, y. own: the cells, if written."""
+    return rings(spark, sf_dir, own).select("vertex").distinct().selectExpr("vertex", f"(vertex % {WIDTH + 1}) * 10e0 AS x", f"(vertex DIV {WIDTH + 1}) * 10e0 AS y")
 
 
 def burgs(spark: SparkSession, sf_dir: str) -> DataFrame:
