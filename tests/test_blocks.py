@@ -96,3 +96,16 @@ def test_roots_of_rivers_do_not_meet_in_one_task(spark):
     tied = rivers.with_basin(rivers_, "river")
     assert {r["river"]: r["basin"] for r in tied.collect()} == {i: i - (i % 100 == 1) for i in range(2000)}
     assert tied._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_maps_are_dealt_over_tasks(spark):
+    """Rows of maps are so small that Spark would coalesce them into one task; what is made of them is not."""
+    from pyspark.sql import functions as F
+
+    from worldframe.operators import mesh
+
+    keys = spark.range(0, 400, 1, 4).selectExpr("id DIV 25 AS map_id").distinct()
+    maps = keys.selectExpr("map_id", "concat('seed', map_id) AS seed", "400 AS width", "300 AS height", "16 AS cells")
+    dealt = mesh.grid_points(maps).select("map_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r["map_id"] for r in dealt}) == len(dealt) == 16
+    assert len({r["task"] for r in dealt}) == 4

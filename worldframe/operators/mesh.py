@@ -15,14 +15,19 @@ cloudpickle.register_pickle_by_value(worldframe)
 
 
 def _per_map(maps: DataFrame, make: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
-    """make(map) for every row of maps (map_id, seed, width, height, cells), each on its own."""
+    """make(map) for every row of maps (map_id, seed, width, height, cells), each on its own.
+
+    Rows of maps are small and what is made of them is not, so they are dealt over a given number of tasks: by map_id, Spark would put all of them in one.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for _, row in part.iterrows():
                 yield make(row)
 
-    return maps.repartition("map_id").mapInPandas(run, schema)
+    spark = maps.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return maps.repartition(tasks).mapInPandas(run, schema)
 
 
 def alea_stream(maps: DataFrame, n: int = 100) -> DataFrame:
