@@ -138,6 +138,83 @@ def test_two_large_classes_that_share_a_key_take_few_rounds(spark, monkeypatch):
     assert {r["node"]: r["label"] for r in label.collect()} == {i: i // 40 * 40 for i in held}
 
 
+def slow_fingerprint_and_blocks(held, tables, bits, many):
+    one, two = (t.view(np.int8).tolist() for t in tables)
+    sums = [sum(2 * (one[int(h) & 4095][i] ^ two[int(h) >> 12 & 4095][i]) + 1 for h in held) for i in range(len(one[0]))]
+    out = []
+    for b in range(many):
+        part = sums[b * bits : (b + 1) * bits]
+        value = sum((v > 0) << i for i, v in enumerate(part))
+        i, j = sorted(range(bits), key=lambda i: abs(part[i]))[: neardup.UNSURE]
+        out += [b << bits | value ^ x for x in (0, 1 << i, 1 << j, 1 << i | 1 << j)]
+    return sum((v > 0) << i for i, v in enumerate(sums[: neardup.CHECK])), out
+
+
+def test_near_duplicates_meet_in_simhash_blocks(spark):
+    rng = random.Random(14)
+    texts = {i: " ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(n)) for i, n in enumerate((8, 9, 60, 300))}
+    texts[4] = texts[2] + " more"
+    bits, many = 18, 8
+    tables = neardup.vote_tables(max(neardup.CHECK, many * bits))
+    seen = neardup._sketches(docs(spark, texts.items()), "doc_id", "text", 5, bits, many)
+    row = {r["doc_id"]: r for r in seen.collect()}
+    keyed = neardup._keys(seen, bits, many)
+    keys = {(r["fp"], r["key"] >> 31, r["key"] & (1 << 31) - 1) for r in keyed.collect()}
+    wanted = set()
+    for i, t in texts.items():
+        check, found = slow_fingerprint_and_blocks(neardup.shingles(t), tables, bits, many)
+        assert (row[i]["s"] & (1 << 64) - 1) | (row[i]["t"] & (1 << 64) - 1) << 64 == check
+        wanted |= {(row[i]["fp"], k, row[i]["n"]) for k in found}
+    assert keys == wanted
+    pairs = neardup._met(keyed, 0.8, 8).select("fp", "other").distinct().collect()
+    assert [{r["fp"], r["other"]} for r in pairs] == [{row[2]["fp"], row[4]["fp"]}]
+
+
+def test_simhash_blocks_lose_no_pair_of_the_similarity():
+    rng, bits = np.random.default_rng(15), 18
+    many = neardup.blocks(bits)
+    tables = neardup.vote_tables(many * bits)
+    lost = 0
+    for _ in range(150):
+        for c, x, y in ((4, 1, 0), (8, 1, 1), (8, 2, 0), (24, 3, 3), (240, 30, 30)):
+            h = rng.integers(0, 1 << 63, c + x + y, dtype=np.uint64)
+            a, b = neardup.votes(h[: c + x], *tables), neardup.votes(np.r_[h[:c], h[c + x :]], *tables)
+            sure = [np.argsort(np.argsort(np.abs(v).reshape(many, bits), axis=1), axis=1) >= neardup.UNSURE for v in (a, b)]
+            differ = (a > 0) != (b > 0)
+            met = ~np.any(differ.reshape(many, bits) & sure[0] & sure[1], axis=1)
+            lost += not met.any() or np.count_nonzero(differ[: neardup.CHECK]) > neardup.radius()
+    assert lost <= 2  # 750 pairs, 0.05 expected
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_simhash_blocks_meet_across_batches(spark, batch):
+    rng = random.Random(16)
+    base = rng.getrandbits(128)
+    rows = []
+    for i in range(400):
+        bits = base if i % 2 else rng.getrandbits(128)
+        for b in rng.sample(range(128), 12):
+            bits ^= 1 << b
+        signed = [int(np.uint64(x).view(np.int64)) for x in (bits & (1 << 64) - 1, bits >> 64)]
+        rows.append((min(rng.randrange(30), rng.randrange(60)), rng.choice([40, 50, 60]), i, *signed, bits))
+    rows += [(99, 50, 1000 + i, *rows[1][3:]) for i in range(70)]
+    expected, members = set(), set()
+    for k in {r[0] for r in rows}:
+        at = [r for r in rows if r[0] == k]
+        if len(at) > 16:
+            members |= {(k, r[2], r[1]) for r in at}
+        else:
+            expected |= {frozenset((a[2], b[2])) for a, b in combinations(at, 2) if (a[5] ^ b[5]).bit_count() <= neardup.radius() and 5 * min(a[1], b[1]) >= 4 * max(a[1], b[1])}
+    keyed = spark.createDataFrame([(r[0] << 31 | r[1], *r[2:5]) for r in rows], "key long, fp long, s long, t long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = neardup._met(keyed, 0.8, 16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {frozenset((r["fp"], r["other"])) for r in got if r["other"] is not None} == expected and expected
+    assert {(r["key"], r["fp"], r["n"]) for r in got if r["other"] is None} == members and len(members) > 70
+
+
 # Packing
 
 
