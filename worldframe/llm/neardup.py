@@ -61,10 +61,12 @@ def _cosine(similarity: float) -> float:
 def blocks(bits: int, similarity: float = SIMILARITY) -> int:
     """How many blocks of so many bits lose at most 6 / 7 of LOSS, by 40,000 simulated blocks."""
     rng, cosine = np.random.default_rng(5), _cosine(similarity)
-    x, y = rng.standard_normal((2, 40_000, bits))
-    y = cosine * x + math.sqrt(1 - cosine**2) * y
     sure = lambda v: np.abs(v) > np.partition(np.abs(v), UNSURE - 1, axis=1)[:, UNSURE - 1 : UNSURE]
-    met = float(np.mean(~np.any(((x > 0) != (y > 0)) & sure(x) & sure(y), axis=1)))
+    met = 0.0
+    for _ in range(80):  # a few at a time: the driver's memory is small
+        x, y = rng.standard_normal((2, 500, bits))
+        y = cosine * x + math.sqrt(1 - cosine**2) * y
+        met += float(np.mean(~np.any(((x > 0) != (y > 0)) & sure(x) & sure(y), axis=1))) / 80
     return math.ceil(math.log(LOSS * 6 / 7) / math.log1p(-min(met, 0.999)))
 
 
